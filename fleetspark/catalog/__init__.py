@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from fleetspark.catalog import view_queries  # noqa: F401
+from fleetspark.catalog import (  # noqa: F401
+    aggregate_queries,
+    join_queries,
+    lifecycle_queries,
+    stream_queries,
+    text_queries,
+    view_queries,
+)
 from fleetspark.catalog.registry import ORACLES, QUERIES  # noqa: F401

@@ -23,7 +23,8 @@ class RegistryTables:
 
     def stream(self, name: str, source: str) -> DataFrame:
         """The same table as a stream over the files of its source table."""
-        path = f"{self.folder}/{source}.parquet"
+        # As a pattern the path may be one file or a folder of files.
+        path = f"{self.folder}/{source}.parque[t]"
         rows = self.spark.readStream.schema(self.given(source).schema).parquet(path)
         view = f"stream_of_{source}"
         rows.createOrReplaceTempView(view)

@@ -68,16 +68,23 @@ def _strict_files(text: Column, shape: str) -> Column:
     return F.when(parsed["_malformed"].isNull(), parsed["files"])
 
 
-def parse_response_files(df: DataFrame, text: str = "response_text", shape: str = LIST_SHAPE) -> DataFrame:
-    """Add ``files`` and ``parse_state`` (parsed, repaired, malformed, no_json).
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
 
-    The steps are separate projections, so each is computed once per row.
+    Catalyst copies a projected expression into every later use and into pushed
+    filters; it does not do so across a generator, so costly parsing runs once.
     """
-    out = df.withColumn("_candidate", json_candidate(F.col(text)))
-    out = out.withColumn("_files", _strict_files(F.col("_candidate"), shape))
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def parse_response_files(df: DataFrame, text: str = "response_text", shape: str = LIST_SHAPE) -> DataFrame:
+    """Add ``files`` and ``parse_state`` (parsed, repaired, malformed, no_json)."""
+    out = computed_once(df, _candidate=json_candidate(F.col(text)))
+    out = computed_once(out, _files=_strict_files(F.col("_candidate"), shape))
     # Only a failed parse reaches the second one: its input is null otherwise.
     retry = F.when(F.col("_files").isNull(), repaired(F.col("_candidate")))
-    out = out.withColumn("_retry", _strict_files(retry, shape))
+    out = computed_once(out, _retry=_strict_files(retry, shape))
     state = (
         F.when(F.col("_candidate").isNull(), "no_json")
         .when(F.col("_files").isNotNull(), "parsed")

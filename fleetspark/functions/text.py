@@ -58,7 +58,7 @@ def host_to_slug(host: Column, local_slug: str = LOCAL_SLUG) -> Column:
         F.transform(segments, lambda s: (F.length(s) >= HASH_SEGMENT_MIN) & s.rlike(r"^[a-z0-9]+\z")), True
     )
     is_preview = F.contains(host, F.lit(PREVIEW_DOMAIN)) & (F.size(segments) > 3) & (hash_at > 1)
-    slug = F.when(is_preview, F.substring_index(label, "-", (hash_at - 1).cast("int"))).otherwise(label)
+    slug = F.when(is_preview, F.call_function("substring_index", label, F.lit("-"), (hash_at - 1).cast("int"))).otherwise(label)
     return (
         F.when(F.contains(host, F.lit(LOCAL_HOST_MARKER)), F.lit(local_slug))
         .when(F.size(F.split(host, r"\.")) < 3, None)

@@ -93,7 +93,7 @@ def generation_metrics(generations: DataFrame, keys: list[str], approximate: boo
         F.count("*").alias("runs"),
         F.count_if(F.col("success")).alias("succeeded"),
         (F.count_if(F.col("success")) / F.count("*")).alias("success_rate"),
-        F.avg(seconds.cast("decimal(12,2)")).cast("double").alias("mean_seconds"),
+        (F.sum(seconds).cast("double") / F.count(seconds)).alias("mean_seconds"),
         F.sum("components_generated").alias("components"),
         F.sum("files_generated").alias("files"),
     ]

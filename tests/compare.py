@@ -71,5 +71,7 @@ if __name__ == "__main__":
         except Exception as error:  # noqa: BLE001
             ok, rows, text = False, -1, f"{type(error).__name__}: {str(error)[:700]}"
         bad += not ok
+        if ok and not rows:
+            text += " EMPTY"
         print(f"{'ok  ' if ok else 'FAIL'} {name:32} rows={rows:7} {time.time() - began:6.2f}s {text}", flush=True)
     print(f"{bad} failed")
