@@ -215,16 +215,28 @@ def _(t):
     )
 
 
-@query("schema_listing", "SELECT cast(row_number() OVER () AS int) AS position, column_name, upper(column_type) AS data_type FROM (DESCRIBE SELECT * FROM customer)")
+DUCKDB_TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "VARCHAR[]": "array<string>", "TIMESTAMP": "timestamp_ntz",
+    "BOOLEAN": "boolean",
+}
+TYPE_CASE = "CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DUCKDB_TYPES.items()) + " END"
+EXPECTED_CLIENTS = ", ".join("('{}', '{}')".format(*column.split(" ")) for column in TABLES["clients"].split(", "))
+OBSERVED_CLIENTS = f"""
+nulls AS (SELECT column_name, null_count FROM (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM clients) ON COLUMNS(*) INTO NAME column_name VALUE null_count)),
+typed AS (SELECT cast(row_number() OVER () AS int) AS position, column_name, {TYPE_CASE} AS data_type FROM (DESCRIBE SELECT * FROM clients)),
+seen AS (SELECT position, column_name, data_type, null_count FROM typed JOIN nulls USING (column_name))"""
+
+
+@query("schema_listing", f"WITH {OBSERVED_CLIENTS} SELECT * FROM seen")
 def _(t):
-    # Given column types are named as the other engine names them.
-    names = {"bigint": "BIGINT", "string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE"}
-    kind = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    listing = registry.schema_listing(t.given("customer"))
-    return listing.select("position", "column_name", kind[F.col("data_type")].alias("data_type"))
+    return registry.schema_listing(t.clients).select("position", "column_name", "data_type", "null_count")
 
 
-@query("schema_diff")
+@query("schema_diff", f"""
+WITH {OBSERVED_CLIENTS}, expected AS (SELECT * FROM (VALUES {EXPECTED_CLIENTS}) v(name, expected_type))
+SELECT coalesce(column_name, name) AS column_name, data_type, expected_type, null_count,
+ CASE WHEN data_type IS NULL THEN 'missing' WHEN expected_type IS NULL THEN 'unexpected' WHEN data_type <> expected_type THEN 'type_differs' ELSE 'ok' END AS state
+FROM seen FULL OUTER JOIN expected ON name = column_name""")
 def _(t):
     return registry.schema_diff(t.clients, "clients")
 

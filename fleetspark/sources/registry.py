@@ -40,10 +40,16 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists"
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
-    """(position, column_name, data_type, is_nullable) of a DataFrame's columns."""
+    """(position, column_name, data_type, is_nullable, null_count) of a DataFrame's columns.
+
+    The nulls of all columns are counted in one pass over the table.
+    """
     rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
-    schema = "position int, column_name string, data_type string, is_nullable boolean"
-    return df.sparkSession.createDataFrame(rows, schema)
+    listed = df.sparkSession.createDataFrame(
+        rows, "position int, column_name string, data_type string, is_nullable boolean"
+    )
+    counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    return listed.join(counts.unpivot([], df.columns, "column_name", "null_count"), "column_name")
 
 
 def schema_diff(df: DataFrame, expected: T.StructType | str) -> DataFrame:
@@ -56,4 +62,4 @@ def schema_diff(df: DataFrame, expected: T.StructType | str) -> DataFrame:
         F.when(F.col("data_type").isNull(), "missing").when(F.col("expected_type").isNull(), "unexpected")
         .when(F.col("data_type") != F.col("expected_type"), "type_differs").otherwise("ok")
     )
-    return joined.select("column_name", "data_type", "expected_type", state.alias("state"))
+    return joined.select("column_name", "data_type", "expected_type", "null_count", state.alias("state"))
