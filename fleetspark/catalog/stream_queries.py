@@ -17,7 +17,7 @@ def _naive(df):
 SELECT json_extract_string(value, '$.clientId') AS client_id, json_extract_string(value, '$.clientSlug') AS client_slug, json_extract_string(value, '$.tier') AS tier
 FROM onboarding_messages WHERE json_valid(value)""")
 def _(t):
-    rows = t.stream("onboarding_messages", "customer")
+    rows = t.stream("onboarding_messages")
     base = F.lit("2024-01-30 00:00:00").cast("timestamp")
     received = rows.withColumn("received_at", base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("offset_id") % 3600))
     queue = run_to_table(flows.onboarding_queue(received), "onboarding-queue")
@@ -27,14 +27,14 @@ def _(t):
 @query("unsafe_alerts", """
 SELECT id, audit_ts, operation, model, client_slug, url_path, space_mode FROM builderio_query_audit WHERE security_level = 'UNSAFE'""")
 def _(t):
-    return run_to_table(flows.unsafe_alerts(t.stream("builderio_query_audit", "events")), "unsafe-alerts")
+    return run_to_table(flows.unsafe_alerts(t.stream("builderio_query_audit")), "unsafe-alerts")
 
 
 @query("latest_health_stream", """
 SELECT client_id, id, checked_at, overall_status, vercel_status FROM site_health_checks
 QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY checked_at DESC NULLS FIRST, id) = 1""")
 def _(t):
-    return latest_health_stream(t.stream("site_health_checks", "events")).select(
+    return latest_health_stream(t.stream("site_health_checks")).select(
         "client_id", "id", "checked_at", "overall_status", "vercel_status"
     )
 
@@ -47,7 +47,7 @@ SELECT s.deployment_id, coalesce(fin[2], 'TIMEOUT') AS state, coalesce(fin[2], '
 FROM s LEFT JOIN f ON f.deployment_id = s.deployment_id
 WHERE fin IS NOT NULL OR s.last_poll > s.started_at + INTERVAL 300 SECOND OR s.started_at + INTERVAL 300 SECOND <= (SELECT max(polled_at) FROM deployment_polls) - INTERVAL 10 MINUTE""")
 def _(t):
-    polls = flows.event_time(t.stream("deployment_polls", "events"), "polled_at")
+    polls = flows.event_time(t.stream("deployment_polls"), "polled_at")
     return _naive(run_to_table(builds.build_timeout(polls), "build-timeout"))
 
 
@@ -55,7 +55,7 @@ def _(t):
 SELECT id AS operation_id, started_at, completed_at, cast(round((epoch_us(completed_at) - epoch_us(started_at)) / 1000.0) AS int) AS duration_ms FROM registry_operations_log
 WHERE started_at IS NOT NULL AND completed_at IS NOT NULL""")
 def _(t):
-    log = flows.event_time(t.stream("registry_operations_log", "events"), "started_at", "completed_at")
+    log = flows.event_time(t.stream("registry_operations_log"), "started_at", "completed_at")
     started = log.filter(F.col("started_at").isNotNull()).select("id", "started_at")
     completed = log.filter(F.col("completed_at").isNotNull()).select("id", "completed_at")
     return _naive(run_to_table(flows.operation_pairing(started, completed), "operation-pairing"))
@@ -66,5 +66,5 @@ WITH w AS (SELECT date_trunc('hour', checked_at)::timestamp AS window_start, ove
 SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, overall_status, checks FROM w
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(checked_at) - INTERVAL 1 HOUR FROM site_health_checks)""")
 def _(t):
-    checks = flows.event_time(t.stream("site_health_checks", "events"), "checked_at")
+    checks = flows.event_time(t.stream("site_health_checks"), "checked_at")
     return _naive(run_to_table(flows.health_windows(checks), "health-windows"))

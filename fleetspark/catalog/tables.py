@@ -7,9 +7,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.fixtures import TABLE_SQL
+from fleetspark.schemas import GIVEN
 
 AS_OF = "2024-01-31 00:00:00"
-_SOURCE = re.compile(r"\bFROM (customer|orders|events|nation|pages|documents|part|lineitem)\b")
+_SOURCE = re.compile(rf"\bFROM ({'|'.join(GIVEN)})\b")
 
 
 class RegistryTables:
@@ -19,23 +20,27 @@ class RegistryTables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def given(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
 
-    def stream(self, name: str, source: str) -> DataFrame:
-        """The same table as a stream over the files of its source table."""
-        # As a pattern the path may be one file or a folder of files.
-        path = f"{self.folder}/{source}.parque[t]"
-        rows = self.spark.readStream.schema(self.given(source).schema).parquet(path)
-        view = f"stream_of_{source}"
+    def _derive(self, name: str, source: str, rows: DataFrame, kind: str) -> DataFrame:
+        # The view is bound when the text is analysed, so replacing it later does no harm.
+        view = f"{kind}_{source}"
         rows.createOrReplaceTempView(view)
         text = TABLE_SQL[name].replace("timestamp '", "timestamp_ntz '")
         return self.spark.sql(_SOURCE.sub(f"FROM {view}", text))
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream over the files of its source table."""
+        source = _SOURCE.search(TABLE_SQL[name])[1]
+        # As a pattern the path may be one file or a folder of files.
+        rows = self.spark.readStream.schema(GIVEN[source]).parquet(f"{self.folder}/{source}.parque[t]")
+        return self._derive(name, source, rows, "stream_of")
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_SQL:
             raise AttributeError(name)
-        text = TABLE_SQL[name].replace("timestamp '", "timestamp_ntz '")
-        return self.spark.sql(_SOURCE.sub(lambda m: f"FROM parquet.`{self.folder}/{m[1]}.parquet`", text))
+        source = _SOURCE.search(TABLE_SQL[name])[1]
+        return self._derive(name, source, self.given(source), "given")
 
 
 def with_tables(sql: str) -> str:

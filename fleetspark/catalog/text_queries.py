@@ -97,8 +97,11 @@ SELECT deployment_id, len(bad) AS error_lines, 'Vercel build failed (state: ERRO
  || CASE WHEN len(bad) > 10 THEN chr(10) || '  ... and ' || (len(bad) - 10)::varchar || ' more errors' ELSE '' END AS report FROM l""")
 def _(t):
     logs = F.col("build_logs")
-    report = text.build_failure_report(F.lit("ERROR"), F.lit(text.BUILD_FAILURES["ERROR"]), logs)
-    return t.build_logs.select("deployment_id", F.size(text.error_lines(logs)).cast("bigint").alias("error_lines"), report.alias("report"))
+    found = responses.computed_once(t.build_logs, _lines=text.error_lines(logs))
+    report = text.build_failure_report(
+        F.lit("ERROR"), F.lit(text.BUILD_FAILURES["ERROR"]), F.col("_lines"), F.coalesce(logs, F.lit("")) != ""
+    )
+    return found.select("deployment_id", F.size("_lines").cast("bigint").alias("error_lines"), report.alias("report"))
 
 
 @query("build_outcome", """

@@ -62,12 +62,6 @@ def repaired(candidate: Column) -> Column:
     return F.when(usable, F.concat(head, F.lit("}" + FILES_CLOSING)))
 
 
-def _strict_files(text: Column, shape: str) -> Column:
-    # A malformed text is caught by the corrupt-record column, so no partial parse counts.
-    parsed = F.from_json(text, f"{shape}, _malformed string", {"columnNameOfCorruptRecord": "_malformed"})
-    return F.when(parsed["_malformed"].isNull(), parsed["files"])
-
-
 def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns behind a one-row generator.
 
@@ -78,21 +72,30 @@ def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def _parsed(text: Column, shape: str) -> Column:
+    return F.from_json(text, f"{shape}, _malformed string", {"columnNameOfCorruptRecord": "_malformed"})
+
+
+def _files(parsed: str) -> Column:
+    # A malformed text is caught by the corrupt-record column, so no partial parse counts.
+    return F.when(F.col(f"{parsed}._malformed").isNull(), F.col(f"{parsed}.files"))
+
+
 def parse_response_files(df: DataFrame, text: str = "response_text", shape: str = LIST_SHAPE) -> DataFrame:
     """Add ``files`` and ``parse_state`` (parsed, repaired, malformed, no_json)."""
     out = computed_once(df, _candidate=json_candidate(F.col(text)))
-    out = computed_once(out, _files=_strict_files(F.col("_candidate"), shape))
+    out = computed_once(out, _first=_parsed(F.col("_candidate"), shape))
     # Only a failed parse reaches the second one: its input is null otherwise.
-    retry = F.when(F.col("_files").isNull(), repaired(F.col("_candidate")))
-    out = computed_once(out, _retry=_strict_files(retry, shape))
+    retry = F.when(_files("_first").isNull(), repaired(F.col("_candidate")))
+    out = computed_once(out, _second=_parsed(retry, shape))
     state = (
         F.when(F.col("_candidate").isNull(), "no_json")
-        .when(F.col("_files").isNotNull(), "parsed")
-        .when(F.col("_retry").isNotNull(), "repaired")
+        .when(_files("_first").isNotNull(), "parsed")
+        .when(_files("_second").isNotNull(), "repaired")
         .otherwise("malformed")
     )
-    out = out.withColumn("parse_state", state).withColumn("files", F.coalesce("_files", "_retry"))
-    return out.drop("_candidate", "_files", "_retry")
+    out = out.withColumns({"parse_state": state, "files": F.coalesce(_files("_first"), _files("_second"))})
+    return out.drop("_candidate", "_first", "_second")
 
 
 def file_paths(files: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ ERROR_HELP = [
 ]
 BUILD_FAILURES = {"ERROR": "Build failed on Vercel", "CANCELED": "Build was canceled"}
 
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # The sites' own domain and backup bucket are settings of an installation.
 SITE_DOMAIN = "sites.example"
 BACKUP_BUCKET = "site-backups"
@@ -35,7 +42,7 @@ BACKUP_BUCKET = "site-backups"
 
 def python_strip(text: Column) -> Column:
     """Strip Unicode white space at both ends (Spark's trim strips blanks only)."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def sanitize_slug(text: Column) -> Column:
@@ -106,24 +113,30 @@ def extract_build_log(message: Column, marker: str = BUILD_LOG_MARKER) -> Column
 
 def error_lines(logs: Column) -> Column:
     """Lines that speak of an error or failure."""
-    return F.filter(F.split(logs, "\n"), lambda line: F.lower(line).rlike("|".join(ERROR_WORDS)))
 
+    def speaks_of_failure(line: Column) -> Column:
+        low = F.lower(line)
+        return reduce(lambda a, b: a | b, [low.contains(word) for word in ERROR_WORDS])
+
+    return F.filter(F.split(logs, "\n"), speaks_of_failure)
 
-def build_failure_report(state: Column, error: Column, logs: Column) -> Column:
-    """Multi-line report: head, then the first error lines and how many were left out."""
-    lines = error_lines(logs)
+
+def build_failure_report(state: Column, error: Column, lines: Column, has_logs: Column) -> Column:
+    """Multi-line report: head, then the first error lines and how many were left out.
+
+    ``lines`` are the error lines of the logs, best computed beforehand.
+    """
+    none = F.array().cast("array<string>")
     shown = F.transform(F.slice(lines, 1, TOP_ERRORS), lambda line: F.concat(F.lit("  "), line))
+    left_out = F.size(lines) - TOP_ERRORS
     more = F.when(
-        F.size(lines) > TOP_ERRORS,
-        F.array(F.concat(F.lit("  ... and "), (F.size(lines) - TOP_ERRORS).cast("string"), F.lit(" more errors"))),
-    ).otherwise(F.array().cast("array<string>"))
+        left_out > 0, F.array(F.concat(F.lit("  ... and "), left_out.cast("string"), F.lit(" more errors")))
+    ).otherwise(none)
     head = F.array(
         F.concat(F.lit("Vercel build failed (state: "), F.coalesce(state, F.lit("UNKNOWN")), F.lit(")")),
         F.concat(F.lit("Error: "), error),
     )
-    body = F.when(F.coalesce(logs, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.concat(F.array(F.lit("\nBuild Errors:")), shown, more)
-    )
+    body = F.when(has_logs, F.concat(F.array(F.lit("\nBuild Errors:")), shown, more)).otherwise(none)
     return F.array_join(F.concat(head, body), "\n")
 
 

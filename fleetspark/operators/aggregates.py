@@ -66,41 +66,33 @@ def with_overall_health(checks: DataFrame) -> DataFrame:
     return checks.withColumn("derived_status", overall_health(*[F.col(c) for c in columns]))
 
 
-def exact_percentile(df: DataFrame, keys: list[str], value: str, fraction: float, name: str) -> DataFrame:
-    """Exact, linearly interpolated percentile per key.
+def generation_metrics(generations: DataFrame, keys: list[str], fraction: float = 0.95) -> DataFrame:
+    """Runs, success rate, mean and 95th-percentile seconds, components and files per key.
 
-    Equal values are counted before the shuffle, so a key ships one row per
-    distinct value and partition, and the running count reads those in order.
+    The percentile is exact and linearly interpolated.  Runs are first counted per
+    key and distinct time, partly before the shuffle, so a key with very many runs
+    sends on one row per distinct time; times have two digits, so those are few.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = counts.withColumn("_upto", F.sum("_n").over(upto))
-    ends = running.join(counts.groupBy(*keys).agg(F.sum("_n").alias("_all")), keys)
+    value = F.col("generation_time_seconds")
+    per_time = generations.groupBy(*keys, "generation_time_seconds").agg(
+        F.count("*").alias("_runs"), F.count(value).alias("_timed"), F.count_if("success").alias("_won"),
+        F.sum("components_generated").alias("_components"), F.sum("files_generated").alias("_files"),
+    )
+    of_key = Window.partitionBy(*keys)
+    upto = of_key.orderBy("generation_time_seconds").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = per_time.withColumns({"_upto": F.sum("_timed").over(upto), "_all": F.sum("_timed").over(of_key)})
     place = (F.col("_all") - 1) * F.lit(fraction)
-    at = lambda position: F.min(F.when(F.col("_upto") > position, F.col(value)))
+    at = lambda position: F.min(F.when(F.col("_upto") > position, value))
     low, high = at(F.floor(place)), at(F.ceil(place))
-    share = F.max(place - F.floor(place))
-    return ends.groupBy(*keys).agg((low + (high - low) * share).cast("double").alias(name))
-
-
-def generation_metrics(generations: DataFrame, keys: list[str], approximate: bool = False) -> DataFrame:
-    """Runs, success rate, mean and 95th-percentile seconds, components and files per key.
-
-    ``approximate`` replaces the exact percentile by a fixed-size sketch.
-    """
-    seconds = F.col("generation_time_seconds")
-    parts = [
-        F.count("*").alias("runs"),
-        F.count_if(F.col("success")).alias("succeeded"),
-        (F.count_if(F.col("success")) / F.count("*")).alias("success_rate"),
-        (F.sum(seconds).cast("double") / F.count(seconds)).alias("mean_seconds"),
-        F.sum("components_generated").alias("components"),
-        F.sum("files_generated").alias("files"),
-    ]
-    if approximate:
-        return generations.groupBy(*keys).agg(*parts, F.percentile_approx(seconds, 0.95, 10_000).cast("double").alias("p95_seconds"))
-    slow = exact_percentile(generations, keys, "generation_time_seconds", 0.95, "p95_seconds")
-    return generations.groupBy(*keys).agg(*parts).join(slow, keys, "left")
+    return placed.groupBy(*keys).agg(
+        F.sum("_runs").alias("runs"),
+        F.sum("_won").alias("succeeded"),
+        (F.sum("_won") / F.sum("_runs")).alias("success_rate"),
+        (F.sum(value * F.col("_timed")).cast("double") / F.sum("_timed")).alias("mean_seconds"),
+        F.sum("_components").alias("components"),
+        F.sum("_files").alias("files"),
+        (low + (high - low) * F.max(place - F.floor(place))).cast("double").alias("p95_seconds"),
+    )
 
 
 def health_trend(checks: DataFrame, unit: str = "day") -> DataFrame:

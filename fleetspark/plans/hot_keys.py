@@ -47,24 +47,25 @@ def left_join_groups(
     hot = F.broadcast(hot_groups(wanted, key, group, hot_rows)).withColumnRenamed(key, "_hot_key")
     every_slice = F.sequence(F.lit(0), F.lit(slices - 1))
 
-    out = base.join(hot, F.col(base_key) == F.col("_hot_key"), "left").drop("_hot_key")
     copies = F.when(F.col("_widest").isNotNull(), every_slice).otherwise(F.array(F.lit(0)))
-    out = out.withColumn("_slice", F.explode(copies))
-
-    for value, columns in selections.items():
-        rows = facts.filter((F.col(group) == value) & F.col(key).isNotNull())
-        rows = rows.join(hot.withColumnRenamed("_widest", "_hot_group"), F.col(key) == F.col("_hot_key"), "left")
-        dealt = F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int")
-        places = (
-            F.when(F.col("_hot_group").isNull(), F.array(F.lit(0)))
-            .when(F.col("_hot_group") == value, F.array(dealt))
-            .otherwise(every_slice)
-        )
-        rows = rows.select(
-            F.col(key).alias("_key"), F.explode(places).alias("_place"), F.lit(True).alias("_matched"), *columns
+    out = base.join(hot, F.col(base_key) == F.col("_hot_key"), "left").select(
+        *base.columns, "_widest", F.explode(copies).alias("_slice")
+    )
+    rows = facts.join(hot, F.col(key) == F.col("_hot_key"), "left")
+    dealt = F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int")
+    places = (
+        F.when(F.col("_widest").isNull(), F.array(F.lit(0)))
+        .when(F.col("_widest") == F.col(group), F.array(dealt))
+        .otherwise(every_slice)
+    )
+    empty_slice, kept = F.lit(False), list(base.columns)
+    for i, (value, columns) in enumerate(selections.items()):
+        mark, at, place = f"_matched{i}", f"_key{i}", f"_place{i}"
+        part = rows.filter((F.col(group) == value) & F.col(key).isNotNull()).select(
+            F.col(key).alias(at), F.explode(places).alias(place), F.lit(True).alias(mark), *columns
         )
-        joined = out.join(rows, (F.col(base_key) == F.col("_key")) & (F.col("_slice") == F.col("_place")), "left")
-        # A slice of a hot key that got no row of the dealt group is no result row.
-        empty_slice = F.col("_widest").eqNullSafe(F.lit(value)) & F.col("_matched").isNull()
-        out = joined.filter(~empty_slice).drop("_key", "_place", "_matched")
-    return out.drop("_widest", "_slice")
+        out = out.join(part, (F.col(base_key) == F.col(at)) & (F.col("_slice") == F.col(place)), "left")
+        kept += part.columns[3:]
+        empty_slice = empty_slice | ((F.col("_widest") == value) & F.col(mark).isNull())
+    # A slice of a hot key that got no row of the dealt group is no result row.
+    return out.filter(~F.coalesce(empty_slice, F.lit(False))).select(*kept)
