@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetspark.catalog.registry import query
+from fleetspark.catalog.sql_surface import register
 from fleetspark.catalog.tables import AS_OF
 from fleetspark.functions.records import PLATFORM_FLAGS, deletion_progress, error_count, json_text, platform_success
 from fleetspark.functions.times import check_freshness, day_part, duration_ms, hour_part, moment, recovery_deadline
@@ -268,3 +269,38 @@ def _(t):
 SELECT d.id, c.client_slug, c.client_name FROM clients c JOIN site_deployments d ON d.client_id = c.id""")
 def _(t):
     return joins.deployments_with_clients(t.site_deployments, t.clients).select("id", "client_slug", "client_name")
+
+
+SQL_TABLES = [
+    "clients", "platform_inventory", "site_deployments", "site_health_checks", "deleted_sites", "registry_operations_log",
+    "builderio_query_audit",
+]
+
+
+@query("get_latest_health_sql", f"WITH {NEWEST_CHECK} SELECT c.client_slug, n.overall_status, n.checked_at FROM clients c JOIN newest n ON n.client_id = c.id")
+def _(t):
+    register(t.spark, {name: getattr(t, name) for name in SQL_TABLES}, AS_OF)
+    return t.spark.sql(
+        "SELECT c.client_slug, h.overall_status, h.checked_at FROM clients c, LATERAL get_latest_health(c.id) h"
+    )
+
+
+@query("operation_history_sql", """
+SELECT c.id, o.operation_type, o.operation_status, o.started_at, o.duration_ms FROM clients c JOIN registry_operations_log o ON o.client_slug = c.client_slug
+QUALIFY row_number() OVER (PARTITION BY c.client_slug ORDER BY o.started_at DESC NULLS FIRST, o.id) <= 3""")
+def _(t):
+    register(t.spark, {name: getattr(t, name) for name in SQL_TABLES}, AS_OF)
+    return t.spark.sql(
+        "SELECT c.id, h.operation_type, h.operation_status, h.started_at, h.duration_ms "
+        "FROM clients c, LATERAL get_client_operation_history(c.client_slug, 3) h"
+    )
+
+
+@query("view_counts_sql", f"""
+WITH {NEWEST_CHECK}
+SELECT check_freshness, overall, count(*) AS sites FROM (SELECT CASE WHEN c.last_health_check_at IS NULL THEN 'never_checked' WHEN c.last_health_check_at < {{now}} - INTERVAL 24 HOUR THEN 'stale'
+  WHEN c.last_health_check_at < {{now}} - INTERVAL 6 HOUR THEN 'aging' ELSE 'fresh' END AS check_freshness, n.vercel_status AS overall
+ FROM clients c LEFT JOIN newest n ON n.client_id = c.id WHERE c.deletion_scheduled_at IS NULL) GROUP BY ALL""")
+def _(t):
+    register(t.spark, {name: getattr(t, name) for name in SQL_TABLES}, AS_OF)
+    return t.spark.sql("SELECT check_freshness, vercel_status AS overall, count(*) AS sites FROM v_health_summary GROUP BY 1, 2")

@@ -75,3 +75,9 @@ def token_state(used: Column, expires_at: Column, as_of: Column) -> Column:
 def gate_recommendation(status: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in GATE_RECOMMENDATIONS.items() for x in pair])
     return F.coalesce(F.try_element_at(known, F.coalesce(status, F.lit("unknown"))), F.lit(GATE_DEFAULT))
+
+
+def derived_uuid(*parts: Column) -> Column:
+    """UUID-shaped id made from values, so a repeated task or a second frame gives the same one."""
+    digest = F.md5(F.concat_ws("|", *parts))
+    return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")

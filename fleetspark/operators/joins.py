@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import GATE_NOT_FOUND, gate_recommendation, json_text
+from fleetspark.functions.records import GATE_NOT_FOUND, derived_uuid, gate_recommendation, json_text
 from fleetspark.operators.filters import single_row
 from fleetspark.plans.ranking import newest_first, top_per_key
 
@@ -111,13 +111,13 @@ def rollback_links(operations: DataFrame) -> DataFrame:
 def client_fallback(requests: DataFrame, clients: DataFrame, new_id=None) -> DataFrame:
     """Requests with client id and contact from the registry, else from the request.
 
-    ``new_id`` makes the id of an unknown client; a random UUID by default.
+    ``new_id`` makes the id of an unknown client; by default a UUID made from its slug.
     """
     known = clients.select(
         F.col("client_slug").alias("_slug"), F.col("id").alias("_id"), F.col("contact_email").alias("_email")
     )
     joined = requests.join(known, F.col("project_name") == F.col("_slug"), "left")
-    fresh = F.uuid() if new_id is None else new_id
+    fresh = derived_uuid(F.lit("client"), F.col("project_name")) if new_id is None else new_id
     email = F.coalesce("_email", F.when(F.col("_slug").isNull(), F.coalesce("contact_email", F.lit("unknown@example.com"))))
     return joined.withColumns({"client_id": F.coalesce("_id", fresh), "contact_email": email}).drop("_slug", "_id", "_email")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import changed, clamped, json_text
+from fleetspark.functions.records import changed, clamped, derived_uuid, json_text
 from fleetspark.functions.times import days, moment, recovery_deadline
 from fleetspark.operators.joins import latest_health
 
@@ -163,12 +163,15 @@ def recovery_eligibility(deleted_sites: DataFrame, as_of) -> DataFrame:
 
 
 def recover(deleted_sites: DataFrame, requests: DataFrame, as_of, new_id: Column | None = None):
-    """Recover requested slugs (client_slug, recovered_by): (new client rows, changed deleted_sites)."""
+    """Recover requested slugs (client_slug, recovered_by): (new client rows, changed deleted_sites).
+
+    A new id is made from the deleted row and the time, so both frames agree on it.
+    """
     asked = requests.groupBy(F.col("client_slug").alias("_slug")).agg(F.min("recovered_by").alias("_by"))
     checked = recovery_eligibility(deleted_sites, as_of)
     joined = checked.join(asked, json_text(F.col("client_data"), "client_slug") == F.col("_slug"), "left")
     go = F.col("_slug").isNotNull() & F.col("eligible")
-    fresh = F.uuid() if new_id is None else new_id
+    fresh = derived_uuid(F.col("id").cast("string"), F.lit(str(as_of))) if new_id is None else new_id
     marked = joined.withColumn("_new", F.when(go, fresh))
     data = F.from_json("client_data", "client_slug string, client_name string, contact_email string, website_type string")
     rows = marked.filter(go).select(

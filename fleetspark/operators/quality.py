@@ -88,12 +88,12 @@ def fk_orphans(tables: dict[str, DataFrame], references=REFERENCES) -> DataFrame
     for name, column, parent, parent_key in references:
         if name not in tables or parent not in tables:
             continue
-        child = tables[name].filter(F.col(column).isNotNull()).select(
+        child = tables[name].filter(F.col(column).isNotNull()).select("id", F.col(column).alias("_ref"))
+        known = tables[parent].select(F.col(parent_key).alias("_ref"))
+        found.append(child.join(known, "_ref", "left_anti").select(
             F.lit(name).alias("table_name"), F.lit(column).alias("column_name"),
-            F.col("id").cast("string").alias("row_key"), F.col(column).cast("string").alias("missing_value"),
-        )
-        known = tables[parent].select(F.col(parent_key).cast("string").alias("missing_value"))
-        found.append(child.join(known, "missing_value", "left_anti").select("table_name", "column_name", "row_key", "missing_value"))
+            F.col("id").cast("string").alias("row_key"), F.col("_ref").cast("string").alias("missing_value"),
+        ))
     return _union(found)
 
 

@@ -57,23 +57,29 @@ def client_full_inventory(
     )
 
 
-def orphaned_resources(inventory: DataFrame, as_of) -> DataFrame:
+def in_order(df: DataFrame, ordered: bool, *order) -> DataFrame:
+    """Sorted for output; without ``ordered`` the shuffle of a global sort is saved."""
+    return df.orderBy(*order) if ordered else df
+
+
+def orphaned_resources(inventory: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Orphans that still exist on their platform, newest first."""
     now = moment(as_of)
     orphans = inventory.filter((F.col("is_orphaned") == True) & (F.col("is_drift") == False))  # noqa: E712
-    return orphans.select(
+    rows = orphans.select(
         "id", "platform", "resource_type", "resource_name", "resource_id", "resource_url",
         "discovered_at", "last_verified_at", "resource_metadata",
         day_part(now - F.col("discovered_at")).alias("orphaned_days"),
         hour_part(now - F.col("last_verified_at")).alias("hours_since_verified"),
-    ).orderBy(F.col("discovered_at").desc_nulls_first(), "id")
+    )
+    return in_order(rows, ordered, F.col("discovered_at").desc_nulls_first(), "id")
 
 
-def sites_pending_deletion(deleted_sites: DataFrame, as_of) -> DataFrame:
+def sites_pending_deletion(deleted_sites: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Soft-deleted sites that were not purged, by deadline."""
     data = F.col("client_data")
     waiting = deleted_sites.filter(F.col("permanently_deleted") == False)  # noqa: E712
-    return waiting.select(
+    rows = waiting.select(
         "id", "original_client_id",
         json_text(data, "client_slug").alias("client_slug"),
         json_text(data, "client_name").alias("client_name"),
@@ -82,16 +88,18 @@ def sites_pending_deletion(deleted_sites: DataFrame, as_of) -> DataFrame:
         *PLATFORM_FLAGS,
         deletion_progress(*[F.col(flag) for flag in PLATFORM_FLAGS]).alias("deletion_progress_percent"),
         "recovered", "recovered_at", "new_client_id", "permanently_deleted", "permanently_deleted_at",
-    ).orderBy(F.col("recovery_deadline").asc_nulls_last(), "id")
+    )
+    return in_order(rows, ordered, F.col("recovery_deadline").asc_nulls_last(), "id")
 
 
-def deployment_history(deployments: DataFrame, clients: DataFrame, as_of) -> DataFrame:
+def deployment_history(deployments: DataFrame, clients: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Deployments with their client, newest first."""
-    return deployments_with_clients(deployments, clients).select(
+    rows = deployments_with_clients(deployments, clients).select(
         F.col("id").alias("deployment_id"), "client_slug", "client_name", "deployed_at", "deployed_by",
         "deployment_trigger", "status", "build_state", "commit_sha", "vercel_deployment_id", "staging_url",
         "rolled_back", hour_part(moment(as_of) - F.col("deployed_at")).alias("hours_ago"),
-    ).orderBy(F.col("deployed_at").desc_nulls_first(), "deployment_id")
+    )
+    return in_order(rows, ordered, F.col("deployed_at").desc_nulls_first(), "deployment_id")
 
 
 def by_severity(df: DataFrame) -> DataFrame:
@@ -103,19 +111,18 @@ def by_severity(df: DataFrame) -> DataFrame:
     )
 
 
-def health_summary(clients: DataFrame, checks: DataFrame, as_of) -> DataFrame:
+def health_summary(clients: DataFrame, checks: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Live clients with the platform states of their newest check, by severity."""
     live = clients.filter(F.col("deletion_scheduled_at").isNull()).select(
         "id", "client_slug", "client_name", "health_status", "last_health_check_at"
     )
     last = F.col("last_health_check_at")
-    return by_severity(
-        with_latest_health(live, checks, PLATFORM_STATES).select(
-            "client_slug", "client_name", "health_status", "last_health_check_at", *PLATFORM_STATES,
-            hour_part(moment(as_of) - last).alias("hours_since_check"),
-            check_freshness(last, as_of).alias("check_freshness"),
-        )
+    rows = with_latest_health(live, checks, PLATFORM_STATES).select(
+        "client_slug", "client_name", "health_status", "last_health_check_at", *PLATFORM_STATES,
+        hour_part(moment(as_of) - last).alias("hours_since_check"),
+        check_freshness(last, as_of).alias("check_freshness"),
     )
+    return by_severity(rows) if ordered else rows
 
 
 def recent_operations(operations: DataFrame, limit: int = 100) -> DataFrame:
@@ -130,8 +137,9 @@ def recent_operations(operations: DataFrame, limit: int = 100) -> DataFrame:
     )
 
 
-def unsafe_queries(audit: DataFrame) -> DataFrame:
+def unsafe_queries(audit: DataFrame, ordered: bool = True) -> DataFrame:
     """Content queries without a tenant filter, newest first."""
-    return audit.filter(F.col("security_level") == "UNSAFE").select(
+    rows = audit.filter(F.col("security_level") == "UNSAFE").select(
         "id", "audit_ts", "operation", "model", "client_slug", "has_client_slug_filter", "url_path", "space_mode"
-    ).orderBy(F.col("audit_ts").desc_nulls_first(), "id")
+    )
+    return in_order(rows, ordered, F.col("audit_ts").desc_nulls_first(), "id")

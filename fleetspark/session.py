@@ -31,16 +31,19 @@ def build_session(app_name: str = "fleetspark", master: str | None = None, shuff
     return builder.getOrCreate()
 
 
+_local_root: str | None = None
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run's tables, snapshots or stream state.
 
     It lies in the shared folder that ``spark.checkpoint.dir`` names.  Where the
     setting is absent only a local session may go on, with a temporary folder.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="fleetspark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = root = _local_root or tempfile.mkdtemp(prefix="fleetspark-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

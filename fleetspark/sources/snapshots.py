@@ -29,7 +29,10 @@ def project_details(projects: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def backup_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Backup objects below ``root``/projects, from file metadata alone: contents are not read."""
+    """Backup objects below ``root``/projects, from file metadata alone: contents are not read.
+
+    Files without any byte are no archives and are not listed.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
         .load(f"{root.rstrip('/')}/projects")
