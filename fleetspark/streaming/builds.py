@@ -17,60 +17,65 @@ OUTCOME = "deployment_id bigint, state string, success boolean, started_at times
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class BuildTimeout(StatefulProcessor):
-    """State per deployment: first poll and whether its outcome was given.
-
-    A deployment ends with its first final state no later than the longest wait
-    after its first poll, else with TIMEOUT: when a later poll shows that the wait
-    is over, or when the watermark passes it.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.build = handle.getValueState("build", "started_ms bigint, done boolean")
-
-    def _outcome(self, key, state: str, started: int, ended: int) -> pd.DataFrame:
-        return pd.DataFrame({
-            "deployment_id": [key], "state": [state], "success": [state == "READY"],
-            "started_at": [pd.Timestamp(started, unit="ms")], "ended_at": [pd.Timestamp(ended, unit="ms")],
-        })
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.build.get() if self.build.exists() else None
-        if known is not None and known[1]:
-            return
-        started = known[0] if known is not None else None
-        first_end, last = None, None
-        for part in rows:  # one pass; only three values are kept of any number of polls
-            at = part["polled_ms"]
-            low, high = int(at.min()), int(at.max())
-            started = low if started is None else min(started, low)
-            last = high if last is None else max(last, high)
-            final = part[part["ready_state"].isin(FINAL_STATES)]
-            if len(final):
-                best = min(zip(final["polled_ms"].astype("int64"), final["ready_state"]))
-                first_end = best if first_end is None else min(first_end, best)
-        deadline = started + MAX_WAIT_SECONDS * 1000
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if first_end is not None and first_end[0] <= deadline:
-            self.build.update((started, True))
-            yield self._outcome(key[0], first_end[1], started, int(first_end[0]))
-        elif last > deadline:
-            self.build.update((started, True))
-            yield self._outcome(key[0], "TIMEOUT", started, deadline)
-        else:
-            self.build.update((started, False))
-            self.handle.registerTimer(deadline)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        started, done = self.build.get()
-        if not done:
-            self.build.update((started, True))
-            yield self._outcome(key[0], "TIMEOUT", started, started + MAX_WAIT_SECONDS * 1000)
-
-    def close(self) -> None:
-        pass
+def timeout_processor() -> StatefulProcessor:
+    """The processor; as a local class it travels to the workers by value, so they need no package of ours."""
+
+    class BuildTimeout(StatefulProcessor):
+        """State per deployment: first poll and whether its outcome was given.
+
+        A deployment ends with its first final state no later than the longest wait
+        after its first poll, else with TIMEOUT: when a later poll shows that the wait
+        is over, or when the watermark passes it.
+        """
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.build = handle.getValueState("build", "started_ms bigint, done boolean")
+
+        def _outcome(self, key, state: str, started: int, ended: int) -> pd.DataFrame:
+            return pd.DataFrame({
+                "deployment_id": [key], "state": [state], "success": [state == "READY"],
+                "started_at": [pd.Timestamp(started, unit="ms")], "ended_at": [pd.Timestamp(ended, unit="ms")],
+            })
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            known = self.build.get() if self.build.exists() else None
+            if known is not None and known[1]:
+                return
+            started = known[0] if known is not None else None
+            first_end, last = None, None
+            for part in rows:  # one pass; only three values are kept of any number of polls
+                at = part["polled_ms"]
+                low, high = int(at.min()), int(at.max())
+                started = low if started is None else min(started, low)
+                last = high if last is None else max(last, high)
+                final = part[part["ready_state"].isin(FINAL_STATES)]
+                if len(final):
+                    best = min(zip(final["polled_ms"].astype("int64"), final["ready_state"]))
+                    first_end = best if first_end is None else min(first_end, best)
+            deadline = started + MAX_WAIT_SECONDS * 1000
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if first_end is not None and first_end[0] <= deadline:
+                self.build.update((started, True))
+                yield self._outcome(key[0], first_end[1], started, int(first_end[0]))
+            elif last > deadline:
+                self.build.update((started, True))
+                yield self._outcome(key[0], "TIMEOUT", started, deadline)
+            else:
+                self.build.update((started, False))
+                self.handle.registerTimer(deadline)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            started, done = self.build.get()
+            if not done:
+                self.build.update((started, True))
+                yield self._outcome(key[0], "TIMEOUT", started, started + MAX_WAIT_SECONDS * 1000)
+
+        def close(self) -> None:
+            pass
+
+    return BuildTimeout()
 
 
 def build_timeout(polls: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -79,5 +84,5 @@ def build_timeout(polls: DataFrame, delay: str = "10 minutes") -> DataFrame:
         "deployment_id", "polled_at", F.unix_millis("polled_at").alias("polled_ms"), "ready_state"
     )
     return slim.groupBy("deployment_id").transformWithStateInPandas(
-        statefulProcessor=BuildTimeout(), outputStructType=OUTCOME, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=timeout_processor(), outputStructType=OUTCOME, outputMode="Append", timeMode="EventTime"
     )

@@ -91,3 +91,15 @@ def test_unsafe_feed(spark, tmp_path):
     assert sorted(r["id"] for r in got.collect()) == [2, 3]
 
 
+
+
+def test_processor_needs_no_package_on_workers():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    data = cloudpickle.dumps(builds.timeout_processor())
+    code = "import sys, pickle; p = pickle.loads(sys.stdin.buffer.read()); assert 'fleetspark' not in sys.modules; print(type(p).__name__)"
+    done = subprocess.run([sys.executable, "-c", code], input=data, capture_output=True, cwd="/", env={})
+    assert done.stdout.strip() == b"BuildTimeout", done.stderr
