@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.catalog.registry import query
 from fleetspark.functions import forms, responses, text
-from fleetspark.functions.records import changed, clamped
+from fleetspark.functions.records import changed, clamped, computed_once
 
 CANDIDATE = """
 cand AS (SELECT doc_id, nullif(CASE
@@ -97,7 +97,7 @@ SELECT deployment_id, len(bad) AS error_lines, 'Vercel build failed (state: ERRO
  || CASE WHEN len(bad) > 10 THEN chr(10) || '  ... and ' || (len(bad) - 10)::varchar || ' more errors' ELSE '' END AS report FROM l""")
 def _(t):
     logs = F.col("build_logs")
-    found = responses.computed_once(t.build_logs, _lines=text.error_lines(logs))
+    found = computed_once(t.build_logs, _lines=text.error_lines(logs))
     report = text.build_failure_report(
         F.lit("ERROR"), F.lit(text.BUILD_FAILURES["ERROR"]), F.col("_lines"), F.coalesce(logs, F.lit("")) != ""
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Status words and recommendations.
@@ -74,10 +74,37 @@ def token_state(used: Column, expires_at: Column, as_of: Column) -> Column:
 
 def gate_recommendation(status: Column) -> Column:
     known = F.create_map(*[F.lit(x) for pair in GATE_RECOMMENDATIONS.items() for x in pair])
-    return F.coalesce(F.try_element_at(known, F.coalesce(status, F.lit("unknown"))), F.lit(GATE_DEFAULT))
+    return F.coalesce(F.try_element_at(known, status), F.lit(GATE_DEFAULT))
 
 
 def derived_uuid(*parts: Column) -> Column:
     """UUID-shaped id made from values, so a repeated task or a second frame gives the same one."""
     digest = F.md5(F.concat_ws("|", *parts))
     return F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+
+
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Catalyst copies a projected expression into every later use and into pushed
+    filters; it does not do so across a generator, so costly parsing runs once.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def parsed_json(text: Column, fields: str) -> Column:
+    """A JSON object parsed for ``parsed_doc``.
+
+    Spark stops reading at the end of the first value, whatever follows.  Set into
+    an array with a key behind it, a text with anything after its object does not parse.
+    """
+    whole = F.concat(F.lit('{"_doc": ['), text, F.lit('], "_end": true}'))
+    shape = f"_doc array<struct<{fields}>>, _end boolean, _malformed string"
+    return F.from_json(whole, shape, {"columnNameOfCorruptRecord": "_malformed", "allowSingleQuotes": "false"})
+
+
+def parsed_doc(name: str) -> Column:
+    """The object in a column made by ``parsed_json``; null unless the whole text was one object."""
+    one = F.col(f"{name}._malformed").isNull() & F.col(f"{name}._end") & (F.size(f"{name}._doc") == 1)
+    return F.when(one, F.get(F.col(f"{name}._doc"), F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetspark.functions.records import computed_once, parsed_doc, parsed_json
 from fleetspark.functions.text import python_strip
 
 # Marks of the response format and the files a site needs.
@@ -32,8 +33,8 @@ EDIT_FILES = {
 }
 EDIT_DEFAULT = ["app/page.tsx"]
 
-LIST_SHAPE = "files array<struct<path: string, content: string>>"
-MAP_SHAPE = "files map<string, string>"
+LIST_SHAPE = "files: array<struct<path: string, content: string>>"
+MAP_SHAPE = "files: map<string, string>"
 
 
 def json_candidate(text: Column) -> Column:
@@ -62,39 +63,20 @@ def repaired(candidate: Column) -> Column:
     return F.when(usable, F.concat(head, F.lit("}" + FILES_CLOSING)))
 
 
-def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a one-row generator.
-
-    Catalyst copies a projected expression into every later use and into pushed
-    filters; it does not do so across a generator, so costly parsing runs once.
-    """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
-def _parsed(text: Column, shape: str) -> Column:
-    return F.from_json(text, f"{shape}, _malformed string", {"columnNameOfCorruptRecord": "_malformed"})
-
-
-def _files(parsed: str) -> Column:
-    # A malformed text is caught by the corrupt-record column, so no partial parse counts.
-    return F.when(F.col(f"{parsed}._malformed").isNull(), F.col(f"{parsed}.files"))
-
-
 def parse_response_files(df: DataFrame, text: str = "response_text", shape: str = LIST_SHAPE) -> DataFrame:
     """Add ``files`` and ``parse_state`` (parsed, repaired, malformed, no_json)."""
     out = computed_once(df, _candidate=json_candidate(F.col(text)))
-    out = computed_once(out, _first=_parsed(F.col("_candidate"), shape))
+    out = computed_once(out, _first=parsed_json(F.col("_candidate"), shape))
     # Only a failed parse reaches the second one: its input is null otherwise.
-    retry = F.when(_files("_first").isNull(), repaired(F.col("_candidate")))
-    out = computed_once(out, _second=_parsed(retry, shape))
+    first = parsed_doc("_first")["files"]
+    retry = F.when(first.isNull(), repaired(F.col("_candidate")))
+    out = computed_once(out, _second=parsed_json(retry, shape))
+    second = parsed_doc("_second")["files"]
     state = (
-        F.when(F.col("_candidate").isNull(), "no_json")
-        .when(_files("_first").isNotNull(), "parsed")
-        .when(_files("_second").isNotNull(), "repaired")
-        .otherwise("malformed")
+        F.when(F.col("_candidate").isNull(), "no_json").when(first.isNotNull(), "parsed")
+        .when(second.isNotNull(), "repaired").otherwise("malformed")
     )
-    out = out.withColumns({"parse_state": state, "files": F.coalesce(_files("_first"), _files("_second"))})
+    out = out.withColumns({"parse_state": state, "files": F.coalesce(first, second)})
     return out.drop("_candidate", "_first", "_second")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.forms import ENTRY_TIER
+from fleetspark.functions.records import computed_once, parsed_doc, parsed_json
 from fleetspark.schemas import MESSAGE
 
 FIELDS = ["clientId", "clientSlug", "clientName", "contactEmail", "websiteType", "tier", "metadata", "builder"]
@@ -16,12 +17,10 @@ def parse_messages(df: DataFrame, value: str = "value") -> DataFrame:
 
     Rejected are malformed JSON and messages without client id or slug.
     """
-    parsed = df.withColumn(
-        "_m", F.from_json(value, f"{MESSAGE}, _malformed string", {"columnNameOfCorruptRecord": "_malformed"})
-    )
-    bad = F.col("_m._malformed").isNotNull() | F.col("_m.clientId").isNull() | F.col("_m.clientSlug").isNull()
+    parsed = computed_once(df, _raw=parsed_json(F.col(value), MESSAGE)).withColumn("_m", parsed_doc("_raw"))
+    bad = F.col("_m.clientId").isNull() | F.col("_m.clientSlug").isNull()
     fields = [F.when(~bad, F.col(f"_m.{name}")).alias(name) for name in FIELDS]
-    return parsed.select(*[c for c in df.columns], *fields, F.when(bad, F.col(value)).alias("rejected"))
+    return parsed.select(*df.columns, *fields, F.when(bad, F.col(value)).alias("rejected"))
 
 
 def onboarding_messages(forms: DataFrame, message_id, requested_at) -> DataFrame:

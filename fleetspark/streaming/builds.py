@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 FINAL_STATES = ["READY", "ERROR", "CANCELED"]
 MAX_WAIT_SECONDS = 300
 
-OUTCOME = "deployment_id bigint, state string, success boolean, started_at timestamp, ended_at timestamp"
+OUTCOME = "deployment_id bigint, state string, success boolean, started_ms bigint, ended_ms bigint"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,7 +35,7 @@ def timeout_processor() -> StatefulProcessor:
         def _outcome(self, key, state: str, started: int, ended: int) -> pd.DataFrame:
             return pd.DataFrame({
                 "deployment_id": [key], "state": [state], "success": [state == "READY"],
-                "started_at": [pd.Timestamp(started, unit="ms")], "ended_at": [pd.Timestamp(ended, unit="ms")],
+                "started_ms": [started], "ended_ms": [ended],
             })
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -83,6 +83,10 @@ def build_timeout(polls: DataFrame, delay: str = "10 minutes") -> DataFrame:
     slim = polls.withWatermark("polled_at", delay).select(
         "deployment_id", "polled_at", F.unix_millis("polled_at").alias("polled_ms"), "ready_state"
     )
-    return slim.groupBy("deployment_id").transformWithStateInPandas(
+    ended = slim.groupBy("deployment_id").transformWithStateInPandas(
         statefulProcessor=timeout_processor(), outputStructType=OUTCOME, outputMode="Append", timeMode="EventTime"
     )
+    return ended.select(
+        "deployment_id", "state", "success",
+        F.timestamp_millis("started_ms").alias("started_at"), F.timestamp_millis("ended_ms").alias("ended_at"),
+    )

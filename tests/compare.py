@@ -57,6 +57,7 @@ if __name__ == "__main__":
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("spark.sql.session.timeZone", os.environ.get("COMPARE_TZ", "UTC"))
     con = connect(folder)
     bad = 0
     for name, query in catalog.QUERIES.items():

@@ -130,6 +130,13 @@ def test_responses(spark):
     assert rows[4]["files"] is None and len(rows[0]["files"]) == 2
 
 
+def test_text_after_the_object_is_no_json(spark):
+    for tail in (" x", "}", "]", ", 1", ', "b": 2', ', {"files": []}', "] ["):
+        assert _parse(spark, f"```json\n{FILES}{tail}```")[0]["parse_state"] != "parsed"
+    assert [r["parse_state"] for r in _parse(spark, f"```json\n{FILES} x```", "```{'files': []}```", '```[{"files": []}]```', "```{}```")] == [
+        "repaired", "malformed", "malformed", "malformed"]
+
+
 def test_response_map_shape(spark):
     df = spark.createDataFrame([('```json\n{"files": {"app/page.tsx": "x"}}',)], "response_text string")
     assert responses.parse_response_files(df, shape=responses.MAP_SHAPE).first()["files"] == {"app/page.tsx": "x"}
@@ -160,7 +167,7 @@ def test_records(spark):
     assert run(spark, lambda c: records.json_text(c, "k"), ['{"k":null}', '{"k":{"a":1}}', '{"k":1.5}']) == [None, '{"a":1}', "1.5"]
     assert run(spark, lambda c: records.clamped(c, F.lit(-3)), [5, 2, None], "int") == [2, 0, 0]
     assert run(spark, lambda c: records.changed(c, F.lit("a")), ["a", "b", None]) == [False, True, True]
-    assert run(spark, records.gate_recommendation, ["pending_onboarding", "suspended", None]) == ["Complete onboarding first", "Contact support", "Check client status in Supabase"]
+    assert run(spark, records.gate_recommendation, ["pending_onboarding", "suspended", None]) == ["Complete onboarding first", "Contact support", "Contact support"]
     flags = spark.createDataFrame([(True, None, False, True)], "a boolean, b boolean, c boolean, d boolean")
     assert flags.select(records.deletion_progress(*[F.col(c) for c in "abcd"])).first()[0] == 50.0
 
