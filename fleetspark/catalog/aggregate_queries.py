@@ -14,9 +14,16 @@ def _(t):
     return aggregates.token_status_counts(t.onboarding_tokens, AS_OF)
 
 
-@query("listing_counts", "SELECT client_slug, count(*) AS count FROM backups GROUP BY client_slug")
+@query("listing_counts", """
+SELECT 'backups' AS listing, client_slug AS owner, count(*) AS count FROM backups GROUP BY ALL
+UNION ALL SELECT platform, client_slug, count(*) FROM platform_inventory WHERE platform IN ('github', 'vercel') GROUP BY ALL""")
 def _(t):
-    return aggregates.listing_counts(t.backups, "client_slug")
+    out = aggregates.listing_counts(t.backups, "client_slug").select(F.lit("backups").alias("listing"), F.col("client_slug").alias("owner"), "count")
+    for platform in ("github", "vercel"):
+        listing = t.platform_inventory.filter(F.col("platform") == platform)
+        counts = aggregates.listing_counts(listing, "client_slug")
+        out = out.unionByName(counts.select(F.lit(platform).alias("listing"), F.col("client_slug").alias("owner"), "count"))
+    return out
 
 
 @query("operation_rollup", """

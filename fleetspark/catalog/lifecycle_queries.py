@@ -318,6 +318,20 @@ def _(t):
     )
 
 
+@query("publish_provisioning_messages", """
+SELECT id AS client_id, client_slug, website_type, builder_space_tier AS tier, 'site-generator' AS initiated_by, staging_url, github_repo, NULL::varchar AS space_id, NULL::varchar AS rejected
+FROM clients WHERE status = 'active'""")
+def _(t):
+    folder = work_dir(t.spark, "provisioning")
+    active = t.clients.filter(F.col("status") == "active")
+    messages.publish(messages.provisioning_messages(active, moment(AS_OF)), {"path": folder})
+    return messages.parse_messages(t.spark.read.text(folder)).select(
+        F.col("clientId").alias("client_id"), F.col("clientSlug").alias("client_slug"), F.col("websiteType").alias("website_type"),
+        "tier", F.col("metadata.initiatedBy").alias("initiated_by"), F.col("metadata.stagingUrl").alias("staging_url"),
+        F.col("metadata.githubRepo").alias("github_repo"), F.col("builder.spaceId").alias("space_id"), "rejected",
+    )
+
+
 def _file_records(t):
     parsed = parse_response_files(t.generated_responses)
     slug = F.concat(F.lit("client-"), (F.col("doc_id") % 20).cast("string")).alias("project_name")

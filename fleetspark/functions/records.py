@@ -20,6 +20,15 @@ GATE_DEFAULT = "Contact support"
 GATE_NOT_FOUND = "Please onboard the client first using the client_onboarding tool"
 
 
+def is_true(name: str) -> Column:
+    """Filter on a flag.  Spark turns ``flag = true`` into the bare column, which it does not push to files; this it does."""
+    return F.col(name).eqNullSafe(True)
+
+
+def is_false(name: str) -> Column:
+    return F.col(name).eqNullSafe(False)
+
+
 def json_text(doc: Column, key: str) -> Column:
     """Text of a top-level JSON key; JSON null and a missing key are null."""
     return F.get_json_object(doc, f"$.{key}")
@@ -32,7 +41,7 @@ def platform_success(result: Column) -> Column:
 
 def error_count(messages: Column) -> Column:
     """Number of messages; an empty array is null, as is a null one."""
-    return F.nullif(F.size(messages), F.lit(0))
+    return F.when(F.size(messages) > 0, F.size(messages))
 
 
 def deletion_progress(*flags: Column) -> Column:
@@ -53,7 +62,8 @@ def changed(a: Column, b: Column) -> Column:
 
 def severity_rank(status: Column) -> Column:
     """Position in the severity order; a null or other status has no rank."""
-    return F.nullif(F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), status), F.lit(0))
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), status)
+    return F.when(rank > 0, rank)
 
 
 def overall_health(github: Column, vercel: Column, builder: Column, gcs: Column, url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import json_text
+from fleetspark.functions.records import is_false, json_text
 from fleetspark.functions.times import hours, moment, total_hours
 
 
@@ -59,14 +59,14 @@ def inventory_by_platform(
     out = inventory
     for column, value in (("platform", platform), ("resource_type", resource_type), ("is_orphaned", is_orphaned)):
         if value is not None:
-            out = out.filter(F.col(column) == value)
+            out = out.filter(F.col(column).eqNullSafe(value))
     return out
 
 
 def active_tokens(tokens: DataFrame, as_of) -> DataFrame:
     """Unused tokens that expire after as_of, with the hours left, newest first."""
     now = moment(as_of)
-    live = tokens.filter((F.col("used") == False) & (F.col("expires_at") > now))  # noqa: E712
+    live = tokens.filter(is_false("used") & (F.col("expires_at") > now))
     return live.select(
         "token", "client_slug", "created_at", "expires_at", "used",
         total_hours(F.col("expires_at") - now).alias("hours_until_expiry"),
@@ -74,6 +74,6 @@ def active_tokens(tokens: DataFrame, as_of) -> DataFrame:
 
 
 def recoverable_sites(deleted_sites: DataFrame) -> DataFrame:
-    return deleted_sites.filter(F.col("recovered") == False)  # noqa: E712
+    return deleted_sites.filter(is_false("recovered"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import GATE_NOT_FOUND, derived_uuid, gate_recommendation, json_text
+from fleetspark.functions.records import GATE_NOT_FOUND, derived_uuid, gate_recommendation, is_false, json_text
 from fleetspark.operators.filters import single_row
 from fleetspark.plans.ranking import newest_first, top_per_key
 
@@ -30,7 +30,7 @@ def with_latest_health(clients: DataFrame, checks: DataFrame, columns: list[str]
 
 
 def good_deployments(deployments: DataFrame) -> DataFrame:
-    return deployments.filter((F.col("status") == "success") & (F.col("rolled_back") == False))  # noqa: E712
+    return deployments.filter((F.col("status") == "success") & is_false("rolled_back"))
 
 
 def latest_deployment_at(deployments: DataFrame) -> DataFrame:

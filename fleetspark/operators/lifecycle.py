@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import changed, clamped, derived_uuid, json_text
+from fleetspark.functions.records import changed, clamped, derived_uuid, is_false, json_text
 from fleetspark.functions.times import days, moment, recovery_deadline
 from fleetspark.operators.joins import latest_health
 
@@ -21,7 +21,7 @@ WARNING_DAYS = [7, 1]
 
 def mark_orphaned(inventory: DataFrame, observation: Observation | None = None) -> DataFrame:
     """Set is_orphaned where no client is linked; ``observation`` gets ``updated`` rows."""
-    hit = F.col("client_id").isNull() & (F.col("is_orphaned") == False)  # noqa: E712
+    hit = F.col("client_id").isNull() & is_false("is_orphaned")
     out = inventory
     if observation is not None:
         out = out.observe(observation, F.count_if(hit).alias("updated"))
@@ -189,7 +189,7 @@ def recover(deleted_sites: DataFrame, requests: DataFrame, as_of, new_id: Column
 def purge_due(deleted_sites: DataFrame, as_of) -> DataFrame:
     """Unrecovered, unpurged sites with ``stage``: due, warn_1_day, warn_7_days or waiting."""
     now, deadline = moment(as_of), recovery_deadline(F.col("deleted_at"), F.col("recovery_deadline"))
-    open_rows = deleted_sites.filter((F.col("recovered") == False) & (F.col("permanently_deleted") == False))  # noqa: E712
+    open_rows = deleted_sites.filter(is_false("recovered") & is_false("permanently_deleted"))
     stage = F.when(deadline < now, "due")
     for n in sorted(WARNING_DAYS):
         stage = stage.when(deadline <= now + days(n), f"warn_{n}_day" + ("s" if n > 1 else ""))

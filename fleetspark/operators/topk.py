@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import json_text
+from fleetspark.functions.records import is_false, json_text
 from fleetspark.functions.times import moment, recovery_deadline
 from fleetspark.operators.joins import good_deployments, latest_health
 from fleetspark.plans.ranking import newest_first, nth_per_key, top_per_key
@@ -103,7 +103,7 @@ def backup_expiry(backups: DataFrame, deleted_sites: DataFrame, as_of) -> DataFr
     """Backups of soft-deleted, unrecovered sites past their deadline."""
     deadline = recovery_deadline(F.col("deleted_at"), F.col("recovery_deadline"))
     expired = (
-        deleted_sites.filter((F.col("recovered") == False) & (deadline < moment(as_of)))  # noqa: E712
+        deleted_sites.filter(is_false("recovered") & (deadline < moment(as_of)))
         .groupBy(json_text(F.col("client_data"), "client_slug").alias("client_slug"))
         .agg(F.max(deadline).alias("deadline"))
     )

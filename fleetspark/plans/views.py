@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.records import (
-    PLATFORM_FLAGS, deletion_progress, error_count, json_text, platform_success, severity_rank,
+    PLATFORM_FLAGS, deletion_progress, error_count, is_false, is_true, json_text, platform_success, severity_rank,
 )
 from fleetspark.functions.times import check_freshness, day_part, hour_part, moment
 from fleetspark.operators.joins import (
@@ -65,7 +65,7 @@ def in_order(df: DataFrame, ordered: bool, *order) -> DataFrame:
 def orphaned_resources(inventory: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Orphans that still exist on their platform, newest first."""
     now = moment(as_of)
-    orphans = inventory.filter((F.col("is_orphaned") == True) & (F.col("is_drift") == False))  # noqa: E712
+    orphans = inventory.filter(is_true("is_orphaned") & is_false("is_drift"))
     rows = orphans.select(
         "id", "platform", "resource_type", "resource_name", "resource_id", "resource_url",
         "discovered_at", "last_verified_at", "resource_metadata",
@@ -78,7 +78,7 @@ def orphaned_resources(inventory: DataFrame, as_of, ordered: bool = True) -> Dat
 def sites_pending_deletion(deleted_sites: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Soft-deleted sites that were not purged, by deadline."""
     data = F.col("client_data")
-    waiting = deleted_sites.filter(F.col("permanently_deleted") == False)  # noqa: E712
+    waiting = deleted_sites.filter(is_false("permanently_deleted"))
     rows = waiting.select(
         "id", "original_client_id",
         json_text(data, "client_slug").alias("client_slug"),

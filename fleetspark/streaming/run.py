@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetspark.plans.ranking import newest_first, top_per_key
@@ -10,6 +12,7 @@ from fleetspark.streaming.builds import ROCKSDB
 from fleetspark.streaming.flows import newest_checks
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def start_to_files(stream: DataFrame, out: str, checkpoint: str):
@@ -20,14 +23,32 @@ def start_to_files(stream: DataFrame, out: str, checkpoint: str):
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def stream_settings(spark: SparkSession, partitions: int | None = None):
+    """Settings a stream takes over when it starts; the session gets its own back.
+
+    State lies in RocksDB, outside the executor heap.  A stream keeps its number of
+    state partitions for life and pays for each in every batch, so by default there
+    is one per core of the cluster, not the session's number for batch shuffles.
+    """
+    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(partitions or spark.sparkContext.defaultParallelism)}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Run a stream over all present input; the result is read back from files."""
     spark = stream.sparkSession
-    # State is kept in RocksDB, outside the executor heap, unless the session says otherwise.
-    if spark.conf.get(PROVIDER, "").endswith("HDFSBackedStateStoreProvider") or not spark.conf.get(PROVIDER, ""):
-        spark.conf.set(PROVIDER, ROCKSDB)
     root = work_dir(spark, name)
-    start_to_files(stream, f"{root}/rows", f"{root}/checkpoint").awaitTermination()
+    with stream_settings(spark, partitions):
+        query = start_to_files(stream, f"{root}/rows", f"{root}/checkpoint")
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
@@ -56,9 +77,10 @@ def latest_health_stream(checks: DataFrame, name: str = "latest-health") -> Data
     spark = checks.sparkSession
     root = work_dir(spark, name)
     state = HealthState(spark, f"{root}/state")
-    query = (
-        checks.writeStream.foreachBatch(state.upsert).option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
+    with stream_settings(spark):
+        query = (
+            checks.writeStream.foreachBatch(state.upsert).option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
     query.awaitTermination()
     return state.current()

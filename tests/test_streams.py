@@ -5,7 +5,7 @@ import json
 from datetime import datetime, timedelta
 
 from fleetspark.streaming import builds, flows
-from fleetspark.streaming.run import PROVIDER, HealthState, run_to_table
+from fleetspark.streaming.run import HealthState, run_to_table
 
 START = datetime(2024, 1, 1)
 _n = itertools.count()
@@ -58,7 +58,6 @@ def test_operations_are_paired_across_batches(spark, tmp_path):
 
 
 def test_builds_end_by_state_or_time_out(spark, tmp_path):
-    spark.conf.set(PROVIDER, builds.ROCKSDB)
     stream = feed(
         spark, tmp_path, "deployment_id long, polled_at timestamp, ready_state string",
         [(1, at(0), "BUILDING"), (2, at(0), "QUEUED"), (3, at(0), "BUILDING"), (4, at(0), "ERROR")],
