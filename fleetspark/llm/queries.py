@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import bpe, langid, quality, rules, token_store
+from fleetspark.llm import bpe, langid, quality, rules, tiling, token_store, toxicity, urls
 from fleetspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": lambda spark, d: quality.op1(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op3_token_store": lambda spark, d: token_store.op3(spark, table(spark, d, "documents")),
+    "op5_benchmark_decontamination": lambda spark, d: tiling.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op6_language_id": lambda spark, d: langid.op6(table(spark, d, "documents")),
     "op7_bpe_round_trip": lambda spark, d: bpe.op7(table(spark, d, "documents")),
+    "op8_toxicity": lambda spark, d: toxicity.op8(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_quality_rules": lambda spark, d: rules.op9(table(spark, d, "documents")),
+    "op10_url_filter": lambda spark, d: urls.op10(spark, table(spark, d, "pages")),
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op9_quality_rules": rules.ORACLE, "op10_url_filter": urls.ORACLE}
