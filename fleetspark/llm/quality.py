@@ -89,26 +89,42 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     return weights
 
 
+def _scores(column: pa.Array, w: np.ndarray) -> np.ndarray:
+    margin = np.full(len(column), float(w[-1]))
+    for first, buckets, counts in features(column):
+        total = textops.sums_by_row(w[buckets].astype(np.float64), counts)
+        margin[first : first + len(counts)] += total * SCALE / np.maximum(counts, 1)
+    return 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with quality_score (0 to 1) and quality_ok; a null or empty text gets the bias alone."""
-    kept = [c for c in docs.columns if c.lower() not in ("quality_score", "quality_ok")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+    """``docs`` with quality_score (0 to 1) and quality_ok; a null or empty text gets the bias alone.
+    Columns of these names give way to the new ones."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("quality_score", "quality_ok")])
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-    schema = T.StructType([*docs.schema.fields]).add("quality_score", "double").add("quality_ok", "boolean")
+    schema = T.StructType([*docs.schema.fields]).add("quality_score", T.DoubleType()).add("quality_ok", T.BooleanType())
+    at = docs.columns.index("text")
 
     def scored(batches):
-        w = held.value
         for batch in batches:
-            margin = np.full(batch.num_rows, float(w[-1]))
-            for first, buckets, counts in features(batch.column(batch.schema.get_field_index("text"))):
-                total = textops.sums_by_row(w[buckets].astype(np.float64), counts)
-                margin[first : first + len(counts)] += total * SCALE / np.maximum(counts, 1)
-            p = 1.0 / (1.0 + np.exp(-np.clip(margin, -35, 35)))
+            p = _scores(batch.column(at), held.value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array(p >= threshold)], [*batch.schema.names, "quality_score", "quality_ok"])
 
     return docs.mapInArrow(scored, schema)
 
 
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, as they are."""
+    held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), held.value) >= threshold))
+
+    return docs.mapInArrow(kept, T.StructType([*docs.schema.fields]))
+
+
 def op1(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = score(docs.select("doc_id", "text"), fit(docs, labels))
     return rows.select(

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import bpe, langid, quality, rules, set_join, tiling, token_store, toxicity, urls
+from fleetspark.llm import bpe, langid, line_dedup, quality, rules, set_join, tiling, token_store, toxicity, urls
 from fleetspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": lambda spark, d: quality.op1(spark, table(spark, d, "documents"), table(spark, d, "labels")),
+    "op2_line_dedup": lambda spark, d: line_dedup.op2(spark, table(spark, d, "documents")),
     "op3_token_store": lambda spark, d: token_store.op3(spark, table(spark, d, "documents")),
     "op4_ngram_jaccard_join": lambda spark, d: set_join.op4(spark, table(spark, d, "documents")),
     "op5_benchmark_decontamination": lambda spark, d: tiling.op5(table(spark, d, "documents"), table(spark, d, "benchmark")),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# White space that splits words: blank, tab to carriage return.
-SPACES = " \t\n\x0b\x0c\r"
+from fleetspark.llm.tables import SPACES, once
+
 SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 3
 
@@ -30,12 +30,6 @@ def mask_of(names: list[str]) -> int:
     return sum(1 << i for i, (name, _) in enumerate(RULES) if name in names)
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a one-row generator, so that later expressions read them instead of repeating them."""
-    fields = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
-    return df.select("*", F.inline(fields))
-
-
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the measurements of every whole text; a null text has none of anything.
 
@@ -56,8 +50,8 @@ def measured(docs: DataFrame) -> DataFrame:
     # Most texts repeat nothing and skip the rest.
     twice = once(ordered, _twice=F.size(F.array_distinct("_s")) < F.size("_s"))
     placed = once(twice, _p=F.when(F.col("_twice"), F.sort_array(F.transform("_g", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    same = lambda x, j: (F.get("_p", j - 1)["g"] == x["g"]) | (F.get("_p", j + 1)["g"] == x["g"])
-    places = once(placed, _at=F.sort_array(F.transform(F.filter("_p", lambda x, j: F.coalesce(F.when(j > 0, F.get("_p", j - 1)["g"] == x["g"]), F.lit(False)) | F.coalesce(F.get("_p", j + 1)["g"] == x["g"], F.lit(False))), lambda x: x["i"])))
+    same = lambda x, j: F.coalesce(F.get("_p", j - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get("_p", j + 1)["g"] == x["g"], F.lit(False))
+    places = once(placed, _at=F.sort_array(F.transform(F.filter("_p", same), lambda x: x["i"])))
     covered = F.aggregate(F.transform("_at", lambda p, j: F.least(F.lit(REPEAT_WINDOW), F.coalesce(F.get("_at", j + 1) - p, F.lit(REPEAT_WINDOW)))), F.lit(0), lambda a, b: a + b)
     count = lambda c: F.length(c).cast("long")
     return once(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fleetspark.llm import textops
 from fleetspark.llm.components import components
-from fleetspark.llm.tables import written
+from fleetspark.llm.tables import row_key, written
 
 WORDS = 5
 TOKENS = 64
@@ -232,13 +232,6 @@ def _in_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys)
 
 
-def row_key(docs: DataFrame):
-    """A hash of a row's id, text and all other columns: rows with the same key are copies in full."""
-    first = [F.col("doc_id"), F.col("text")]
-    rest = [F.col(f"`{c}`") for c in sorted(docs.columns) if c not in ("doc_id", "text")]
-    return F.xxhash64(*first, *rest)
-
-
 def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, row_key, class_id, n_links, n_copies, keeper.
 
@@ -251,7 +244,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     rows = written(
         docs.select("doc_id", "text", row_key(docs).alias("row_key")).mapInArrow(
-            _keyed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key long, set_key binary, n int, sketch binary"
+            _keyed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row_key binary, set_key binary, n int, sketch binary"
         ), spark, "sketches",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
@@ -305,9 +298,10 @@ def _candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the first by doc_id; wordless documents stay."""
-    keepers = classes(spark, docs).select(F.col("keeper").alias("row_key")).distinct()
-    keyed = docs.withColumn("row_key_", row_key(docs))
-    return keyed.join(keepers, F.col("row_key_") == F.col("row_key"), "left_semi").dropDuplicates(["row_key_"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keepers = classes(spark, docs).select(F.col("keeper").alias("__keeper")).distinct()
+    keyed = docs.withColumn("__row", row_key(docs))
+    kept = keyed.join(keepers, F.col("__row") == F.col("__keeper"), "left_semi").dropDuplicates(["__row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:

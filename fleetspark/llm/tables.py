@@ -37,3 +37,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     )
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits that name a row by all its columns: rows with the same key are full copies."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns, key=lambda c: (c not in ("doc_id", "text"), c))]
+    halves = [F.xxhash64(*columns), F.xxhash64(F.lit(77), *columns)]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
+
+
+#: Size up to which a side may be broadcast, once it has been counted.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """A counted frame, marked for broadcast only if it is surely small; larger ones are shuffled."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
+#: White space that splits words: blank, tab to carriage return.
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a one-row generator, so that later expressions read them instead of repeating them."""
+    fields = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select("*", F.inline(fields))
