@@ -13,11 +13,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 FINAL_STATES = ["READY", "ERROR", "CANCELED"]
 MAX_WAIT_SECONDS = 300
 
-OUTCOME = "deployment_id bigint, state string, success boolean, started_ms bigint, ended_ms bigint"
+OUTCOME = "state string, success boolean, started_ms bigint, ended_ms bigint"
+#: How long after its deadline a finished build is remembered.
+FORGET_SECONDS = 86_400
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def timeout_processor() -> StatefulProcessor:
+def timeout_processor(forget_seconds: int = FORGET_SECONDS) -> StatefulProcessor:
     """The processor; as a local class it travels to the workers by value, so they need no package of ours."""
 
     class BuildTimeout(StatefulProcessor):
@@ -25,7 +27,8 @@ def timeout_processor() -> StatefulProcessor:
 
         A deployment ends with its first final state no later than the longest wait
         after its first poll, else with TIMEOUT: when a later poll shows that the wait
-        is over, or when the watermark passes it.
+        is over, or when the watermark passes it.  Its state goes ``forget_seconds`` after
+        its deadline; a poll that comes after that starts a new build.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -54,13 +57,16 @@ def timeout_processor() -> StatefulProcessor:
                     best = min(zip(final["polled_ms"].astype("int64"), final["ready_state"]))
                     first_end = best if first_end is None else min(first_end, best)
             deadline = started + MAX_WAIT_SECONDS * 1000
+            forget = deadline + forget_seconds * 1000
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if first_end is not None and first_end[0] <= deadline:
                 self.build.update((started, True))
+                self.handle.registerTimer(forget)
                 yield self._outcome(key[0], first_end[1], started, int(first_end[0]))
             elif last > deadline:
                 self.build.update((started, True))
+                self.handle.registerTimer(forget)
                 yield self._outcome(key[0], "TIMEOUT", started, deadline)
             else:
                 self.build.update((started, False))
@@ -68,9 +74,13 @@ def timeout_processor() -> StatefulProcessor:
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             started, done = self.build.get()
-            if not done:
+            if done:
+                self.build.clear()
+            else:
+                deadline = started + MAX_WAIT_SECONDS * 1000
                 self.build.update((started, True))
-                yield self._outcome(key[0], "TIMEOUT", started, started + MAX_WAIT_SECONDS * 1000)
+                self.handle.registerTimer(deadline + forget_seconds * 1000)
+                yield self._outcome(key[0], "TIMEOUT", started, deadline)
 
         def close(self) -> None:
             pass
@@ -78,13 +88,14 @@ def timeout_processor() -> StatefulProcessor:
     return BuildTimeout()
 
 
-def build_timeout(polls: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One outcome per deployment from polls (deployment_id, polled_at, ready_state)."""
+def build_timeout(polls: DataFrame, delay: str = "10 minutes", forget_seconds: int = FORGET_SECONDS) -> DataFrame:
+    """One outcome per deployment from polls (deployment_id, polled_at, ready_state); the id may be of any type."""
     slim = polls.withWatermark("polled_at", delay).select(
         "deployment_id", "polled_at", F.unix_millis("polled_at").alias("polled_ms"), "ready_state"
     )
+    key_type = polls.schema["deployment_id"].dataType.simpleString()
     ended = slim.groupBy("deployment_id").transformWithStateInPandas(
-        statefulProcessor=timeout_processor(), outputStructType=OUTCOME, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=timeout_processor(forget_seconds), outputStructType=f"deployment_id {key_type}, {OUTCOME}", outputMode="Append", timeMode="EventTime"
     )
     return ended.select(
         "deployment_id", "state", "success",

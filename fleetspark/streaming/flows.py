@@ -61,7 +61,8 @@ def operation_pairing(started: DataFrame, completed: DataFrame, longest: str = "
 
 
 def newest_checks(checks: DataFrame) -> DataFrame:
-    """Newest check per client of one batch; no time counts as newest, ties go to the smaller id."""
-    order = F.struct(F.col("checked_at").isNull(), F.col("checked_at"), -F.col("id"))
+    """Newest check per client, of a table or, in update mode, of a stream; no time counts as
+    newest, ties go to the smaller id.  A stream keeps one row per client as state."""
+    order = F.struct(F.col("checked_at").isNotNull().alias("timed"), (-F.unix_micros(F.col("checked_at").cast("timestamp"))).alias("age"), F.col("id"))
     row = F.struct("id", "checked_at", "overall_status", *PLATFORM_STATES)
-    return checks.groupBy("client_id").agg(F.max_by(row, order).alias("_row")).select("client_id", "_row.*")
+    return checks.groupBy("client_id").agg(F.min_by(row, order).alias("_row")).select("client_id", "_row.*")

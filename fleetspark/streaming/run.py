@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
-from fleetspark.plans.ranking import newest_first, top_per_key
-from fleetspark.session import work_dir
 from fleetspark.streaming.builds import ROCKSDB
 from fleetspark.streaming.flows import newest_checks
 
@@ -24,14 +25,14 @@ def start_to_files(stream: DataFrame, out: str, checkpoint: str):
 
 
 @contextmanager
-def stream_settings(spark: SparkSession, partitions: int | None = None):
+def stream_settings(spark: SparkSession, partitions: int):
     """Settings a stream takes over when it starts; the session gets its own back.
 
     State lies in RocksDB, outside the executor heap.  A stream keeps its number of
-    state partitions for life and pays for each in every batch, so by default there
-    is one per core of the cluster, not the session's number for batch shuffles.
+    state partitions for life and pays for each in every batch, so the caller states
+    it: about the cores of the cluster at its full size.
     """
-    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(partitions or spark.sparkContext.defaultParallelism)}
+    wanted = {PROVIDER: ROCKSDB, PARTITIONS: str(partitions)}
     before = {key: spark.conf.get(key, None) for key in wanted}
     for key, value in wanted.items():
         spark.conf.set(key, value)
@@ -42,10 +43,9 @@ def stream_settings(spark: SparkSession, partitions: int | None = None):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Run a stream over all present input; the result is read back from files."""
+def run_to_table(stream: DataFrame, root: str, partitions: int) -> DataFrame:
+    """Run a stream over all present input; the result is read back from files below ``root``."""
     spark = stream.sparkSession
-    root = work_dir(spark, name)
     with stream_settings(spark, partitions):
         query = start_to_files(stream, f"{root}/rows", f"{root}/checkpoint")
     query.awaitTermination()
@@ -53,33 +53,42 @@ def run_to_table(stream: DataFrame, name: str, partitions: int | None = None) ->
 
 
 class HealthState:
-    """Current health per client, kept as one table version per stream batch."""
+    """Current health per client: a log of the changed clients of each stream batch.
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        self.version: str | None = None
-
-    def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        new = newest_checks(batch)
-        if batch_id > 0:
-            old = self.spark.read.schema(new.schema).parquet(f"{self.root}/batch={batch_id - 1}")
-            new = top_per_key(new.unionByName(old), ["client_id"], newest_first("checked_at", "id"))
-        # A repeated batch overwrites its own version and reads the one before it.
-        new.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
-        self.version = f"{self.root}/batch={batch_id}"
+    Only changes are written, so a batch costs what it changes, not the size of the fleet.
+    """
 
-    def current(self) -> DataFrame:
-        return self.spark.read.parquet(self.version)
+    def __init__(self, spark: SparkSession, root: str, schema: StructType):
+        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
+    def upsert(self, changes: DataFrame, batch_id: int) -> None:
+        # A repeated batch overwrites its own part of the log.
+        changes.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
-def latest_health_stream(checks: DataFrame, name: str = "latest-health") -> DataFrame:
-    """Run a stream of checks over all present input; the current check of every client."""
+    def current(self) -> DataFrame:
+        """The last change of every client, from the folder alone; empty before the first batch."""
+        logged = StructType([*self.schema.fields]).add("batch", LongType())
+        try:
+            rows = self.spark.read.schema(logged).parquet(self.root)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
+        rows = rows.select("batch", "client_id", F.struct(*self.schema.fieldNames()).alias("_row"))
+        return rows.groupBy("client_id").agg(F.max_by("_row", "batch").alias("_row")).select("_row.*")
+
+
+def latest_health_stream(checks: DataFrame, root: str, partitions: int) -> DataFrame:
+    """Run a stream of checks over all present input; the current check of every client.
+
+    Run again on the same ``root`` it goes on where it stopped, with or without new input.
+    """
     spark = checks.sparkSession
-    root = work_dir(spark, name)
-    state = HealthState(spark, f"{root}/state")
-    with stream_settings(spark):
+    newest = newest_checks(checks)
+    state = HealthState(spark, f"{root}/state", newest.schema)
+    with stream_settings(spark, partitions):
         query = (
-            checks.writeStream.foreachBatch(state.upsert).option("checkpointLocation", f"{root}/checkpoint")
+            newest.writeStream.outputMode("update").foreachBatch(state.upsert).option("checkpointLocation", f"{root}/checkpoint")
             .trigger(availableNow=True).start()
         )
     query.awaitTermination()

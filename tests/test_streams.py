@@ -4,8 +4,13 @@ import itertools
 import json
 from datetime import datetime, timedelta
 
+from fleetspark.session import work_dir
 from fleetspark.streaming import builds, flows
-from fleetspark.streaming.run import HealthState, run_to_table
+from fleetspark.streaming import run
+
+
+def run_to_table(stream, name):
+    return run.run_to_table(stream, work_dir(stream.sparkSession, name), 4)
 
 START = datetime(2024, 1, 1)
 _n = itertools.count()
@@ -70,17 +75,51 @@ def test_builds_end_by_state_or_time_out(spark, tmp_path):
         (1, "READY", True, 200.0), (2, "TIMEOUT", False, 300.0), (3, "TIMEOUT", False, 300.0), (4, "ERROR", False, 0.0), (9, "CANCELED", False, 4100.0)]
 
 
-def test_health_state_survives_repeated_batches(spark, tmp_path):
-    schema = ("id long, client_id string, checked_at timestamp_ntz, overall_status string, github_status string, vercel_status string, "
-              "builder_status string, gcs_status string, staging_url_status string")
-    check = lambda i, client, t, s: (i, client, t, s, "h", "h", "h", "h", "h")
+CHECK = ("id string, client_id string, checked_at timestamp, overall_status string, github_status string, vercel_status string, "
+         "builder_status string, gcs_status string, staging_url_status string")
+
+
+def check(i, client, t, s):
+    return (f"hc-{i}", client, t, s, "h", "h", "h", "h", "h")
+
+
+def test_latest_health_over_batches_and_restarts(spark, tmp_path):
     batches = [[check(1, "a", at(5), "down"), check(2, "a", at(9), "healthy"), check(3, "b", at(1), "down")],
-               [check(4, "a", at(7), "down"), check(5, "b", at(2), "degraded")], [check(6, "b", None, "error")]]
-    state = HealthState(spark, str(tmp_path / "state"))
-    for i, rows in enumerate(batches):
-        for _ in range(2):  # a batch may be run again after a failure
-            state.upsert(spark.createDataFrame(rows, schema), i)
-    assert sorted((r["client_id"], r["id"], r["overall_status"]) for r in state.current().collect()) == [("a", 2, "healthy"), ("b", 6, "error")]
+               [check(4, "a", at(7), "down"), check(5, "b", at(2), "degraded")], [check(6, "b", None, "error"), check(7, "c", at(1), "down")]]
+    root = str(tmp_path / "health")
+    want = [("a", "hc-2", "healthy"), ("b", "hc-6", "error"), ("c", "hc-7", "down")]
+    stream = feed(spark, tmp_path, CHECK, *batches)
+    for _ in range(2):  # the second run starts again without new input
+        got = run.latest_health_stream(stream, root, 4).collect()
+        assert sorted((r["client_id"], r["id"], r["overall_status"]) for r in got) == want
+    # A batch writes the clients it changed, not all.
+    changed = {r["batch"]: r["n"] for r in spark.read.parquet(f"{root}/state").groupBy("batch").agg({"client_id": "count"}).toDF("batch", "n").collect()}
+    assert changed[0] == 2 and changed[2] == 2
+
+
+def test_latest_health_of_no_rows(spark, tmp_path):
+    state = run.HealthState(spark, str(tmp_path / "none"), flows.newest_checks(spark.createDataFrame([], CHECK)).schema)
+    assert state.current().collect() == []
+    state.upsert(flows.newest_checks(spark.createDataFrame([check(1, "a", at(1), "down")], CHECK)), 0)
+    for _ in range(2):  # a batch may be run again after a failure
+        state.upsert(flows.newest_checks(spark.createDataFrame([check(2, "a", at(2), "healthy")], CHECK)), 1)
+    assert [r["id"] for r in state.current().collect()] == ["hc-2"]
+
+
+def test_finished_builds_are_forgotten(spark, tmp_path):
+    poll = lambda i, t, s: (f"dpl_{i}", at(t), s)
+    stream = feed(spark, tmp_path, "deployment_id string, polled_at timestamp, ready_state string",
+                  [poll(i, 0, "READY") for i in range(20)], [poll(100, 5000, "BUILDING")], [poll(101, 9000, "BUILDING")],
+                  [poll(0, 9100, "ERROR")], [poll(102, 20000, "READY")])
+    out, root = builds.build_timeout(stream, forget_seconds=600), work_dir(spark, "forget-test")
+    with run.stream_settings(spark, 4):
+        query = run.start_to_files(out, f"{root}/rows", f"{root}/checkpoint")
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(rows) >= 20 and rows[-1] < 10
+    got = sorted((r["deployment_id"], r["state"]) for r in spark.read.schema(out.schema).parquet(f"{root}/rows").collect())
+    # The poll after the state went starts a new build of the same name.
+    assert [x for x in got if x[0] == "dpl_0"] == [("dpl_0", "ERROR"), ("dpl_0", "READY")] and ("dpl_100", "TIMEOUT") in got
 
 
 def test_unsafe_feed(spark, tmp_path):
