@@ -12,18 +12,19 @@ RETURNS TABLE (overall_status STRING, checked_at TIMESTAMP_NTZ, github_status ST
                builder_status STRING, gcs_status STRING, staging_url_status STRING)
 RETURN SELECT overall_status, checked_at, github_status, vercel_status, builder_status, gcs_status, staging_url_status
        FROM (SELECT c.*, row_number() OVER (PARTITION BY client_id ORDER BY checked_at DESC NULLS FIRST, id) AS place
-             FROM site_health_checks c WHERE client_id = p_client_id)
-       WHERE place = 1
+             FROM site_health_checks c)
+       WHERE place = 1 AND client_id = p_client_id
 """
-# A function's parameter cannot stand in LIMIT, so rows are numbered.
+# A function's parameter cannot stand in LIMIT, so rows are numbered.  The parameter is compared outside:
+# inside, it would be joined first, and the rows would not be cut before the shuffle.
 OPERATION_HISTORY = """
 CREATE OR REPLACE TEMPORARY FUNCTION get_client_operation_history(p_client_slug STRING, p_limit INT DEFAULT 50)
 RETURNS TABLE (operation_type STRING, operation_status STRING, started_at TIMESTAMP_NTZ, duration_ms INT,
                initiated_by STRING, success_count INT, failure_count INT)
 RETURN SELECT operation_type, operation_status, started_at, duration_ms, initiated_by, success_count, failure_count
        FROM (SELECT o.*, row_number() OVER (PARTITION BY client_slug ORDER BY started_at DESC NULLS FIRST, id) AS place
-             FROM registry_operations_log o WHERE client_slug = p_client_slug)
-       WHERE place <= p_limit
+             FROM registry_operations_log o)
+       WHERE place <= p_limit AND client_slug = p_client_slug
 """
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetspark.functions.records import derived_uuid
+from fleetspark.functions.times import moment
+
 from fleetspark.functions.text import KEY_PREFIX, python_strip
 
 # Field labels, patterns, limits and messages of the form.
@@ -82,14 +85,16 @@ def secret_name(slug: Column, part: str) -> Column:
     return F.concat(F.lit("client-"), slug, F.lit(f"-builder-{part}"))
 
 
-def client_record(intake_project: str = INTAKE_PROJECT) -> list[Column]:
-    """Columns of a new client row, derived from a form row."""
+def client_record(as_of, intake_project: str = INTAKE_PROJECT) -> list[Column]:
+    """Columns of a new client row, derived from a form row.  The id is made from the slug and the time."""
     slug, tier = F.col("client_slug"), F.coalesce(F.col("tier"), F.lit(ENTRY_TIER))
     return [
+        derived_uuid(slug, F.lit(str(as_of))).alias("id"),
         F.col("client_name"),
         slug,
         F.col("contact_email"),
         F.col("website_type"),
+        F.col("industry"),
         tier.alias("builder_space_tier"),
         space_mode(tier).alias("builder_space_mode"),
         F.when(space_mode(tier) == "SHARED", intake_project).alias("gcp_project_id"),
@@ -97,6 +102,8 @@ def client_record(intake_project: str = INTAKE_PROJECT) -> list[Column]:
         secret_name(slug, "public-key").alias("builder_public_key"),
         secret_name(slug, "private-key").alias("builder_private_key"),
         secret_name(slug, "space-id").alias("builder_space_id"),
+        moment(as_of).alias("created_at"),
+        moment(as_of).alias("updated_at"),
     ]
 
 

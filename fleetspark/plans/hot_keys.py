@@ -11,18 +11,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-SLICES = 64
+# Below this the hot list is not known to be small, and is joined without a broadcast hint.
+SURE_ROWS = 10_000
 
 
 def hot_groups(df: DataFrame, key: str, group: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with over ``hot_rows`` rows in one group, with their largest group.
+    """Keys with over ``hot_rows`` rows in one group, with their largest group and one slice per ``hot_rows`` of its rows.
 
     At most count(df) / hot_rows rows, so the result can be broadcast: 10^11 rows
     give at most 10^5 keys.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key, group).agg(F.count("*").alias("_rows"))
     hot = counts.filter(F.col("_rows") > hot_rows)
-    return hot.groupBy(key).agg(F.max_by(group, F.struct("_rows", group)).alias("_widest"))
+    return hot.groupBy(key).agg(
+        F.max_by(group, F.struct("_rows", group)).alias("_widest"), F.ceil(F.max("_rows") / hot_rows).cast("int").alias("_slices")
+    )
 
 
 def left_join_groups(
@@ -34,25 +37,26 @@ def left_join_groups(
     selections: dict[str, list],
     spread_by: str,
     hot_rows: int = HOT_ROWS,
-    slices: int = SLICES,
 ) -> DataFrame:
     """Left join ``base`` with one group of ``facts`` after the other, every match kept.
 
     ``selections`` maps a group value to the output columns taken from its rows.
-    A base key with a hot group gets ``slices`` copies; the rows of its largest
+    A base key with a hot group gets a copy per slice; the rows of its largest
     group are dealt out to them, those of its other groups go to each.  All joins
     share the key (base_key, slice), so every input is shuffled once.
     """
     wanted = facts.filter(F.col(group).isin(list(selections)))
-    hot = F.broadcast(hot_groups(wanted, key, group, hot_rows)).withColumnRenamed(key, "_hot_key")
-    every_slice = F.sequence(F.lit(0), F.lit(slices - 1))
+    hot = hot_groups(wanted, key, group, hot_rows).withColumnRenamed(key, "_hot_key")
+    if hot_rows >= SURE_ROWS:
+        hot = F.broadcast(hot)
+    every_slice = F.sequence(F.lit(0), F.col("_slices") - 1)
 
     copies = F.when(F.col("_widest").isNotNull(), every_slice).otherwise(F.array(F.lit(0)))
     out = base.join(hot, F.col(base_key) == F.col("_hot_key"), "left").select(
-        *base.columns, "_widest", F.explode(copies).alias("_slice")
+        *base.columns, "_widest", "_slices", F.explode(copies).alias("_slice")
     )
     rows = facts.join(hot, F.col(key) == F.col("_hot_key"), "left")
-    dealt = F.pmod(F.xxhash64(spread_by), F.lit(slices)).cast("int")
+    dealt = F.pmod(F.xxhash64(spread_by), F.col("_slices")).cast("int")
     places = (
         F.when(F.col("_widest").isNull(), F.array(F.lit(0)))
         .when(F.col("_widest") == F.col(group), F.array(dealt))

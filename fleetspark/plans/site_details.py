@@ -1,4 +1,4 @@
-"""Clients with their newest deployments, checks and operations nested."""
+"""All records of a site, in one long table or nested."""
 
 from __future__ import annotations
 
@@ -7,7 +7,33 @@ from pyspark.sql import functions as F
 
 from fleetspark.plans.ranking import newest_first, top_per_key
 
-CHILD_ROWS = 10
+COLUMNS = ["client_slug", "kind", "at", "id", "label", "status"]
+
+
+def site_details(clients: DataFrame, deployments: DataFrame, checks: DataFrame, operations: DataFrame) -> DataFrame:
+    """(client_slug, kind, at, id, label, status): each client and every one of its deployments, checks and operations.
+
+    A long table needs no array per client, so a client may have any number of rows.
+    """
+    owner = clients.select(F.col("id").alias("_client"), "client_slug")
+    site = clients.select(
+        "client_slug", F.lit("site").alias("kind"), F.col("created_at").alias("at"), F.col("id").cast("string").alias("id"),
+        F.col("client_name").alias("label"), "status",
+    )
+    by_client = [
+        ("deployment", deployments, "deployed_at", F.col("commit_sha"), F.col("status")),
+        ("health_check", checks, "checked_at", F.lit(None).cast("string"), F.col("overall_status")),
+    ]
+    out = site
+    for kind, df, at, label, status in by_client:
+        rows = df.select("client_id", F.lit(kind).alias("kind"), F.col(at).alias("at"), F.col("id").cast("string").alias("id"), label.alias("label"), status.alias("status"))
+        out = out.unionByName(rows.join(owner, F.col("client_id") == F.col("_client")).select(*COLUMNS))
+    slugs = clients.select(F.col("client_slug").alias("_slug"))
+    rows = operations.select(
+        "client_slug", F.lit("operation").alias("kind"), F.col("started_at").alias("at"), F.col("id").cast("string").alias("id"),
+        F.col("operation_type").alias("label"), F.col("operation_status").alias("status"),
+    )
+    return out.unionByName(rows.join(slugs, F.col("client_slug") == F.col("_slug"), "left_semi"))
 
 
 def _nested(df: DataFrame, key: str, at: str, columns: list[str], name: str, n: int) -> DataFrame:
@@ -18,8 +44,8 @@ def _nested(df: DataFrame, key: str, at: str, columns: list[str], name: str, n:
     return top.groupBy(F.col(key).alias(f"_{name}")).agg(F.transform(packed, lambda x: x["row"]).alias(name))
 
 
-def site_details(clients: DataFrame, deployments: DataFrame, checks: DataFrame, operations: DataFrame, n: int = CHILD_ROWS) -> DataFrame:
-    """One row per client; arrays hold at most n rows and are empty where there are none."""
+def site_summary(clients: DataFrame, deployments: DataFrame, checks: DataFrame, operations: DataFrame, n: int) -> DataFrame:
+    """One row per client with its newest n records of each kind as arrays, empty where there are none."""
     children = [
         ("id", _nested(deployments, "client_id", "deployed_at", ["deployed_at", "commit_sha", "status"], "deployments", n)),
         ("id", _nested(checks, "client_id", "checked_at", ["checked_at", "overall_status"], "health_history", n)),

@@ -12,14 +12,14 @@ from fleetspark.functions.times import check_freshness, day_part, hour_part, mom
 from fleetspark.operators.joins import (
     deployments_with_clients, latest_deployment_at, latest_health_status, with_latest_health,
 )
-from fleetspark.plans.hot_keys import HOT_ROWS, SLICES, left_join_groups
+from fleetspark.plans.hot_keys import HOT_ROWS, left_join_groups
 
 PLATFORM_STATES = ["github_status", "vercel_status", "builder_status", "gcs_status", "staging_url_status"]
 
 
 def client_full_inventory(
     clients: DataFrame, inventory: DataFrame, deployments: DataFrame, checks: DataFrame,
-    hot_rows: int = HOT_ROWS, slices: int = SLICES,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Everything known about each live client, one row per combination of its platform resources.
 
@@ -53,7 +53,7 @@ def client_full_inventory(
     slim = inventory.select("client_id", "platform", "resource_id", "resource_url", "resource_metadata")
     return left_join_groups(
         live, "client_id", slim.withColumnRenamed("client_id", "_owner"), "_owner", "platform", resources,
-        "resource_id", hot_rows, slices,
+        "resource_id", hot_rows,
     )
 
 

@@ -100,7 +100,10 @@ REPOSITORY = (
     "updated_at timestamp_ntz, pushed_at timestamp_ntz, size bigint, default_branch string"
 )
 PROJECT = "id string, name string, framework string, accountId string, createdAt bigint, updatedAt bigint"
-BACKUP_OBJECT = "name string, client_slug string, size_bytes bigint, created_at timestamp_ntz"
+BACKUP_OBJECT = (
+    "name string, client_slug string, size_bytes bigint, created_at timestamp_ntz, updated_at timestamp_ntz, url string, "
+    "public_url string"
+)
 MESSAGE = (
     "clientId string, clientSlug string, clientName string, contactEmail string, websiteType string, tier string, "
     "metadata struct<initiatedBy: string, onboardingSource: string, requestedAt: string, supabaseClientId: string, "

@@ -60,7 +60,7 @@ def onboarding_messages(forms: DataFrame, message_id: Column, requested_at: Colu
     keys = F.struct(
         F.col("builder_public_key").alias("publicKey"),
         F.col("builder_private_key").alias("privateKey"),
-        F.lit("").alias("spaceId"),
+        (F.coalesce("builder_space_id", F.lit("")) if "builder_space_id" in forms.columns else F.lit("")).alias("spaceId"),
     )
     meta = [] if client_id is None else [client_id.alias("supabaseClientId")]
     return _messages(forms, message_id, FORM_SENDER, requested_at, meta, keys)

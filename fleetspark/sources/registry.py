@@ -22,9 +22,7 @@ def scan_table_jdbc(spark: SparkSession, options: dict[str, str], name: str, spl
             partitionColumn=split["column"], lowerBound=str(split["lower"]), upperBound=str(split["upper"]),
             numPartitions=str(split["partitions"]),
         )
-    columns = table_schema(name)
-    df = reader.load()
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in columns if f.name in df.columns])
+    return conform(reader.load(), name)
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
@@ -39,15 +37,17 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists"
     conform(df, name).write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
 
 
-def schema_listing(df: DataFrame) -> DataFrame:
-    """(position, column_name, data_type, is_nullable, null_count) of a DataFrame's columns.
+def schema_listing(df: DataFrame, null_counts: bool = False) -> DataFrame:
+    """(position, column_name, data_type, is_nullable) of a DataFrame's columns.
 
-    The nulls of all columns are counted in one pass over the table.
+    With ``null_counts`` the nulls of all columns are counted in one pass over the table.
     """
     rows = [(i + 1, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
     listed = df.sparkSession.createDataFrame(
         rows, "position int, column_name string, data_type string, is_nullable boolean"
     )
+    if not null_counts:
+        return listed
     counts = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
     return listed.join(counts.unpivot([], df.columns, "column_name", "null_count"), "column_name")
 
@@ -57,7 +57,7 @@ def schema_diff(df: DataFrame, expected: T.StructType | str) -> DataFrame:
     wanted = table_schema(expected) if isinstance(expected, str) and expected in TABLES else expected
     rows = [(f.name, f.dataType.simpleString()) for f in wanted]
     other = df.sparkSession.createDataFrame(rows, "column_name string, expected_type string")
-    joined = schema_listing(df).join(other, "column_name", "full_outer")
+    joined = schema_listing(df, null_counts=True).join(other, "column_name", "full_outer")
     state = (
         F.when(F.col("data_type").isNull(), "missing").when(F.col("expected_type").isNull(), "unexpected")
         .when(F.col("data_type") != F.col("expected_type"), "type_differs").otherwise("ok")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.schemas import PROJECT, REPOSITORY
+from fleetspark.functions.text import BACKUP_BUCKET
+from fleetspark.schemas import BACKUP_OBJECT, PROJECT, REPOSITORY
 
 
 def repo_snapshot(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,19 +31,26 @@ def project_details(projects: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("error", missing).drop("_key")
 
 
-def backup_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Backup objects below ``root``/projects, from file metadata alone: contents are not read.
+def exported_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Backup objects out of an exported listing (JSON lines); the slug is the first folder below ``projects/``."""
+    listed = spark.read.schema(BACKUP_OBJECT).json(folder)
+    return listed.withColumn("client_slug", F.regexp_extract("name", "^projects/([^/]+)/", 1)).filter(F.col("client_slug") != "")
+
 
-    Files without any byte are no archives and are not listed.
+def backup_objects(spark: SparkSession, root: str, bucket: str = BACKUP_BUCKET) -> DataFrame:
+    """Every object below ``root``/projects/{slug}/, of any suffix and depth, from file metadata alone.
+
+    The name is the path from ``projects/`` on, the slug its first folder.  File systems keep one
+    time per file, which stands for creation and change.  A public address needs the bucket's
+    access rules, so it is null.  Spark's scan leaves out files without any byte; a listing that
+    must hold them is read with ``exported_objects``.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip")
-        .load(f"{root.rstrip('/')}/projects")
-    )
-    name = F.regexp_extract("path", r"(projects/[^/]+/[^/]+)$", 1)
-    return files.select(
-        name.alias("name"),
-        F.regexp_extract("path", r"projects/([^/]+)/[^/]+$", 1).alias("client_slug"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").cast("timestamp_ntz").alias("created_at"),
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/projects")
+    base = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root.rstrip("/"))
+    name = F.regexp_extract("path", rf"\Q{base}\E/(projects/.*)$", 1)
+    at = F.col("modificationTime").cast("timestamp_ntz")
+    listed = files.select(
+        name.alias("name"), F.regexp_extract(name, "^projects/([^/]+)/", 1).alias("client_slug"), F.col("length").alias("size_bytes"),
+        at.alias("created_at"), at.alias("updated_at"), F.concat(F.lit(f"gs://{bucket}/"), name).alias("url"), F.lit(None).cast("string").alias("public_url"),
     )
+    return listed.filter(F.col("client_slug") != "")

@@ -35,16 +35,17 @@ def clean_form(forms: DataFrame) -> DataFrame:
     return forms.withColumns({name: python_strip(F.col(name)) for name in texts})
 
 
-def new_clients(forms: DataFrame, clients: DataFrame, order: list[str], intake_project: str = INTAKE_PROJECT) -> DataFrame:
+def new_clients(forms: DataFrame, clients: DataFrame, order: list[str], as_of, intake_project: str = INTAKE_PROJECT) -> DataFrame:
     """Client rows for forms whose slug is free; of several with one slug the first in ``order``."""
     taken = clients.select("client_slug")
     free = forms.join(taken, "client_slug", "left_anti")
     first = top_per_key(free, ["client_slug"], [F.col(c).asc() for c in order])
-    return first.select(*client_record(intake_project))
+    first = first if "industry" in first.columns else first.withColumn("industry", F.lit(None).cast("string"))
+    return first.select(*client_record(as_of, intake_project))
 
 
-def insert_clients(forms: DataFrame, clients: DataFrame, order: list[str], folder: str) -> None:
-    new_clients(forms, clients, order).write.mode("append").parquet(folder)
+def insert_clients(forms: DataFrame, clients: DataFrame, order: list[str], folder: str, as_of) -> None:
+    new_clients(forms, clients, order, as_of).write.mode("append").parquet(folder)
 
 
 def issue_tokens(requests: DataFrame, as_of, token: Column | None = None) -> DataFrame:
@@ -60,11 +61,11 @@ def issue_tokens(requests: DataFrame, as_of, token: Column | None = None) -> Dat
 def write_backups(files: DataFrame, folder: str, generated_at) -> None:
     """Snapshot of file records (project_name, path, content), one folder per project and moment.
 
-    Rows are placed by project and file, so a project with very many files is
-    written by several tasks.
+    Rows are rebalanced by project: at run time large projects are split over
+    several tasks and small ones share one.
     """
     stamp = F.date_format(moment(generated_at), "yyyyMMdd-HHmmss")
-    rows = files.withColumn("generation_ts", stamp).repartition("project_name", F.pmod(F.xxhash64("path"), F.lit(16)))
+    rows = files.withColumn("generation_ts", stamp).hint("rebalance", "project_name")
     rows.write.mode("append").partitionBy("project_name", "generation_ts").parquet(folder)
 
 

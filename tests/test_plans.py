@@ -50,12 +50,23 @@ def test_wide_columns_are_not_read(stored):
 def test_global_limit_is_no_full_sort(spark, stored):
     from conftest import SMALL
 
-    limited = [catalog.QUERIES[name](spark, SMALL) for name in ("content_query", "list_sites", "recent_100", "recent_operations", "tenant_scope_list")]
+    limited = [catalog.QUERIES[name](spark, SMALL) for name in ("content_query", "list_sites", "recent_100", "recent_operations")]
     for df in [views.recent_operations(stored("registry_operations_log")), *limited]:
         text = plan(df)
         assert "TakeOrderedAndProject" in text and "rangepartitioning" not in text, text
 
 
+def test_sql_functions_cut_rows_before_the_shuffle(spark, stored):
+    from conftest import SMALL
+
+    catalog.QUERIES["view_counts_sql"](spark, SMALL)
+    for text in (
+        "SELECT * FROM get_latest_health('c-00000001')", "SELECT c.client_slug, h.* FROM clients c, LATERAL get_latest_health(c.id) h",
+        "SELECT * FROM get_client_operation_history('client-1', 3)", "SELECT c.client_slug, h.* FROM clients c, LATERAL get_client_operation_history(c.client_slug, 3) h",
+    ):
+        assert "WindowGroupLimit" in plan(spark.sql(text)), text
+
+
 def test_unordered_views_save_the_sort(stored):
     args = (stored("site_deployments"), stored("clients"), AS_OF)
     assert "rangepartitioning" in plan(views.deployment_history(*args))

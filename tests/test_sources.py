@@ -16,13 +16,25 @@ def test_backup_objects_from_file_metadata(spark, tmp_path):
         folder.mkdir(parents=True, exist_ok=True)
         (folder / name).write_bytes(b"x" * size)
         os.utime(folder / name, (1_700_000_000 + size, 1_700_000_000 + size))
-    (tmp_path / "projects" / "a" / "readme.txt").write_text("no backup")
+    (tmp_path / "projects" / "a" / "readme.txt").write_text("notes")
+    (tmp_path / "projects" / "a" / "deep" / "projects").mkdir(parents=True)
+    (tmp_path / "projects" / "a" / "deep" / "projects" / "x.tar").write_text("y")
+    (tmp_path / "projects" / "b-c" / "empty.zip").write_text("")
+    (tmp_path / "projects" / "stray.zip").write_text("below no slug")
     got = snapshots.backup_objects(spark, str(tmp_path))
     assert sorted((r["name"], r["client_slug"], r["size_bytes"]) for r in got.collect()) == [
-        ("projects/a/generation-1.zip", "a", 3), ("projects/a/generation-2.zip", "a", 5), ("projects/b-c/generation-1.zip", "b-c", 7)]
+        ("projects/a/deep/projects/x.tar", "a", 1), ("projects/a/generation-1.zip", "a", 3), ("projects/a/generation-2.zip", "a", 5), ("projects/a/readme.txt", "a", 5),
+        ("projects/b-c/generation-1.zip", "b-c", 7)]
+    assert got.filter("size_bytes = 3").first()["url"] == "gs://site-backups/projects/a/generation-1.zip"
     assert got.filter("size_bytes = 3").first()["created_at"] == datetime(2023, 11, 14, 22, 13, 23)
 
 
+def test_exported_backup_listing_keeps_empty_objects(spark, tmp_path):
+    (tmp_path / "o.json").write_text(json.dumps({"name": "projects/a/x.zip", "size_bytes": 0, "url": "gs://b/projects/a/x.zip"}) + "\n")
+    row = snapshots.exported_objects(spark, str(tmp_path)).first()
+    assert (row["name"], row["client_slug"], row["size_bytes"], row["url"], row["updated_at"]) == ("projects/a/x.zip", "a", 0, "gs://b/projects/a/x.zip", None)
+
+
 def test_snapshots(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "x.json").write_text(json.dumps({"name": "a", "private": True, "created_at": "2024-01-01T00:00:00", "size": 4, "extra": 1}) + "\n")
