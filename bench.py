@@ -17,6 +17,7 @@ HEADLINE = [
     "client_full_inventory", "health_summary", "deployment_history", "inventory_reconcile", "generation_metrics",
     "parse_response_files", "backup_retention", "operation_history", "site_details", "token_validity",
     "build_log_tail", "tenant_scope", "apply_space_deltas", "cascade_delete", "validate_forms", "top_error_lines",
+    "build_timeout", "health_windows", "write_backups", "get_latest_health_sql",
 ]
 
 

@@ -6,7 +6,9 @@ from fleetspark.catalog.registry import query
 from fleetspark.catalog.tables import AS_OF
 from fleetspark.functions.times import moment
 from fleetspark.operators import joins, lifecycle, tenancy, topk
-from fleetspark.plans.site_details import site_details
+from fleetspark.session import work_dir
+from fleetspark.sources import snapshots
+from fleetspark.plans.site_details import site_details, site_summary
 
 GOOD = "good AS (SELECT * FROM site_deployments WHERE status = 'success' AND rolled_back = false)"
 BACKUP_ORDER = "PARTITION BY client_slug ORDER BY created_at DESC NULLS LAST, name"
@@ -71,6 +73,15 @@ def _(t):
 
 
 @query("site_details", """
+SELECT client_slug, 'site' AS kind, created_at AS at, id, client_name AS label, status FROM clients
+UNION ALL SELECT c.client_slug, 'deployment', d.deployed_at, d.id::varchar, d.commit_sha, d.status FROM site_deployments d JOIN clients c ON c.id = d.client_id
+UNION ALL SELECT c.client_slug, 'health_check', h.checked_at, h.id::varchar, NULL, h.overall_status FROM site_health_checks h JOIN clients c ON c.id = h.client_id
+UNION ALL SELECT o.client_slug, 'operation', o.started_at, o.id::varchar, o.operation_type, o.operation_status FROM registry_operations_log o WHERE o.client_slug IN (SELECT client_slug FROM clients)""")
+def _(t):
+    return site_details(t.clients, t.site_deployments, t.site_health_checks, t.registry_operations_log)
+
+
+@query("site_summary", """
 WITH d AS (SELECT client_id, string_agg(coalesce(commit_sha, ''), '|' ORDER BY deployed_at DESC NULLS FIRST, id) AS shas, count(*) AS n FROM
   (SELECT * FROM site_deployments QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY deployed_at DESC NULLS FIRST, id) <= 10) GROUP BY client_id),
 h AS (SELECT client_id, string_agg(overall_status, '|' ORDER BY checked_at DESC NULLS FIRST, id) AS states, count(*) AS n FROM
@@ -81,7 +92,7 @@ SELECT c.client_slug, coalesce(d.shas, '') AS deployed_shas, coalesce(h.states,
  coalesce(d.n, 0) AS deployments, coalesce(h.n, 0) AS checks, coalesce(o.n, 0) AS operations
 FROM clients c LEFT JOIN d ON d.client_id = c.id LEFT JOIN h ON h.client_id = c.id LEFT JOIN o ON o.client_slug = c.client_slug""")
 def _(t):
-    full = site_details(t.clients, t.site_deployments, t.site_health_checks, t.registry_operations_log)
+    full = site_summary(t.clients, t.site_deployments, t.site_health_checks, t.registry_operations_log, 10)
     size = lambda c: F.size(c).cast("bigint")
     return full.select(
         "client_slug",
@@ -137,11 +148,27 @@ def _(t):
     return topk.rollback_target(t.site_deployments)
 
 
-@query("backup_listing", "SELECT name, client_slug, size_bytes, created_at FROM backups")
+@query("list_backups", "SELECT name, client_slug, size_bytes, created_at FROM backups")
 def _(t):
     return topk.list_backups(t.backups)
 
 
+@query("backup_listing", """
+SELECT client_slug, 1::bigint AS objects, cast(sum(strlen(name) + 1) AS bigint) AS size_bytes, true AS named, 'gs://site-backups/projects/' || client_slug || '/' AS url_start FROM backups GROUP BY client_slug""")
+def _(t):
+    # One object per client, written as files below projects/ and listed from their metadata.
+    root = work_dir(t.spark, "backup-files")
+    t.backups.select("client_slug", "name").repartition("client_slug").write.partitionBy("client_slug").text(f"{root}/projects")
+    listed = snapshots.backup_objects(t.spark, root)
+    # Spark's writer names a folder column=value.
+    slug = F.regexp_replace("client_slug", "^client_slug=", "")
+    named = F.col("name").startswith(F.concat(F.lit("projects/client_slug="), slug, F.lit("/part-"))) & F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
+    url = F.regexp_replace(F.regexp_extract("url", "^(.*/)[^/]+$", 1), "client_slug=", "")
+    return listed.groupBy(slug.alias("client_slug")).agg(
+        F.count("*").alias("objects"), F.sum("size_bytes").alias("size_bytes"), F.bool_and(named).alias("named"), F.min(url).alias("url_start")
+    )
+
+
 @query("latest_backup", f"""
 WITH b AS (SELECT * FROM backups QUALIFY row_number() OVER ({BACKUP_ORDER}) = 1)
 SELECT c.client_slug, b.name AS backup_name, b.size_bytes, b.created_at AS backup_created_at,
@@ -163,27 +190,28 @@ def _(t):
 
 
 @query("backup_expiry", """
-WITH gone AS (SELECT json_extract_string(client_data, '$.client_slug') AS slug, coalesce(recovery_deadline, deleted_at + INTERVAL 30 DAY) AS deadline FROM deleted_sites WHERE NOT recovered)
-SELECT b.client_slug, b.name, b.size_bytes, b.created_at, g.deadline FROM backups b JOIN gone g ON g.slug = b.client_slug WHERE g.deadline < {now}""")
+WITH gone AS (SELECT json_extract_string(client_data, '$.client_slug') AS slug, coalesce(recovery_deadline, deleted_at + INTERVAL 30 DAY) AS deadline FROM deleted_sites WHERE NOT recovered),
+due AS (SELECT slug, max(deadline) AS deadline FROM gone WHERE deadline < {now} AND slug NOT IN (SELECT client_slug FROM clients WHERE status <> 'deleted') GROUP BY slug)
+SELECT b.client_slug, b.name, b.size_bytes, b.created_at, g.deadline FROM backups b JOIN due g ON g.slug = b.client_slug""")
 def _(t):
-    return topk.backup_expiry(t.backups, t.deleted_sites, AS_OF)
+    return topk.backup_expiry(t.backups, t.deleted_sites, t.clients, AS_OF)
 
 
 @query("archive_batch", """
-SELECT id, model, json_extract_string(data, '$.clientSlug') AS slug, json_extract_string(data, '$.urlPath') AS url_path, json_extract_string(data, '$.env') AS env,
+SELECT id, space_id, model, json_extract_string(data, '$.clientSlug') AS slug, json_extract_string(data, '$.urlPath') AS url_path, json_extract_string(data, '$.env') AS env,
  '2024-01-31T00:00:00' AS archived_at, 'true' AS archived FROM content_entries WHERE model IN ('page', 'section', 'blog-post', 'product', 'symbol')
-QUALIFY row_number() OVER (PARTITION BY model ORDER BY id) <= 100""")
+QUALIFY row_number() OVER (PARTITION BY space_id, model ORDER BY id) <= 100""")
 def _(t):
     batch = topk.archive_batch(t.content_entries, AS_OF)
     key = lambda k: F.get_json_object("data", f"$.{k}")
     return batch.select(
-        "id", "model", key("clientSlug").alias("slug"), key("urlPath").alias("url_path"), key("env").alias("env"),
+        "id", "space_id", "model", key("clientSlug").alias("slug"), key("urlPath").alias("url_path"), key("env").alias("env"),
         key("__archived_at").alias("archived_at"), key("__archived_for_deletion").alias("archived"),
     )
 
 
 @query("archive_counts", """
-SELECT model, least(count(*), 100) AS archived_count FROM content_entries WHERE model IN ('page', 'section', 'blog-post', 'product', 'symbol') GROUP BY model""")
+SELECT space_id, model, least(count(*), 100) AS archived_count FROM content_entries WHERE model IN ('page', 'section', 'blog-post', 'product', 'symbol') GROUP BY ALL""")
 def _(t):
     return topk.archive_counts(topk.archive_batch(t.content_entries, AS_OF))
 
@@ -201,24 +229,27 @@ def _(t):
     return tenancy.tenant_check(t.content_entries)
 
 
+SCOPE_MODELS = {"SHARED": "client-page", "DEDICATED": "page"}
+
+
 @query("tenant_scope", """
-WITH e AS (SELECT id, json_extract_string(data, '$.clientSlug') AS slug, json_extract_string(data, '$.urlPath') AS path, json_extract_string(data, '$.env') AS env FROM content_entries)
+WITH e AS (SELECT id, space_id, model, json_extract_string(data, '$.clientSlug') AS slug, json_extract_string(data, '$.urlPath') AS path, json_extract_string(data, '$.env') AS env FROM content_entries)
 SELECT r.request_id, r.space_mode, min(e.id) AS entry_id, 1::bigint AS position FROM content_requests r
-JOIN e ON e.path = r.url_path AND (r.space_mode = 'DEDICATED' OR (e.slug = r.client_slug AND e.env = r.env)) GROUP BY ALL""")
+JOIN e ON e.space_id = r.space_id AND e.path = r.url_path
+ AND ((r.space_mode = 'DEDICATED' AND e.model = 'page') OR (r.space_mode = 'SHARED' AND e.model = 'client-page' AND e.slug = r.client_slug AND e.env = r.env)) GROUP BY ALL""")
 def _(t):
-    return tenancy.tenant_scope(t.content_requests, t.content_entries)
+    return tenancy.tenant_scope(t.content_requests, t.content_entries, SCOPE_MODELS)
 
 
 @query("tenant_scope_list", """
-WITH e AS (SELECT id, model, json_extract_string(data, '$.clientSlug') AS slug, json_extract_string(data, '$.env') AS env FROM content_entries),
-s AS (SELECT slug, env, id FROM e WHERE model = 'client-page' QUALIFY row_number() OVER (PARTITION BY slug, env ORDER BY id) <= 100),
-d AS (SELECT id FROM e WHERE model = 'page' ORDER BY id LIMIT 100)
+WITH e AS (SELECT id, space_id, model, json_extract_string(data, '$.clientSlug') AS slug, json_extract_string(data, '$.env') AS env FROM content_entries),
+s AS (SELECT space_id, slug, env, id FROM e WHERE model = 'client-page' QUALIFY row_number() OVER (PARTITION BY space_id, slug, env ORDER BY id) <= 100),
+d AS (SELECT space_id, id FROM e WHERE model = 'page' QUALIFY row_number() OVER (PARTITION BY space_id ORDER BY id) <= 100)
 SELECT r.request_id, r.space_mode, count(*) AS entries, cast(sum(s.id) AS bigint) AS entry_sum, max(s.id) AS last_entry FROM content_requests r
-JOIN s ON s.slug = r.client_slug AND s.env = r.env WHERE r.space_mode = 'SHARED' GROUP BY ALL
-UNION ALL SELECT r.request_id, r.space_mode, (SELECT count(*) FROM d), (SELECT cast(sum(id) AS bigint) FROM d), (SELECT max(id) FROM d) FROM content_requests r WHERE r.space_mode = 'DEDICATED'""")
+JOIN s ON s.space_id = r.space_id AND s.slug = r.client_slug AND s.env = r.env WHERE r.space_mode = 'SHARED' GROUP BY ALL
+UNION ALL SELECT r.request_id, r.space_mode, count(*), cast(sum(d.id) AS bigint), max(d.id) FROM content_requests r JOIN d ON d.space_id = r.space_id WHERE r.space_mode = 'DEDICATED' GROUP BY ALL""")
 def _(t):
-    models = {"SHARED": "client-page", "DEDICATED": "page"}
-    seen = tenancy.tenant_scope(t.content_requests, t.content_entries, by_path=False, models=models)
+    seen = tenancy.tenant_scope(t.content_requests, t.content_entries, SCOPE_MODELS, by_path=False)
     return seen.groupBy("request_id", "space_mode").agg(
         F.count("*").alias("entries"), F.sum("entry_id").alias("entry_sum"), F.max("entry_id").alias("last_entry")
     )

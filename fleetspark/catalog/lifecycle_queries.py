@@ -1,5 +1,8 @@
 """Registered queries: row changes, sources and sinks."""
 
+import re
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetspark.catalog.registry import query
@@ -8,6 +11,7 @@ from fleetspark.functions.records import changed, json_text
 from fleetspark.functions.responses import parse_response_files
 from fleetspark.functions.times import duration_ms, moment
 from fleetspark.operators import lifecycle, topk
+from fleetspark.fixtures import TABLE_SQL
 from fleetspark.schemas import TABLES
 from fleetspark.session import work_dir
 from fleetspark.sources import messages, registry, snapshots, writers
@@ -43,10 +47,11 @@ def _(t):
 
 @query("apply_space_deltas", """
 WITH d AS (SELECT space_id, list(delta ORDER BY requested_at, id) AS deltas FROM space_deltas GROUP BY space_id)
-SELECT s.id, s.space_name, CASE WHEN d.space_id IS NULL THEN s.active_clients ELSE list_reduce(d.deltas, lambda n, x: greatest(0, n + x), s.active_clients) END AS active_clients
+SELECT s.id, s.space_name, CASE WHEN d.space_id IS NULL THEN s.active_clients ELSE list_reduce(d.deltas, lambda n, x: greatest(0, n + x), s.active_clients) END AS active_clients,
+ CASE WHEN d.space_id IS NULL THEN s.updated_at ELSE {now} END AS updated_at
 FROM builderio_shared_spaces s LEFT JOIN d ON d.space_id = s.id""")
 def _(t):
-    return lifecycle.apply_space_deltas(t.builderio_shared_spaces, t.space_deltas).select("id", "space_name", "active_clients")
+    return lifecycle.apply_space_deltas(t.builderio_shared_spaces, t.space_deltas, AS_OF).select("id", "space_name", "active_clients", "updated_at")
 
 
 @query("expire_tokens", "SELECT id, token, client_slug, expires_at, used FROM onboarding_tokens WHERE expires_at >= {now}")
@@ -87,23 +92,39 @@ def _(t):
     return lifecycle.recovery_eligibility(t.deleted_sites, AS_OF).select("id", "original_client_id", "eligible", "reason")
 
 
+# Asked for, eligible, newest of its slug, and the slug free.
+RECOVERED = f"""asked AS (SELECT DISTINCT project_name AS slug FROM generation_requests UNION SELECT client_slug FROM clients),
+d AS (SELECT *, {SLUG_OF} AS slug, NOT recovered AND NOT permanently_deleted AND {DEADLINE} > {{now}} AS fit FROM deleted_sites),
+r AS (SELECT id, row_number() OVER (PARTITION BY slug ORDER BY deleted_at DESC, id) AS place FROM d WHERE fit),
+g AS (SELECT d.*, d.slug IN (SELECT slug FROM asked) AS wanted, d.slug IN (SELECT client_slug FROM clients WHERE status <> 'deleted') AS taken, r.place FROM d LEFT JOIN r ON r.id = d.id),
+h AS (SELECT *, wanted AND fit AND NOT taken AND place = 1 AS go FROM g)"""
+
+
+def _recovered(t):
+    asked = t.generation_requests.select(F.col("project_name").alias("client_slug")).union(t.clients.select("client_slug"))
+    requests = asked.withColumn("recovered_by", F.col("client_slug"))
+    return lifecycle.recover(t.deleted_sites, requests, t.clients, AS_OF, F.concat(F.lit("r-"), F.col("original_client_id")))
+
+
 @query("recover", f"""
-WITH asked AS (SELECT client_slug AS slug, min(project_name) AS by_whom FROM (SELECT project_name AS client_slug, project_name FROM generation_requests) GROUP BY 1)
-SELECT 'r-' || original_client_id AS id, {SLUG_OF} AS client_slug, json_extract_string(client_data, '$.client_name') AS client_name, original_client_id, 'active' AS status, {{now}} AS created_at
-FROM deleted_sites WHERE {SLUG_OF} IN (SELECT slug FROM asked) AND NOT recovered AND NOT permanently_deleted AND {DEADLINE} > {{now}}""")
-def _(t):
-    requests = t.generation_requests.select(F.col("project_name").alias("client_slug"), F.col("project_name").alias("recovered_by"))
-    rows, _ = lifecycle.recover(t.deleted_sites, requests, AS_OF, F.concat(F.lit("r-"), F.col("original_client_id")))
-    return rows.select("id", "client_slug", "client_name", "original_client_id", "status", "created_at")
+WITH {RECOVERED}
+SELECT 'r-' || original_client_id AS id, slug AS client_slug, json_extract_string(client_data, '$.client_name') AS client_name, 'premium' AS builder_space_tier, 'DEDICATED' AS builder_space_mode,
+ json_extract_string(client_data, '$.industry') AS industry, json_extract_string(client_data, '$.github_repo') AS github_repo, 'vip' AS tags, original_client_id, 'active' AS status,
+ {{now}} AS created_at, NULL::timestamp AS deletion_scheduled_at FROM h WHERE go""")
+def _(t):
+    return _recovered(t)[0].select(
+        "id", "client_slug", "client_name", "builder_space_tier", "builder_space_mode", "industry", "github_repo", "tags", "original_client_id", "status",
+        "created_at", "deletion_scheduled_at",
+    )
 
 
 @query("recover_marks", f"""
-SELECT id, recovered OR go AS recovered, CASE WHEN go THEN {{now}} ELSE recovered_at END AS recovered_at, CASE WHEN go THEN 'r-' || original_client_id ELSE new_client_id END AS new_client_id
-FROM (SELECT *, {SLUG_OF} IN (SELECT project_name FROM generation_requests) AND NOT recovered AND NOT permanently_deleted AND {DEADLINE} > {{now}} AS go FROM deleted_sites)""")
+WITH {RECOVERED}
+SELECT id, recovered OR go AS recovered, CASE WHEN go THEN {{now}} ELSE recovered_at END AS recovered_at, CASE WHEN go THEN 'r-' || original_client_id ELSE new_client_id END AS new_client_id,
+ CASE WHEN NOT wanted OR go THEN NULL WHEN recovered THEN 'already recovered' WHEN permanently_deleted THEN 'permanently deleted' WHEN NOT fit THEN 'recovery window closed'
+  WHEN taken THEN 'slug in use' ELSE 'newer deletion recovered' END AS recovery_error FROM h""")
 def _(t):
-    requests = t.generation_requests.select(F.col("project_name").alias("client_slug"), F.col("project_name").alias("recovered_by"))
-    _, marked = lifecycle.recover(t.deleted_sites, requests, AS_OF, F.concat(F.lit("r-"), F.col("original_client_id")))
-    return marked.select("id", "recovered", "recovered_at", "new_client_id")
+    return _recovered(t)[1].select("id", "recovered", "recovered_at", "new_client_id", "recovery_error")
 
 
 @query("purge_due", f"""
@@ -190,18 +211,30 @@ def _(t):
 # Sources and sinks.  Each of these writes what Spark derives from the given
 # tables to the shared work folder and reads it back through the library.
 
-@query("scan_table", "\nUNION ALL ".join(
-    f"SELECT '{name}' AS table_name, count(*) AS row_count, count(DISTINCT id) AS ids FROM {name}" for name in TABLES
-))
+def _digest_columns(name: str) -> list[str]:
+    made = set(re.findall(r"\bAS (\w+)", TABLE_SQL[name]))
+    names = [column.split(" ")[0] for column in TABLES[name].split(", ")]
+    return [f"coalesce(cast({c} AS varchar), '~')" if c in made else "'~'" for c in names]
+
+
+def _digest_sql(name: str) -> str:
+    """Row count and an order-free digest over all declared columns as text."""
+    row = f"md5(concat_ws('|', {', '.join(_digest_columns(name))}))"
+    return f"SELECT '{name}' AS table_name, count(*) AS row_count, cast(sum(cast('0x' || left({row}, 12) AS bigint)) AS varchar) AS digest FROM {name}"
+
+
+@query("scan_table", "\nUNION ALL ".join(_digest_sql(name) for name in TABLES))
 def _(t):
     root = work_dir(t.spark, "tables")
     out = None
     for name in TABLES:
         registry.write_table(getattr(t, name), root, name)
         rows = registry.scan_table(t.spark, root, name)
-        counts = rows.agg(F.count("*").alias("row_count"), F.count_distinct("id").alias("ids"))
-        counts = counts.select(F.lit(name).alias("table_name"), "row_count", "ids")
-        out = counts if out is None else out.unionByName(counts)
+        texts = [F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in rows.columns]
+        number = F.conv(F.left(F.md5(F.concat_ws("|", *texts)), F.lit(12)), 16, 10).cast("decimal(20,0)")
+        digest = rows.agg(F.count("*").alias("row_count"), F.sum(number).cast("string").alias("digest"))
+        digest = digest.select(F.lit(name).alias("table_name"), "row_count", "digest")
+        out = digest if out is None else out.unionByName(digest)
     return out
 
 
@@ -229,7 +262,7 @@ seen AS (SELECT position, column_name, data_type, null_count FROM typed JOIN nul
 
 @query("schema_listing", f"WITH {OBSERVED_CLIENTS} SELECT * FROM seen")
 def _(t):
-    return registry.schema_listing(t.clients).select("position", "column_name", "data_type", "null_count")
+    return registry.schema_listing(t.clients, null_counts=True).select("position", "column_name", "data_type", "null_count")
 
 
 @query("schema_diff", f"""
@@ -291,19 +324,20 @@ def _(t):
 @query("insert_clients", """
 WITH f AS (SELECT * FROM onboarding_forms WHERE client_slug NOT IN (SELECT client_slug FROM clients) QUALIFY row_number() OVER (PARTITION BY client_slug ORDER BY form_id) = 1)
 SELECT client_name, client_slug, contact_email, website_type, tier AS builder_space_tier, if(tier = 'entry', 'SHARED', 'DEDICATED') AS builder_space_mode,
- if(tier = 'entry', 'shared-intake', NULL) AS gcp_project_id, 'pending_provisioning' AS status, 'client-' || client_slug || '-builder-public-key' AS builder_public_key FROM f""")
+ if(tier = 'entry', 'shared-intake', NULL) AS gcp_project_id, 'pending_provisioning' AS status, 'client-' || client_slug || '-builder-public-key' AS builder_public_key,
+ industry, {now} AS created_at, {now} AS updated_at, 1::bigint AS with_id FROM f""")
 def _(t):
     folder = work_dir(t.spark, "new-clients")
-    writers.insert_clients(t.onboarding_forms, t.clients, ["form_id"], folder)
-    return t.spark.read.schema(registry.table_schema("clients")).parquet(folder).select(
+    writers.insert_clients(t.onboarding_forms, t.clients, ["form_id"], folder, AS_OF)
+    return t.spark.read.schema(registry.table_schema("clients")).parquet(folder).withColumn("with_id", F.count("id").over(Window.partitionBy("id"))).select(
         "client_name", "client_slug", "contact_email", "website_type", "builder_space_tier", "builder_space_mode",
-        "gcp_project_id", "status", "builder_public_key",
+        "gcp_project_id", "status", "builder_public_key", "industry", "created_at", "updated_at", "with_id",
     )
 
 
 @query("publish_messages", """
 SELECT 'm-' || form_id AS client_id, client_slug, client_name, contact_email, website_type, tier, 'onboarding-form' AS initiated_by, '2024-01-31T00:00:00' AS requested_at,
- tier <> 'entry' AS has_keys, CASE WHEN tier <> 'entry' THEN builder_public_key END AS public_key FROM onboarding_forms""")
+ tier <> 'entry' AS has_keys, CASE WHEN tier <> 'entry' THEN builder_public_key END AS public_key, CASE WHEN tier <> 'entry' THEN coalesce(builder_space_id, '') END AS space_id FROM onboarding_forms""")
 def _(t):
     folder = work_dir(t.spark, "messages")
     made = messages.onboarding_messages(t.onboarding_forms, F.concat(F.lit("m-"), F.col("form_id").cast("string")), moment(AS_OF))
@@ -314,7 +348,7 @@ def _(t):
         key("clientId").alias("client_id"), key("clientSlug").alias("client_slug"), key("clientName").alias("client_name"),
         key("contactEmail").alias("contact_email"), key("websiteType").alias("website_type"), key("tier").alias("tier"),
         key("metadata.initiatedBy").alias("initiated_by"), key("metadata.requestedAt").alias("requested_at"),
-        F.contains("value", F.lit('"builder":')).alias("has_keys"), key("builder.publicKey").alias("public_key"),
+        F.contains("value", F.lit('"builder":')).alias("has_keys"), key("builder.publicKey").alias("public_key"), key("builder.spaceId").alias("space_id"),
     )
 
 

@@ -52,7 +52,7 @@ SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'github' WHEN
 """,
     "deleted_sites": """
 SELECT c_custkey AS id, concat('c-', lpad(cast(c_custkey AS varchar(20)), 8, '0')) AS original_client_id,
- concat('{"client_slug":"client-', cast(c_custkey AS varchar(20)), '","client_name":"', c_name, '"}') AS client_data,
+ concat('{"client_slug":"client-', cast(CASE WHEN c_custkey % 7 = 3 THEN c_custkey - 1 WHEN c_custkey % 7 = 4 THEN c_custkey - c_custkey % 35 ELSE c_custkey END AS varchar(20)), '","client_name":"', c_name, '","builder_space_tier":"premium","builder_space_mode":"DEDICATED","industry":"', lower(c_mktsegment), '","github_repo":"fleet/client-', cast(c_custkey AS varchar(20)), '","tags":["vip"],"deletion_scheduled_at":"2024-01-15T00:00:00"}') AS client_data,
  timestamp '2024-01-30 12:00:00' - (c_custkey % 45) * INTERVAL '1' DAY AS deleted_at,
  CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN timestamp '2024-01-30 12:00:00' - (c_custkey % 45) * INTERVAL '1' DAY - INTERVAL '1' DAY
  ELSE timestamp '2024-01-30 12:00:00' - (c_custkey % 45) * INTERVAL '1' DAY + INTERVAL '30' DAY END AS recovery_deadline, concat('admin', cast(c_custkey % 3 AS varchar(20))) AS deleted_by, CASE WHEN c_custkey % 4 = 1 THEN NULL ELSE 'contract ended' END AS deletion_reason,
@@ -82,7 +82,7 @@ SELECT event_id AS id, ts AS audit_ts, CASE event_type WHEN 'view' THEN 'get_con
  CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('client-', cast(user_id AS varchar(20))) END AS client_slug, (event_id % 10 <> 0) AS has_client_slug_filter, CASE WHEN event_id % 10 = 0 THEN 'UNSAFE' ELSE 'SAFE' END AS security_level, concat('/p/', cast(event_id % 30 AS varchar(20))) AS url_path, CASE WHEN event_id % 2 = 0 THEN 'SHARED' ELSE 'DEDICATED' END AS space_mode FROM events
 """,
     "builderio_shared_spaces": """
-SELECT n_nationkey AS id, n_name AS space_name, concat('space-', cast(n_nationkey AS varchar(20))) AS space_id, concat('pub-', cast(n_nationkey % 24 AS varchar(20))) AS public_key, CASE n_regionkey WHEN 0 THEN 'entry' WHEN 1 THEN 'premium' ELSE 'enterprise' END AS tier, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 100 * (n_nationkey % 4) END AS max_clients, n_nationkey % 7 AS active_clients, CASE WHEN n_nationkey % 5 = 4 THEN 'disabled' ELSE 'active' END AS status FROM nation
+SELECT n_nationkey AS id, n_name AS space_name, concat('space-', cast(n_nationkey AS varchar(20))) AS space_id, concat('pub-', cast(n_nationkey % 24 AS varchar(20))) AS public_key, CASE n_regionkey WHEN 0 THEN 'entry' WHEN 1 THEN 'premium' ELSE 'enterprise' END AS tier, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE 100 * (n_nationkey % 4) END AS max_clients, CASE WHEN n_nationkey % 9 = 6 THEN NULL ELSE n_nationkey % 7 END AS active_clients, timestamp '2024-01-01 00:00:00' AS updated_at, CASE WHEN n_nationkey % 5 = 4 THEN 'disabled' ELSE 'active' END AS status FROM nation
 """,
     "site_generations": """
 SELECT event_id AS id, ts AS created_at, concat('client-', cast(user_id AS varchar(20))) AS project_name, CASE event_type WHEN 'signup' THEN 'real-estate' WHEN 'click' THEN 'saas' WHEN 'error' THEN 'ecommerce' WHEN 'purchase' THEN 'healthcare' ELSE 'restaurant' END AS industry, event_id % 12 AS components_generated, event_id % 12 + 7 AS files_generated, cast(value AS decimal(10,2)) AS generation_time_seconds, (event_id % 6 <> 0) AS success,
@@ -102,22 +102,22 @@ SELECT page_id, CASE page_id % 6 WHEN 0 THEN concat('client-', cast(page_id AS v
 SELECT doc_id, concat(CASE doc_id % 4 WHEN 0 THEN concat('Here:', chr(10), '```json', chr(10)) WHEN 1 THEN concat('```', chr(10)) ELSE '' END, '{', chr(10), '  "files": [', chr(10), '    {"path":"components/Hero', cast(doc_id AS varchar(20)), '.tsx","content":"', replace(replace(replace(text, chr(92), concat(chr(92), chr(92))), chr(34), concat(chr(92), chr(34))), chr(10), concat(chr(92), 'n')), '"},', chr(10), '    {"path":"package.json","content":"', source, '"}', CASE WHEN doc_id % 5 = 0 THEN concat(',', chr(10), '    {"path":"lib/bu') ELSE concat(chr(10), '  ]', chr(10), '}') END, CASE WHEN doc_id % 4 < 2 AND doc_id % 5 <> 0 THEN concat(chr(10), '```') ELSE '' END) AS response_text FROM documents
 """,
     "content_entries": """
-SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'page' WHEN 1 THEN 'section' WHEN 2 THEN 'blog-post' WHEN 3 THEN 'client-page' WHEN 4 THEN 'symbol' ELSE 'product' END AS model, concat('client-', cast(doc_id % 20 AS varchar(20))) AS requested_slug, concat('{"clientSlug":"client-', cast(CASE WHEN doc_id % 37 = 0 THEN 99 ELSE doc_id % 20 END AS varchar(20)), '","urlPath":"/', lang, '/', source, '/","env":"', CASE WHEN doc_id % 3 = 0 THEN 'staging' ELSE 'entry' END, '"}') AS data FROM documents
+SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN 'page' WHEN 1 THEN 'section' WHEN 2 THEN 'blog-post' WHEN 3 THEN 'client-page' WHEN 4 THEN 'symbol' ELSE 'product' END AS model, concat('client-', cast(doc_id % 20 AS varchar(20))) AS requested_slug, CASE WHEN doc_id % 12 < 6 THEN concat('shared-', cast(doc_id % 4 AS varchar(20))) ELSE concat('own-client-', cast(doc_id % 20 AS varchar(20))) END AS space_id, concat('{"clientSlug":"client-', cast(CASE WHEN doc_id % 37 = 0 THEN 99 ELSE doc_id % 20 END AS varchar(20)), '","urlPath":"/', lang, '/src', cast(doc_id % 4 AS varchar(20)), '/","env":"', CASE WHEN doc_id % 3 = 0 THEN 'staging' ELSE 'entry' END, '"}') AS data FROM documents
 """,
     "onboarding_forms": """
-SELECT c_custkey AS form_id, CASE c_custkey % 6 WHEN 0 THEN '' ELSE c_name END AS client_name, CASE c_custkey % 5 WHEN 0 THEN concat('  ', c_name, ' _', c_mktsegment, '- ') WHEN 1 THEN '-x-' WHEN 2 THEN 'ab' ELSE concat('client-', cast(c_custkey AS varchar(20))) END AS client_slug, CASE c_custkey % 4 WHEN 0 THEN 'bad@x' ELSE concat('o', cast(c_custkey AS varchar(20)), '@example.com') END AS contact_email, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'marketing' WHEN 'BUILDING' THEN 'ecommerce' ELSE lower(c_mktsegment) END AS website_type, CASE WHEN c_acctbal < 3000 THEN 'entry' ELSE 'premium' END AS tier, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('pub-', md5(c_name)) ELSE 'short' END AS builder_public_key, CASE c_custkey % 3 WHEN 0 THEN '' ELSE md5(c_name) END AS builder_private_key FROM customer
+SELECT c_custkey AS form_id, CASE c_custkey % 6 WHEN 0 THEN '' ELSE c_name END AS client_name, CASE c_custkey % 5 WHEN 0 THEN concat('  ', c_name, ' _', c_mktsegment, '- ') WHEN 1 THEN '-x-' WHEN 2 THEN 'ab' ELSE concat('client-', cast(c_custkey AS varchar(20))) END AS client_slug, CASE c_custkey % 4 WHEN 0 THEN 'bad@x' ELSE concat('o', cast(c_custkey AS varchar(20)), '@example.com') END AS contact_email, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'marketing' WHEN 'BUILDING' THEN 'ecommerce' ELSE lower(c_mktsegment) END AS website_type, CASE WHEN c_acctbal < 3000 THEN 'entry' ELSE 'premium' END AS tier, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('pub-', md5(c_name)) ELSE 'short' END AS builder_public_key, CASE c_custkey % 3 WHEN 0 THEN '' ELSE md5(c_name) END AS builder_private_key, CASE WHEN c_custkey % 4 <> 2 THEN concat('sp-', cast(c_custkey AS varchar(20))) END AS builder_space_id, CASE WHEN c_custkey % 5 <> 2 THEN lower(c_mktsegment) END AS industry FROM customer
 """,
     "observed_resources": """
 SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'github' WHEN '2-HIGH' THEN 'vercel' WHEN '3-MEDIUM' THEN 'builder' WHEN '4-NOT SPECIFIED' THEN 'gcs' ELSE 'supabase' END AS platform,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'repository' WHEN '2-HIGH' THEN 'project' WHEN '3-MEDIUM' THEN 'space' WHEN '4-NOT SPECIFIED' THEN 'backup' ELSE 'client' END AS resource_type,
  concat('res-', cast(CASE WHEN o_orderkey % 13 = 5 THEN o_orderkey + 1000000000 ELSE o_orderkey END AS varchar(20))) AS resource_id, concat('client-', cast(o_custkey AS varchar(20))) AS resource_name
- FROM orders WHERE o_totalprice >= 60000
+ FROM orders
 """,
     "env_desired": """
 SELECT concat('client-', cast(p_partkey % 100 AS varchar(20))) AS project, concat('KEY_', cast(p_partkey AS varchar(20))) AS key, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_brand END AS value FROM part
 """,
     "env_existing": """
-SELECT concat('env-', cast(p_partkey AS varchar(20))) AS id, concat('client-', cast(p_partkey % 100 AS varchar(20))) AS project, concat('KEY_', cast(p_partkey AS varchar(20))) AS key FROM part WHERE p_size <= 12
+SELECT concat('env-', cast(p_partkey AS varchar(20))) AS id, concat('client-', cast(p_partkey % 100 AS varchar(20))) AS project, concat('KEY_', cast(CASE WHEN p_size > 12 THEN p_partkey + 1000000000 ELSE p_partkey END AS varchar(20))) AS key FROM part
 """,
     "deployment_polls": """
 SELECT event_id, cast(floor(event_id / 7) AS bigint) AS deployment_id, timestamp '2024-01-01 00:00:00' + cast(floor(event_id / 7) AS bigint) * INTERVAL '1' MINUTE + (event_id % 7) * INTERVAL '70' SECOND AS polled_at,
@@ -139,7 +139,7 @@ SELECT doc_id AS deployment_id, replace(replace(replace(text, '. ', chr(10)), 'i
 SELECT event_id AS request_id, concat('client-', cast(user_id AS varchar(20))) AS client_slug, CASE event_id % 10 WHEN 0 THEN 'color_palette' WHEN 1 THEN 'content' WHEN 2 THEN 'typography' WHEN 3 THEN 'layout' WHEN 4 THEN 'animation' WHEN 5 THEN 'add_section' WHEN 6 THEN 'fix_bug' WHEN 7 THEN 'update_images' WHEN 8 THEN 'seo' ELSE 'other' END AS edit_type FROM events
 """,
     "content_requests": """
-SELECT event_id AS request_id, concat('client-', cast(user_id % 21 AS varchar(20))) AS client_slug, CASE WHEN event_id % 2 = 0 THEN 'SHARED' ELSE 'DEDICATED' END AS space_mode, CASE event_id % 4 WHEN 0 THEN '/en/src0/' WHEN 1 THEN '/en/src3/' WHEN 2 THEN '/de/src7/' ELSE '/none' END AS url_path, CASE WHEN event_id % 3 = 0 THEN 'staging' ELSE 'entry' END AS env FROM events
+SELECT event_id AS request_id, concat('client-', cast(user_id % 21 AS varchar(20))) AS client_slug, CASE WHEN event_id % 2 = 0 THEN 'SHARED' ELSE 'DEDICATED' END AS space_mode, CASE WHEN event_id % 2 = 0 THEN concat('shared-', cast(user_id % 21 % 4 AS varchar(20))) ELSE concat('own-client-', cast(user_id % 21 AS varchar(20))) END AS space_id, CASE WHEN event_id % 16 = 15 THEN '/none' ELSE concat('/', CASE WHEN event_id % 3 = 0 THEN 'de' ELSE 'en' END, '/src', cast(user_id % 21 % 4 AS varchar(20)), '/') END AS url_path, CASE WHEN event_id % 3 = 0 THEN 'staging' ELSE 'entry' END AS env FROM events
 """,
     "generation_requests": """
 SELECT event_id AS request_id, concat('client-', cast(user_id * CASE WHEN event_id % 5 = 0 THEN 1000003 ELSE 1 END AS varchar(20))) AS project_name, CASE WHEN event_id % 7 = 0 THEN NULL ELSE concat('req', cast(user_id AS varchar(20)), '@example.com') END AS contact_email, CASE WHEN event_id % 4 = 0 THEN 'INTAKE' ELSE 'DEDICATED' END AS mode FROM events

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from fleetspark.functions.records import changed, clamped, derived_uuid, is_false, json_text
 from fleetspark.functions.times import days, moment, recovery_deadline
 from fleetspark.operators.joins import latest_health
+from fleetspark.schemas import TABLES, table_schema
 
 # Status words and column defaults.
 DELETED = "deleted"
@@ -42,15 +43,20 @@ def sync_inventory(inventory: DataFrame, clients: DataFrame, slugs: DataFrame, a
     }).drop("_wanted", "_client")
 
 
-def apply_space_delta(spaces: DataFrame, space_id: Column | int, delta: int) -> DataFrame:
-    """One change of one space's counter."""
+def apply_space_delta(spaces: DataFrame, space_id: Column | int, delta: int, as_of) -> DataFrame:
+    """One change of one space's counter; an unknown counter becomes 0."""
     hit = F.col("id") == space_id
-    return spaces.withColumn("active_clients", F.when(hit, clamped(F.col("active_clients"), F.lit(delta))).otherwise(F.col("active_clients")))
+    return spaces.withColumns({
+        "active_clients": F.when(hit, clamped(F.col("active_clients"), F.lit(delta))).otherwise(F.col("active_clients")),
+        "updated_at": F.when(hit, moment(as_of)).otherwise(F.col("updated_at")),
+    })
 
 
-def apply_space_deltas(spaces: DataFrame, deltas: DataFrame, partitions: int | None = None) -> DataFrame:
+def apply_space_deltas(spaces: DataFrame, deltas: DataFrame, as_of, partitions: int | None = None) -> DataFrame:
     """A batch of counter changes (space_id, requested_at, id, delta), in order, each clamped at zero.
 
+    The first change of an unknown counter gives 0, as it does alone.
+
     A run of clamped changes turns n into S + max(n, -m), with S the sum of the run
     and m its smallest prefix sum.  Runs compose, so the ordered batch is cut into
     ranges, each range is summed up by itself, and the summaries, a few per space,
@@ -73,15 +79,18 @@ def apply_space_deltas(spaces: DataFrame, deltas: DataFrame, partitions: int | N
         F.sum("_sum").alias("_sum"), F.min(F.col("_before") + F.col("_low")).alias("_low")
     )
     joined = spaces.join(total, F.col("id") == F.col("_space"), "left")
-    start = F.coalesce(F.col("active_clients"), F.lit(0))
-    folded = (F.col("_sum") + F.greatest(start, -F.col("_low"))).cast("int")
-    new = F.when(F.col("_space").isNull(), F.col("active_clients")).otherwise(folded)
-    return joined.withColumn("active_clients", new).drop("_space", "_sum", "_low")
+    # A null start is left out by greatest, which is a start below every prefix sum.
+    folded = (F.col("_sum") + F.greatest(F.col("active_clients"), -F.col("_low"))).cast("int")
+    hit = F.col("_space").isNotNull()
+    return joined.withColumns({
+        "active_clients": F.when(hit, folded).otherwise(F.col("active_clients")),
+        "updated_at": F.when(hit, moment(as_of)).otherwise(F.col("updated_at")),
+    }).drop("_space", "_sum", "_low")
 
 
 def expire_tokens(tokens: DataFrame, as_of) -> DataFrame:
-    """Tokens without those that expired before as_of."""
-    return tokens.filter(~(F.col("expires_at") < moment(as_of)))
+    """Tokens without those that expired before as_of; one without a time stays."""
+    return tokens.filter(~F.coalesce(F.col("expires_at") < moment(as_of), F.lit(False)))
 
 
 def consume_tokens(tokens: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -162,28 +171,46 @@ def recovery_eligibility(deleted_sites: DataFrame, as_of) -> DataFrame:
     return deleted_sites.withColumns({"eligible": reason.isNull(), "reason": reason})
 
 
-def recover(deleted_sites: DataFrame, requests: DataFrame, as_of, new_id: Column | None = None):
+def recover(deleted_sites: DataFrame, requests: DataFrame, clients: DataFrame, as_of, new_id: Column | None = None):
     """Recover requested slugs (client_slug, recovered_by): (new client rows, changed deleted_sites).
 
+    A new client has all fields of the snapshot, with a new id, active and no longer scheduled
+    for deletion.  Of several deletions of one slug the newest eligible one is recovered, and
+    none while a live client has the slug; ``recovery_error`` says why a request was refused.
     A new id is made from the deleted row and the time, so both frames agree on it.
     """
     asked = requests.groupBy(F.col("client_slug").alias("_slug")).agg(F.min("recovered_by").alias("_by"))
-    checked = recovery_eligibility(deleted_sites, as_of)
-    joined = checked.join(asked, json_text(F.col("client_data"), "client_slug") == F.col("_slug"), "left")
-    go = F.col("_slug").isNotNull() & F.col("eligible")
+    live = clients.filter(~F.col("status").eqNullSafe(DELETED)).select(F.col("client_slug").alias("_live")).distinct()
+    keyed = recovery_eligibility(deleted_sites, as_of).withColumn("_key", json_text(F.col("client_data"), "client_slug"))
+    # One row per slug: the newest eligible deletion.
+    newest = keyed.filter("eligible").groupBy(F.col("_key").alias("_top_key")).agg(F.max("deleted_at").alias("_top_at"))
+    first = (
+        keyed.filter("eligible").join(newest, (F.col("_key") == F.col("_top_key")) & F.col("deleted_at").eqNullSafe(F.col("_top_at")))
+        .groupBy("_top_key").agg(F.min("id").alias("_top_id"))
+    )
+    joined = (
+        keyed.join(asked, F.col("_key") == F.col("_slug"), "left").join(first, F.col("_key") == F.col("_top_key"), "left")
+        .join(live, F.col("_key") == F.col("_live"), "left")
+    )
+    wanted = F.col("_slug").isNotNull()
+    error = F.when(wanted, F.coalesce(
+        "reason", F.when(F.col("_live").isNotNull(), "slug in use").when(F.col("id") != F.col("_top_id"), "newer deletion recovered"),
+    ))
     fresh = derived_uuid(F.col("id").cast("string"), F.lit(str(as_of))) if new_id is None else new_id
-    marked = joined.withColumn("_new", F.when(go, fresh))
-    data = F.from_json("client_data", "client_slug string, client_name string, contact_email string, website_type string")
-    rows = marked.filter(go).select(
-        F.col("_new").alias("id"), data.alias("_data"), F.col("original_client_id")
-    ).select("id", "_data.*", "original_client_id", F.lit("active").alias("status"), moment(as_of).alias("created_at"))
+    marked = joined.withColumn("recovery_error", error)
+    go = F.col("_slug").isNotNull() & F.col("recovery_error").isNull()
+    marked = marked.withColumn("_new", F.when(go, fresh))
+    data = F.from_json("client_data", TABLES["clients"])
+    rows = marked.filter(go).select(F.col("_new"), "original_client_id", data.alias("_data"))
+    changed_fields = {"id": F.col("_new"), "status": F.lit("active"), "created_at": moment(as_of), "updated_at": moment(as_of), "deletion_scheduled_at": F.lit(None).cast("timestamp_ntz")}
+    fields = [changed_fields.get(f.name, F.col(f"_data.{f.name}")).alias(f.name) for f in table_schema("clients")]
     done = marked.withColumns({
         "recovered": F.when(go, True).otherwise(F.col("recovered")),
         "recovered_at": F.when(go, moment(as_of)).otherwise(F.col("recovered_at")),
         "recovered_by": F.when(go, F.col("_by")),
         "new_client_id": F.when(go, F.col("_new")).otherwise(F.col("new_client_id")),
-    }).drop("_slug", "_by", "_new", "eligible", "reason")
-    return rows, done
+    }).drop("_slug", "_by", "_new", "_key", "_top_key", "_top_id", "_live", "eligible", "reason")
+    return rows.select(*fields, "original_client_id"), done
 
 
 def purge_due(deleted_sites: DataFrame, as_of) -> DataFrame:

@@ -33,40 +33,28 @@ def content_query(entries: DataFrame, model: str, query: dict[str, str] | None =
 
 
 def tenant_scope(
-    requests: DataFrame, entries: DataFrame, by_path: bool = True, limit: int | None = None,
-    models: dict[str, str] | None = None,
+    requests: DataFrame, entries: DataFrame, models: dict[str, str], by_path: bool = True, limit: int | None = None,
 ) -> DataFrame:
     """Entries each request gets: (request_id, space_mode, entry_id, position).
 
-    A page request (``by_path``) gets the first entry: in a shared space that of
-    its slug, path and environment, in a dedicated one that of its path.  A list
-    request gets up to 100: of its slug and environment, or any in a dedicated
-    space.  ``models`` names the content model per space mode.
-
-    Entries are ranked and cut per scope before the join, so one scope never
-    brings more than ``limit`` rows to a request.
+    A request only ever sees entries of its own space (``space_id``) and of the content model
+    that ``models`` names for its mode.  In a shared space they must also have its slug and
+    environment.  A page request (``by_path``) gets the first one of its path, a list request up
+    to 100.  Entries are ranked and cut per scope before the join, so one scope never brings
+    more than ``limit`` rows to a request.
     """
     limit = limit or (1 if by_path else SCOPE_LIMIT)
     data, order = F.col("data"), [F.col("entry_id").asc()]
-    shared_keys = {"_slug": "client_slug", "_env": "env"} | ({"_path": "url_path"} if by_path else {})
-    own_keys = {"_path": "url_path"} if by_path else {}
+    own_keys = {"_space": "space_id"} | ({"_path": "url_path"} if by_path else {})
+    shared_keys = own_keys | {"_slug": "client_slug", "_env": "env"}
     found = []
     for mode, keys in {"SHARED": shared_keys, "DEDICATED": own_keys}.items():
-        rows = entries.filter(F.col("model") == models[mode]) if models else entries
-        fields = rows.select(
-            F.col("id").alias("entry_id"), json_text(data, "clientSlug").alias("_slug"),
+        fields = entries.filter(F.col("model") == models[mode]).select(
+            F.col("id").alias("entry_id"), F.col("space_id").alias("_space"), json_text(data, "clientSlug").alias("_slug"),
             json_text(data, "urlPath").alias("_path"), json_text(data, "env").alias("_env"),
         )
-        asked = requests.filter(F.col("space_mode") == mode)
-        if keys:
-            asked = asked.withColumns({key: F.col(source) for key, source in keys.items()})
-            first = top_per_key(fields.dropna(subset=list(keys)), list(keys), order, limit, rank="position")
-            joined = asked.join(first.select("entry_id", "position", *keys), list(keys), "inner")
-        else:
-            # The same list for all: at most ``limit`` rows, so it is sent to every task.
-            ranked = fields.orderBy(*order).limit(limit).select(F.array_agg("entry_id").alias("_ids"))
-            ranked = ranked.select(F.posexplode(F.sort_array("_ids")).alias("position", "entry_id"))
-            first = ranked.select("entry_id", (F.col("position") + 1).alias("position"), F.lit(mode).alias("space_mode"))
-            joined = asked.join(F.broadcast(first), "space_mode", "inner")
+        asked = requests.filter(F.col("space_mode") == mode).withColumns({key: F.col(source) for key, source in keys.items()})
+        first = top_per_key(fields.dropna(subset=list(keys)), list(keys), order, limit, rank="position")
+        joined = asked.join(first.select("entry_id", "position", *keys), list(keys), "inner")
         found.append(joined.select("request_id", "space_mode", "entry_id", F.col("position").cast("bigint").alias("position")))
     return found[0].unionByName(found[1])

@@ -53,9 +53,9 @@ def newest_backup_first():
     return [F.col("created_at").desc_nulls_last(), F.col("name").asc()]
 
 
-def list_backups(backups: DataFrame, client_slug: str | None = None) -> DataFrame:
+def list_backups(backups: DataFrame, client_slug: str | None = None, ordered: bool = True) -> DataFrame:
     rows = backups if client_slug is None else backups.filter(F.col("client_slug") == client_slug)
-    return rows.orderBy("client_slug", *newest_backup_first())
+    return rows.orderBy("client_slug", *newest_backup_first()) if ordered else rows
 
 
 def latest_backup(clients: DataFrame, backups: DataFrame) -> DataFrame:
@@ -99,21 +99,22 @@ def backup_retention_summary(backups: DataFrame, keep_latest: bool = True) -> Da
     )
 
 
-def backup_expiry(backups: DataFrame, deleted_sites: DataFrame, as_of) -> DataFrame:
-    """Backups of soft-deleted, unrecovered sites past their deadline."""
+def backup_expiry(backups: DataFrame, deleted_sites: DataFrame, clients: DataFrame, as_of) -> DataFrame:
+    """Backups of soft-deleted, unrecovered sites past their deadline; a slug that a live client has keeps all of its."""
     deadline = recovery_deadline(F.col("deleted_at"), F.col("recovery_deadline"))
     expired = (
         deleted_sites.filter(is_false("recovered") & (deadline < moment(as_of)))
         .groupBy(json_text(F.col("client_data"), "client_slug").alias("client_slug"))
         .agg(F.max(deadline).alias("deadline"))
     )
-    return backups.join(expired, "client_slug", "inner")
+    live = clients.filter(~F.col("status").eqNullSafe("deleted")).select("client_slug")
+    return backups.join(expired.join(live, "client_slug", "left_anti"), "client_slug", "inner")
 
 
 def archive_batch(entries: DataFrame, archived_at, limit: int = ARCHIVE_LIMIT) -> DataFrame:
-    """First entries of each archivable model, with two archive keys set in their JSON."""
+    """First entries of each space and archivable model, with two archive keys set in their JSON."""
     rows = entries.filter(F.col("model").isin(ARCHIVE_MODELS))
-    first = top_per_key(rows, ["model"], [F.col("id").asc_nulls_last()], limit).filter(F.col("id").isNotNull())
+    first = top_per_key(rows, ["space_id", "model"], [F.col("id").asc_nulls_last()], limit).filter(F.col("id").isNotNull())
     return first.withColumn("data", stamped_json(F.col("data"), archived_at))
 
 
@@ -132,4 +133,4 @@ def stamped_json(data, archived_at):
 
 
 def archive_counts(batch: DataFrame) -> DataFrame:
-    return batch.groupBy("model").agg(F.count("*").alias("archived_count"))
+    return batch.groupBy("space_id", "model").agg(F.count("*").alias("archived_count"))

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from fleetspark.operators import aggregates, filters, joins, lifecycle, topk
+from fleetspark.operators import aggregates, filters, joins, lifecycle, tenancy, topk
+from fleetspark.plans.site_details import site_details
 from fleetspark.sources import writers
 
 NOW = "2024-01-31 00:00:00"
@@ -77,11 +78,37 @@ def test_recover(spark):
     assert rows(lifecycle.recovery_eligibility(sites, NOW), "id", "reason") == [
         (1, None), (2, "recovery window closed"), (3, "already recovered"), (4, "permanently deleted")]
     asked = spark.createDataFrame([("a", "me"), ("b", "me"), ("a", "you")], "client_slug string, recovered_by string")
-    new, marked = lifecycle.recover(sites, asked, NOW)
+    clients = spark.createDataFrame([("live",)], "client_slug string").withColumn("status", F.lit("active"))
+    new, marked = lifecycle.recover(sites, asked, clients, NOW)
     made = rows(new, "client_slug", "client_name", "status", "id")
     assert [r[:3] for r in made] == [("a", "A", "active")]
     assert rows(marked.filter("id = 1"), "recovered", "new_client_id", "recovered_by") == [(True, made[0][3], "me")]
     assert rows(marked.filter("id > 1"), "id", "recovered", "new_client_id") == [(2, False, None), (3, True, "n"), (4, False, None)]
+    assert rows(marked, "id", "recovery_error") == [(1, None), (2, "recovery window closed"), (3, None), (4, None)]
+
+
+def test_recover_takes_the_whole_row_and_one_deletion_per_slug(spark):
+    late = AT + timedelta(days=3)
+    data = '{"client_slug":"%s","client_name":"A","builder_space_tier":"premium","tags":["x"],"metadata":"{}","github_repo":"r","status":"deleted","deletion_scheduled_at":"2024-01-01T00:00:00"}'
+    gone = lambda i, slug, days: (i, f"c{i}", data % slug, AT - timedelta(days=days), late, False, None, None, False)
+    sites = spark.createDataFrame([gone(1, "a", 2), gone(2, "a", 1), gone(3, "b", 1), gone(4, "a", 1)],
+                                  "id int, original_client_id string, client_data string, deleted_at timestamp_ntz, recovery_deadline timestamp_ntz, recovered boolean, "
+                                  "recovered_at timestamp_ntz, new_client_id string, permanently_deleted boolean")
+    asked = spark.createDataFrame([("a", "me"), ("b", "me")], "client_slug string, recovered_by string")
+    clients = spark.createDataFrame([("a", "deleted"), ("b", "active")], "client_slug string, status string")
+    new, marked = lifecycle.recover(sites, asked, clients, NOW)
+    row = new.first()
+    assert new.count() == 1 and (row["original_client_id"], row["builder_space_tier"], row["tags"], row["github_repo"], row["status"], row["deletion_scheduled_at"]) == (
+        "c2", "premium", ["x"], "r", "active", None)
+    assert rows(marked, "id", "recovery_error") == [(1, "newer deletion recovered"), (2, None), (3, "slug in use"), (4, "newer deletion recovered")]
+
+
+def test_backups_of_a_live_slug_do_not_expire(spark):
+    sites = spark.createDataFrame([('{"client_slug":"a"}', AT, AT - timedelta(days=1), False), ('{"client_slug":"b"}', AT, AT - timedelta(days=1), False)],
+                                  "client_data string, deleted_at timestamp_ntz, recovery_deadline timestamp_ntz, recovered boolean")
+    backups = spark.createDataFrame([("a", "x"), ("b", "y")], "client_slug string, name string")
+    clients = spark.createDataFrame([("a", "active"), ("b", "deleted")], "client_slug string, status string")
+    assert rows(topk.backup_expiry(backups, sites, clients, NOW), "name") == [("y",)]
 
 
 def test_purge_stages(spark):
@@ -140,12 +167,12 @@ def test_new_clients_take_the_first_free_form(spark):
     forms = spark.createDataFrame([(2, "N2", "x", "e", "blog", "entry"), (1, "N1", "x", "e", "blog", "premium"), (3, "N3", "taken", "e", "blog", "entry")],
                                   "form_id int, client_name string, client_slug string, contact_email string, website_type string, tier string")
     taken = spark.createDataFrame([("taken",)], "client_slug string")
-    assert rows(writers.new_clients(forms, taken, ["form_id"]), "client_name", "builder_space_mode", "gcp_project_id") == [("N1", "DEDICATED", None)]
+    assert rows(writers.new_clients(forms, taken, ["form_id"], NOW), "client_name", "builder_space_mode", "gcp_project_id") == [("N1", "DEDICATED", None)]
 
 
 def test_archive_keeps_value_types_and_replaces_keys(spark):
     df = spark.createDataFrame([(1, "page", '{"n":1,"o":{"a":[1,2]},"__archived_at":"old"}'), (2, "client-page", "{}"), (3, "symbol", None), (None, "page", "{}")],
-                               "id long, model string, data string")
+                               "id long, model string, data string").withColumn("space_id", F.lit("s"))
     got = {r["id"]: r["data"] for r in topk.archive_batch(df, NOW).collect()}
     import json
     assert set(got) == {1, 3}
@@ -153,6 +180,35 @@ def test_archive_keeps_value_types_and_replaces_keys(spark):
     assert json.loads(got[3]) == {"__archived_at": "2024-01-31T00:00:00", "__archived_for_deletion": True}
 
 
+def test_archive_batch_is_per_space(spark):
+    df = spark.range(600).select("id", F.lit("page").alias("model"), (F.col("id") % 2).alias("space_id"), F.lit("{}").alias("data"))
+    assert rows(topk.archive_counts(topk.archive_batch(df, NOW)), "space_id", "archived_count") == [(0, 100), (1, 100)]
+
+
+def test_a_request_sees_its_own_space_only(spark):
+    entry = lambda i, space, model, slug: (i, space, model, '{"clientSlug":"%s","urlPath":"/p","env":"e"}' % slug)
+    entries = spark.createDataFrame([entry(1, "own-a", "page", "a"), entry(2, "own-b", "page", "b"), entry(3, "s1", "client-page", "a"), entry(4, "s2", "client-page", "a")],
+                                    "id long, space_id string, model string, data string")
+    asked = spark.createDataFrame([(1, "a", "DEDICATED", "own-a", "/p", "e"), (2, "b", "DEDICATED", "own-b", "/p", "e"), (3, "a", "SHARED", "s2", "/p", "e"), (4, "z", "DEDICATED", "own-z", "/p", "e")],
+                                  "request_id long, client_slug string, space_mode string, space_id string, url_path string, env string")
+    models = {"SHARED": "client-page", "DEDICATED": "page"}
+    for by_path in (True, False):
+        got = tenancy.tenant_scope(asked, entries, models, by_path=by_path)
+        assert rows(got, "request_id", "entry_id") == [(1, 1), (2, 2), (3, 4)]
+        spaces = entries.select(F.col("id").alias("entry_id"), F.col("space_id").alias("entry_space"))
+        assert got.join(spaces, "entry_id").join(asked, "request_id").where("entry_space <> space_id").count() == 0
+
+
+def test_site_details_hold_every_row(spark):
+    clients = spark.createDataFrame([("c", "slug", "N", "active", AT)], "id string, client_slug string, client_name string, status string, created_at timestamp_ntz")
+    many = spark.range(30)
+    deployments = many.select("id", F.lit("c").alias("client_id"), F.lit("sha").alias("commit_sha"), F.lit("ok").alias("status"), F.lit(AT).alias("deployed_at"))
+    checks = many.select("id", F.lit("c").alias("client_id"), F.lit("down").alias("overall_status"), F.lit(AT).alias("checked_at"))
+    log = many.select("id", F.lit("slug").alias("client_slug"), F.lit("t").alias("operation_type"), F.lit("s").alias("operation_status"), F.lit(AT).alias("started_at"))
+    got = site_details(clients, deployments, checks, log).groupBy("kind").count()
+    assert rows(got, "kind", "count") == [("deployment", 30), ("health_check", 30), ("operation", 30), ("site", 1)]
+
+
 def test_env_diff_and_reconcile(spark):
     want = spark.createDataFrame([("p", "A", "1"), ("p", "B", None), ("p", "C", "3")], "project string, key string, value string")
     have = spark.createDataFrame([("e2", "p", "A"), ("e1", "p", "A"), ("e3", "p", "B")], "id string, project string, key string")
