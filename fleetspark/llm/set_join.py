@@ -2,8 +2,9 @@
 
 Sets are embedded as 64 MinHash tokens.  From the root on, every set follows those of its tokens
 that a hash of path and token selects, 1/threshold of them on average, so that similar sets keep
-meeting and others part.  Buckets of up to ``LIMIT`` sets are compared pair by pair; larger ones
-recurse.  ``REPETITIONS`` independent trees reach the target recall.  Comparing tokens loosely
+meeting and others part.  Buckets of up to ``LIMIT`` sets are compared pair by pair.  Of larger
+ones every set is compared with ``SAMPLES`` members, which settles groups of copies that no path
+would split, and the sets go on to the next level.  ``REPETITIONS`` independent trees reach the target recall.  Comparing tokens loosely
 gives candidate components, and exact Jaccard is then computed for all pairs of each component.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetspark.llm import textops
@@ -26,6 +27,10 @@ NUMERATOR, DENOMINATOR = 4, 5
 REPETITIONS = 10
 LEVELS = 4
 LIMIT = 32
+#: Members of a larger bucket that all others are compared with.
+SAMPLES = 8
+#: Sets compared in one group.
+CHUNK = 1024
 #: Equal tokens from which a pair of a bucket is a candidate: four standard deviations below the threshold.
 LOOSE = 38
 #: Shingles compared in one group; larger components are dealt to pairs of chunks.
@@ -169,6 +174,25 @@ def _loose(batches):
         yield pa.RecordBatch.from_arrays([column.take(pa.array(own)), column.take(pa.array(label[own]))], ["a", "b"])
 
 
+def _with_samples(batches):
+    """Star edges between the sets of a bucket's chunk and the samples that come with them."""
+    for table in _groups(batches, ["path", "chunk"]):
+        path, chunk = (table.column(k).to_numpy() for k in ("path", "chunk"))
+        sketches, sample = _matrix(table.column("sketch").combine_chunks()), table.column("sample").to_numpy()
+        cuts = [0, *(np.flatnonzero((path[1:] != path[:-1]) | (chunk[1:] != chunk[:-1])) + 1), table.num_rows]
+        a, b = [], []
+        for s, e in zip(cuts, cuts[1:]):
+            for p in s + np.flatnonzero(sample[s:e]):
+                like = s + np.flatnonzero((sketches[s:e] == sketches[p]).sum(axis=1) >= LOOSE)
+                a.append(np.full(len(like), p))
+                b.append(like)
+        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
+        label = _least_labels(table.num_rows, a, b)
+        own = np.flatnonzero(label != np.arange(table.num_rows))
+        column = table.column("set_key").combine_chunks()
+        yield pa.RecordBatch.from_arrays([column.take(pa.array(own)), column.take(pa.array(label[own]))], ["a", "b"])
+
+
 def _exact(batches):
     """Per set of a group its exact links, and star edges of the components they form.  A group of
     two chunks counts the pairs between them only; the pairs within belong to each chunk's own group."""
@@ -287,15 +311,32 @@ def _candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
         last = depth == LEVELS
         here = met if last else met.where(F.col("size") <= LIMIT)
         # Buckets of the last level are as large as their copies are many: they are dealt to pairs of chunks.
-        dealt = _dealt(here.withColumn("chunks", F.ceil(F.col("size") / 1024)), "path", "chunks", "set_key")
-        edges = written(_in_groups(dealt, ["path", "c1", "c2"]).select("path", "c1", "c2", "set_key", "sketch").mapInArrow(_loose, "a binary, b binary").distinct(), spark, "stars")
+        dealt = _dealt(here.withColumn("chunks", F.ceil(F.col("size") / CHUNK)), "path", "chunks", "set_key")
+        edges = _in_groups(dealt, ["path", "c1", "c2"]).select("path", "c1", "c2", "set_key", "sketch").mapInArrow(_loose, "a binary, b binary")
+        large = None if last else met.where(F.col("size") > LIMIT)
+        if large is not None and large.isEmpty():
+            large = None
+        if large is not None:
+            edges = edges.unionByName(_sampled(large))
+        edges = written(edges.distinct(), spark, "stars")
         found = edges if found is None else found.unionByName(edges)
-        if last or met.where(F.col("size") > LIMIT).isEmpty():
+        if large is None:
             break
-        level = met.where(F.col("size") > LIMIT).select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
+        level = large.select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
     return found
 
 
+def _sampled(large: DataFrame) -> DataFrame:
+    """Star edges of large buckets: chunks of their sets, each with the bucket's samples."""
+    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
+    rows = large.select("path", F.pmod(F.xxhash64("set_key"), chunks).cast("int").alias("chunk"), "set_key", "sketch", F.lit(False).alias("sample"))
+    order = Window.partitionBy("path").orderBy(F.xxhash64("set_key", "path"), "set_key")
+    first = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLES)
+    first = first.select("path", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "set_key", "sketch", F.lit(True).alias("sample"))
+    groups = _in_groups(rows.unionByName(first), ["path", "chunk"])
+    return groups.select("path", "chunk", "set_key", "sketch", "sample").mapInArrow(_with_samples, "a binary, b binary")
+
+
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, the first by doc_id; wordless documents stay."""
     keepers = classes(spark, docs).select(F.col("keeper").alias("__keeper")).distinct()
