@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fleetspark.catalog.registry import query
+from fleetspark.catalog.tables import AS_OF
 from fleetspark.functions import forms, responses, text
 from fleetspark.functions.records import changed, clamped, computed_once
 
@@ -172,9 +173,10 @@ def _(t):
 @query("derive_client_record", """
 SELECT form_id, client_name, client_slug, contact_email, website_type, tier AS builder_space_tier, if(tier = 'entry', 'SHARED', 'DEDICATED') AS builder_space_mode,
  if(tier = 'entry', 'shared-intake', NULL) AS gcp_project_id, 'pending_provisioning' AS status, 'client-' || client_slug || '-builder-public-key' AS builder_public_key,
- 'client-' || client_slug || '-builder-private-key' AS builder_private_key, 'client-' || client_slug || '-builder-space-id' AS builder_space_id FROM onboarding_forms""")
+ 'client-' || client_slug || '-builder-private-key' AS builder_private_key, 'client-' || client_slug || '-builder-space-id' AS builder_space_id,
+ industry, md5(concat_ws('|', client_slug, '{as_of}')) AS id, {now} AS created_at, {now} AS updated_at FROM onboarding_forms""".replace("{as_of}", AS_OF))
 def _(t):
-    return t.onboarding_forms.select("form_id", *forms.client_record())
+    return t.onboarding_forms.select("form_id", *forms.client_record(AS_OF)).withColumn("id", F.replace("id", F.lit("-"), F.lit("")))
 
 
 @query("mode_to_space_and_model", """
