@@ -8,6 +8,9 @@ size of its planes.  Spark's committer writes both, so a lost executor leaves no
 
 from __future__ import annotations
 
+import array
+import os
+import re
 import zlib
 
 import numpy as np
@@ -20,8 +23,10 @@ BLOCK = 1 << 16
 LEVEL = 3
 #: Documents whose ids end with this id.
 END_ID = 2
-#: Texts encoded before their memory is reused; a full memory is cleared, which changes no result.
-MEMORY = 200_000
+#: Parts remembered per task; a full memory is cleared, which changes no result.
+MEMORY = 150_000
+#: Characters encoded at once.
+SLICE = 1 << 20
 CHUNK_SCHEMA = (
     "shard int, block int, n_ids int, width int, planes array<binary>, doc_nos array<long>, doc_ids array<long>, "
     "lengths array<int>, begins array<boolean>, ends array<boolean>"
@@ -59,30 +64,64 @@ def from_planes(n: int, width: int, planes: list[bytes]) -> np.ndarray:
     return ids
 
 
+# Letters and marks that start no contraction: the vocabulary's pattern always parts them, and
+# lower-cases the letters one by one.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 def _encoder(path: str):
-    """Text -> little-endian ids of the library.  The vocabulary drops white space and no piece
-    spans any, so each blank-separated part is encoded once and remembered."""
+    """Texts -> their little-endian ids by the library.  The vocabulary drops white space and no
+    piece spans any, so each part between blanks or line ends is encoded once and remembered."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    pieces: dict[str, bytes] = {}
     memory: dict[str, bytes] = {}
 
-    def encode(text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        missing = list({p for p in parts if p not in memory})
+    def learn(parts: set[str]) -> None:
+        if len(memory) + len(parts) > MEMORY:
+            memory.clear()
+        if len(pieces) + len(parts) > MEMORY:
+            pieces.clear()
+        split = {}
+        for p in parts:
+            m = _SIMPLE.fullmatch(p)
+            split[p] = (m[1].lower(), m[2]) if m else (p, "")
+        missing = list({x for pair in split.values() for x in pair if x not in pieces})
+        for piece, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
+            pieces[piece] = array.array("I", e.ids).tobytes()
+        for p, (word, marks) in split.items():
+            memory[p] = pieces[word] + pieces[marks]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        missing = {p for parts in split for p in parts}
+        missing.difference_update(memory)
         if missing:
             if len(memory) + len(missing) > MEMORY:
-                memory.clear()
-                missing = list(set(parts))
-            for part, e in zip(missing, tokenizer.encode_batch(missing, add_special_tokens=False)):
-                memory[part] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([memory[p] for p in parts])
+                missing = {p for parts in split for p in parts}
+            learn(missing)
+        return [b"".join([memory[p] for p in parts]) for parts in split]
 
     return encode
 
 
+def _encoded(encode, batch, end: bytes):
+    """(doc_id, ids) of a batch, encoding about a megabyte of text at a time."""
+    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+    at = 0
+    while at < len(ids):
+        some, size, first = [], 0, at
+        while at < len(ids) and (not some or size < SLICE):
+            some.append(texts[at].as_py() or "")
+            size += len(some[-1])
+            at += 1
+        yield from zip(ids[first:at], [x + end for x in encode(some)])
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, unit: str = "bit") -> None:
     """Encode every text (null: empty) and write the store in ascending doc_id order.
 
@@ -118,8 +157,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, unit: str = "bi
         ])
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = encode(text.as_py() or "") + end
+            for doc_id, ids in _encoded(encode, batch, end):
                 at = 0
                 while at < len(ids):
                     piece = ids[at : at + 4 * (BLOCK - held)]
