@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import re
@@ -33,6 +34,19 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
+class _Memory(dict):
+    """Computes what it lacks; cleared when full."""
+
+    def __init__(self, compute):
+        self.compute = compute
+
+    def __missing__(self, key):
+        if len(self) >= MEMORY:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file (JSON, byte-level BPE)."""
 
@@ -75,7 +89,8 @@ class Codec:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self._added = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self._split = regex.compile(SPLIT)
-        self._memory: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._parts = _Memory(self._part)
         # Decoding: token i is bytes[offset[i]:offset[i + 1]].
         of = {i: raw[t].encode("latin-1") for t, i in vocab.items()} | {i: t.encode() for t, i in self.added.items()}
         sizes = [len(of.get(i, b"")) for i in range(size)]
@@ -134,32 +149,44 @@ class Codec:
                 at -= length[token]
         return out
 
-    def _remember(self, text: str) -> bytes:
-        ids = [i for p in self._split.findall(text) for i in self.piece(p.encode())]
-        found = np.array(ids, "<u4").tobytes()
-        if len(self._memory) >= MEMORY:
-            self._memory.clear()
-        self._memory[text] = found
+    def _ids(self, piece: str) -> bytes:
+        """Ids of one piece of the split pattern, remembered."""
+        found = self._pieces.get(piece)
+        if found is None:
+            text = piece.encode()
+            # The longest matches from the left on are the answer where all neighbours are
+            # compatible; otherwise search on from there.
+            ids = [token for _, token in self.matches.iter_long(text.decode("latin-1"))]
+            allowed, last = self.allowed, -1
+            for token in ids:
+                if last >= 0 and not (allowed.get((last, token)) or self.compatible(last, token)):
+                    ids = self.piece(text)
+                    break
+                last = token
+            found = array.array("I", ids).tobytes()
+            if len(self._pieces) >= MEMORY:
+                self._pieces.clear()
+            self._pieces[piece] = found
         return found
 
-    def _plain(self, text: str) -> list[bytes]:
-        """Parts' ids.  A blank or a line end between two other marks always starts a piece
-        (the line end also ends it), so texts without other white space are cut there first."""
+    def _part(self, text: str) -> bytes:
+        m = self._simple.fullmatch(text)
+        if m:
+            letters, marks = m.groups()
+            return self._ids(letters) + self._ids(marks) if marks else self._ids(letters)
+        return b"".join([self._ids(p) for p in self._split.findall(text)])
+
+    def _plain(self, text: str) -> bytes:
+        """A blank or a line end between two other marks always starts a piece (the line end also
+        ends it), so texts without other white space are cut there and the parts remembered."""
         if self._odd.search(text):
-            return [np.array([i for p in self._split.findall(text) for i in self.piece(p.encode())], "<u4").tobytes()]
-        out, memory, fresh = [], self._memory, self._remember
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(memory.get("\n") or fresh("\n"))
-            first, *rest = line.split(" ")
-            out.append(memory.get(first) or fresh(first))
-            for word in rest:
-                word = " " + word
-                out.append(memory.get(word) or fresh(word))
-        return out
+            return b"".join([self._ids(p) for p in self._split.findall(text)])
+        return b"".join(map(self._parts.__getitem__, text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")))
 
+    # Letters, then marks that start no contraction: two pieces at most.
+    _simple = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
     # White space next to white space or at an end, and any but blank and line end.
-    _odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f\x85]")
+    _odd = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\0\x1c-\x1f\x85]")
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; texts of added tokens are their ids."""
@@ -169,11 +196,11 @@ class Codec:
         at = 0
         for m in self._added.finditer(text) if self._added else ():
             if m.start() > at:
-                out += self._plain(text[at : m.start()])
+                out.append(self._plain(text[at : m.start()]))
             out.append(np.array([self.added[m[0]]], "<u4").tobytes())
             at = m.end()
         if at < len(text):
-            out += self._plain(text[at:] if at else text)
+            out.append(self._plain(text[at:] if at else text))
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
