@@ -24,7 +24,7 @@ LEVEL = 3
 #: Documents whose ids end with this id.
 END_ID = 2
 #: Parts remembered per task; a full memory is cleared, which changes no result.
-MEMORY = 150_000
+MEMORY = 400_000
 #: Characters encoded at once.
 SLICE = 1 << 20
 CHUNK_SCHEMA = (
