@@ -188,6 +188,18 @@ def test_crowded_bands(spark, documents, monkeypatch):
     assert np.mean([got[i] == want[i] for i in got]) > 0.95
 
 
+def test_crowds_lose_no_pair(spark, documents, monkeypatch):
+    rng = random.Random(6)
+    base = [[rng.choice(WORD) + rng.choice("abcdefgh") for _ in range(50)] for _ in range(40)]
+    rows = list(enumerate(" ".join(x) for words in base for x in (words, [*words[:20], "edited", *words[21:]])))
+    lines = line_dedup._lines(documents(rows)).select("lid")
+    one_band = lines.selectExpr("1L AS key", "lid", "80L AS size", "min(lid) OVER () AS head")
+    monkeypatch.setattr(line_dedup, "_buckets", lambda *_: one_band)
+    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
+    got = line_dedup.near_lines(spark, documents(rows)).collect()
+    assert len(got) == 80 and len({r.root for r in got}) == 40
+
+
 def test_lines_of_awkward_rows(spark, documents):
     rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(None, "last of all"), (90, "last of all"), (91, "same\nsame"), (91, "same\nsame"), (91, "same\nsame")]
     docs = documents(rows).withColumnRenamed("lang", "n_kept").withColumnRenamed("source", "drops")
