@@ -33,7 +33,7 @@ SAMPLES = 8
 CHUNK = 1024
 #: Equal tokens from which a pair of a bucket is a candidate: four standard deviations below the threshold.
 LOOSE = 38
-#: Shingles compared in one group; larger components are dealt to pairs of chunks.
+#: Shingles compared in one group; larger components, also those of over ``CHUNK`` sets, are dealt to pairs of chunks.
 GROUP_SHINGLES = 300_000
 
 
@@ -278,7 +278,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     )
     roots = components(_candidates(spark, sets)).select(F.col("node").alias("set_key"), "root")
     members = written(sets.select("set_key", "n").join(roots, "set_key"), spark, "members")
-    totals = members.groupBy("root").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).alias("chunks"))
+    totals = members.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / GROUP_SHINGLES, F.count("*") / CHUNK)).alias("chunks"))
     # One text per set goes on; copies are left behind by the row that comes first.
     chosen = members.join(totals, "root").join(sets.select("set_key", F.col("first.row_key").alias("row_key")), "set_key").select("set_key", "root", "chunks", "row_key")
     texts = docs.select("text", row_key(docs).alias("row_key")).join(chosen, "row_key").dropDuplicates(["row_key"])

@@ -88,6 +88,22 @@ def test_large_components_are_dealt_to_chunks(spark, documents, monkeypatch):
     assert got == brute_classes(rows)
 
 
+def test_groups_are_bounded_by_sets(spark, documents, monkeypatch):
+    monkeypatch.setattr(set_join, "CHUNK", 16)
+    largest, dealt = [], set_join._dealt
+
+    def seen(rows, key, *rest):
+        out = dealt(rows, key, *rest)
+        if key == "root":
+            largest.append(out.groupBy("root", "c1", "c2").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(set_join, "_dealt", seen)
+    rows = [(i, f"the usual short text of every page with its own number at the end {i}") for i in range(160)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in set_join.op4(spark, documents(rows)).collect()}
+    assert got == brute_classes(rows) and largest[0] < 80
+
+
 def test_deep_recursion_keeps_the_recall(spark, documents, monkeypatch):
     monkeypatch.setattr(set_join, "LIMIT", 2)  # nearly all buckets recurse to the last level
     rows = near_corpus(3)
