@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import bpe, langid, line_dedup, quality, rules, set_join, tiling, token_store, toxicity, urls
+from fleetspark.llm import bpe, langid, line_dedup, quality, rules, set_join, tiling, token_store, toxicity, urls, vertical_scan
 from fleetspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": lambda spark, d: toxicity.op8(table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_quality_rules": lambda spark, d: rules.op9(table(spark, d, "documents")),
     "op10_url_filter": lambda spark, d: urls.op10(spark, table(spark, d, "pages")),
+    "op12_hard_negatives": lambda spark, d: vertical_scan.op12(table(spark, d, "embeddings")),
 }
-ORACLES: dict[str, str] = {"op9_quality_rules": rules.ORACLE, "op10_url_filter": urls.ORACLE}
+ORACLES: dict[str, str] = {"op9_quality_rules": rules.ORACLE, "op10_url_filter": urls.ORACLE, "op12_hard_negatives": vertical_scan.ORACLE}
