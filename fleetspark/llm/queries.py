@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspark.llm import bpe, cube_mix, langid, line_dedup, quality, rules, set_join, tiling, token_store, toxicity, urls, vertical_scan
+from fleetspark.llm import bpe, cube_mix, langid, line_dedup, pair_bitmaps, quality, rules, set_join, tiling, token_store, toxicity, urls, vertical_scan
 from fleetspark.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": lambda spark, d: urls.op10(spark, table(spark, d, "pages")),
     "op11_cube_mix": lambda spark, d: cube_mix.op11(spark, table(spark, d, "documents")),
     "op12_hard_negatives": lambda spark, d: vertical_scan.op12(table(spark, d, "embeddings")),
+    "op13_pair_bitmaps": lambda spark, d: pair_bitmaps.op13(table(spark, d, "documents")),
 }
 ORACLES: dict[str, str] = {"op9_quality_rules": rules.ORACLE, "op10_url_filter": urls.ORACLE, "op12_hard_negatives": vertical_scan.ORACLE}
