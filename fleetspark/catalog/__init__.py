@@ -4,6 +4,7 @@ from fleetspark.catalog import (  # noqa: F401
     aggregate_queries,
     join_queries,
     lifecycle_queries,
+    store_queries,
     stream_queries,
     text_queries,
     view_queries,
