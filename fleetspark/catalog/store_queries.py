@@ -1,16 +1,21 @@
-"""Registered queries: changes published as versions of a table store, read back from it.
+"""Registered queries over tables that they first write: versions of a table store, layouts by client.
 
-Each writes the registry tables it needs as version 1 and its change as the next.
+Those of the store write the registry tables they need as version 1 and their change as the next.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetspark.catalog.lifecycle_queries import RECOVERED, SLUG_OF, _delete_requests
 from fleetspark.catalog.registry import query
 from fleetspark.catalog.tables import AS_OF
+from fleetspark.catalog.view_queries import HEALTH_SQL, INVENTORY_SQL
 from fleetspark.functions.records import json_text
 from fleetspark.operators import commits
 from fleetspark.session import work_dir
+from fleetspark.sources import layout
+from fleetspark.sources.registry import conform
 from fleetspark.sources.versions import VersionStore
 
 
@@ -106,3 +111,23 @@ def _(t):
     commits.commit_used_tokens(store, t.token_submissions)
     commits.commit_expired_tokens(store, AS_OF)
     return union(store.read("onboarding_tokens", v).select(F.lit(v).alias("version"), "id", "token", "used") for v in store.versions())
+
+
+#: Buckets and the rows that make a client hot in the registered queries, whose tables are small.
+BUCKETS, HOT = 8, 400
+
+
+def clustered(t, *names):
+    tables = layout.ClusteredTables(t.spark, work_dir(t.spark, "clustered"), f"clustered_{uuid.uuid4().hex}")
+    tables.write({name: conform(getattr(t, name), name) for name in names}, BUCKETS, hot_rows=HOT)
+    return tables
+
+
+@query("clustered_inventory", INVENTORY_SQL)
+def _(t):
+    return layout.clustered_inventory(clustered(t, "clients", "platform_inventory", "site_deployments", "site_health_checks"))
+
+
+@query("clustered_health_summary", HEALTH_SQL)
+def _(t):
+    return layout.clustered_health_summary(clustered(t, "clients", "site_health_checks"), AS_OF)

@@ -17,7 +17,7 @@ LATEST_DEPLOYED = """deployed AS (
   FROM site_deployments WHERE status = 'success' AND NOT rolled_back GROUP BY client_id)"""
 
 
-@query("client_full_inventory", f"""
+INVENTORY_SQL = f"""
 WITH {NEWEST_CHECK}, {LATEST_DEPLOYED},
 gh AS (SELECT * FROM platform_inventory WHERE platform = 'github'), ve AS (SELECT * FROM platform_inventory WHERE platform = 'vercel'),
 bu AS (SELECT * FROM platform_inventory WHERE platform = 'builder'), gc AS (SELECT * FROM platform_inventory WHERE platform = 'gcs')
@@ -32,7 +32,10 @@ SELECT c.id AS client_id, c.client_slug, c.client_name, c.status, c.health_statu
  json_extract_string(gc.resource_metadata, '$.backup_count') AS gcs_backup_count
 FROM clients c LEFT JOIN deployed d ON d.client_id = c.id LEFT JOIN newest n ON n.client_id = c.id
 LEFT JOIN gh ON gh.client_id = c.id LEFT JOIN ve ON ve.client_id = c.id LEFT JOIN bu ON bu.client_id = c.id LEFT JOIN gc ON gc.client_id = c.id
-WHERE c.deletion_scheduled_at IS NULL""")
+WHERE c.deletion_scheduled_at IS NULL"""
+
+
+@query("client_full_inventory", INVENTORY_SQL)
 def _(t):
     return views.client_full_inventory(t.clients, t.platform_inventory, t.site_deployments, t.site_health_checks)
 
@@ -65,13 +68,16 @@ def _(t):
     return views.deployment_history(t.site_deployments, t.clients, AS_OF)
 
 
-@query("health_summary", f"""
+HEALTH_SQL = f"""
 WITH {NEWEST_CHECK}
 SELECT c.client_slug, c.client_name, c.health_status, c.last_health_check_at, n.github_status, n.vercel_status, n.builder_status,
  n.gcs_status, n.staging_url_status, cast(extract(HOUR FROM {{now}} - c.last_health_check_at) AS bigint) AS hours_since_check,
  CASE WHEN c.last_health_check_at IS NULL THEN 'never_checked' WHEN c.last_health_check_at < {{now}} - INTERVAL 24 HOUR THEN 'stale'
   WHEN c.last_health_check_at < {{now}} - INTERVAL 6 HOUR THEN 'aging' ELSE 'fresh' END AS check_freshness
-FROM clients c LEFT JOIN newest n ON n.client_id = c.id WHERE c.deletion_scheduled_at IS NULL""")
+FROM clients c LEFT JOIN newest n ON n.client_id = c.id WHERE c.deletion_scheduled_at IS NULL"""
+
+
+@query("health_summary", HEALTH_SQL)
 def _(t):
     return views.health_summary(t.clients, t.site_health_checks, AS_OF)
 

@@ -36,15 +36,18 @@ def left_join_groups(
     group: str,
     selections: dict[str, list],
     spread_by: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Left join ``base`` with one group of ``facts`` after the other, every match kept.
 
     ``selections`` maps a group value to the output columns taken from its rows.
     A base key with a hot group gets a copy per slice; the rows of its largest
     group are dealt out to them, those of its other groups go to each.  All joins
-    share the key (base_key, slice), so every input is shuffled once.
+    share the key (base_key, slice), so every input is shuffled once.  With ``hot_rows``
+    None no key is taken for hot, and inputs laid out by the key are joined where they lie.
     """
+    if hot_rows is None:
+        return _join_where_they_lie(base, base_key, facts, key, group, selections)
     wanted = facts.filter(F.col(group).isin(list(selections)))
     hot = hot_groups(wanted, key, group, hot_rows).withColumnRenamed(key, "_hot_key")
     if hot_rows >= SURE_ROWS:
@@ -73,3 +76,12 @@ def left_join_groups(
         empty_slice = empty_slice | ((F.col("_widest") == value) & F.col(mark).isNull())
     # A slice of a hot key that got no row of the dealt group is no result row.
     return out.filter(~F.coalesce(empty_slice, F.lit(False))).select(*kept)
+
+
+def _join_where_they_lie(base: DataFrame, base_key: str, facts: DataFrame, key: str, group: str, selections: dict[str, list]) -> DataFrame:
+    out, kept = base, list(base.columns)
+    for i, (value, columns) in enumerate(selections.items()):
+        part = facts.filter((F.col(group) == value) & F.col(key).isNotNull()).select(F.col(key).alias(f"_key{i}"), *columns)
+        out = out.join(part, F.col(base_key) == F.col(f"_key{i}"), "left")
+        kept += part.columns[1:]
+    return out.select(*kept)

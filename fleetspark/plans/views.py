@@ -19,7 +19,7 @@ PLATFORM_STATES = ["github_status", "vercel_status", "builder_status", "gcs_stat
 
 def client_full_inventory(
     clients: DataFrame, inventory: DataFrame, deployments: DataFrame, checks: DataFrame,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Everything known about each live client, one row per combination of its platform resources.
 
