@@ -189,10 +189,13 @@ def _(t):
     return topk.backup_retention_summary(t.backups)
 
 
-@query("backup_expiry", """
+EXPIRY_SQL = """
 WITH gone AS (SELECT json_extract_string(client_data, '$.client_slug') AS slug, coalesce(recovery_deadline, deleted_at + INTERVAL 30 DAY) AS deadline FROM deleted_sites WHERE NOT recovered),
 due AS (SELECT slug, max(deadline) AS deadline FROM gone WHERE deadline < {now} AND slug NOT IN (SELECT client_slug FROM clients WHERE status <> 'deleted') GROUP BY slug)
-SELECT b.client_slug, b.name, b.size_bytes, b.created_at, g.deadline FROM backups b JOIN due g ON g.slug = b.client_slug""")
+SELECT b.client_slug, b.name, b.size_bytes, b.created_at, g.deadline FROM backups b JOIN due g ON g.slug = b.client_slug"""
+
+
+@query("backup_expiry", EXPIRY_SQL)
 def _(t):
     return topk.backup_expiry(t.backups, t.deleted_sites, t.clients, AS_OF)
 

@@ -7,14 +7,16 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from fleetspark.catalog.join_queries import EXPIRY_SQL
 from fleetspark.catalog.lifecycle_queries import RECOVERED, SLUG_OF, _delete_requests
 from fleetspark.catalog.registry import query
 from fleetspark.catalog.tables import AS_OF
 from fleetspark.catalog.view_queries import HEALTH_SQL, INVENTORY_SQL
-from fleetspark.functions.records import json_text
-from fleetspark.operators import commits
+from fleetspark.functions.records import json_text, json_value
+from fleetspark.operators import commits, filters, joins, topk
+from fleetspark.plans import views
 from fleetspark.session import work_dir
-from fleetspark.sources import layout
+from fleetspark.sources import ingest, layout
 from fleetspark.sources.registry import conform
 from fleetspark.sources.versions import VersionStore
 
@@ -131,3 +133,45 @@ def _(t):
 @query("clustered_health_summary", HEALTH_SQL)
 def _(t):
     return layout.clustered_health_summary(clustered(t, "clients", "site_health_checks"), AS_OF)
+
+
+def ingested(t, name, *cluster):
+    root = work_dir(t.spark, "ingested")
+    ingest.write_ingested(getattr(t, name), root, name, cluster=cluster)
+    return ingest.scan_ingested(t.spark, root, name)
+
+
+@query("ingested_key_filter", """
+SELECT id::varchar AS id, recovery_deadline, recovered, deleted_at FROM deleted_sites
+WHERE json_extract_string(client_data, '$.client_slug') IN (SELECT client_slug FROM registry_operations_log WHERE operation_type = 'delete')""")
+def _(t):
+    asked = t.registry_operations_log.filter(F.col("operation_type") == "delete").select("client_slug")
+    sites = ingested(t, "deleted_sites", "client_data__client_slug")
+    return filters.json_key_filter(sites, "client_data", "client_slug", asked).select("id", "recovery_deadline", "recovered", "deleted_at")
+
+
+@query("ingested_inventory", INVENTORY_SQL)
+def _(t):
+    return views.client_full_inventory(t.clients, ingested(t, "platform_inventory"), t.site_deployments, t.site_health_checks)
+
+
+@query("ingested_backup_counts", """
+SELECT id::varchar AS id, cast(json_extract_string(resource_metadata, '$.backup_count') AS bigint) AS backup_count FROM platform_inventory
+WHERE cast(json_extract_string(resource_metadata, '$.backup_count') AS bigint) >= 10""")
+def _(t):
+    rows = ingested(t, "platform_inventory", "resource_metadata__backup_count")
+    count = json_value(rows, "resource_metadata", "backup_count", "bigint")
+    return rows.where(count >= 10).select("id", count.alias("backup_count"))
+
+
+@query("ingested_orphans", """
+SELECT id, client_slug, CASE WHEN client_slug IN (SELECT json_extract_string(client_data, '$.client_slug') FROM deleted_sites) THEN 'deleted' ELSE 'unknown' END AS origin
+FROM platform_inventory WHERE is_orphaned""")
+def _(t):
+    orphans = t.platform_inventory.filter("is_orphaned").select("id", "client_slug")
+    return joins.orphan_was_deleted(orphans, ingested(t, "deleted_sites"))
+
+
+@query("ingested_backup_expiry", EXPIRY_SQL)
+def _(t):
+    return topk.backup_expiry(t.backups, ingested(t, "deleted_sites"), t.clients, AS_OF)

@@ -34,6 +34,27 @@ def json_text(doc: Column, key: str) -> Column:
     return F.get_json_object(doc, f"$.{key}")
 
 
+def extracted_name(doc: str, key: str) -> str:
+    """Column that holds a JSON key extracted when the row was written."""
+    return f"{doc}__{key}"
+
+
+def json_key(df: DataFrame, doc: str, key: str) -> Column:
+    """Text of a JSON key: the extracted column if the table has one, else read from the JSON."""
+    name = extracted_name(doc, key)
+    if name in df.columns and df.schema[name].dataType.simpleString() == "string":
+        return F.col(name)
+    return json_text(F.col(doc), key)
+
+
+def json_value(df: DataFrame, doc: str, key: str, kind: str) -> Column:
+    """A JSON key as a value of a type; null where the text is none."""
+    name = extracted_name(doc, key)
+    if name in df.columns and df.schema[name].dataType.simpleString() == kind:
+        return F.col(name)
+    return json_key(df, doc, key).try_cast(kind)
+
+
 def platform_success(result: Column) -> Column:
     """'success' only if the result says so; an absent result counts as failed."""
     return F.when(json_text(result, "success") == "true", "success").otherwise("failed")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import json_text, overall_health, token_state
+from fleetspark.functions.records import json_key, overall_health, token_state
 from fleetspark.functions.text import NO_LOGS_MESSAGE
 from fleetspark.functions.times import moment
 from fleetspark.plans.ranking import top_per_key
@@ -33,7 +33,7 @@ def operation_rollup(operations: DataFrame, results: list[str] = RESULT_COLUMNS)
     Platforms without a result are not counted.  All succeeded is success, none
     is failed, a mix is partial_success, and no result at all is in_progress.
     """
-    ok = [F.coalesce(json_text(F.col(c), "success") == "true", F.lit(False)) for c in results]
+    ok = [F.coalesce(json_key(operations, c, "success") == "true", F.lit(False)) for c in results]
     add = lambda flags: reduce(lambda a, b: a + b, [flag.cast("int") for flag in flags])
     won = add([F.col(c).isNotNull() & good for c, good in zip(results, ok)])
     lost = add([F.col(c).isNotNull() & ~good for c, good in zip(results, ok)])

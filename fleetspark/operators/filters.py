@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import is_false, json_text
+from fleetspark.functions.records import is_false, json_key
 from fleetspark.functions.times import hours, moment, total_hours
 
 
@@ -45,7 +45,7 @@ def list_sites(
 
 def json_key_filter(df: DataFrame, doc: str, key: str, wanted) -> DataFrame:
     """Rows whose JSON key equals one value, or any value of a one-column DataFrame."""
-    text = json_text(F.col(doc), key)
+    text = json_key(df, doc, key)
     if isinstance(wanted, DataFrame):
         values = wanted.toDF("_wanted")
         return df.join(values, text == F.col("_wanted"), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import GATE_NOT_FOUND, derived_uuid, gate_recommendation, is_false, json_text
+from fleetspark.functions.records import GATE_NOT_FOUND, derived_uuid, gate_recommendation, is_false, json_key
 from fleetspark.operators.filters import single_row
 from fleetspark.plans.ranking import newest_first, top_per_key
 
@@ -74,7 +74,7 @@ def unmatched_resources(inventory: DataFrame, clients: DataFrame) -> DataFrame:
 
 def deleted_slugs(deleted_sites: DataFrame) -> DataFrame:
     """Distinct slugs of deleted sites, out of their JSON snapshots."""
-    return deleted_sites.select(json_text(F.col("client_data"), "client_slug").alias("client_slug")).distinct()
+    return deleted_sites.select(json_key(deleted_sites, "client_data", "client_slug").alias("client_slug")).distinct()
 
 
 def orphan_was_deleted(orphans: DataFrame, deleted_sites: DataFrame) -> DataFrame:

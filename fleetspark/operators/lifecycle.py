@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import changed, clamped, derived_uuid, is_false, json_text
+from fleetspark.functions.records import changed, clamped, derived_uuid, is_false, json_key
 from fleetspark.functions.times import days, moment, recovery_deadline
 from fleetspark.operators.joins import latest_health
 from fleetspark.schemas import TABLES, table_schema
@@ -181,7 +181,7 @@ def recover(deleted_sites: DataFrame, requests: DataFrame, clients: DataFrame, a
     """
     asked = requests.groupBy(F.col("client_slug").alias("_slug")).agg(F.min("recovered_by").alias("_by"))
     live = clients.filter(~F.col("status").eqNullSafe(DELETED)).select(F.col("client_slug").alias("_live")).distinct()
-    keyed = recovery_eligibility(deleted_sites, as_of).withColumn("_key", json_text(F.col("client_data"), "client_slug"))
+    keyed = recovery_eligibility(deleted_sites, as_of).withColumn("_key", json_key(deleted_sites, "client_data", "client_slug"))
     # One row per slug: the newest eligible deletion.
     newest = keyed.filter("eligible").groupBy(F.col("_key").alias("_top_key")).agg(F.max("deleted_at").alias("_top_at"))
     first = (

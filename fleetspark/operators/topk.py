@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.functions.records import is_false, json_text
+from fleetspark.functions.records import is_false, json_key
 from fleetspark.functions.times import moment, recovery_deadline
 from fleetspark.operators.joins import good_deployments, latest_health
 from fleetspark.plans.ranking import newest_first, nth_per_key, top_per_key
@@ -104,7 +104,7 @@ def backup_expiry(backups: DataFrame, deleted_sites: DataFrame, clients: DataFra
     deadline = recovery_deadline(F.col("deleted_at"), F.col("recovery_deadline"))
     expired = (
         deleted_sites.filter(is_false("recovered") & (deadline < moment(as_of)))
-        .groupBy(json_text(F.col("client_data"), "client_slug").alias("client_slug"))
+        .groupBy(json_key(deleted_sites, "client_data", "client_slug").alias("client_slug"))
         .agg(F.max(deadline).alias("deadline"))
     )
     live = clients.filter(~F.col("status").eqNullSafe("deleted")).select("client_slug")

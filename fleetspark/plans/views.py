@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspark.functions.records import (
-    PLATFORM_FLAGS, deletion_progress, error_count, is_false, is_true, json_text, platform_success, severity_rank,
+    PLATFORM_FLAGS, deletion_progress, error_count, extracted_name, is_false, is_true, json_key, platform_success, severity_rank,
 )
 from fleetspark.functions.times import check_freshness, day_part, hour_part, moment
 from fleetspark.operators.joins import (
@@ -40,17 +40,19 @@ def client_full_inventory(
             "latest_deployment_at", "latest_health_status", "created_at", "updated_at",
         )
     )
-    url, meta = F.col("resource_url"), F.col("resource_metadata")
+    url, meta = F.col("resource_url"), "resource_metadata"
+    key = lambda name: json_key(inventory, meta, name)
     resources = {
-        "github": [url.alias("github_url"), json_text(meta, "last_commit_sha").alias("github_last_commit")],
-        "vercel": [url.alias("vercel_project_url"), json_text(meta, "deployment_state").alias("vercel_deployment_state")],
-        "builder": [url.alias("builder_space_url"), json_text(meta, "content_count").alias("builder_content_count")],
+        "github": [url.alias("github_url"), key("last_commit_sha").alias("github_last_commit")],
+        "vercel": [url.alias("vercel_project_url"), key("deployment_state").alias("vercel_deployment_state")],
+        "builder": [url.alias("builder_space_url"), key("content_count").alias("builder_content_count")],
         "gcs": [
-            json_text(meta, "latest_backup_at").alias("gcs_latest_backup_at"),
-            json_text(meta, "backup_count").alias("gcs_backup_count"),
+            key("latest_backup_at").alias("gcs_latest_backup_at"),
+            key("backup_count").alias("gcs_backup_count"),
         ],
     }
-    slim = inventory.select("client_id", "platform", "resource_id", "resource_url", "resource_metadata")
+    stored = [c for c in inventory.columns if c.startswith(extracted_name(meta, ""))]
+    slim = inventory.select("client_id", "platform", "resource_id", "resource_url", meta, *stored)
     return left_join_groups(
         live, "client_id", slim.withColumnRenamed("client_id", "_owner"), "_owner", "platform", resources,
         "resource_id", hot_rows,
@@ -77,12 +79,11 @@ def orphaned_resources(inventory: DataFrame, as_of, ordered: bool = True) -> Dat
 
 def sites_pending_deletion(deleted_sites: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """Soft-deleted sites that were not purged, by deadline."""
-    data = F.col("client_data")
     waiting = deleted_sites.filter(is_false("permanently_deleted"))
     rows = waiting.select(
         "id", "original_client_id",
-        json_text(data, "client_slug").alias("client_slug"),
-        json_text(data, "client_name").alias("client_name"),
+        json_key(waiting, "client_data", "client_slug").alias("client_slug"),
+        json_key(waiting, "client_data", "client_name").alias("client_name"),
         "deleted_at", "deleted_by", "deletion_reason", "recovery_deadline",
         day_part(F.col("recovery_deadline") - moment(as_of)).alias("days_until_permanent_deletion"),
         *PLATFORM_FLAGS,
