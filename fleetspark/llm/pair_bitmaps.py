@@ -30,14 +30,17 @@ from fleetspark.llm.tables import small, written
 #: Documents and links of a container at most; a document alone may have more links.
 CONTAINER_DOCS, CONTAINER_LINKS = 4096, 1 << 21
 #: Bytes of results that a task remembers between batches; more are forgotten, which changes no result.
-MEMORY_BYTES = 64 << 20
+MEMORY_BYTES = 128 << 20
 #: Characters aligned at once.
 SLICE = 1 << 20
+#: Characters of new parts that are encoded in a row.
+ROW = 1 << 14
 #: A pair of ids as one number.
 SHIFT = 32
 
 # A blank or line end after a character that no kind of white space is, in any version of Unicode.
-_CUT = re.compile("(?<=[^\\s᠎​﻿])(?=[ \n])")
+_ODD = "\u180e\u200b\ufeff"
+_CUT = re.compile(f"(?<=[^\\s{_ODD}])(?=[ \n])")
 
 
 def vocabulary_paths() -> tuple[str, str]:
@@ -74,6 +77,9 @@ class Aligner:
             before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer")
             and not any("\n" in p or "▁" in p.lstrip("▁") for p in pieces) and self.b.encode("\n a") == [self.blank, *self.b.encode("\n a")[1:]]
         )
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self.sizes_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.written = [f"{i}{mark}".encode() for i in range(len(self.sizes_a)) for mark in ",|"] + [f"{i}{mark}".encode() for i in range(len(pieces)) for mark in ",;\n"]
         self.forget()
 
     def forget(self) -> None:
@@ -88,24 +94,77 @@ class Aligner:
         return _CUT.split(" " + text) if self.in_parts else [" " + text]
 
     def learn(self, parts: list[str]) -> None:
-        in_a = self.a.encode_batch_fast(parts, add_special_tokens=False)
-        in_b = self.b.encode([p[1:] if p[0] == " " else p for p in parts], num_threads=1)
-        for part, encoding, b in zip(parts, in_a, in_b):
-            a = encoding.ids
-            if part == " ":
-                b = [self.blank]  # the model gives nothing for nothing
-            elif part[0] != " ":
-                b = b[1:]  # the blank that the model puts first
-            pieces_a, pieces_b, whole = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], part.encode()
-            if b"".join(pieces_a) != whole or b"".join(pieces_b) != whole:
-                self.memory[part] = 0
-                continue
-            groups, links = aligned(a, [len(x) for x in pieces_a], b, [len(x) for x in pieces_b])
-            self.memory[part] = len(self.groups)
-            self.groups.append(groups)
-            self.links.append(np.array(links, np.int64).tobytes())
-            self.counts.extend((len(a), len(b)))
-            self.held += 8 * len(links) + len(groups) + 4 * len(part) + 300
+        """Remember parts.  Those that end in no white space are cut from each other when put in a row, too."""
+        if self.in_parts:
+            row, size = [], 0
+            for part in parts:
+                if part[-1].isspace() or part[-1] in _ODD:
+                    self._learn_one(part)
+                    continue
+                row.append(part)
+                size += len(part)
+                if size > ROW:
+                    self._learn_row(row)
+                    row, size = [], 0
+            if row:
+                self._learn_row(row)
+        else:
+            for part in parts:
+                self._learn_one(part)
+
+    def _tokens(self, text: str) -> tuple[list[int], list[int]]:
+        b = [self.blank] if text == " " else self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+        # The model puts a blank first, and gives nothing for nothing.
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, b if text[0] == " " else b[1:]
+
+    def _learn_one(self, part: str) -> None:
+        a, b = self._tokens(part)
+        pieces_a, pieces_b, whole = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], part.encode()
+        if b"".join(pieces_a) != whole or b"".join(pieces_b) != whole:
+            self.memory[part] = 0
+            return
+        groups, links = aligned(a, [len(x) for x in pieces_a], b, [len(x) for x in pieces_b])
+        self._remember([part], [groups], [np.array(links, np.int64).tobytes()], [len(a), len(b)])
+
+    def _remember(self, parts: list[str], groups: list[bytes], links: list[bytes], counts: list[int]) -> None:
+        n = len(self.groups)
+        self.memory.update(zip(parts, range(n, n + len(parts))))
+        self.groups += groups
+        self.links += links
+        self.counts.extend(counts)
+        self.held += sum(map(len, links)) + sum(map(len, groups)) + 4 * sum(map(len, parts)) + 300 * len(parts)
+
+    def _learn_row(self, parts: list[str]) -> None:
+        text = "".join(parts)
+        whole = text.encode()
+        in_a, in_b = self._tokens(text)
+        a, b = np.array(in_a, np.int64), np.array(in_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        part_ends = np.cumsum([len(p.encode()) for p in parts])
+        ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        same = b"".join([self.bytes_a[i] for i in in_a]) == whole and b"".join([self.bytes_b[i] for i in in_b]) == whole
+        if not same or not np.isin(part_ends, ends, assume_unique=True).all():
+            # Some part's tokens do not give it back; which, only each by itself tells.
+            for part in parts:
+                self._learn_one(part)
+            return
+        group_a, group_b = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
+        last_a, last_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links = (a[last_a] << SHIFT | b[last_b]).astype(np.int64).tobytes()
+        # Each token with the mark that follows it, in the order of the groups, written at once.
+        end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        end_a[last_a], end_b[last_b] = 1, 1
+        upto = np.searchsorted(ends, part_ends, "right")
+        end_b[last_b[upto - 1]] = 2
+        marks = np.empty(len(a) + len(b), np.int64)
+        marks[np.arange(len(a)) + np.append(0, last_b + 1)[group_a]] = 2 * a + end_a
+        marks[np.arange(len(b)) + (last_a + 1)[group_b]] = 2 * len(self.sizes_a) + 3 * b + end_b
+        written_ = self.written
+        groups = b"".join([written_[k] for k in marks.tolist()]).split(b"\n")[:-1]
+        cuts = [0, *(8 * upto).tolist()]
+        of_a, of_b = np.searchsorted(ends_a, part_ends, "right"), np.searchsorted(ends_b, part_ends, "right")
+        counts = np.stack([np.diff(of_a, prepend=0), np.diff(of_b, prepend=0)], axis=1).ravel().tolist()
+        self._remember(parts, groups, [links[s:e] for s, e in zip(cuts, cuts[1:])], counts)
 
     def align(self, texts: list[str]) -> list[tuple[int, int, bytes, np.ndarray]]:
         """Per text the numbers of tokens, the groups written out, and its links as pairs."""
@@ -124,7 +183,7 @@ class Aligner:
             if not at or 0 in at:
                 out.append((0, 0, b"", np.zeros(0, np.int64)))
                 continue
-            n_a, n_b = counts[at].sum(axis=0)
+            n_a, n_b = counts.take(at, axis=0).sum(axis=0)
             out.append((int(n_a), int(n_b), b";".join([groups[i] for i in at]), np.frombuffer(b"".join([links[i] for i in at]), np.int64)))
         return out
 
