@@ -4,26 +4,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetspark.llm import textops
-from fleetspark.llm.tables import fold_of, labelled_sample
+from fleetspark.llm.tables import fold_of, labelled_sample, written
 
-#: Bound of the labelled examples in the index, and of the terms they are compared by.
+#: Bounds of the labelled examples in the index: their number, and their (example, term) pairs.
 EXAMPLE_ROWS = 8192
-TERMS = 4096
+EXAMPLE_TERMS = 16_000_000
 FOLDS = 5
 NEIGHBOURS = 16
-BLOCK = 64
+#: Examples in a block, and blocks scored before any is left out.
+BLOCK, FIRST_BLOCKS = 64, 4
+#: Terms that most examples share lie in a dense table; texts are multiplied with it so many at a time.
+FREQUENT, TOGETHER = 256, 64
 #: Answers remembered per task.
 ASKED = 20_000
 #: Weight of the base rate in a vote.
 PRIOR = 0.5
-#: A term's chance of looking this telling by accident, over all terms.
-ERROR = 0.05
+#: A term's chance of looking this telling by accident, over all terms, and the weight of a term that tells nothing.
+ERROR, LEAST_WEIGHT = 0.05, 0.05
 _PREFIX_BYTES = 5
-_FILTER_BITS = 20
 
 
 def terms(column: pa.Array):
@@ -36,108 +38,139 @@ def terms(column: pa.Array):
         yield first, np.concatenate([w.hashes(), begins[long]]), np.concatenate([w.row, w.row[long]]), w.rows
 
 
-def telling_terms(h: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The terms (from distinct (term, document) pairs) whose chi-square against the label could
-    hardly be chance over all terms; the ``TERMS`` best."""
-    known, place = np.unique(h, return_inverse=True)
+def evidence(term: np.ndarray, row: np.ndarray, labels: np.ndarray, n_terms: int) -> np.ndarray:
+    """Weight of every term from its chi-square against the label: 1 where it could hardly be chance over
+    all terms, less below that by the square of what it lacks, ``LEAST_WEIGHT`` at least."""
     n, toxic = len(labels), labels.sum()
     if not 0 < toxic < n:
-        return known[:0]
-    with_toxic = np.bincount(place, label, len(known))
-    with_any = np.bincount(place, minlength=len(known)).astype(float)
+        return np.ones(n_terms)
+    with_toxic = np.bincount(term, labels[row], n_terms)
+    with_any = np.bincount(term, minlength=n_terms).astype(float)
     expected = with_any * toxic / n
     variance = expected * (1 - toxic / n) * (1 - with_any / n) * n / max(1, n - 1)
     chi = np.where(variance > 0, (with_toxic - expected) ** 2 / np.maximum(variance, 1e-12), 0)
-    good = np.flatnonzero(chi >= 2 * np.log(max(2, len(known)) / ERROR))
-    best = good[np.lexsort((known[good], -chi[good]))][:TERMS]
-    return np.sort(known[best])
-
-
-def _examples(rows: pa.Table) -> pa.Table:
-    rows = rows.combine_chunks().sort_by("doc_id")
-    labels = rows["label"].to_numpy().astype(float)
-    texts = rows["text"].combine_chunks()
-    pairs = []
-    for first, h, row, _ in terms(texts):
-        order = np.lexsort((row, h))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        starts = np.flatnonzero(new)
-        pairs.append((h[starts], first + row[starts], np.diff(np.append(starts, len(h)))))
-    h, row, tf = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-    chosen = telling_terms(h, labels[row], labels)
-    at = np.minimum(np.searchsorted(chosen, h), max(0, len(chosen) - 1))
-    keep = chosen[at] == h if len(chosen) else np.zeros(len(h), bool)
-    h, row, tf = h[keep], row[keep], tf[keep]
-    order = np.argsort(row, kind="stable")
-    cuts = np.cumsum(np.bincount(row, minlength=len(labels)))[:-1]
-    lists = lambda v, kind: pa.array(np.split(v[order], cuts), pa.list_(kind))
-    return pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), "label": rows["label"].cast(pa.int32()), "terms": lists(h.view(np.int64), pa.int64()), "tf": lists(tf.astype(np.int32), pa.int32())})
+    return np.clip((chi / (2 * np.log(max(2, n_terms) / ERROR))) ** 2, LEAST_WEIGHT, 1)
+
+
+def features(batches):
+    """(doc_id, label, terms, tf) of examples: distinct terms and how often the text has them."""
+    for batch in batches:
+        n = batch.num_rows
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * n
+        for first, h, row, count in terms(batch.column("text")):
+            order = np.argsort(row, kind="stable")
+            for r, found in enumerate(np.split(h[order], np.cumsum(np.bincount(row, minlength=count))[:-1])):
+                out[first + r] = np.unique(found, return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("label"), pa.array([t.view(np.int64) for t, _ in out], pa.list_(pa.int64())),
+             pa.array([f.astype(np.int32) for _, f in out], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "tf"],
+        )
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers start, start + 1, ... of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class Index:
-    """Unit vectors of examples by term, in blocks of ``BLOCK`` consecutive examples with their largest weight."""
-
-    def __init__(self, ids, labels, vectors, vocabulary, idf):
-        self.vocabulary, self.idf = vocabulary, idf
-        self.table = np.zeros(1 << _FILTER_BITS, bool)
-        self.table[(vocabulary & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-        kept = [k for k, (t, _) in enumerate(vectors) if len(t)]
-        none = [k for k, (t, _) in enumerate(vectors) if not len(t)]
+    """Unit vectors of examples by term.
+
+    Terms that very many examples have lie in a dense table.  The others have postings in blocks of
+    ``BLOCK`` consecutive examples, and each block its largest weight: what a block's examples reach at
+    most is known without their postings.
+    """
+
+    def __init__(self, ids, labels, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray, vocabulary, idf, weight_of):
+        self.vocabulary, self.idf, self.weight_of = vocabulary, idf, weight_of
+        self.bits = max(10, int(len(vocabulary)).bit_length() + 3)
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[(vocabulary & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
         self.base = float(labels.mean()) if len(labels) else 0.0
-        self.empty = float(labels[none].sum() / (len(none) + 1))
-        self.ids, self.labels = ids[kept], labels[kept].astype(float)
+        none = sizes == 0
+        self.empty = float(labels[none].sum() / (none.sum() + 1)) if none.any() else self.base
+        self.ids, self.labels = ids, labels.astype(float)
         self.slope, self.shift = 1.0, 0.0
         self._asked: dict[tuple, list[tuple[float, int]]] = {}
-        unit = [(t, self.weights(t, tf)) for t, tf in (vectors[k] for k in kept)]
-        n_blocks = -(-len(kept) // BLOCK)
-        self.largest = np.zeros((len(vocabulary), n_blocks))
-        # Postings by (block, term): positions and weights.
-        term = np.concatenate([t for t, _ in unit]) if unit else np.zeros(0, int)
-        weight = np.concatenate([w for _, w in unit]) if unit else np.zeros(0)
-        place = np.repeat(np.arange(len(unit)), [len(t) for t, _ in unit]) if unit else np.zeros(0, int)
-        order = np.lexsort((place, term, place // BLOCK))
-        self.place, self.weight = place[order], weight[order]
-        key = (place[order] // BLOCK) * max(1, len(vocabulary)) + term[order]
-        self.keys, self.starts = np.unique(key, return_index=True)
-        self.stops = np.append(self.starts[1:], len(key))
-        np.maximum.at(self.largest, (term, place // BLOCK), weight)
+        n, row = len(ids), np.repeat(np.arange(len(ids)), sizes)
+        weight = (1 + np.log(tf)) * idf[term] * weight_of[term]
+        weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
+        self.n_blocks = -(-n // BLOCK)
+        spread = np.bincount(term, minlength=len(vocabulary))
+        often = np.sort(np.argsort(-spread, kind="stable")[:FREQUENT])
+        self.dense_at = np.full(len(vocabulary), -1)
+        self.dense_at[often] = np.arange(len(often))
+        at = self.dense_at[term]
+        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
+        # Postings of the other terms by term and block; an entry is the part of one block.
+        term, row, weight = term[at < 0], row[at < 0], weight[at < 0]
+        order = np.lexsort((row, term))
+        term, self.place, self.weight = term[order], row[order].astype(np.int32), weight[order]
+        block = self.place // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        self.entry_start = np.flatnonzero(new)
+        self.entry_size = np.diff(np.append(self.entry_start, len(term)))
+        self.entry_block = block[self.entry_start]
+        self.entry_most = np.maximum.reduceat(self.weight, self.entry_start) if len(term) else np.zeros(0)
+        self.term_entries = np.searchsorted(term[self.entry_start], np.arange(len(vocabulary) + 1))
 
     def weights(self, t, tf):
-        w = (1 + np.log(tf)) * self.idf[t]
+        w = (1 + np.log(tf)) * self.idf[t] * self.weight_of[t]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, t: np.ndarray, tf: np.ndarray, own_id=None, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
-        """The exact ``k`` nearest (cosine, example) with a cosine over 0; of equals the first example."""
+    def nearest(self, questions: list[tuple[np.ndarray, np.ndarray]], own_ids: list, k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
+        """Per text (terms, frequencies) the exact ``k`` nearest (cosine, example) with a cosine over 0; of
+        equals the first example.  A text's own example is not among them."""
         # Copies ask the same question again and again; one neighbour more allows for the text itself.
-        question = (t.tobytes(), np.asarray(tf).tobytes(), k)
-        best = self._asked.get(question)
-        if best is None:
-            if len(self._asked) >= ASKED:
-                self._asked.clear()
-            best = self._asked[question] = self._nearest(t, tf, k + 1)
-        return [x for x in best if own_id is None or self.ids[x[1]] != own_id][:k]
-
-    def _nearest(self, t: np.ndarray, tf: np.ndarray, k: int) -> list[tuple[float, int]]:
-        q = self.weights(t, tf)
-        bound = q @ self.largest[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1][0] - 1e-9:
-                break  # no block from here on can hold a nearer example
-            # The block's postings of the asked terms, added up per example.
-            key = b * len(self.vocabulary) + t
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            starts, sizes = self.starts[at[hit]], self.stops[at[hit]] - self.starts[at[hit]]
-            ends = np.cumsum(sizes)
-            i = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-            scores = np.bincount(self.place[i] - b * BLOCK, np.repeat(q[hit], sizes) * self.weight[i], BLOCK)
-            least = best[-1][0] - 1e-9 if len(best) == k else 1e-12
-            best += [(round(float(scores[p]), 9), int(b * BLOCK + p)) for p in np.flatnonzero(scores > max(least, 1e-12))]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        keys = [(t.tobytes(), np.asarray(f).tobytes(), k) if len(t) else None for t, f in questions]
+        todo = list({key: i for i, key in enumerate(keys) if key is not None and key not in self._asked}.values())
+        if len(self._asked) + len(todo) > ASKED:
+            self._asked.clear()
+            todo = list({key: i for i, key in enumerate(keys) if key is not None}.values())
+        for s in range(0, len(todo), TOGETHER):
+            some = todo[s : s + TOGETHER]
+            for i, best in zip(some, self._nearest([questions[i] for i in some], k + 1)):
+                self._asked[keys[i]] = best
+        found = [self._asked[key] if key is not None else [] for key in keys]
+        return [[x for x in best if own is None or self.ids[x[1]] != own][:k] for best, own in zip(found, own_ids)]
+
+    def _nearest(self, questions, k: int):
+        weights = [self.weights(t, f) for t, f in questions]
+        asked = np.zeros((len(questions), len(self.dense)))
+        for i, ((t, _), q) in enumerate(zip(questions, weights)):
+            at = self.dense_at[t]
+            asked[i, at[at >= 0]] = q[at >= 0]
+        by_block = (asked @ self.dense).reshape(len(questions), self.n_blocks, BLOCK)
+        most = by_block.max(axis=2) if self.n_blocks else np.zeros((len(questions), 0))
+        for (t, _), q, scores, upto in zip(questions, weights, by_block, most):
+            rare = self.dense_at[t] < 0
+            starts = self.term_entries[t[rare]]
+            sizes = self.term_entries[t[rare] + 1] - starts
+            entries, of = _ranges(starts, sizes), np.repeat(q[rare], sizes)
+            bound = upto + np.bincount(self.entry_block[entries], of * self.entry_most[entries], self.n_blocks)
+            scores, done = scores.copy(), np.zeros(self.n_blocks, bool)
+
+            def add(blocks):
+                """Scores all examples of the blocks."""
+                hit = blocks[self.entry_block[entries]]
+                e = entries[hit]
+                i = _ranges(self.entry_start[e], self.entry_size[e])
+                scores.reshape(-1)[:] += np.bincount(self.place[i], np.repeat(of[hit], self.entry_size[e]) * self.weight[i], scores.size)
+                done[blocks] = True
+
+            first = np.zeros(self.n_blocks, bool)
+            first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+            add(first)
+            known = scores[done].ravel()
+            least = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else 0.0
+            # No example of the other blocks can be nearer.
+            add(~done & (bound >= max(least - 1e-9, 1e-12)))
+            rounded = np.round(np.where(done[:, None], scores, 0).ravel(), 9)
+            least = np.partition(rounded, len(rounded) - k)[len(rounded) - k] if len(rounded) > k else 0.0
+            near = np.flatnonzero((rounded >= least) & (rounded > 0))
+            yield [(float(rounded[p]), int(p)) for p in near[np.lexsort((near, -rounded[near]))][:k]]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
@@ -147,15 +180,14 @@ class Index:
         v = min(max(vote, 1e-6), 1 - 1e-6)
         return float(1 / (1 + np.exp(-np.clip(self.slope * np.log(v / (1 - v)) + self.shift, -35, 35))))
 
-    def calibrate(self, vectors) -> None:
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Logistic fit of the labels on the votes of each example's neighbours without itself."""
-        votes = np.array([self.vote(self.nearest(t, tf, own)) for own, (t, tf) in zip(self.ids, vectors)])
         v = np.clip(votes, 1e-6, 1 - 1e-6)
         x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], axis=1)
-        w, y = np.array([1.0, 0.0]), self.labels
+        w = np.array([1.0, 0.0])
         for _ in range(25):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-            gradient = x.T @ (p - y) + (w - [1.0, 0.0])
+            gradient = x.T @ (p - labels) + (w - [1.0, 0.0])
             w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), gradient)
         if w[0] > 0:
             self.slope, self.shift = float(w[0]), float(w[1])
@@ -164,7 +196,7 @@ class Index:
         """(terms, frequencies) of each text over the vocabulary."""
         out = [None] * len(column)
         for first, h, row, count in terms(column):
-            hit = self.table[(h & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)]
+            hit = self.table[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
             h, row = h[hit], row[hit]
             at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
             ok = self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
@@ -175,19 +207,33 @@ class Index:
         return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS) -> Index:
-    """The index of at most ``example_rows`` labelled documents outside fold 0.  Document
-    frequencies are counted over all documents."""
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, sizes) of a column of lists."""
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths().fill_null(0), np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, example_terms: int = EXAMPLE_TERMS) -> Index:
+    """The index of labelled documents outside fold 0, all terms of them: by a hash of the id the first
+    ``example_rows``, as far as they have ``example_terms`` distinct terms together.  Document frequencies
+    are counted over all documents."""
     spark = docs.sparkSession
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, 0, example_rows).withColumn("one", F.lit(0))
-    found = sample.groupBy("one").applyInArrow(_examples, "doc_id long, label int, terms array<long>, tf array<int>").toArrow().combine_chunks().sort_by("doc_id")
-    raw = [(np.array(t, np.int64).view(np.uint64), np.array(f, float)) for t, f in zip(found["terms"].to_pylist(), found["tf"].to_pylist())]
-    vocabulary = np.unique(np.concatenate([t for t, _ in raw])) if raw else np.zeros(0, np.uint64)
-    vectors = [(np.searchsorted(vocabulary, t), f) for t, f in raw]
-    held = spark.sparkContext.broadcast(Index(np.zeros(0, np.int64), np.zeros(0), [], vocabulary, np.ones(len(vocabulary))))
+    sample = labelled_sample(docs, labels, "toxic", FOLDS, 0, example_rows)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = written(sample.mapInArrow(features, f"doc_id {id_type}, label int, terms array<long>, tf array<int>"), spark, "examples")
+    # One row per example, so the running sum is over a bounded number of them.
+    upto = F.sum(F.size("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = found.withColumn("upto", upto).where(F.col("upto") <= example_terms).drop("upto").orderBy("doc_id").toArrow()
+    raw, sizes = _flat(found["terms"])
+    tf = _flat(found["tf"])[0].astype(float)
+    vocabulary, term = np.unique(raw.astype(np.int64).view(np.uint64), return_inverse=True)
+    label = found["label"].to_numpy().astype(float)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    counter = Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), vocabulary, np.ones(len(vocabulary)), np.ones(len(vocabulary)))
+    counting = spark.sparkContext.broadcast(counter)
 
     def counted(batches):
-        index = held.value
+        index = counting.value
         seen, n = np.zeros(len(index.vocabulary), np.int64), 0
         for batch in batches:
             n += batch.num_rows
@@ -196,24 +242,43 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS) ->
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(seen[used], n), pa.int64())], ["term", "n"])
 
-    counts = docs.select("text").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    n = sum(r.n for r in counts if r.term < 0)
+    # As many rows as the examples have terms.
+    counts = docs.select("text").mapInArrow(counted, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counting.destroy()
+    at, seen = counts["term"].to_numpy(), counts["n"].to_numpy()
     df = np.zeros(len(vocabulary))
-    for r in counts:
-        if r.term >= 0:
-            df[r.term] = r.n
-    index = Index(found["doc_id"].to_numpy(), found["label"].to_numpy().astype(float), vectors, vocabulary, np.log((1 + n) / (1 + df)) + 1)
-    if len(index.ids):
-        index.calibrate([v for v in vectors if len(v[0])])
-        index._asked.clear()
+    df[at[at >= 0]] = seen[at >= 0]
+    n = int(seen[at < 0].sum())
+    ids = np.array(found["doc_id"].to_pylist(), dtype=None if pa.types.is_integer(found["doc_id"].type) else object)
+    index = Index(ids, label, term, tf, sizes, vocabulary, np.log((1 + n) / (1 + df)) + 1, evidence(term, row, label, len(vocabulary)))
+    if len(ids):
+        index.calibrate(*_votes(spark, index, term, tf, sizes))
     return index
 
 
+def _votes(spark, index: Index, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Votes for the examples by the others, and their labels; a task has a part of the examples."""
+    held = spark.sparkContext.broadcast((index, term, tf, np.append(0, np.cumsum(sizes))))
+
+    def voted(batches):
+        index, term, tf, ends = held.value
+        for batch in batches:
+            i = batch.column("id").to_numpy()
+            near = index.nearest([(term[ends[k] : ends[k + 1]], tf[ends[k] : ends[k + 1]]) for k in i], [index.ids[k] for k in i])
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([index.vote(x) if x else None for x in near], pa.float64())], ["id", "vote"])
+
+    every = spark.range(len(sizes), numPartitions=min(64, max(1, len(sizes) // 256)))
+    found = every.mapInArrow(voted, "id long, vote double").where("vote IS NOT NULL").orderBy("id").toArrow()
+    held.destroy()
+    return found["vote"].to_numpy(), index.labels[found["id"].to_numpy()]
+
+
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score, and the evidence: ids and cosines of the nearest examples.
 
-    An example is no evidence for itself.  A text without any telling term (so also a null or
-    empty one) gets the toxic share of such examples; without examples every score is 0.
+    An example is no evidence for itself.  A text without any term of the examples (so also a null or
+    empty one) gets the toxic share of such examples, or of all if there are none; without examples
+    every score is 0.  Repeated rows are scored alike.
     """
     held = docs.sparkSession.sparkContext.broadcast(index)
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -221,18 +286,15 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def scored(batches):
         index = held.value
         for batch in batches:
-            p, near_ids, near_cos = [], [], []
-            for own, (t, tf) in zip(batch.column("doc_id").to_pylist(), index.rows(batch.column("text"))):
-                near = index.nearest(t, tf, own) if len(t) else []
-                p.append(index.calibrated(index.vote(near)) if near else index.empty)
-                near_ids.append([int(index.ids[i]) for _, i in near])
-                near_cos.append([s for s, _ in near])
+            near = index.nearest(index.rows(batch.column("text")), batch.column("doc_id").to_pylist()) if len(index.ids) else [[]] * batch.num_rows
+            p = [index.calibrated(index.vote(x)) if x else index.empty for x in near]
+            near_ids, near_cos = [[index.ids[i] for _, i in x] for x in near], [[s for s, _ in x] for x in near]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(near_ids, pa.list_(pa.int64())), pa.array(near_cos, pa.list_(pa.float64()))],
+                [batch.column("doc_id"), pa.array(p, pa.float64()), pa.array(near_ids, pa.list_(batch.column("doc_id").type)), pa.array(near_cos, pa.list_(pa.float64()))],
                 ["doc_id", "score", "neighbours", "cosines"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {id_type}, score double, neighbours array<long>, cosines array<double>")
+    return docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {id_type}, score double, neighbours array<{id_type}>, cosines array<double>")
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -127,26 +127,92 @@ def test_subwords_are_whole_text_grams():
         assert got == plain(text), text
 
 
-def brute_nearest(index, t, tf, own, k):
-    q = index.weights(t, tf)
-    dense = np.zeros((len(index.ids), len(index.vocabulary)))
-    for key, s, e in zip(index.keys, index.starts, index.stops):
-        dense[index.place[s:e], key % len(index.vocabulary)] = index.weight[s:e]
-    scores = [(round(float(dense[p, t] @ q), 9), p) for p in range(len(dense)) if index.ids[p] != own]
-    return sorted((x for x in scores if x[0] > 1e-12), key=lambda x: (-x[0], x[1]))[:k]
-
-
-def test_neighbours_are_exact():
+@pytest.mark.parametrize("frequent", [0, 5, 256])
+def test_neighbours_are_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = np.random.default_rng(3)
-    vocabulary = np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64))
     vectors = []
     for _ in range(500):
         t = np.unique(rng.zipf(1.6, rng.integers(0, 6)) % 40)
         vectors.append((t, rng.integers(1, 5, len(t)).astype(float)))
-    index = toxicity.Index(np.arange(500), rng.integers(0, 2, 500), vectors, vocabulary, rng.uniform(1, 6, 40))
-    for j, (t, tf) in enumerate(vectors[:200]):
-        if len(t):
-            assert index.nearest(t, tf, j, 16) == brute_nearest(index, t, tf, j, 16)
+    idf, tells, labels = rng.uniform(1, 6, 40), rng.uniform(0.05, 1, 40), rng.integers(0, 2, 500)
+    sizes = np.array([len(t) for t, _ in vectors])
+    index = toxicity.Index(np.arange(500), labels, np.concatenate([t for t, _ in vectors]), np.concatenate([f for _, f in vectors]), sizes, np.arange(40).astype(np.uint64), idf, tells)
+    unit = np.zeros((500, 40))
+    for i, (t, f) in enumerate(vectors):
+        unit[i, t] = (1 + np.log(f)) * idf[t] * tells[t]
+    unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-300)
+    got = index.nearest(vectors, list(range(500)), 16)
+    for j in range(500):
+        scores = sorted(((round(float(unit[p] @ unit[j]), 9), p) for p in range(500) if p != j and unit[p] @ unit[j] > 1e-12), key=lambda x: (-x[0], x[1]))[:16]
+        assert [s for s, _ in got[j]] == pytest.approx([s for s, _ in scores], abs=2e-9)
+        assert [p for _, p in got[j]] == [p for _, p in scores] or len({s for s, _ in scores}) < len(scores)
+
+
+def brute_toxicity(docs, labels, k=16):
+    """Neighbours of every text from the raw texts: doc_id -> (ids, cosines)."""
+    import re
+    import zlib
+    from collections import Counter
+    from math import log, sqrt
+
+    def bag(text):
+        words = re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower())
+        return Counter([w for w in words] + [(w[:5],) for w in words if len(w) > 5])
+
+    bags = [(i, bag(t)) for i, t in docs]
+    known = {i: toxic for i, toxic in labels if zlib.crc32(str(i).encode()) % 5}
+    examples = [(i, b) for i, b in bags if i in known]
+    n, toxic, has, has_toxic, anywhere = len(examples), sum(known[i] for i, _ in examples), Counter(), Counter(), Counter()
+    for i, b in examples:
+        has.update(b.keys())
+        has_toxic.update(b.keys() if known[i] else ())
+    for _, b in bags:
+        anywhere.update(b.keys() & has.keys())
+    weight = {}
+    for t, m in has.items():
+        expected = m * toxic / n
+        variance = expected * (1 - toxic / n) * (1 - m / n) * n / (n - 1)
+        chi = (has_toxic[t] - expected) ** 2 / variance if variance > 1e-12 else 0
+        tells = min(1, max(0.05, (chi / (2 * log(len(has) / 0.05))) ** 2))
+        weight[t] = (log((1 + len(bags)) / (1 + anywhere[t])) + 1) * tells
+
+    def unit(b):
+        v = {t: (1 + log(m)) * weight[t] for t, m in b.items() if t in weight}
+        length = sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / length for t, x in v.items()}
+
+    vectors = [(i, unit(b)) for i, b in examples]
+    out = {}
+    for i, b in bags:
+        q = unit(b)
+        out[i] = sorted(((-sum(x * v.get(t, 0) for t, x in q.items()), j) for j, v in vectors if j != i))[:k]
+    return out
+
+
+def test_neighbours_from_raw_texts(spark, documents):
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(i, rng.choice(["zorkish", "Zorkishly", "grumbling", "é-tude", "x1"], 3))) for i in range(250)]
+    rows += [(300, None), (301, ""), (302, "unknown words only"), (303, "ZORKISH " * 9), (304, "a" * 2_000_000 + " zorkish"), (305, "stone river " * 100_000)]
+    known = [(i, int("zorkish" in t.lower())) for i, t in rows[:200]] + [(304, 1), (305, 0)]
+    labels = spark.createDataFrame([(i, 1, toxic) for i, toxic in known], LABELS)
+    docs = documents(rows)
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    for i, expected in brute_toxicity(rows, known).items():
+        expected = [x for x in expected if x[0] < -1e-12]
+        assert got[i].cosines == pytest.approx([-s for s, _ in expected], abs=1e-8)
+        steps = [b - a for (a, _), (b, _) in zip(expected, expected[1:])]
+        assert got[i].neighbours == [j for _, j in expected] or min(steps, default=1) < 1e-8
+    assert got[300].neighbours == got[302].neighbours == [] and got[303].score > 0.5 and 0 <= got[300].score <= 1
+
+
+def test_example_bounds(documents, spark):
+    rows = [(i, prose(i)) for i in range(100)]
+    docs, labels = documents(rows), spark.createDataFrame([(i, 1, i % 2) for i in range(100)], LABELS)
+    assert len(toxicity.fit(docs, labels, example_rows=30).ids) == 30
+    few = toxicity.fit(docs, labels, example_terms=200).ids
+    assert 1 <= len(few) < 30
 
 
 def test_toxicity_held_out(tables):
@@ -162,5 +228,5 @@ def test_toxicity_evidence(spark, documents):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], LABELS)
     got = {r.doc_id: r for r in toxicity.op8(documents(rows), labels).collect()}
     assert got[1000].predicted == 1 and got[1001].predicted == 0
-    assert all(int(i) % 4 == 0 for i in got[1000].neighbours.split(",")) and got[1001].neighbours == ""
+    assert all(int(i) % 4 == 0 for i in got[1000].neighbours.split(",")) and got[1001].neighbours
     assert "4" not in got[4].neighbours.split(",")
