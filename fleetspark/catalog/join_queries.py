@@ -7,7 +7,7 @@ from fleetspark.catalog.tables import AS_OF
 from fleetspark.functions.times import moment
 from fleetspark.operators import joins, lifecycle, tenancy, topk
 from fleetspark.session import work_dir
-from fleetspark.sources import snapshots
+from fleetspark.sources import listing
 from fleetspark.plans.site_details import site_details, site_summary
 
 GOOD = "good AS (SELECT * FROM site_deployments WHERE status = 'success' AND rolled_back = false)"
@@ -154,18 +154,36 @@ def _(t):
 
 
 @query("backup_listing", """
-SELECT client_slug, 1::bigint AS objects, cast(sum(strlen(name) + 1) AS bigint) AS size_bytes, true AS named, 'gs://site-backups/projects/' || client_slug || '/' AS url_start FROM backups GROUP BY client_slug""")
+SELECT name, client_slug, size_bytes, created_at, len(string_split(name, '/'))::int - 1 AS depth, 'zip' AS suffix, 'gs://site-backups/' || name AS url FROM backups""")
 def _(t):
-    # One object per client, written as files below projects/ and listed from their metadata.
+    # The listing is exported twice, older objects first and with a size that changes later.
+    root = work_dir(t.spark, "backup-listing")
+    backups = t.backups.withColumns({"updated_at": F.col("created_at"), "url": F.concat(F.lit("gs://site-backups/"), F.col("name"))})
+    older = F.col("size_bytes") % 3 > 0
+    first = backups.where(older).withColumn("size_bytes", F.when(F.col("size_bytes") % 3 == 1, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")))
+    first.write.json(f"{root}/exports")
+    listed = listing.Listing(t.spark, f"{root}/listing")
+    listed.refresh_from_exports(f"{root}/exports")
+    later = backups.where(~older | (F.col("size_bytes") % 3 == 1)).withColumn("updated_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    later.write.mode("append").json(f"{root}/exports")
+    listed.refresh_from_exports(f"{root}/exports")
+    return listing.described(listed.objects()).select("name", "client_slug", "size_bytes", "created_at", "depth", "suffix", "url")
+
+
+@query("backup_files", """
+SELECT client_slug, cast(sum(strlen(name) + 1) AS bigint) AS size_bytes, true AS named, 'gs://site-backups/projects/' || client_slug || '/' AS url_start FROM backups GROUP BY client_slug""")
+def _(t):
+    # One file per client, written below projects/ and listed from its metadata.
     root = work_dir(t.spark, "backup-files")
     t.backups.select("client_slug", "name").repartition("client_slug").write.partitionBy("client_slug").text(f"{root}/projects")
-    listed = snapshots.backup_objects(t.spark, root)
+    listed = listing.Listing(t.spark, f"{root}/listing")
+    listed.refresh_from_files(root)
     # Spark's writer names a folder column=value.
     slug = F.regexp_replace("client_slug", "^client_slug=", "")
     named = F.col("name").startswith(F.concat(F.lit("projects/client_slug="), slug, F.lit("/part-"))) & F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
     url = F.regexp_replace(F.regexp_extract("url", "^(.*/)[^/]+$", 1), "client_slug=", "")
-    return listed.groupBy(slug.alias("client_slug")).agg(
-        F.count("*").alias("objects"), F.sum("size_bytes").alias("size_bytes"), F.bool_and(named).alias("named"), F.min(url).alias("url_start")
+    return listed.objects().groupBy(slug.alias("client_slug")).agg(
+        F.sum("size_bytes").alias("size_bytes"), F.bool_and(named).alias("named"), F.min(url).alias("url_start")
     )
 
 

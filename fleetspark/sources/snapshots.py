@@ -31,21 +31,26 @@ def project_details(projects: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("error", missing).drop("_key")
 
 
-def exported_objects(spark: SparkSession, folder: str) -> DataFrame:
-    """Backup objects out of an exported listing (JSON lines); the slug is the first folder below ``projects/``."""
-    listed = spark.read.schema(BACKUP_OBJECT).json(folder)
+def exported_objects(spark: SparkSession, folder: str, options: dict[str, str] | None = None, modified: str | None = None) -> DataFrame:
+    """Backup objects out of an exported listing (JSON lines); the slug is the first folder below ``projects/``.
+
+    ``options`` are further ones of the reader; ``modified`` names a column for the time of an object's file (UTC).
+    """
+    listed = spark.read.schema(BACKUP_OBJECT).options(**(options or {})).json(folder)
+    if modified:
+        listed = listed.select("*", F.to_utc_timestamp("_metadata.file_modification_time", spark.conf.get("spark.sql.session.timeZone")).cast("timestamp_ntz").alias(modified))
     return listed.withColumn("client_slug", F.regexp_extract("name", "^projects/([^/]+)/", 1)).filter(F.col("client_slug") != "")
 
 
-def backup_objects(spark: SparkSession, root: str, bucket: str = BACKUP_BUCKET) -> DataFrame:
+def backup_objects(spark: SparkSession, root: str, bucket: str = BACKUP_BUCKET, options: dict[str, str] | None = None) -> DataFrame:
     """Every object below ``root``/projects/{slug}/, of any suffix and depth, from file metadata alone.
 
     The name is the path from ``projects/`` on, the slug its first folder.  File systems keep one
     time per file, which stands for creation and change.  A public address needs the bucket's
     access rules, so it is null.  Spark's scan leaves out files without any byte; a listing that
-    must hold them is read with ``exported_objects``.
+    must hold them is read with ``exported_objects``.  ``options`` are further ones of the reader.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/projects")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").options(**(options or {})).load(f"{root.rstrip('/')}/projects")
     base = re.sub(r"^[a-z0-9]+:(//[^/]*)?", "", root.rstrip("/"))
     name = F.regexp_extract("path", rf"\Q{base}\E/(projects/.*)$", 1)
     at = F.col("modificationTime").cast("timestamp_ntz")
