@@ -4,7 +4,7 @@ Sets are embedded as 64 MinHash tokens.  From the root on, every set follows tho
 that a hash of path and token selects, 1/threshold of them on average, so that similar sets keep
 meeting and others part.  Buckets of up to ``LIMIT`` sets are compared pair by pair.  Of larger
 ones every set is compared with ``SAMPLES`` members, which settles groups of copies that no path
-would split, and the sets go on to the next level.  ``REPETITIONS`` independent trees reach the target recall.  Comparing tokens loosely
+would split; where that leaves more than one group the sets go on to the next level.  ``REPETITIONS`` independent trees reach the target recall.  Comparing tokens loosely
 gives candidate components, and exact Jaccard is then computed for all pairs of each component.
 """
 
@@ -175,13 +175,14 @@ def _loose(batches):
 
 
 def _with_samples(batches):
-    """Star edges between the sets of a bucket's chunk and the samples that come with them."""
+    """Star edges (a, b) between the sets of a bucket's chunk and the samples that come with them, and the
+    ``path`` of the bucket if they don't link all of these sets to each other."""
     for table in _groups(batches, ["path", "chunk"]):
         path, chunk = (table.column(k).to_numpy() for k in ("path", "chunk"))
         sketches, sample = _matrix(table.column("sketch").combine_chunks()), table.column("sample").to_numpy()
-        cuts = [0, *(np.flatnonzero((path[1:] != path[:-1]) | (chunk[1:] != chunk[:-1])) + 1), table.num_rows]
+        starts = np.append(0, 1 + np.flatnonzero((path[1:] != path[:-1]) | (chunk[1:] != chunk[:-1])))
         a, b = [], []
-        for s, e in zip(cuts, cuts[1:]):
+        for s, e in zip(starts, np.append(starts[1:], table.num_rows)):
             for p in s + np.flatnonzero(sample[s:e]):
                 like = s + np.flatnonzero((sketches[s:e] == sketches[p]).sum(axis=1) >= LOOSE)
                 a.append(np.full(len(like), p))
@@ -190,7 +191,13 @@ def _with_samples(batches):
         label = _least_labels(table.num_rows, a, b)
         own = np.flatnonzero(label != np.arange(table.num_rows))
         column = table.column("set_key").combine_chunks()
-        yield pa.RecordBatch.from_arrays([column.take(pa.array(own)), column.take(pa.array(label[own]))], ["a", "b"])
+        parts = np.add.reduceat(label == np.arange(table.num_rows), starts)
+        unsettled = np.unique(path[starts[parts > 1]])
+        none = pa.nulls(len(unsettled), pa.binary())
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([x, none]) for x in (column.take(pa.array(own)), column.take(pa.array(label[own])))]
+            + [pa.concat_arrays([pa.nulls(len(own), pa.int64()), pa.array(unsettled, pa.int64())])], ["a", "b", "path"],
+        )
 
 
 def _exact(batches):
@@ -317,24 +324,27 @@ def _candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
         if large is not None and large.isEmpty():
             large = None
         if large is not None:
-            edges = edges.unionByName(_sampled(large))
+            sampled = written(_sampled(large), spark, "sampled")
+            edges = edges.unionByName(sampled.where("path IS NULL").select("a", "b"))
         edges = written(edges.distinct(), spark, "stars")
         found = edges if found is None else found.unionByName(edges)
         if large is None:
             break
-        level = large.select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
+        # Sets of a bucket that their samples link to each other are one candidate component whatever follows.
+        unsettled = sampled.where("path IS NOT NULL").select("path").distinct()
+        level = large.join(unsettled, "path", "left_semi").select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
     return found
 
 
 def _sampled(large: DataFrame) -> DataFrame:
-    """Star edges of large buckets: chunks of their sets, each with the bucket's samples."""
+    """Star edges of large buckets, and the buckets they leave unsettled: chunks of their sets, each with the bucket's samples."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = large.select("path", F.pmod(F.xxhash64("set_key"), chunks).cast("int").alias("chunk"), "set_key", "sketch", F.lit(False).alias("sample"))
     order = Window.partitionBy("path").orderBy(F.xxhash64("set_key", "path"), "set_key")
     first = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLES)
     first = first.select("path", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "set_key", "sketch", F.lit(True).alias("sample"))
     groups = _in_groups(rows.unionByName(first), ["path", "chunk"])
-    return groups.select("path", "chunk", "set_key", "sketch", "sample").mapInArrow(_with_samples, "a binary, b binary")
+    return groups.select("path", "chunk", "set_key", "sketch", "sample").mapInArrow(_with_samples, "a binary, b binary, path long")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -40,8 +40,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 
 def row_key(df: DataFrame) -> Column:
-    """128 bits that name a row by all its columns: rows with the same key are full copies."""
-    columns = [F.col(f"`{c}`") for c in sorted(df.columns, key=lambda c: (c not in ("doc_id", "text"), c))]
+    """128 bits that name a row by all its columns: rows with the same key are full copies.
+
+    Hashes skip nulls, so each column comes with a mark of whether it is.
+    """
+    names = sorted(df.columns, key=lambda c: (c not in ("doc_id", "text"), c))
+    columns = [x for c in names for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     halves = [F.xxhash64(*columns), F.xxhash64(F.lit(77), *columns)]
     return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
@@ -370,3 +371,33 @@ def test_stages_keep_other_columns(spark, documents, stage):
     docs = documents([(1, "some words of a text that stays here"), (2, None)]).withColumnRenamed("lang", "ids").withColumnRenamed("source", "__rk2")
     out = p.STAGES[stage][1](spark, docs, SMALL)
     assert out.columns == docs.columns and out.count() == 2
+
+
+def test_settled_buckets_are_told_from_others():
+    """A chunk whose sets its samples link to one group is settled; every other bucket goes on."""
+    rng = np.random.default_rng(0)
+    one, two, three = (rng.integers(0, 1 << 32, set_join.TOKENS, dtype=np.uint64).astype(np.uint32) for _ in range(3))
+    near = one.copy()
+    near[:10] += 1
+    rows = [(5, 0, one, True), (5, 0, near, False), (5, 0, one, False), (5, 1, one, True), (5, 1, near, False),
+            (6, 0, one, True), (6, 0, two, False), (7, 0, two, True), (7, 0, one, True), (7, 0, near, False), (7, 0, three, False)]
+    batch = pa.table({
+        "path": pa.array([r[0] for r in rows], pa.int64()), "chunk": pa.array([r[1] for r in rows], pa.int32()),
+        "set_key": pa.array([bytes([i]) for i in range(len(rows))]), "sketch": pa.array([r[2].tobytes() for r in rows]), "sample": [r[3] for r in rows],
+    }).to_batches()
+    out = pa.Table.from_batches(list(set_join._with_samples(iter(batch)))).to_pylist()
+    assert [r["path"] for r in out if r["path"] is not None] == [6, 7]
+    linked = {(r["a"], r["b"]) for r in out if r["path"] is None}
+    assert {(bytes([1]), bytes([0])), (bytes([2]), bytes([0])), (bytes([4]), bytes([3])), (bytes([9]), bytes([8]))} == linked
+
+
+def test_row_keys_tell_nulls_of_neighbouring_columns(spark):
+    rows = [(1, "the same text", None, "en"), (1, "the same text", "en", None), (1, "the same text", None, None), (1, "the same text", None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, a string, b string")
+    from fleetspark.llm.tables import row_key
+
+    assert docs.select(row_key(docs)).distinct().count() == 3
+    marked = line_dedup.marked(spark, docs).select("doc_id", "a", "b").collect()
+    assert sorted(map(str, marked)) == sorted(map(str, docs.select("doc_id", "a", "b").collect()))
+    kept = set_join.keep_first(spark, docs.union(spark.createDataFrame([(2, "another text altogether, with words", None, "en")], docs.schema))).collect()
+    assert len(kept) == 2 and (2, None, "en") in {(r["doc_id"], r["a"], r["b"]) for r in kept}
