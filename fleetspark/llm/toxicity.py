@@ -83,30 +83,45 @@ class Index:
 
     def __init__(self, ids, labels, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray, vocabulary, idf, weight_of):
         self.vocabulary, self.idf, self.weight_of = vocabulary, idf, weight_of
-        self.bits = max(10, int(len(vocabulary)).bit_length() + 3)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(vocabulary & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
         self.base = float(labels.mean()) if len(labels) else 0.0
         none = sizes == 0
         self.empty = float(labels[none].sum() / (none.sum() + 1)) if none.any() else self.base
         self.ids, self.labels = ids, labels.astype(float)
         self.slope, self.shift = 1.0, 0.0
+        row = np.repeat(np.arange(len(ids)), sizes)
+        order = np.lexsort((row, term))
+        small_ = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
+        self.spread = np.bincount(term, minlength=len(vocabulary)).astype(np.int32)
+        self.row, self.tf = small_(row[order]), small_(tf[order].astype(np.int64))
+        self._build()
+
+    def __getstate__(self):
+        # Tasks are sent the terms' rows and frequencies and make the rest of them.
+        names = ("vocabulary", "idf", "weight_of", "base", "empty", "ids", "labels", "slope", "shift", "spread", "row", "tf")
+        return {name: getattr(self, name) for name in names}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._build()
+
+    def _build(self) -> None:
+        vocabulary, n = self.vocabulary, len(self.ids)
+        self.bits = max(10, int(len(vocabulary)).bit_length() + 3)
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[(vocabulary & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
         self._asked: dict[tuple, list[tuple[float, int]]] = {}
-        n, row = len(ids), np.repeat(np.arange(len(ids)), sizes)
-        weight = (1 + np.log(tf)) * idf[term] * weight_of[term]
+        term, row = np.repeat(np.arange(len(vocabulary)), self.spread), self.row.astype(np.int32)
+        weight = (1 + np.log(self.tf.astype(float))) * (self.idf * self.weight_of)[term]
         weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
         self.n_blocks = -(-n // BLOCK)
-        spread = np.bincount(term, minlength=len(vocabulary))
-        often = np.sort(np.argsort(-spread, kind="stable")[:FREQUENT])
+        often = np.sort(np.argsort(-self.spread, kind="stable")[:FREQUENT])
         self.dense_at = np.full(len(vocabulary), -1)
         self.dense_at[often] = np.arange(len(often))
         at = self.dense_at[term]
         self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
         self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
         # Postings of the other terms by term and block; an entry is the part of one block.
-        term, row, weight = term[at < 0], row[at < 0], weight[at < 0]
-        order = np.lexsort((row, term))
-        term, self.place, self.weight = term[order], row[order].astype(np.int32), weight[order]
+        term, self.place, self.weight = term[at < 0], row[at < 0], weight[at < 0]
         block = self.place // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
@@ -223,7 +238,8 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
     found = written(sample.mapInArrow(features, f"doc_id {id_type}, label int, terms array<long>, tf array<int>"), spark, "examples")
     # One row per example, so the running sum is over a bounded number of them.
     upto = F.sum(F.size("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    found = found.withColumn("upto", upto).where(F.col("upto") <= example_terms).drop("upto").orderBy("doc_id").toArrow()
+    examples = found.withColumn("upto", upto).where(F.col("upto") <= example_terms).drop("upto").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    found = examples.orderBy("doc_id").toArrow()
     raw, sizes = _flat(found["terms"])
     tf = _flat(found["tf"])[0].astype(float)
     vocabulary, term = np.unique(raw.astype(np.int64).view(np.uint64), return_inverse=True)
@@ -252,25 +268,27 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
     ids = np.array(found["doc_id"].to_pylist(), dtype=None if pa.types.is_integer(found["doc_id"].type) else object)
     index = Index(ids, label, term, tf, sizes, vocabulary, np.log((1 + n) / (1 + df)) + 1, evidence(term, row, label, len(vocabulary)))
     if len(ids):
-        index.calibrate(*_votes(spark, index, term, tf, sizes))
+        index.calibrate(*_votes(examples, index))
     return index
 
 
-def _votes(spark, index: Index, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _votes(examples: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Votes for the examples by the others, and their labels; a task has a part of the examples."""
-    held = spark.sparkContext.broadcast((index, term, tf, np.append(0, np.cumsum(sizes))))
+    held = examples.sparkSession.sparkContext.broadcast(index)
 
     def voted(batches):
-        index, term, tf, ends = held.value
+        index = held.value
         for batch in batches:
-            i = batch.column("id").to_numpy()
-            near = index.nearest([(term[ends[k] : ends[k + 1]], tf[ends[k] : ends[k + 1]]) for k in i], [index.ids[k] for k in i])
-            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array([index.vote(x) if x else None for x in near], pa.float64())], ["id", "vote"])
-
-    every = spark.range(len(sizes), numPartitions=min(64, max(1, len(sizes) // 256)))
-    found = every.mapInArrow(voted, "id long, vote double").where("vote IS NOT NULL").orderBy("id").toArrow()
+            questions = []
+            for t, f in zip(batch.column("terms"), batch.column("tf")):
+                at = np.searchsorted(index.vocabulary, t.values.to_numpy().view(np.uint64))
+                questions.append((at, f.values.to_numpy().astype(float)))
+            near = index.nearest(questions, batch.column("doc_id").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([index.vote(x) if x else None for x in near], pa.float64())], ["label", "vote"])
+
+    found = examples.mapInArrow(voted, "label int, vote double").where("vote IS NOT NULL").orderBy("label", "vote").toArrow()
     held.destroy()
-    return found["vote"].to_numpy(), index.labels[found["id"].to_numpy()]
+    return found["vote"].to_numpy(), found["label"].to_numpy().astype(float)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
