@@ -73,6 +73,36 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+class Vocabulary:
+    """Terms by hash, in order; a small table tells most other terms without a search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.bits = max(10, int(len(hashes)).bit_length() + 3)
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+
+    def __getstate__(self):
+        return self.hashes
+
+    def __setstate__(self, hashes):
+        self.__init__(hashes)
+
+    def rows(self, column: pa.Array):
+        """(terms, frequencies) of each text over the vocabulary."""
+        out = [None] * len(column)
+        for first, h, row, count in terms(column):
+            hit = self.table[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
+            h, row = h[hit], row[hit]
+            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+            ok = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+            at, row = at[ok], row[ok]
+            order = np.argsort(row, kind="stable")
+            for r, found in enumerate(np.split(at[order], np.cumsum(np.bincount(row, minlength=count))[:-1])):
+                out[first + r] = np.unique(found, return_counts=True)
+        return out
+
+
 class Index:
     """Unit vectors of examples by term.
 
@@ -81,8 +111,8 @@ class Index:
     most is known without their postings.
     """
 
-    def __init__(self, ids, labels, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray, vocabulary, idf, weight_of):
-        self.vocabulary, self.idf, self.weight_of = vocabulary, idf, weight_of
+    def __init__(self, ids, labels, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray, idf, weight_of):
+        self.vocabulary, self.idf, self.weight_of = Vocabulary(vocabulary), idf, weight_of
         self.base = float(labels.mean()) if len(labels) else 0.0
         none = sizes == 0
         self.empty = float(labels[none].sum() / (none.sum() + 1)) if none.any() else self.base
@@ -105,17 +135,14 @@ class Index:
         self._build()
 
     def _build(self) -> None:
-        vocabulary, n = self.vocabulary, len(self.ids)
-        self.bits = max(10, int(len(vocabulary)).bit_length() + 3)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(vocabulary & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+        n_terms, n = len(self.spread), len(self.ids)
         self._asked: dict[tuple, list[tuple[float, int]]] = {}
-        term, row = np.repeat(np.arange(len(vocabulary)), self.spread), self.row.astype(np.int32)
+        term, row = np.repeat(np.arange(n_terms), self.spread), self.row.astype(np.int32)
         weight = (1 + np.log(self.tf.astype(float))) * (self.idf * self.weight_of)[term]
         weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
         self.n_blocks = -(-n // BLOCK)
         often = np.sort(np.argsort(-self.spread, kind="stable")[:FREQUENT])
-        self.dense_at = np.full(len(vocabulary), -1)
+        self.dense_at = np.full(n_terms, -1)
         self.dense_at[often] = np.arange(len(often))
         at = self.dense_at[term]
         self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
@@ -129,7 +156,7 @@ class Index:
         self.entry_size = np.diff(np.append(self.entry_start, len(term)))
         self.entry_block = block[self.entry_start]
         self.entry_most = np.maximum.reduceat(self.weight, self.entry_start) if len(term) else np.zeros(0)
-        self.term_entries = np.searchsorted(term[self.entry_start], np.arange(len(vocabulary) + 1))
+        self.term_entries = np.searchsorted(term[self.entry_start], np.arange(n_terms + 1))
 
     def weights(self, t, tf):
         w = (1 + np.log(tf)) * self.idf[t] * self.weight_of[t]
@@ -207,20 +234,6 @@ class Index:
         if w[0] > 0:
             self.slope, self.shift = float(w[0]), float(w[1])
 
-    def rows(self, column: pa.Array):
-        """(terms, frequencies) of each text over the vocabulary."""
-        out = [None] * len(column)
-        for first, h, row, count in terms(column):
-            hit = self.table[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
-            h, row = h[hit], row[hit]
-            at = np.minimum(np.searchsorted(self.vocabulary, h), max(0, len(self.vocabulary) - 1))
-            ok = self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
-            at, row = at[ok], row[ok]
-            order = np.argsort(row, kind="stable")
-            for r, found in enumerate(np.split(at[order], np.cumsum(np.bincount(row, minlength=count))[:-1])):
-                out[first + r] = np.unique(found, return_counts=True)
-        return out
-
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(values, sizes) of a column of lists."""
@@ -236,24 +249,25 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
     sample = labelled_sample(docs, labels, "toxic", FOLDS, 0, example_rows)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     found = written(sample.mapInArrow(features, f"doc_id {id_type}, label int, terms array<long>, tf array<int>"), spark, "examples")
-    # One row per example, so the running sum is over a bounded number of them.
-    upto = F.sum(F.size("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
-    examples = found.withColumn("upto", upto).where(F.col("upto") <= example_terms).drop("upto").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    found = examples.orderBy("doc_id").toArrow()
+    if (found.agg(F.sum(F.size("terms"))).first()[0] or 0) > example_terms:
+        # One number per example, so the running sum is over a bounded number of rows.
+        upto = F.sum(F.size("terms")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+        few = found.select("doc_id", upto.alias("upto")).where(F.col("upto") <= example_terms).select("doc_id")
+        found = found.join(F.broadcast(few), "doc_id")
+    examples, found = found, found.toArrow().sort_by("doc_id")
     raw, sizes = _flat(found["terms"])
     tf = _flat(found["tf"])[0].astype(float)
     vocabulary, term = np.unique(raw.astype(np.int64).view(np.uint64), return_inverse=True)
     label = found["label"].to_numpy().astype(float)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    counter = Index(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), vocabulary, np.ones(len(vocabulary)), np.ones(len(vocabulary)))
-    counting = spark.sparkContext.broadcast(counter)
+    counting = spark.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def counted(batches):
-        index = counting.value
-        seen, n = np.zeros(len(index.vocabulary), np.int64), 0
+        words = counting.value
+        seen, n = np.zeros(len(words.hashes), np.int64), 0
         for batch in batches:
             n += batch.num_rows
-            for t, _ in index.rows(batch.column("text")):
+            for t, _ in words.rows(batch.column("text")):
                 seen[t] += 1
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(seen[used], n), pa.int64())], ["term", "n"])
@@ -267,6 +281,8 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
     n = int(seen[at < 0].sum())
     ids = np.array(found["doc_id"].to_pylist(), dtype=None if pa.types.is_integer(found["doc_id"].type) else object)
     index = Index(ids, label, term, tf, sizes, vocabulary, np.log((1 + n) / (1 + df)) + 1, evidence(term, row, label, len(vocabulary)))
+    # Sent once, for the votes and for whoever scores; slope and shift come after and go with the work.
+    index.sent = spark.sparkContext.broadcast(index)
     if len(ids):
         index.calibrate(*_votes(examples, index))
     return index
@@ -274,20 +290,19 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
 
 def _votes(examples: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Votes for the examples by the others, and their labels; a task has a part of the examples."""
-    held = examples.sparkSession.sparkContext.broadcast(index)
+    held = index.sent
 
     def voted(batches):
         index = held.value
         for batch in batches:
             questions = []
             for t, f in zip(batch.column("terms"), batch.column("tf")):
-                at = np.searchsorted(index.vocabulary, t.values.to_numpy().view(np.uint64))
+                at = np.searchsorted(index.vocabulary.hashes, t.values.to_numpy().view(np.uint64))
                 questions.append((at, f.values.to_numpy().astype(float)))
             near = index.nearest(questions, batch.column("doc_id").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([index.vote(x) if x else None for x in near], pa.float64())], ["label", "vote"])
 
     found = examples.mapInArrow(voted, "label int, vote double").where("vote IS NOT NULL").orderBy("label", "vote").toArrow()
-    held.destroy()
     return found["vote"].to_numpy(), found["label"].to_numpy().astype(float)
 
 
@@ -298,13 +313,14 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     empty one) gets the toxic share of such examples, or of all if there are none; without examples
     every score is 0.  Repeated rows are scored alike.
     """
-    held = docs.sparkSession.sparkContext.broadcast(index)
+    held, slope, shift = index.sent, index.slope, index.shift
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches):
         index = held.value
+        index.slope, index.shift = slope, shift
         for batch in batches:
-            near = index.nearest(index.rows(batch.column("text")), batch.column("doc_id").to_pylist()) if len(index.ids) else [[]] * batch.num_rows
+            near = index.nearest(index.vocabulary.rows(batch.column("text")), batch.column("doc_id").to_pylist()) if len(index.ids) else [[]] * batch.num_rows
             p = [index.calibrated(index.vote(x)) if x else index.empty for x in near]
             near_ids, near_cos = [[index.ids[i] for _, i in x] for x in near], [[s for s, _ in x] for x in near]
             yield pa.RecordBatch.from_arrays(
