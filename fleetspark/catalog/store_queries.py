@@ -13,10 +13,10 @@ from fleetspark.catalog.registry import query
 from fleetspark.catalog.tables import AS_OF
 from fleetspark.catalog.view_queries import HEALTH_SQL, INVENTORY_SQL
 from fleetspark.functions.records import json_text, json_value
-from fleetspark.operators import commits, filters, joins, topk
+from fleetspark.operators import commits, filters, joins, quality, sketches, topk
 from fleetspark.plans import views
 from fleetspark.session import work_dir
-from fleetspark.sources import ingest, layout
+from fleetspark.sources import checked, ingest, layout
 from fleetspark.sources.registry import conform
 from fleetspark.sources.versions import VersionStore
 
@@ -175,3 +175,83 @@ def _(t):
 @query("ingested_backup_expiry", EXPIRY_SQL)
 def _(t):
     return topk.backup_expiry(t.backups, ingested(t, "deleted_sites"), t.clients, AS_OF)
+
+
+CHECKED = {
+    "clients": "health_status NOT IN ('healthy', 'degraded', 'down', 'unknown')",
+    "site_deployments": "status NOT IN ('in_progress', 'success', 'failed', 'canceled', 'rolled_back')",
+    "deleted_sites": "recovery_deadline <= deleted_at", "site_health_checks": "overall_status NOT IN ('healthy', 'degraded', 'down', 'error')",
+}
+REFERRING = {"site_deployments": "client_id", "deleted_sites": "new_client_id", "site_health_checks": "client_id"}
+
+
+def _broken_sql(name):
+    """Table, rule and key of every broken rule of a row."""
+    (rule,) = quality.CHECKS[name]
+    parts = [(rule, CHECKED[name])] + [(f"not_null_{c}", f"{c} IS NULL") for c in quality.REQUIRED.get(name, [])]
+    if name in REFERRING:
+        parts.append((f"foreign_key_{REFERRING[name]}", f"{REFERRING[name]} IS NOT NULL AND {REFERRING[name]} NOT IN (SELECT id FROM clients)"))
+    return "\nUNION ALL ".join(f"SELECT '{name}' AS table_name, '{rule}' AS rule, id::varchar AS row_key FROM {name} WHERE {broken}" for rule, broken in parts)
+
+
+def _checked(t):
+    root, parents = work_dir(t.spark, "checked"), {"clients": conform(t.clients, "clients")}
+    return {name: checked.write_checked(getattr(t, name), root, name, {} if name == "clients" else parents) for name in CHECKED}
+
+
+@query("checked_rejects", "\nUNION ALL ".join(_broken_sql(name) for name in CHECKED))
+def _(t):
+    return union(
+        done.rejected().select(F.lit(name).alias("table_name"), F.explode(checked.RULES).alias("rule"), F.col("id").alias("row_key"))
+        for name, done in _checked(t).items()
+    )
+
+
+@query("checked_counts", "WITH broken AS (" + "\nUNION ALL ".join(_broken_sql(name) for name in CHECKED) + ")\n" + "\nUNION ALL ".join(
+    f"SELECT '{name}' AS table_name, count(*) AS rows, count(*) - (SELECT count(DISTINCT row_key) FROM broken WHERE table_name = '{name}') AS good, "
+    f"(SELECT count(*) FROM broken WHERE table_name = '{name}') AS breaks, count(*) AS stored FROM {name}" for name in CHECKED
+))
+def _(t):
+    """Counts as observed while writing, beside the rows that were stored."""
+    return union(
+        done.good().select("id").unionByName(done.rejected().select("id")).agg(F.count("*").alias("stored")).select(
+            F.lit(name).alias("table_name"), F.lit(done.counts["rows"]).cast("long").alias("rows"), F.lit(done.counts["good"]).cast("long").alias("good"),
+            F.lit(sum(n for rule, n in done.counts.items() if rule not in ("rows", "good"))).cast("long").alias("breaks"), "stored",
+        ) for name, done in _checked(t).items()
+    )
+
+
+@query("checked_unique", """
+SELECT public_key, 1::bigint AS good, count(*) - 1 AS rejected FROM builderio_shared_spaces GROUP BY public_key""")
+def _(t):
+    name = "builderio_shared_spaces"
+    done = checked.write_checked(t.builderio_shared_spaces, work_dir(t.spark, "checked"), name, {name: conform(t.builderio_shared_spaces.limit(0), name)})
+    both = done.good().select("public_key", F.lit(1).alias("g")).unionByName(done.rejected().select("public_key", F.lit(0).alias("g")))
+    return both.groupBy("public_key").agg(F.count_if(F.col("g") == 1).alias("good"), F.count_if(F.col("g") == 0).alias("rejected"))
+
+
+@query("generation_metrics_sketched", """
+SELECT industry, count(*) AS runs, count(*) FILTER (success) AS succeeded, count(*) FILTER (success) / count(*) AS success_rate,
+ sum(generation_time_seconds)::double / count(*) AS mean_seconds, cast(sum(components_generated) AS bigint) AS components, cast(sum(files_generated) AS bigint) AS files, true AS p95_within
+FROM site_generations GROUP BY industry""")
+def _(t):
+    """The 95th percentile out of daily sketches; its exact rank error is within the bound."""
+    daily = work_dir(t.spark, "daily-metrics")
+    made = sketches.daily_metrics(t.site_generations, ["industry", "project_name"])
+    made.write.parquet(daily)
+    rolled = sketches.rolled_up(t.spark.read.schema(made.schema).parquet(daily), ["industry"])
+    errors = sketches.rank_errors(t.site_generations, rolled, ["industry"], "p95_seconds", 0.95)
+    within = errors.select("industry", (F.col("rank_error") <= sketches.rank_error()).alias("p95_within"))
+    return rolled.join(within, "industry").select("industry", "runs", "succeeded", "success_rate", "mean_seconds", "components", "files", "p95_within")
+
+
+@query("generation_days_refreshed", """
+SELECT created_at::date AS day, industry, count(*) AS runs, cast(sum(files_generated) AS bigint) AS files, count(generation_time_seconds) AS in_sketch FROM site_generations GROUP BY ALL""")
+def _(t):
+    """Days are stored from a part of the runs, then the days of the other runs are computed anew."""
+    store, keys = VersionStore(t.spark, work_dir(t.spark, "daily-store")), ["industry"]
+    early = t.site_generations.where("success")
+    sketches.refresh_days(store, early, early.select(F.to_date("created_at").alias("day")), keys)
+    late = t.site_generations.where("NOT success").select(F.to_date("created_at").alias("day"))
+    sketches.refresh_days(store, t.site_generations, late, keys)
+    return store.read("daily_metrics").select("day", "industry", "runs", "files", F.kll_sketch_get_n_double("sketch").alias("in_sketch"))

@@ -63,16 +63,30 @@ def _(t):
     return _naive(run_to_table(t, builds.build_timeout(polls), "build-timeout"))
 
 
+def _log_streams(t):
+    """Starts and completions; some operations complete two hours late, beyond the bound."""
+    log = flows.event_time(t.stream("registry_operations_log"), "started_at", "completed_at")
+    late = F.when(F.col("id") % 40 == 7, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
+    log = log.withColumn("completed_at", F.col("completed_at") + late)
+    return log.filter(F.col("started_at").isNotNull()).select("id", "started_at"), log.filter(F.col("completed_at").isNotNull()).select("id", "completed_at")
+
+
+@query("operation_outcomes", """
+WITH o AS (SELECT id AS operation_id, started_at, CASE WHEN id % 40 <> 7 THEN completed_at END AS completed_at FROM registry_operations_log WHERE started_at IS NOT NULL)
+SELECT operation_id, started_at, completed_at, cast(round((epoch_us(completed_at) - epoch_us(started_at)) / 1000.0) AS int) AS duration_ms,
+ if(completed_at IS NULL, 'timed_out', 'completed') AS outcome FROM o WHERE started_at < (SELECT max(started_at) - INTERVAL 4 HOUR FROM o)""")
+def _(t):
+    """Operations whose outcome is certain: those started over four hours before the last."""
+    outcomes = _naive(run_to_table(t, flows.operation_outcomes(*_log_streams(t)), "operation-outcomes"))
+    last = t.registry_operations_log.agg((F.max("started_at") - F.expr("INTERVAL 4 HOURS")).alias("_last"))
+    return outcomes.join(F.broadcast(last), F.col("started_at") < F.col("_last")).drop("_last")
+
+
 @query("operation_pairing", """
 SELECT id AS operation_id, started_at, completed_at, cast(round((epoch_us(completed_at) - epoch_us(started_at)) / 1000.0) AS int) AS duration_ms FROM registry_operations_log
 WHERE started_at IS NOT NULL AND completed_at IS NOT NULL AND id % 40 <> 7""")
 def _(t):
-    log = flows.event_time(t.stream("registry_operations_log"), "started_at", "completed_at")
-    # Some operations complete two hours late, beyond the bound.
-    late = F.when(F.col("id") % 40 == 7, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 0 HOURS"))
-    log = log.withColumn("completed_at", F.col("completed_at") + late)
-    started = log.filter(F.col("started_at").isNotNull()).select("id", "started_at")
-    completed = log.filter(F.col("completed_at").isNotNull()).select("id", "completed_at")
+    started, completed = _log_streams(t)
     return _naive(run_to_table(t, flows.operation_pairing(started, completed), "operation-pairing"))
 
 

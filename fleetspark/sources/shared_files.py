@@ -60,3 +60,9 @@ class SharedFolder:
                 return False
             raise
         return True
+
+    def delete(self, name: str) -> bool:
+        """Delete a file or folder below the root; False if there was none."""
+        if not name.strip("/"):
+            raise ValueError("the folder itself is not deleted")
+        return self._fs.delete(self._path(name), True)

@@ -60,6 +60,23 @@ def operation_pairing(started: DataFrame, completed: DataFrame, longest: str = "
     )
 
 
+def operation_outcomes(started: DataFrame, completed: DataFrame, longest: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Every started operation once: with its completion, or as ``timed_out`` when none can come any more.
+
+    A left outer join of two streams.  A start waits in the state until the watermark has passed its
+    bound; then it comes out without completion, and the state lets it go.  Starts later than the
+    delay are dropped, and so are completions.
+    """
+    begin = started.withWatermark("started_at", delay).select(F.col("id").alias("operation_id"), "started_at")
+    end = completed.withWatermark("completed_at", delay).select(F.col("id").alias("_id"), "completed_at")
+    within = F.expr(f"_id = operation_id AND completed_at >= started_at AND completed_at <= started_at + INTERVAL {longest}")
+    joined = begin.join(end, within, "left_outer")
+    return joined.select(
+        "operation_id", "started_at", "completed_at", duration_ms(F.col("started_at"), F.col("completed_at")).alias("duration_ms"),
+        F.when(F.col("completed_at").isNull(), "timed_out").otherwise("completed").alias("outcome"),
+    )
+
+
 def newest_checks(checks: DataFrame) -> DataFrame:
     """Newest check per client, of a table or, in update mode, of a stream; no time counts as
     newest, ties go to the smaller id.  A stream keeps one row per client as state."""

@@ -93,7 +93,7 @@ def test_latest_health_over_batches_and_restarts(spark, tmp_path):
         got = run.latest_health_stream(stream, root, 4).collect()
         assert sorted((r["client_id"], r["id"], r["overall_status"]) for r in got) == want
     # A batch writes the clients it changed, not all.
-    changed = {r["batch"]: r["n"] for r in spark.read.parquet(f"{root}/state").groupBy("batch").agg({"client_id": "count"}).toDF("batch", "n").collect()}
+    changed = {r["batch"]: r["n"] for r in spark.read.parquet(f"{root}/state/log/*").groupBy("batch").agg({"client_id": "count"}).toDF("batch", "n").collect()}
     assert changed[0] == 2 and changed[2] == 2
 
 
@@ -106,6 +106,82 @@ def test_latest_health_of_no_rows(spark, tmp_path):
     assert [r["id"] for r in state.current().collect()] == ["hc-2"]
 
 
+def upserts(spark, state, ids):
+    for i in ids:
+        state.upsert(flows.newest_checks(spark.createDataFrame([check(i, f"c{i % 7}", at(i), "down")], CHECK)), i)
+
+
+def held(state):
+    return {r["client_id"]: r["id"] for r in state.current().collect()}
+
+
+def health_state(spark, tmp_path, every):
+    return run.HealthState(spark, str(tmp_path / "health-state"), flows.newest_checks(spark.createDataFrame([], CHECK)).schema, every)
+
+
+def test_health_state_stays_small(spark, tmp_path):
+    """A hundred batches leave two bases and the log since the older one."""
+    state = health_state(spark, tmp_path, 8)
+    upserts(spark, state, range(100))
+    assert held(state) == {f"c{c}": f"hc-{max(i for i in range(100) if i % 7 == c)}" for c in range(7)}
+    assert state.bases() == [95, 87] and len(state.folder.names("base")) == 2 and len(state.folder.names("log")) <= 16
+    # A stream that starts again repeats its last batches.
+    before = held(state)
+    upserts(spark, state, (94, 95, 99))
+    assert held(state) == before and state.bases() == [95, 87]
+
+
+def test_health_state_survives_a_crash_while_compacting(spark, tmp_path, monkeypatch):
+    state = health_state(spark, tmp_path, 4)
+    upserts(spark, state, range(6))
+    before = held(state)
+    with monkeypatch.context() as broken:
+        # The base is written, but nothing names it.
+        broken.setattr(state.folder, "publish", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        try:
+            state.compact(5)
+        except OSError:
+            pass
+    assert state.folder.exists("base/000000000005") and state.bases() == [3] and held(state) == before
+    # Named, but the old parts are still there.
+    with monkeypatch.context() as broken:
+        broken.setattr(state.folder, "delete", lambda name: (_ for _ in ()).throw(OSError("lost")))
+        upserts(spark, state, (6,))
+        try:
+            state.compact(6)
+        except OSError:
+            pass
+    assert state.bases()[0] == 6
+    again = health_state(spark, tmp_path, 4)
+    assert held(again) == {**before, "c6": "hc-6"}
+    upserts(spark, again, range(7, 12))
+    assert held(again) == {f"c{c}": f"hc-{max(i for i in range(12) if i % 7 == c)}" for c in range(7)}
+
+
+def test_latest_health_compacts_as_it_runs(spark, tmp_path):
+    batches = [[check(i, f"c{i % 3}", at(i), "down")] for i in range(9)]
+    root = str(tmp_path / "health")
+    got = run.latest_health_stream(feed(spark, tmp_path, CHECK, *batches), root, 4, compact_every=2)
+    assert {r["client_id"]: r["id"] for r in got.collect()} == {"c0": "hc-6", "c1": "hc-7", "c2": "hc-8"}
+
+
+def test_operations_without_completion_come_out(spark, tmp_path):
+    hour = 3600
+    log = feed(spark, tmp_path, "id long, started_at timestamp, completed_at timestamp",
+               [(1, at(0), None), (2, at(5), None), (3, at(9), None)], [(1, None, at(90)), (3, None, at(9 + 2 * hour))],
+               [(4, at(10 * hour), None), (4, None, at(10 * hour + 5))], [(7, at(12 * hour), at(12 * hour))], [(2, None, at(70)), (5, at(20 * hour), at(20 * hour))], [(6, at(30 * hour), at(30 * hour))])
+    started, completed = log.filter("started_at is not null").select("id", "started_at"), log.filter("completed_at is not null").select("id", "completed_at")
+    out, root = flows.operation_outcomes(started, completed), work_dir(spark, "outcomes-test")
+    with run.stream_settings(spark, 4):
+        query = run.start_to_files(out, f"{root}/rows", f"{root}/checkpoint")
+    query.awaitTermination()
+    got = {r["operation_id"]: (r["outcome"], r["duration_ms"]) for r in spark.read.schema(out.schema).parquet(f"{root}/rows").collect()}
+    # 2 was completed too late to be believed, 3 after its bound; each came out once, and the state let them go.
+    assert got == {1: ("completed", 90_000), 2: ("timed_out", None), 3: ("timed_out", None), 4: ("completed", 5_000), 5: ("completed", 0), 6: ("completed", 0), 7: ("completed", 0)}
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert rows[-1] <= 4
+
+
 def test_finished_builds_are_forgotten(spark, tmp_path):
     poll = lambda i, t, s: (f"dpl_{i}", at(t), s)
     stream = feed(spark, tmp_path, "deployment_id string, polled_at timestamp, ready_state string",
