@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -35,52 +34,51 @@ def timeout_processor(forget_seconds: int = FORGET_SECONDS) -> StatefulProcessor
             self.handle = handle
             self.build = handle.getValueState("build", "started_ms bigint, done boolean")
 
-        def _outcome(self, key, state: str, started: int, ended: int) -> pd.DataFrame:
-            return pd.DataFrame({
-                "deployment_id": [key], "state": [state], "success": [state == "READY"],
-                "started_ms": [started], "ended_ms": [ended],
-            })
+        def _outcome(self, key, state: str, started: int, ended: int) -> Row:
+            return Row(deployment_id=key[0], state=state, success=state == "READY", started_ms=started, ended_ms=ended)
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            known = self.build.get() if self.build.exists() else None
+        def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+            # Each call of the state or the timers goes to the JVM and back, so none is made in vain.
+            known = self.build.get()
             if known is not None and known[1]:
                 return
-            started = known[0] if known is not None else None
+            before = started = known[0] if known is not None else None
             first_end, last = None, None
-            for part in rows:  # one pass; only three values are kept of any number of polls
-                at = part["polled_ms"]
-                low, high = int(at.min()), int(at.max())
-                started = low if started is None else min(started, low)
-                last = high if last is None else max(last, high)
-                final = part[part["ready_state"].isin(FINAL_STATES)]
-                if len(final):
-                    best = min(zip(final["polled_ms"].astype("int64"), final["ready_state"]))
-                    first_end = best if first_end is None else min(first_end, best)
+            for row in rows:  # one pass; only three values are kept of any number of polls
+                at, state = row["polled_ms"], row["ready_state"]
+                started = at if started is None or at < started else started
+                last = at if last is None or at > last else last
+                if state in FINAL_STATES and (first_end is None or (at, state) < first_end):
+                    first_end = (at, state)
             deadline = started + MAX_WAIT_SECONDS * 1000
-            forget = deadline + forget_seconds * 1000
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if before is not None and before != started:
+                self.handle.deleteTimer(before + MAX_WAIT_SECONDS * 1000)
             if first_end is not None and first_end[0] <= deadline:
-                self.build.update((started, True))
-                self.handle.registerTimer(forget)
-                yield self._outcome(key[0], first_end[1], started, int(first_end[0]))
+                end = (first_end[1], first_end[0])
             elif last > deadline:
-                self.build.update((started, True))
-                self.handle.registerTimer(forget)
-                yield self._outcome(key[0], "TIMEOUT", started, deadline)
-            else:
-                self.build.update((started, False))
-                self.handle.registerTimer(deadline)
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            started, done = self.build.get()
-            if done:
-                self.build.clear()
+                end = ("TIMEOUT", deadline)
             else:
-                deadline = started + MAX_WAIT_SECONDS * 1000
+                if before != started:
+                    self.build.update((started, False))
+                    self.handle.registerTimer(deadline)
+                return
+            # A build that ends has one timer more, at its deadline, which does no harm.
+            self.build.update((started, True))
+            self.handle.registerTimer(deadline + forget_seconds * 1000)
+            yield self._outcome(key, end[0], started, end[1])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+            known = self.build.get()
+            if known is None:
+                return
+            started, done = known
+            deadline = started + MAX_WAIT_SECONDS * 1000
+            if not done:
                 self.build.update((started, True))
                 self.handle.registerTimer(deadline + forget_seconds * 1000)
-                yield self._outcome(key[0], "TIMEOUT", started, deadline)
+                yield self._outcome(key, "TIMEOUT", started, deadline)
+            elif expiredTimerInfo.getExpiryTimeInMs() > deadline:
+                self.build.clear()
 
         def close(self) -> None:
             pass
@@ -94,7 +92,7 @@ def build_timeout(polls: DataFrame, delay: str = "10 minutes", forget_seconds: i
         "deployment_id", "polled_at", F.unix_millis("polled_at").alias("polled_ms"), "ready_state"
     )
     key_type = polls.schema["deployment_id"].dataType.simpleString()
-    ended = slim.groupBy("deployment_id").transformWithStateInPandas(
+    ended = slim.groupBy("deployment_id").transformWithState(
         statefulProcessor=timeout_processor(forget_seconds), outputStructType=f"deployment_id {key_type}, {OUTCOME}", outputMode="Append", timeMode="EventTime"
     )
     return ended.select(
