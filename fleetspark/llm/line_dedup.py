@@ -1,35 +1,40 @@
-"""Fuzzy line deduplication in DataFrame operations: MinHash bands, exact Jaccard, union-find.
+"""Fuzzy line deduplication: MinHash bands over character shingles, exact Jaccard, union-find.
 
 A line is what stands between line ends, without white space at its ends; blank lines stay as
-they are.  Its set holds the 12 characters from each word start on, and from every eighth
-character on inside a longer word (every character of scripts without blanks), lower-cased and
-hashed to 64 bits.  The hash range is cut into equal segments; the three smallest hashes of a
-segment make a band.  Lines that share a band are compared exactly, however many share it, unless
-they are in one component already.  Lines with a Jaccard similarity of 4/5 are linked, and of each
-component only the first line stays.  A pair at just 4/5 shares one of eight bands with probability 0.997.
+they are.  Its set holds every run of five characters, lower-cased; a shorter line is one run.
+Lines that share a band of four MinHash values are candidates, and a pair at a similarity of 4/5
+shares one of ten bands with probability 0.995.  Small buckets are compared pair by pair.  In
+larger ones every line is first compared with one of them; only buckets that this leaves in more
+than one component are compared as a whole, in blocks.  Lines with a Jaccard similarity of 4/5 are
+linked, and of each component only the first line stays.
+
+Splitting, joins and union-find are DataFrame operations; hashes and comparisons are numpy on Arrow
+batches, since as native expressions they cost several times the limits (see README.md).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetspark.llm import textops
 from fleetspark.llm.components import components
+from fleetspark.llm.set_join import _dealt, _groups, _in_groups, _links
 from fleetspark.llm.tables import SPACES, once, row_key, small, written
 
-#: A shingle is the 12 characters at each of these places.
-PLACES = r"(?s)(?=(.{1,12}))(?:[!-\u024F]{1,8}|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|\S{1,8})\s*"
-#: The segments of the hash range, each a band of so many smallest hashes.
-BANDS, ROWS = 8, 3
-#: Fewer shingles cannot reach the threshold unless all are equal.
-LEAST = 4
+#: Characters of a shingle.
+SHINGLE = 5
+#: Bands, and MinHash values in each.
+BANDS, ROWS = 10, 4
 NUMERATOR, DENOMINATOR = 4, 5
-#: Lines of one bucket that are ordered together in the first comparison.
-CHUNK = 64
-#: Lines of a cell that a row compares with as many others.
-BLOCK = 256
-#: Larger buckets are crowds: what shares a second band there is linked first, then all their other pairs are compared.
-CROWD = 32
+#: Buckets of up to so many lines are compared pair by pair.
+SMALL = 8
+#: Lines, and characters, compared together of larger buckets.
+CHUNK, GROUP_CHARACTERS = 1024, 1 << 20
+#: Characters hashed at once.
+SLICE = 1 << 19
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,111 +45,149 @@ def _lines(docs: DataFrame) -> DataFrame:
     return out.select("rk", "doc_id", F.col("s.pos").alias("pos"), "nth", F.col("s.line").alias("line"), F.xxhash64("s.line").alias("lid"))
 
 
-def _shingled(lines: DataFrame) -> DataFrame:
-    """lid and its sorted shingle hashes s."""
-    hashed = F.transform(F.regexp_extract_all(F.lower("line"), F.lit(PLACES), F.lit(1)), lambda x: F.xxhash64(x))
-    return once(lines, s=F.sort_array(hashed)).select("lid", "s")
-
-
-def _apart(x: Column, y: Column) -> Column:
-    """Whether two hashes lie in different eighths of the range."""
-    return F.shiftrightunsigned(x.bitwiseXOR(y), 61) != 0
-
-
-def _bands(shingled: DataFrame) -> DataFrame:
-    """(key, lid): one key per segment that has hashes, of its smallest ``ROWS``."""
-    least = F.filter("s", lambda x, i: (i < ROWS) | _apart(F.get("s", i - ROWS), x))
-    rows = once(shingled.where(F.size("s") >= LEAST), f=least)
-    after = lambda x, i: F.when(~_apart(F.get("f", i), x), F.get("f", i))
-    band = lambda x, i: F.when((i == 0) | _apart(F.get("f", i - 1), x), F.xxhash64(x, after(x, i + 1), after(x, i + 2)))
-    keys = once(rows, k=F.filter(F.transform("f", band), lambda k: k.isNotNull()))
-    return keys.select("lid", F.explode("k").alias("key")).select("key", "lid")
-
-
-def _buckets(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(key, lid, size): distinct lines of every band that two different lines share."""
-    keys = written(_bands(_shingled(_lines(docs))), spark, "bands")
+def _multipliers() -> np.ndarray:
+    return textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all runs of ``SHINGLE`` characters of each line, their number per line); lines are not empty."""
+    characters = [np.frombuffer(line.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for line in lines]
+    sizes = np.array([len(c) for c in characters])
+    every = np.concatenate(characters).astype(np.uint64) + np.uint64(1)
+    # Past a line's end come zeros, so that a short line is one run of what it has.
+    line = np.repeat(np.arange(len(lines)), sizes)
+    ends = np.cumsum(sizes)
+    left = ends[line] - np.arange(len(every))
+    h = np.zeros(len(every), np.uint64)
+    for k in range(SHINGLE):
+        shifted = np.zeros(len(every), np.uint64)
+        shifted[: max(0, len(every) - k)] = every[k:]
+        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, shifted, np.uint64(0))
+    whole = (left >= SHINGLE) | (left == sizes[line])
+    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    return textops.mix(h[whole]), counts
+
+
+def _signed(batches):
+    """(lid, keys): the bands of each line of a batch that is not a copy of one before it."""
+    multipliers = _multipliers()
+    seen: set[int] = set()
+    for batch in batches:
+        lids, texts = batch.column("lid").to_pylist(), batch.column("line")
+        fresh = []
+        for i, lid in enumerate(lids):
+            if lid not in seen:
+                seen.add(lid)
+                fresh.append(i)
+        if len(seen) > 1 << 20:
+            seen.clear()
+        at = 0
+        while at < len(fresh):
+            some, size, first = [], 0, at
+            while at < len(fresh) and (not some or size < SLICE):
+                some.append(texts[fresh[at]].as_py())
+                size += len(some[-1])
+                at += 1
+            h, counts = shingles(some)
+            starts = np.cumsum(counts) - counts
+            keys = np.zeros((len(some), BANDS), np.uint64)
+            for k, m in enumerate(multipliers):
+                least = np.minimum.reduceat(h * m, starts)
+                band = k // ROWS
+                keys[:, band] = textops.mix(keys[:, band] ^ least) + np.uint64(k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lids[i] for i in fresh[first:at]], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], ["lid", "keys"],
+            )
+
+
+def _buckets(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(key, lid, size, head): distinct lines of every band that two different lines share."""
+    signed = written(lines.select("lid", "line").mapInArrow(_signed, "lid long, keys array<long>"), spark, "bands")
+    keys = signed.select("lid", F.explode("keys").alias("key"))
     shared = written(keys.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi").select("key"), spark, "shared")
-    cells = written(keys.join(small(shared, shared.count(), 16), "key").distinct(), spark, "cells")
+    cells = written(keys.join(small(shared, shared.count(), 64), "key").distinct(), spark, "cells")
     sizes = cells.groupBy("key").agg(F.count("*").alias("size"), F.min("lid").alias("head"))
     return written(cells.join(sizes, "key"), spark, "buckets")
 
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs to start with: each line with its bucket's first, and with two neighbours in bounded chunks."""
-    chunked = buckets.withColumn("chunk", F.pmod(F.xxhash64("lid"), F.ceil(F.col("size") / CHUNK)))
-    order = Window.partitionBy("key", "chunk").orderBy("lid")
-    near = chunked.select("lid", "head", F.lag("lid", 1).over(order).alias("one"), F.lag("lid", 2).over(order).alias("two"))
-    near = near.select("lid", F.explode(F.array("head", "one", "two")).alias("other"))
-    return near.where("other < lid").select(F.col("other").alias("a"), F.col("lid").alias("b")).distinct()
-
-
-def _cells(buckets: DataFrame) -> DataFrame:
-    """(key, lid) of the buckets of up to ``CROWD`` lines, and of the common parts of any two larger ones."""
-    few = buckets.where(F.col("size") <= CROWD).select("key", "lid")
-    # A line has at most one bucket per band, so its list is short.
-    own = buckets.where(F.col("size") > CROWD).groupBy("lid").agg(F.sort_array(F.collect_list("key")).alias("ks")).where(F.size("ks") > 1)
-    two = F.flatten(F.transform("ks", lambda x, i: F.transform(F.slice("ks", i + 2, BANDS), lambda y: F.xxhash64(x, y))))
-    crossed = own.select(F.explode(two).alias("key"), "lid")
-    shared = crossed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return few.unionByName(crossed.join(shared, "key"))
-
+def _pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs (a, b) to compare first: all of small buckets, each line with its head in larger ones."""
+    few = buckets.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("lid")).alias("l"))
+    two = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    heads = buckets.where((F.col("size") > SMALL) & (F.col("lid") != F.col("head"))).select(F.col("head").alias("a"), F.col("lid").alias("b"))
+    return few.select(F.inline(two)).unionByName(heads).distinct()
+
+
+def _verified(batches):
+    """The pairs (a, b) of lines whose sets have a Jaccard similarity of the threshold or more."""
+    for batch in batches:
+        left, right = batch.column("left"), batch.column("right")
+        at, good = 0, []
+        while at < batch.num_rows:
+            first, size, x, y = at, 0, [], []
+            while at < batch.num_rows and (not x or size < SLICE):
+                x.append(left[at].as_py())
+                y.append(right[at].as_py())
+                size += len(x[-1]) + len(y[-1])
+                at += 1
+            n = len(x)
+            h, counts = shingles(x + y)
+            side = np.repeat(np.arange(2 * n), counts)
+            order = np.lexsort((h, side))
+            h, side = h[order], side[order]
+            new = np.append(True, (h[1:] != h[:-1]) | (side[1:] != side[:-1]))
+            h, pair, side = h[new], side[new] % n, side[new]
+            sizes = np.bincount(side, minlength=2 * n)
+            order = np.lexsort((h, pair))
+            h, pair = h[order], pair[order]
+            shared = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
+            good.append(first + np.flatnonzero((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (sizes[:n] + sizes[n:])))
+        good = pa.array(np.concatenate(good) if good else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good)], ["a", "b"])
+
+
+def _compared(batches):
+    """Star edges of the lines of each block pair of a bucket that are similar."""
+    keys = ["key", "c1", "c2"]
+    for table in _groups(batches, keys):
+        ids = [table.column(k).to_numpy() for k in keys]
+        cuts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1), table.num_rows]
+        for s, e in zip(cuts, cuts[1:]):
+            part = table.slice(s, e - s)
+            h, counts = shingles(part.column("line").to_pylist())
+            sets = [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
+            _, label = _links(sets, part.column("chunk").to_numpy(), ids[1][s] != ids[2][s])
+            own = np.flatnonzero(label != np.arange(len(label)))
+            lid = part.column("lid").combine_chunks()
+            yield pa.RecordBatch.from_arrays([lid.take(pa.array(own)), lid.take(pa.array(label[own]))], ["a", "b"])
+
+
+def _open(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (a, b) within larger buckets that have lines of several components, all pairs compared.
+
+    A bucket is dealt to blocks of at most ``CHUNK`` lines and ``GROUP_CHARACTERS`` on average, and its
+    lines to all pairs of their block; no task has a whole crowd.
+    """
+    large = buckets.where(F.col("size") > SMALL).select("key", "lid")
+    named = large.join(roots, large["lid"] == roots["node"], "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
+    unsettled = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    members = large.join(unsettled, "key").join(texts, "lid")
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("line")) / GROUP_CHARACTERS)).alias("chunks"))
+    return _in_groups(_dealt(members.join(sizes, "key"), "key", "chunks", "lid"), ["key", "c1", "c2"]).select("key", "c1", "c2", "chunk", "lid", "line").mapInArrow(_compared, "a long, b long")
 
-def _open_edges(cells: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between lines of one cell that lie in different components.
 
-    All such pairs of a cell are compared, none is left out; pairs inside one component need no
-    comparison.  A cell's lines are dealt to blocks, and a row compares a block of lines outside the
-    cell's largest component with a block of all, so that a crowd makes no row per pair.  The pairs
-    of blocks are dealt out by cell and block, so that no task has a whole crowd.
-    """
-    named = cells.join(roots, cells["lid"] == roots["node"], "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
-    parts = named.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
-    mixed = mixed.select("key", F.col("top.root").alias("top"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    members = named.join(mixed, "key").join(sets, "lid").withColumn("block", F.pmod(F.xxhash64("lid"), F.col("blocks")))
-    line = F.struct("lid", "root", "s")
-    ours = members.where("root <> top").groupBy("key", "top", "blocks", "block").agg(F.collect_list(line).alias("xs"))
-    ours = ours.select("key", "top", "xs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    theirs = members.groupBy("key", "block").agg(F.collect_list(line).alias("ys"))
-
-    def linked(x, y):
-        m, n = F.size(x["s"]), F.size(y["s"])
-        close = (DENOMINATOR * F.least(m, n)) >= NUMERATOR * F.greatest(m, n)
-        shared = F.size(F.array_intersect(x["s"], y["s"]))
-        # A pair outside the largest component stands on both sides and is compared once.
-        apart = (x["root"] != y["root"]) & ((y["root"] == F.col("top")) | (x["lid"] < y["lid"]))
-        return apart & close & ((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (m + n))
-
-    found = F.transform("xs", lambda x: F.transform(F.filter("ys", lambda y: linked(x, y)), lambda y: F.struct(x["lid"].alias("a"), y["lid"].alias("b"))))
-    return ours.join(theirs, ["key", "block"]).select(F.explode(F.flatten(found)).alias("e")).select("e.a", "e.b").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a Jaccard similarity of the threshold or more."""
-    left = sets.select(F.col("lid").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("lid").alias("b"), F.col("s").alias("sb"))
-    na, nb = F.size("sa"), F.size("sb")
-    close = (DENOMINATOR * F.least(na, nb)) >= NUMERATOR * F.greatest(na, nb)
-    both = pairs.join(left, "a").join(right, "b").where(close)
-    both = once(both, shared=F.size(F.array_intersect("sa", "sb")))
-    return both.where((NUMERATOR + DENOMINATOR) * F.col("shared") >= NUMERATOR * (F.size("sa") + F.size("sb"))).select("a", "b")
-
-
-def near_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """(node, root) of the lines, named by hash, that have a near-duplicate of another text."""
-    buckets = _buckets(spark, docs)
+def near_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """(node, root) of the lines (lid, line) that have a near-duplicate of another text."""
+    buckets = _buckets(spark, lines)
     wanted = written(buckets.select("lid").distinct(), spark, "wanted")
-    lines = _lines(docs).select("lid", "line").join(small(wanted, wanted.count(), 16), "lid", "left_semi").dropDuplicates(["lid"])
-    sets = written(_shingled(lines).select("lid", F.array_distinct("s").alias("s")), spark, "line-sets")
-    edges = written(_verified(_first_pairs(buckets), sets), spark, "line-edges")
+    texts = written(lines.select("lid", "line").join(small(wanted, wanted.count(), 64), "lid", "left_semi").dropDuplicates(["lid"]), spark, "line-texts")
+    pairs = written(_pairs(buckets), spark, "line-pairs")
+    left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("left")), texts.select(F.col("lid").alias("b"), F.col("line").alias("right"))
+    both = pairs.join(left, "a").join(right, "b")
+    edges = written(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), spark, "line-edges")
     roots = components(edges)
-    for cells in (_cells(buckets), buckets.where(F.col("size") > CROWD).select("key", "lid")):
-        more = written(_open_edges(cells, roots, sets), spark, "line-edges")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            roots = components(edges)
-    return roots
+    more = written(_open(buckets, roots, texts), spark, "line-edges")
+    return roots if more.isEmpty() else components(edges.unionByName(more))
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -162,10 +205,11 @@ def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    lines = written(_lines(docs).drop("line"), spark, "lines")
+    every = written(_lines(docs), spark, "lines")
+    lines = every.drop("line")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", "pos")
     firsts = lines.groupBy("lid").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    roots = near_lines(spark, docs)
+    roots = near_lines(spark, every.select("lid", "line"))
     named = firsts.join(roots, firsts["lid"] == roots["node"], "left").where("n > 1 OR root IS NOT NULL").select("lid", "first", F.coalesce("root", "lid").alias("root"))
     named = written(named, spark, "named-lines")
     keep = named.groupBy("root").agg(F.min("first").alias("keep"))

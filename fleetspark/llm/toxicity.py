@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,10 +17,12 @@ EXAMPLE_ROWS = 8192
 EXAMPLE_TERMS = 16_000_000
 FOLDS = 5
 NEIGHBOURS = 16
-#: Examples in a block, and blocks scored before any is left out.
-BLOCK, FIRST_BLOCKS = 64, 4
-#: Terms that most examples share lie in a dense table; texts are multiplied with it so many at a time.
-FREQUENT, TOGETHER = 256, 64
+#: Examples in a block.
+BLOCK = 1024
+#: Terms that very many examples have lie in a dense table; texts are multiplied with it so many at a time.
+FREQUENT, TOGETHER = 1024, 256
+#: More than single precision loses in a cosine; what is that close to a limit is added up exactly.
+MARGIN = 1e-5
 #: Answers remembered per task.
 ASKED = 20_000
 #: Weight of the base rate in a vote.
@@ -73,6 +77,12 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def _runs(numbers: np.ndarray):
+    """(first, last + 1) of each run of consecutive numbers."""
+    cuts = np.flatnonzero(np.diff(numbers) != 1) + 1
+    return [(int(x[0]), int(x[-1]) + 1) for x in np.split(numbers, cuts) if len(x)]
+
+
 class Vocabulary:
     """Terms by hash, in order; a small table tells most other terms without a search."""
 
@@ -106,9 +116,9 @@ class Vocabulary:
 class Index:
     """Unit vectors of examples by term.
 
-    Terms that very many examples have lie in a dense table.  The others have postings in blocks of
-    ``BLOCK`` consecutive examples, and each block its largest weight: what a block's examples reach at
-    most is known without their postings.
+    Terms that very many examples have lie in a dense table.  The others have postings, and for each
+    block of ``BLOCK`` consecutive examples their largest weight: what a block's examples reach at most
+    is known without their postings.
     """
 
     def __init__(self, ids, labels, term: np.ndarray, tf: np.ndarray, sizes: np.ndarray, vocabulary: np.ndarray, idf, weight_of):
@@ -118,12 +128,12 @@ class Index:
         self.empty = float(labels[none].sum() / (none.sum() + 1)) if none.any() else self.base
         self.ids, self.labels = ids, labels.astype(float)
         self.slope, self.shift = 1.0, 0.0
-        row = np.repeat(np.arange(len(ids)), sizes)
-        order = np.lexsort((row, term))
+        row = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        order = np.argsort(term, kind="stable")  # rows stay in order
         small_ = lambda x: x.astype(np.min_scalar_type(int(x.max()))) if len(x) else x.astype(np.uint8)
         self.spread = np.bincount(term, minlength=len(vocabulary)).astype(np.int32)
         self.row, self.tf = small_(row[order]), small_(tf[order].astype(np.int64))
-        self._build()
+        self.built = False
 
     def __getstate__(self):
         # Tasks are sent the terms' rows and frequencies and make the rest of them.
@@ -132,31 +142,39 @@ class Index:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._build()
+        self.built = False
 
     def _build(self) -> None:
         n_terms, n = len(self.spread), len(self.ids)
-        self._asked: dict[tuple, list[tuple[float, int]]] = {}
-        term, row = np.repeat(np.arange(n_terms), self.spread), self.row.astype(np.int32)
+        self._asked: dict[bytes, list[tuple[float, int]]] = {}
+        term, row = np.repeat(np.arange(n_terms, dtype=np.int32), self.spread), self.row.astype(np.int32)
         weight = (1 + np.log(self.tf.astype(float))) * (self.idf * self.weight_of)[term]
         weight /= np.sqrt(np.bincount(row, weight * weight, n))[row]
+        # The examples themselves, for exact sums.
+        order = np.argsort(row, kind="stable")
+        self.of_term, self.of_weight = term[order], weight[order]
+        self.of_ends = np.append(0, np.cumsum(np.bincount(row, minlength=n)))
+        self.query = np.zeros(n_terms)
         self.n_blocks = -(-n // BLOCK)
         often = np.sort(np.argsort(-self.spread, kind="stable")[:FREQUENT])
-        self.dense_at = np.full(n_terms, -1)
+        self.dense_at = np.full(n_terms, -1, np.int32)
         self.dense_at[often] = np.arange(len(often))
         at = self.dense_at[term]
-        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        self.dense = np.zeros((len(often), self.n_blocks * BLOCK), np.float32)
         self.dense[at[at >= 0], row[at >= 0]] = weight[at >= 0]
-        # Postings of the other terms by term and block; an entry is the part of one block.
-        term, self.place, self.weight = term[at < 0], row[at < 0], weight[at < 0]
-        block = self.place // BLOCK
+        # Postings of the other terms, and the largest weight of each in each block.
+        term, place, weight = term[at < 0], row[at < 0], weight[at < 0].astype(np.float32)
+        # A posting is one number: the example above, its weight below.
+        self.posting = place.astype("<i8") << 32 | weight.view("<u4")
+        self.ends = np.searchsorted(term, np.arange(n_terms + 1))
+        block = place // BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        self.entry_start = np.flatnonzero(new)
-        self.entry_size = np.diff(np.append(self.entry_start, len(term)))
-        self.entry_block = block[self.entry_start]
-        self.entry_most = np.maximum.reduceat(self.weight, self.entry_start) if len(term) else np.zeros(0)
-        self.term_entries = np.searchsorted(term[self.entry_start], np.arange(n_terms + 1))
+        starts = np.flatnonzero(new)
+        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
+        if len(term):
+            self.most[term[starts], block[starts]] = np.maximum.reduceat(weight, starts)
+        self.built = True
 
     def weights(self, t, tf):
         w = (1 + np.log(tf)) * self.idf[t] * self.weight_of[t]
@@ -165,8 +183,10 @@ class Index:
     def nearest(self, questions: list[tuple[np.ndarray, np.ndarray]], own_ids: list, k: int = NEIGHBOURS) -> list[list[tuple[float, int]]]:
         """Per text (terms, frequencies) the exact ``k`` nearest (cosine, example) with a cosine over 0; of
         equals the first example.  A text's own example is not among them."""
+        if not self.built:
+            self._build()
         # Copies ask the same question again and again; one neighbour more allows for the text itself.
-        keys = [(t.tobytes(), np.asarray(f).tobytes(), k) if len(t) else None for t, f in questions]
+        keys = [hashlib.blake2b(t.tobytes() + np.asarray(f, float).tobytes() + bytes([k]), digest_size=16).digest() if len(t) else None for t, f in questions]
         todo = list({key: i for i, key in enumerate(keys) if key is not None and key not in self._asked}.values())
         if len(self._asked) + len(todo) > ASKED:
             self._asked.clear()
@@ -180,39 +200,50 @@ class Index:
 
     def _nearest(self, questions, k: int):
         weights = [self.weights(t, f) for t, f in questions]
-        asked = np.zeros((len(questions), len(self.dense)))
+        asked = np.zeros((len(questions), len(self.dense)), np.float32)
         for i, ((t, _), q) in enumerate(zip(questions, weights)):
             at = self.dense_at[t]
             asked[i, at[at >= 0]] = q[at >= 0]
-        by_block = (asked @ self.dense).reshape(len(questions), self.n_blocks, BLOCK)
-        most = by_block.max(axis=2) if self.n_blocks else np.zeros((len(questions), 0))
-        for (t, _), q, scores, upto in zip(questions, weights, by_block, most):
+        frequent = asked @ self.dense
+        for (t, _), q, sums in zip(questions, weights, frequent):
             rare = self.dense_at[t] < 0
-            starts = self.term_entries[t[rare]]
-            sizes = self.term_entries[t[rare] + 1] - starts
-            entries, of = _ranges(starts, sizes), np.repeat(q[rare], sizes)
-            bound = upto + np.bincount(self.entry_block[entries], of * self.entry_most[entries], self.n_blocks)
-            scores, done = scores.copy(), np.zeros(self.n_blocks, bool)
-
-            def add(blocks):
-                """Scores all examples of the blocks."""
-                hit = blocks[self.entry_block[entries]]
-                e = entries[hit]
-                i = _ranges(self.entry_start[e], self.entry_size[e])
-                scores.reshape(-1)[:] += np.bincount(self.place[i], np.repeat(of[hit], self.entry_size[e]) * self.weight[i], scores.size)
-                done[blocks] = True
-
-            first = np.zeros(self.n_blocks, bool)
-            first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-            add(first)
-            known = scores[done].ravel()
-            least = np.partition(known, len(known) - k)[len(known) - k] if len(known) >= k else 0.0
-            # No example of the other blocks can be nearer.
-            add(~done & (bound >= max(least - 1e-9, 1e-12)))
-            rounded = np.round(np.where(done[:, None], scores, 0).ravel(), 9)
-            least = np.partition(rounded, len(rounded) - k)[len(rounded) - k] if len(rounded) > k else 0.0
-            near = np.flatnonzero((rounded >= least) & (rounded > 0))
-            yield [(float(rounded[p]), int(p)) for p in near[np.lexsort((near, -rounded[near]))][:k]]
+            t_rare, q_rare = t[rare], q[rare]
+            n = len(self.ids)
+            # Frequent terms alone bring k examples this near; a block whose best cannot be is left out.
+            least = np.partition(sums[:n], n - k)[n - k] if n >= k else 0.0
+            bound = sums.reshape(self.n_blocks, BLOCK).max(axis=1) + q_rare @ self.most[t_rare]
+            blocks = np.flatnonzero(bound >= least - 2 * MARGIN)
+            starts, ends = self.ends[t_rare], self.ends[t_rare + 1]
+            scores = sums.astype(float)  # of examples in blocks left out, less than their score
+            for first, last in _runs(blocks):
+                if first > 0 or last < self.n_blocks:
+                    starts_, ends_ = self._within(starts, ends, first * BLOCK, last * BLOCK)
+                else:
+                    starts_, ends_ = starts, ends
+                if len(starts_):
+                    posting = self.posting
+                    found = np.concatenate([posting[s:e] for s, e in zip(starts_.tolist(), ends_.tolist())])
+                    weight = found.view(np.float32)[::2] * np.repeat(q_rare, ends_ - starts_)
+                    scores += np.bincount(found >> 32, weight, len(scores))
+            known = scores[:n]
+            least = np.partition(known, n - k)[n - k] if n >= k else 0.0
+            yield self._exact(t, q, np.flatnonzero(known >= max(least - 2 * MARGIN, 0.0)) if least > MARGIN else np.flatnonzero(known > -MARGIN))[:k]
+
+    def _within(self, starts, ends, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """The parts of posting lists that lie in a range of examples."""
+        pairs = [(s + np.searchsorted(self.posting[s:e], low << 32), s + np.searchsorted(self.posting[s:e], high << 32)) for s, e in zip(starts.tolist(), ends.tolist())]
+        found = np.array(pairs, np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
+    def _exact(self, t, q, near) -> list[tuple[float, int]]:
+        """(cosine, example) of the examples, best first, without those of cosine 0."""
+        self.query[t] = q
+        sizes = self.of_ends[near + 1] - self.of_ends[near]
+        i = _ranges(self.of_ends[near], sizes)
+        scores = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.of_weight[i] * self.query[self.of_term[i]], len(near)), 9)
+        self.query[t] = 0
+        order = np.lexsort((near, -scores))
+        return [(float(scores[j]), int(near[j])) for j in order if scores[j] > 0]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in near)
@@ -256,10 +287,11 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
         found = found.join(F.broadcast(few), "doc_id")
     examples, found = found, found.toArrow().sort_by("doc_id")
     raw, sizes = _flat(found["terms"])
-    tf = _flat(found["tf"])[0].astype(float)
-    vocabulary, term = np.unique(raw.astype(np.int64).view(np.uint64), return_inverse=True)
-    label = found["label"].to_numpy().astype(float)
-    row = np.repeat(np.arange(len(sizes)), sizes)
+    tf = _flat(found["tf"])[0]
+    vocabulary, term = np.unique(raw.astype(np.int64, copy=False).view(np.uint64), return_inverse=True)
+    label, term = found["label"].to_numpy().astype(float), term.astype(np.int32)
+    ids = np.array(found["doc_id"].to_pylist(), dtype=None if pa.types.is_integer(found["doc_id"].type) else object)
+    del raw, found
     counting = spark.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def counted(batches):
@@ -279,8 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, example_rows: int = EXAMPLE_ROWS, ex
     df = np.zeros(len(vocabulary))
     df[at[at >= 0]] = seen[at >= 0]
     n = int(seen[at < 0].sum())
-    ids = np.array(found["doc_id"].to_pylist(), dtype=None if pa.types.is_integer(found["doc_id"].type) else object)
-    index = Index(ids, label, term, tf, sizes, vocabulary, np.log((1 + n) / (1 + df)) + 1, evidence(term, row, label, len(vocabulary)))
+    tells = evidence(term, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), label, len(vocabulary))
+    index = Index(ids, label, term, tf, sizes, vocabulary, np.log((1 + n) / (1 + df)) + 1, tells)
     # Sent once, for the votes and for whoever scores; slope and shift come after and go with the work.
     index.sent = spark.sparkContext.broadcast(index)
     if len(ids):

@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_cases import AWKWARD, SMALL, documents  # noqa: F401
@@ -145,20 +144,25 @@ def test_components(spark):
 
 # Lines
 
-PLACES = regex.compile(r"(?s)(?=(.{1,12}))(?:[!-\u024F]{1,8}|[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|\S{1,8})\s*")
 BLANK = " \t\n\x0b\x0c\r"
 
 
+def runs(line):
+    line = line.lower()
+    return frozenset(line[i : i + 5] for i in range(max(1, len(line) - 4)))
+
+
+def line_roots(lines):
+    """Root of every line, all pairs compared."""
+    sets = {line: runs(line) for line in lines}
+    near = [(a, b) for (a, x), (b, y) in itertools.combinations(sets.items(), 2) if 9 * len(x & y) >= 4 * (len(x) + len(y))]
+    return roots(list(sets), near), near
+
+
 def brute_lines(rows):
-    """Kept text of each row (unique ids), all pairs of lines compared."""
-    lines = {}
-    for _, text in rows:
-        for line in (text or "").split("\n"):
-            line = line.strip(BLANK)
-            if line:
-                lines.setdefault(line, frozenset(m[1] for m in PLACES.finditer(line.lower())))
-    near = [(a, b) for (a, x), (b, y) in itertools.combinations(lines.items(), 2) if min(len(x), len(y)) >= 4 and 9 * len(x & y) >= 4 * (len(x) + len(y))]
-    root = roots(list(lines), near)
+    """Kept text of each row (unique ids)."""
+    lines = {line.strip(BLANK): None for _, text in rows for line in (text or "").split("\n") if line.strip(BLANK)}
+    root, _ = line_roots(lines)
     seen, out = set(), {}
     for i, text in sorted(rows):
         kept = []
@@ -197,26 +201,91 @@ def test_lines_as_brute_force(spark, documents):
     assert all(r.n_kept == count(want[i]) for i, r in out.items())
 
 
-def test_crowded_bands(spark, documents, monkeypatch):
-    monkeypatch.setattr(line_dedup, "CROWD", 2)
-    rows = line_corpus(2)
-    want = brute_lines(rows)
-    got = {r.doc_id: r.text for r in line_dedup.marked(spark, documents(rows, 5)).collect()}
-    assert np.mean([got[i] == want[i] for i in got]) > 0.95
+def as_lines(spark, texts):
+    return spark.createDataFrame([(t,) for t in texts], "line string").selectExpr("line", "xxhash64(line) AS lid")
+
+
+def near(spark, texts):
+    """Lines -> root by the operator."""
+    lines = as_lines(spark, texts)
+    of = {r.lid: r.line for r in lines.collect()}
+    found = {of[r.node]: of[r.root] for r in line_dedup.near_lines(spark, lines).collect()}
+    return {t: found.get(t, t) for t in texts}
+
+
+def misspelt(rng, text):
+    at = rng.randrange(len(text))
+    return text[:at] + rng.choice("abcdefgh") + text[at + 1 :]
+
 
+def test_one_letter_edits_of_short_lines(spark):
+    """Lines of 3 to 20 words with one letter changed are linked wherever their similarity is 4/5."""
+    rng = random.Random(12)
+    base = [" ".join(rng.choice(WORD) + rng.choice(["", "s", "ing"]) for _ in range(rng.randrange(3, 21))) for _ in range(600)]
+    base = list(dict.fromkeys(base))
+    pairs = [(t, misspelt(rng, t)) for t in base]
+    texts = list(dict.fromkeys(t for p in pairs for t in p))
+    got = near(spark, texts)
+    want, _ = line_roots(texts)
+    close = [(a, b) for a, b in pairs if a != b and 9 * len(runs(a) & runs(b)) >= 4 * (len(runs(a)) + len(runs(b)))]
+    assert len(close) > 300 and np.mean([got[a] == got[b] for a, b in close]) > 0.97
+    # Nothing is linked that is not.
+    joined = {}
+    for t in texts:
+        joined.setdefault(got[t], set()).add(want[t])
+    assert all(len(x) == 1 for x in joined.values())
 
-def test_crowds_lose_no_pair(spark, documents, monkeypatch):
+
+def test_lines_of_case_and_few_characters(spark):
+    texts = ["Read more", "READ MORE", "read  more", "den.", "Den.", "a", "A", "ab", "日本語", "Σς", "σς"]
+    got = near(spark, texts)
+    assert got["Read more"] == got["READ MORE"] and got["den."] == got["Den."] and got["a"] == got["A"] != got["ab"] and got["日本語"] == "日本語"
+
+
+def test_large_buckets(spark, monkeypatch):
+    """Crowds in blocks: what the head does not settle is compared as a whole."""
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)
+    rng = random.Random(4)
+    template = " ".join(rng.choice(WORD) for _ in range(24))
+    texts = list(dict.fromkeys(f"{template} {rng.choice(WORD)} {rng.choice(WORD)} {rng.choice(WORD)} {i % 40:03d} {rng.choice('abc') * 9}" for i in range(300)))
+    want, close = line_roots(texts)
+    got = near(spark, texts)
+    assert len(close) > 100 and np.mean([got[a] == got[b] for a, b in close]) > 0.98
+    joined = {}
+    for t in texts:
+        joined.setdefault(got[t], set()).add(want[t])
+    assert all(len(x) == 1 for x in joined.values())
+
+
+def test_all_of_one_bucket_are_compared(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 16)
     rng = random.Random(6)
     base = [[rng.choice(WORD) + rng.choice("abcdefgh") for _ in range(50)] for _ in range(40)]
-    rows = list(enumerate(" ".join(x) for words in base for x in (words, [*words[:20], "edited", *words[21:]])))
-    lines = line_dedup._lines(documents(rows)).select("lid")
-    one_band = lines.selectExpr("1L AS key", "lid", "80L AS size", "min(lid) OVER () AS head")
-    monkeypatch.setattr(line_dedup, "_buckets", lambda *_: one_band)
-    monkeypatch.setattr(line_dedup, "BLOCK", 16, raising=False)
-    got = line_dedup.near_lines(spark, documents(rows)).collect()
+    texts = [" ".join(x) for words in base for x in (words, [*words[:20], "edited", *words[21:]])]
+    lines = as_lines(spark, texts)
+    one = lines.selectExpr("1L AS key", "lid", "80L AS size", "min(lid) OVER () AS head")
+    monkeypatch.setattr(line_dedup, "_buckets", lambda *_: one)
+    got = line_dedup.near_lines(spark, lines).collect()
     assert len(got) == 80 and len({r.root for r in got}) == 40
 
 
+def test_shingles_are_the_runs():
+    texts = ["abcdefg", "ab", "é🙂xyz12", "ABCDEFG", "a" * 50, "x"]
+    h, counts = line_dedup.shingles(texts)
+    parts = [set(x.tolist()) for x in np.split(h, np.cumsum(counts)[:-1])]
+    assert [len(p) for p in parts] == [len(runs(t)) for t in texts] and parts[0] == parts[3]
+    assert len(set().union(*parts)) == len(frozenset().union(*[runs(t) for t in texts]))
+
+
+def test_very_long_lines(spark, documents):
+    rng = random.Random(3)
+    long = "".join(chr(rng.randrange(97, 160)) for _ in range(1_500_000))
+    rows = [(1, long), (2, long[:700_000] + "another" + long[700_000:]), (3, long[:700_000]), (4, "x\n" * 200_000)]
+    out = {r.doc_id: (r.n_lines, r.n_kept) for r in line_dedup.marked(spark, documents(rows)).collect()}
+    assert out == {1: (1, 1), 2: (1, 0), 3: (1, 1), 4: (200_000, 1)}
+
+
 def test_lines_of_awkward_rows(spark, documents):
     rows = [(i, t) for i, t in enumerate(AWKWARD)] + [(None, "last of all"), (90, "last of all"), (91, "same\nsame"), (91, "same\nsame"), (91, "same\nsame")]
     docs = documents(rows).withColumnRenamed("lang", "n_kept").withColumnRenamed("source", "drops")
@@ -230,11 +299,6 @@ def test_lines_of_awkward_rows(spark, documents):
     assert line_dedup.op2(spark, documents([(1, "x")]).where("doc_id > 1")).collect() == []
 
 
-def test_line_dedup_is_native(spark, documents):
-    plan = line_dedup.op2(spark, documents(line_corpus(3)))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-
-
 # Benchmark tiles
 
 def brute_tiles(item, doc, minimum):
