@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetspark.llm.tables import written
+from fleetspark.llm.tables import small, written
 
 # The rules of the query (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -18,6 +18,7 @@ PRIOR = 2.0
 MAX_LOSS = 0.01
 _START, _END = "\x02", "\x03"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*).*$"
+_REST = r"(?s)^.*?://[^/?#]*(.*)$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -26,6 +27,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(text, _URL, 1), UPPER, LOWER), F.regexp_extract(text, _URL, 2)
 
 
+def scored_text(url: Column, host: Column) -> Column:
+    """What the models read: all that follows ``://``, its host lower-cased, or the whole text of a url
+    without; digits count as one character."""
+    text = F.coalesce(url, F.lit(""))
+    whole = F.when(F.contains(text, F.lit("://")), F.concat(host, F.regexp_extract(text, _REST, 1))).otherwise(text)
+    return F.translate(whole, "123456789", "000000000")
+
+
 def rule_of(host: Column, path: Column, rules=None) -> tuple[Column, Column]:
     """(rule as text, its verdict) of the longest fitting rule, of equals the first; else nulls."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -76,17 +85,19 @@ def judged(spark: SparkSession, pages: DataFrame, rules=None, order: int = ORDER
 
     The models learn from all URLs that a rule decides.  An undecided URL is blocked if its
     ratio is under the limit: the ``max_loss`` quantile of the accepted URLs, 0 at most.  Without
-    accepted or without rejected URLs nothing undecided is blocked.  Digits count as one
-    character.  Rows with the same id, and null ids, stay rows of their own.
+    accepted or without rejected URLs nothing undecided is blocked.  Query strings, fragments and
+    urls without ``://`` are read too.  Rows with the same id, and null ids, stay rows of their own.
     """
     host, path = host_and_path(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = pages.select("page_id", host.alias("host"), path.alias("path"), scored_text(F.col("url"), host).alias("text"))
     rule, decided = rule_of(F.col("host"), F.col("path"), rules)
-    parsed = parsed.select("*", rule.alias("rule"), decided.alias("decided"), F.translate(F.concat("host", "path"), "123456789", "000000000").alias("text"))
+    parsed = parsed.select("*", rule.alias("rule"), decided.alias("decided"))
     texts = parsed.groupBy("text").agg(F.count_if(F.col("decided") == "allow").alias("accepted"), F.count_if(F.col("decided") == "block").alias("rejected"))
     padded = F.concat(F.lit(_START * order), "text", F.lit(_END))
+    # As many grams as the alphabet makes; a table known to be small is sent to the URLs, whose starts are all alike.
+    learned = written(model(texts, order), spark, "url-model")
     scored = written(
-        texts.select("text", "accepted", "rejected", F.explode(grams_of(padded, order)).alias("gram")).join(model(texts, order), "gram")
+        texts.select("text", "accepted", "rejected", F.explode(grams_of(padded, order)).alias("gram")).join(small(learned, learned.count(), 100), "gram")
         .groupBy("text").agg(F.first("accepted").alias("accepted"), F.first("rejected").alias("rejected"), F.round(F.sum("llr") / (1000.0 * F.count("*"))).cast("long").alias("ratio")),
         spark, "url-ratios",
     )
@@ -121,8 +132,9 @@ def _oracle() -> str:
         )
     upper = f"translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), '{UPPER}', '{LOWER}')"
     return f"""
-WITH u AS (SELECT page_id, {upper} AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path FROM pages),
-d AS (SELECT *, {rule} AS rule, {decided} AS decided, translate(host || path, '123456789', '000000000') AS text FROM u),
+WITH u AS (SELECT page_id, {upper} AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path, coalesce(url, '') AS url FROM pages),
+d AS (SELECT *, {rule} AS rule, {decided} AS decided,
+  translate(CASE WHEN contains(url, '://') THEN host || regexp_extract(url, '{_REST}', 1) ELSE url END, '123456789', '000000000') AS text FROM u),
 t AS (SELECT text, count(*) FILTER (decided = 'allow') AS accepted, count(*) FILTER (decided = 'block') AS rejected FROM d GROUP BY text),
 x AS (SELECT text, accepted, rejected, unnest(list_transform(range(1, length(text) + 2), lambda i: substr(repeat(chr(2), {order}) || text || chr(3), i, {order + 1}))) AS gram FROM t),
 g AS (SELECT gram, sum(accepted)::DOUBLE AS a, sum(rejected)::DOUBLE AS r FROM x GROUP BY gram),

@@ -95,3 +95,11 @@ def test_characters_decide_where_no_rule_does(spark):
     rows += [(900, "http://other.net/story/of/nights", None), (901, "http://other.net/buy-cheap-pills-now", None)]
     got = {r.page_id: r.verdict for r in urls.op10(spark, pages(spark, rows)).collect()}
     assert got[900] == "allow" and got[901] == "block"
+
+
+def test_the_whole_url_is_read(spark):
+    """Query strings and texts without a scheme are judged by their characters, too."""
+    rows = [(i, f"http://good{i}.org/story/of/days", None) for i in range(40)] + [(100 + i, f"http://shop{i}.com/de/buy-cheap-pills", None) for i in range(40)]
+    rows += [(900, "http://other.net/?page=buy-cheap-pills", None), (901, "mailto:buy-cheap-pills", None), (902, "http://other.net/#story/of/days", None), (903, None, None), (904, "", None)]
+    got = {r.page_id: r for r in urls.op10(spark, pages(spark, rows)).collect()}
+    assert [got[i].verdict for i in (900, 901, 902)] == ["block", "block", "allow"] and got[901].ratio != got[903].ratio == got[904].ratio
