@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 # The split pattern and the byte alphabet of the vocabulary's file format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [(33, 126), (161, 172), (174, 255)]
-#: Pieces remembered per task; a full memory is cleared, which changes no result.
-MEMORY = 200_000
+#: Pieces remembered per task, and the longest of them in characters; a full memory is cleared, and
+#: longer ones are computed again, which changes no result.
+MEMORY, LONGEST = 200_000, 64
 
 
 def vocabulary_path() -> str:
@@ -41,9 +42,11 @@ class _Memory(dict):
         self.compute = compute
 
     def __missing__(self, key):
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if not isinstance(key, str) or len(key) <= LONGEST:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -164,9 +167,10 @@ class Codec:
                     break
                 last = token
             found = array.array("I", ids).tobytes()
-            if len(self._pieces) >= MEMORY:
-                self._pieces.clear()
-            self._pieces[piece] = found
+            if len(piece) <= LONGEST:
+                if len(self._pieces) >= MEMORY:
+                    self._pieces.clear()
+                self._pieces[piece] = found
         return found
 
     def _part(self, text: str) -> bytes:

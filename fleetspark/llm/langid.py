@@ -57,14 +57,6 @@ def subwords(column: pa.Array):
         yield first, buckets.astype(np.int32), rows, len(offsets) - 1
 
 
-def histograms(column: pa.Array) -> np.ndarray:
-    """Share of each bucket among a text's subwords, one row per text."""
-    out = np.zeros((len(column), 1 << BITS), np.float32)
-    for first, buckets, rows, _ in subwords(column):
-        np.add.at(out, (first + rows, buckets), 1)
-    return out / np.maximum(out.sum(axis=1, keepdims=True), 1)
-
-
 def train(rows: pa.Table) -> pa.Table:
     """One row: the names, the product of embeddings and softmax weights, bias, temperature and
     rejection limit.  A tenth of the rows is kept out of the descent and sets the last two."""

@@ -23,8 +23,9 @@ BLOCK = 1 << 16
 LEVEL = 3
 #: Documents whose ids end with this id.
 END_ID = 2
-#: Parts remembered per task; a full memory is cleared, which changes no result.
-MEMORY = 400_000
+#: Parts remembered per task, and the longest of them in characters; a full memory is cleared, and
+#: longer ones are encoded again, which changes no result.
+MEMORY, LONGEST = 400_000, 64
 #: Characters encoded at once.
 SLICE = 1 << 20
 CHUNK_SCHEMA = (
@@ -95,6 +96,9 @@ def _encoder(path: str):
             pieces[piece] = array.array("I", e.ids).tobytes()
         for p, (word, marks) in split.items():
             memory[p] = pieces[word] + pieces[marks]
+        for piece in missing:
+            if len(piece) > LONGEST:
+                del pieces[piece]
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -104,7 +108,11 @@ def _encoder(path: str):
             if len(memory) + len(missing) > MEMORY:
                 missing = {p for parts in split for p in parts}
             learn(missing)
-        return [b"".join([memory[p] for p in parts]) for parts in split]
+        out = [b"".join([memory[p] for p in parts]) for parts in split]
+        for p in missing:
+            if len(p) > LONGEST:
+                del memory[p]
+        return out
 
     return encode
 

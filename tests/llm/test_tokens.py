@@ -1,6 +1,7 @@
 """Token operators against the tokenizers library."""
 
 import hashlib
+import inspect
 import zlib
 
 import numpy as np
@@ -121,3 +122,15 @@ def test_store_returns_ids(spark, documents, word_library, tmp_path):
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_store.read(spark, folder, with_ids=True).collect()}
     assert got[1] == word_library.encode("The cat sat", add_special_tokens=False).ids + [2]
     assert spark.read.parquet(f"{folder}/index").agg({"n_ids": "sum"}).collect()[0][0] == sum(map(len, got.values()))
+
+
+def test_long_parts_are_not_remembered(codec, byte_library, word_library):
+    """Megabytes without a blank are encoded, and leave nothing behind."""
+    text = "x" * 300_000 + " " + "ab" * 200_000 + " word"
+    assert codec.encode(text).tolist() == byte_library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, codec._pieces)) <= bpe.LONGEST and max(map(len, codec._parts)) <= bpe.LONGEST
+    encode = token_store._encoder(token_store.vocabulary_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode([text, "word"])] == [word_library.encode(t, add_special_tokens=False).ids for t in (text, "word")]
+    held = dict(zip(encode.__code__.co_freevars, [c.cell_contents for c in encode.__closure__]))
+    assert "word" in held["memory"] and max(map(len, held["memory"])) <= token_store.LONGEST
+    assert max(map(len, inspect.getclosurevars(held["learn"]).nonlocals["pieces"])) <= token_store.LONGEST
