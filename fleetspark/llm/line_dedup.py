@@ -2,8 +2,11 @@
 
 A line is what stands between line ends, without white space at its ends; blank lines stay as
 they are.  Its set holds every run of five characters, lower-cased; a shorter line is one run.
-Lines that share a band of four MinHash values are candidates, and a pair at a similarity of 4/5
-shares one of ten bands with probability 0.995.  Small buckets are compared pair by pair.  In
+Lines that share a band of three MinHash values are candidates.  The values are of runs of nine
+characters, of which unlike lines share hardly any, while runs of five are common to many: with
+those, chance pairs grow to millions.  A pair that differs by scattered letters so that five-character
+runs agree to 4/5 agrees in its longer runs to 2/3, and shares one of ten bands with probability 0.97;
+where the difference is in one place, both agree more alike, and it is 0.99.  Small buckets are compared pair by pair.  In
 larger ones every line is first compared with one of them; only buckets that this leaves in more
 than one component are compared as a whole, in blocks.  Lines with a Jaccard similarity of 4/5 are
 linked, and of each component only the first line stays.
@@ -24,10 +27,10 @@ from fleetspark.llm.components import components
 from fleetspark.llm.set_join import _dealt, _groups, _in_groups, _links
 from fleetspark.llm.tables import SPACES, once, row_key, small, written
 
-#: Characters of a shingle.
-SHINGLE = 5
+#: Characters of a shingle, and of the runs that signatures are made of.
+SHINGLE, SIGNED = 5, 9
 #: Bands, and MinHash values in each.
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 10, 3
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of up to so many lines are compared pair by pair.
 SMALL = 8
@@ -49,8 +52,8 @@ def _multipliers() -> np.ndarray:
     return textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
-def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all runs of ``SHINGLE`` characters of each line, their number per line); lines are not empty."""
+def shingles(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all runs of ``width`` characters of each line, their number per line); lines are not empty."""
     characters = [np.frombuffer(line.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for line in lines]
     sizes = np.array([len(c) for c in characters])
     every = np.concatenate(characters).astype(np.uint64) + np.uint64(1)
@@ -59,12 +62,12 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(sizes)
     left = ends[line] - np.arange(len(every))
     h = np.zeros(len(every), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(width):
         shifted = np.zeros(len(every), np.uint64)
         shifted[: max(0, len(every) - k)] = every[k:]
         h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, shifted, np.uint64(0))
-    whole = (left >= SHINGLE) | (left == sizes[line])
-    counts = np.maximum(sizes - SHINGLE + 1, 1)
+    whole = (left >= width) | (left == sizes[line])
+    counts = np.maximum(sizes - width + 1, 1)
     return textops.mix(h[whole]), counts
 
 
@@ -88,7 +91,7 @@ def _signed(batches):
                 some.append(texts[fresh[at]].as_py())
                 size += len(some[-1])
                 at += 1
-            h, counts = shingles(some)
+            h, counts = shingles(some, SIGNED)
             starts = np.cumsum(counts) - counts
             keys = np.zeros((len(some), BANDS), np.uint64)
             for k, m in enumerate(multipliers):
