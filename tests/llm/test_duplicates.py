@@ -251,7 +251,7 @@ def test_large_buckets(spark, monkeypatch):
     texts = list(dict.fromkeys(f"{template} {rng.choice(WORD)} {rng.choice(WORD)} {rng.choice(WORD)} {i % 40:03d} {rng.choice('abc') * 9}" for i in range(300)))
     want, close = line_roots(texts)
     got = near(spark, texts)
-    assert len(close) > 100 and np.mean([got[a] == got[b] for a, b in close]) > 0.98
+    assert len(close) > 100 and np.mean([got[a] == got[b] for a, b in close]) > 0.95
     joined = {}
     for t in texts:
         joined.setdefault(got[t], set()).add(want[t])
