@@ -155,6 +155,18 @@ def _seeds(words: np.ndarray, size: int) -> np.ndarray:
     return textops.mix(h)
 
 
+def reachable(item: np.ndarray, seeds: np.ndarray, size: int) -> int:
+    """Words of an item that tiles with a document can cover at most: those in a run of ``size`` words
+    that the document has, too (``seeds``: its runs, sorted)."""
+    own = _seeds(item, size)
+    at = np.minimum(np.searchsorted(seeds, own), max(0, len(seeds) - 1))
+    hit = np.flatnonzero(seeds[at] == own) if len(seeds) else np.zeros(0, np.int64)
+    edges = np.zeros(len(item) + 1, np.int64)
+    np.add.at(edges, hit, 1)
+    np.add.at(edges, hit + size, -1)
+    return int((np.cumsum(edges)[:-1] > 0).sum())
+
+
 def _blocks(benchmark: DataFrame):
     ids, texts, held = [], [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("text").isNotNull()).toLocalIterator():
@@ -197,9 +209,16 @@ def _found(batches, items: Items, coverage: float):
             w = textops.Words(data, offsets, classes)
             h = w.hashes()
             ends = np.cumsum(w.counts)
+            runs: dict[tuple[int, int], np.ndarray] = {}
             for r, k in sorted(items.candidates(h, w.row)):
-                item = items.words[k]
-                got = tile(item, h[ends[r] - w.counts[r] : ends[r]], min(MIN_WORDS, len(item)))
+                item, words = items.words[k], h[ends[r] - w.counts[r] : ends[r]]
+                size = min(MIN_WORDS, len(item))
+                if (r, size) not in runs:
+                    runs = {(r, size): np.sort(_seeds(words, size))}
+                # A common phrase alone does not reach the threshold, and is not tiled.
+                if reachable(item, runs[r, size], size) < coverage * len(item):
+                    continue
+                got = tile(item, words, size)
                 share = sum(t[2] for t in got) / len(item)
                 if share >= coverage:
                     at.append(first + r)

@@ -437,6 +437,16 @@ def test_stages_keep_other_columns(spark, documents, stage):
     assert out.columns == docs.columns and out.count() == 2
 
 
+def test_reachable_words_bound_the_tiles():
+    rng = random.Random(5)
+    for _ in range(200):
+        item, doc = (np.array([rng.randrange(4) for _ in range(n)], np.uint64) for n in (rng.randrange(1, 30), rng.randrange(0, 60)))
+        size = min(tiling.MIN_WORDS, len(item))
+        most = tiling.reachable(item, np.sort(tiling._seeds(doc, size)), size)
+        covered = sum(t[2] for t in tiling.tile(item, doc, size))
+        assert covered <= most <= len(item) and (most > 0) == (covered > 0)
+
+
 def test_settled_buckets_are_told_from_others():
     """A chunk whose sets its samples link to one group is settled; every other bucket goes on."""
     rng = np.random.default_rng(0)
