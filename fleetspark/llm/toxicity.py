@@ -106,10 +106,15 @@ class Vocabulary:
             h, row = h[hit], row[hit]
             at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
             ok = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
-            at, row = at[ok], row[ok]
-            order = np.argsort(row, kind="stable")
-            for r, found in enumerate(np.split(at[order], np.cumsum(np.bincount(row, minlength=count))[:-1])):
-                out[first + r] = np.unique(found, return_counts=True)
+            # Sorted by text and term at once; runs of equal ones are the frequencies.
+            size = max(1, len(self.hashes))
+            pairs = np.sort(row[ok] * size + at[ok])
+            starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+            found, counts = pairs[starts], np.diff(np.append(starts, len(pairs)))
+            cuts = np.searchsorted(found, np.arange(count + 1) * size)
+            found %= size
+            for r, (s, e) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
+                out[first + r] = found[s:e], counts[s:e]
         return out
 
 
@@ -238,9 +243,8 @@ class Index:
     def _exact(self, t, q, near) -> list[tuple[float, int]]:
         """(cosine, example) of the examples, best first, without those of cosine 0."""
         self.query[t] = q
-        sizes = self.of_ends[near + 1] - self.of_ends[near]
-        i = _ranges(self.of_ends[near], sizes)
-        scores = np.round(np.bincount(np.repeat(np.arange(len(near)), sizes), self.of_weight[i] * self.query[self.of_term[i]], len(near)), 9)
+        spans = zip(self.of_ends[near].tolist(), self.of_ends[near + 1].tolist())
+        scores = np.round([self.query.take(self.of_term[s:e]) @ self.of_weight[s:e] for s, e in spans], 9)
         self.query[t] = 0
         order = np.lexsort((near, -scores))
         return [(float(scores[j]), int(near[j])) for j in order if scores[j] > 0]
