@@ -2,12 +2,12 @@
 
 import re
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from fleetspark.catalog.registry import query
 from fleetspark.catalog.tables import AS_OF
-from fleetspark.functions.records import changed, json_text
+from fleetspark.functions.records import json_text
 from fleetspark.functions.responses import parse_response_files
 from fleetspark.functions.times import duration_ms, moment
 from fleetspark.operators import lifecycle, topk
@@ -28,9 +28,10 @@ def _(t):
 
 @query("mark_orphaned_count", "SELECT count(*) AS updated FROM platform_inventory WHERE client_id IS NULL AND NOT is_orphaned")
 def _(t):
-    before = t.platform_inventory.withColumnRenamed("is_orphaned", "_before")
-    after = lifecycle.mark_orphaned(before.withColumn("is_orphaned", F.col("_before")))
-    return after.agg(F.count_if(changed(F.col("is_orphaned"), F.col("_before"))).alias("updated"))
+    # The count is observed while the changed table is written.
+    observation = Observation()
+    lifecycle.mark_orphaned(t.platform_inventory, observation).write.parquet(work_dir(t.spark, "orphans"))
+    return t.spark.createDataFrame([(observation.get["updated"],)], "updated bigint")
 
 
 @query("sync_inventory", """
