@@ -35,9 +35,12 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of up to so many lines are compared pair by pair.
 SMALL = 8
 #: Lines, and characters, compared together of larger buckets.
-CHUNK, GROUP_CHARACTERS = 1024, 1 << 20
-#: Characters hashed at once.
-SLICE = 1 << 19
+CHUNK, GROUP_CHARACTERS = 512, 1 << 18
+#: Characters hashed at once: their arrays fit a core's cache.
+SLICE = 1 << 16
+#: Lines that a task remembers as signed; a full memory is cleared, which only repeats keys.
+REMEMBERED = 1 << 18
+BASE = 0x9E3779B97F4A7C15
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -52,54 +55,78 @@ def _multipliers() -> np.ndarray:
     return textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
+def _windows(c: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` numbers, put together from runs of half the width."""
+    if len(c) < width:
+        return np.zeros(0, np.uint64)
+    if width == 1:
+        return c
+    half = width // 2
+    h = _windows(c, half)
+    h = h[: len(h) - half] * np.uint64(pow(BASE, half, 1 << 64)) + h[half:]
+    return h[:-1] * np.uint64(BASE) + c[width - 1 :] if width % 2 else h
+
+
 def shingles(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all runs of ``width`` characters of each line, their number per line); lines are not empty."""
-    characters = [np.frombuffer(line.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for line in lines]
-    sizes = np.array([len(c) for c in characters])
-    every = np.concatenate(characters).astype(np.uint64) + np.uint64(1)
-    # Past a line's end come zeros, so that a short line is one run of what it has.
-    line = np.repeat(np.arange(len(lines)), sizes)
-    ends = np.cumsum(sizes)
-    left = ends[line] - np.arange(len(every))
-    h = np.zeros(len(every), np.uint64)
-    for k in range(width):
-        shifted = np.zeros(len(every), np.uint64)
-        shifted[: max(0, len(every) - k)] = every[k:]
-        h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(left > k, shifted, np.uint64(0))
-    whole = (left >= width) | (left == sizes[line])
+    """(hashes of all runs of ``width`` characters of each line, their number per line); lines have no
+    line ends and are not empty.  A shorter line is one run of what it has."""
+    characters = np.frombuffer("\n".join(lines).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    cuts = np.flatnonzero(characters == 10)
+    starts, sizes = np.append(0, cuts + 1), np.diff(cuts, prepend=-1, append=len(characters)) - 1
+    c = characters.astype(np.uint64) + np.uint64(1)
+    h = _windows(c, width)
+    whole = np.ones(len(h), bool)
+    for k in range(width):  # runs over a line end are none
+        at = cuts - k
+        whole[at[(at >= 0) & (at < len(h))]] = False
     counts = np.maximum(sizes - width + 1, 1)
-    return textops.mix(h[whole]), counts
+    out, long = np.empty(int(counts.sum()), np.uint64), np.ones(int(counts.sum()), bool)
+    short = np.flatnonzero(sizes < width)
+    if len(short):
+        places = (np.cumsum(counts) - counts)[short]
+        long[places] = False
+        padded = np.zeros(len(short), np.uint64)
+        for k in range(width):
+            inside = k < sizes[short]
+            padded *= np.uint64(BASE)
+            padded[inside] += c[starts[short][inside] + k]
+        out[places] = padded
+    out[long] = h[whole]
+    return textops.mix(out), counts
+
+
+def _slices(lines: list[str]):
+    """(first, last + 1) of runs of lines of some ``SLICE`` characters; a longer line is alone."""
+    at = 0
+    while at < len(lines):
+        first, size = at, 0
+        while at < len(lines) and (at == first or size + len(lines[at]) <= SLICE):
+            size += len(lines[at])
+            at += 1
+        yield first, at
 
 
 def _signed(batches):
     """(lid, keys): the bands of each line of a batch that is not a copy of one before it."""
-    multipliers = _multipliers()
+    multipliers = [np.uint32(m >> np.uint64(32)) | np.uint32(1) for m in _multipliers()]
     seen: set[int] = set()
     for batch in batches:
-        lids, texts = batch.column("lid").to_pylist(), batch.column("line")
-        fresh = []
-        for i, lid in enumerate(lids):
-            if lid not in seen:
-                seen.add(lid)
-                fresh.append(i)
-        if len(seen) > 1 << 20:
+        found = dict(zip(batch.column("lid").to_pylist(), batch.column("line").to_pylist()))
+        fresh = found.keys() - seen
+        seen |= fresh
+        if len(seen) > REMEMBERED:
             seen.clear()
-        at = 0
-        while at < len(fresh):
-            some, size, first = [], 0, at
-            while at < len(fresh) and (not some or size < SLICE):
-                some.append(texts[fresh[at]].as_py())
-                size += len(some[-1])
-                at += 1
-            h, counts = shingles(some, SIGNED)
-            starts = np.cumsum(counts) - counts
-            keys = np.zeros((len(some), BANDS), np.uint64)
+        lids = list(fresh)
+        lines = [found[lid] for lid in lids]
+        for first, last in _slices(lines):
+            h, counts = shingles(lines[first:last], SIGNED)
+            h, starts = (h >> np.uint64(32)).astype(np.uint32), np.cumsum(counts) - counts
+            keys = np.zeros((last - first, BANDS), np.uint64)
             for k, m in enumerate(multipliers):
                 least = np.minimum.reduceat(h * m, starts)
-                band = k // ROWS
-                keys[:, band] = textops.mix(keys[:, band] ^ least) + np.uint64(k)
+                keys[:, k // ROWS] = textops.mix(keys[:, k // ROWS] ^ least) + np.uint64(k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lids[i] for i in fresh[first:at]], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], ["lid", "keys"],
+                [pa.array(lids[first:last], pa.int64()), pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel().view(np.int64)), BANDS).cast(pa.list_(pa.int64()))], ["lid", "keys"],
             )
 
 
@@ -124,28 +151,22 @@ def _pairs(buckets: DataFrame) -> DataFrame:
 def _verified(batches):
     """The pairs (a, b) of lines whose sets have a Jaccard similarity of the threshold or more."""
     for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        at, good = 0, []
-        while at < batch.num_rows:
-            first, size, x, y = at, 0, [], []
-            while at < batch.num_rows and (not x or size < SLICE):
-                x.append(left[at].as_py())
-                y.append(right[at].as_py())
-                size += len(x[-1]) + len(y[-1])
-                at += 1
-            n = len(x)
-            h, counts = shingles(x + y)
-            side = np.repeat(np.arange(2 * n), counts)
-            order = np.lexsort((h, side))
-            h, side = h[order], side[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (side[1:] != side[:-1]))
-            h, pair, side = h[new], side[new] % n, side[new]
-            sizes = np.bincount(side, minlength=2 * n)
-            order = np.lexsort((h, pair))
-            h, pair = h[order], pair[order]
-            shared = np.bincount(pair[1:][(h[1:] == h[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-            good.append(first + np.flatnonzero((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (sizes[:n] + sizes[n:])))
-        good = pa.array(np.concatenate(good) if good else np.zeros(0, np.int64))
+        left, right = batch.column("left").to_pylist(), batch.column("right").to_pylist()
+        good = [np.zeros(0, np.int64)]
+        for first, last in _slices([x + y for x, y in zip(left, right)]):
+            n = last - first
+            h, counts = shingles(left[first:last] + right[first:last])
+            side = np.repeat(np.arange(2 * n, dtype=np.uint64), counts)
+            # One number per pair, run and side, in order: pairs take the upper bits, the side the lowest.
+            bits = np.uint64(max(1, n).bit_length())
+            keys = (side % np.uint64(n)) << (np.uint64(64) - bits) | h >> bits << np.uint64(1) & ((np.uint64(1) << np.uint64(64) - bits) - np.uint64(1)) | (side >= np.uint64(n))
+            keys = np.sort(keys)
+            keys = keys[np.append(True, keys[1:] != keys[:-1])]
+            pair = (keys >> (np.uint64(64) - bits)).astype(np.int64)
+            both = pair[1:][keys[1:] >> np.uint64(1) == keys[:-1] >> np.uint64(1)]
+            shared, sizes = np.bincount(both, minlength=n), np.bincount(pair, minlength=n)
+            good.append(first + np.flatnonzero((NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * sizes))
+        good = pa.array(np.concatenate(good))
         yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good)], ["a", "b"])
 
 
