@@ -84,13 +84,15 @@ def _runs(numbers: np.ndarray):
 
 
 class Vocabulary:
-    """Terms by hash, in order; a small table tells most other terms without a search."""
+    """Terms by hash, in order, found through a table by the hash's lower bits: place, none, or several."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
-        self.bits = max(10, int(len(hashes)).bit_length() + 3)
-        self.table = np.zeros(1 << self.bits, bool)
-        self.table[(hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
+        self.mask = np.uint64((1 << max(10, int(len(hashes)).bit_length() + 3)) - 1)
+        slot = (hashes & self.mask).astype(np.int64)
+        self.table = np.full(int(self.mask) + 1, -1, np.int32)
+        self.table[slot] = np.arange(len(hashes))
+        self.table[slot[self.table[slot] != np.arange(len(hashes))]] = -2
 
     def __getstate__(self):
         return self.hashes
@@ -102,13 +104,16 @@ class Vocabulary:
         """(terms, frequencies) of each text over the vocabulary."""
         out = [None] * len(column)
         for first, h, row, count in terms(column):
-            hit = self.table[(h & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
-            h, row = h[hit], row[hit]
-            at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-            ok = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+            at = self.table[(h & self.mask).astype(np.int64)]
+            several = np.flatnonzero(at == -2)
+            if len(several):
+                at[several] = np.minimum(np.searchsorted(self.hashes, h[several]), len(self.hashes) - 1)
+            hit = np.flatnonzero(at >= 0)
+            at, row = at[hit], row[hit]
+            ok = self.hashes[at] == h[hit]
             # Sorted by text and term at once; runs of equal ones are the frequencies.
             size = max(1, len(self.hashes))
-            pairs = np.sort(row[ok] * size + at[ok])
+            pairs = np.sort(row[ok].astype(np.int64) * size + at[ok])
             starts = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
             found, counts = pairs[starts], np.diff(np.append(starts, len(pairs)))
             cuts = np.searchsorted(found, np.arange(count + 1) * size)
