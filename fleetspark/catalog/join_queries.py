@@ -7,7 +7,7 @@ from fleetspark.catalog.tables import AS_OF
 from fleetspark.functions.times import moment
 from fleetspark.operators import joins, lifecycle, tenancy, topk
 from fleetspark.session import work_dir
-from fleetspark.sources import listing
+from fleetspark.sources import listing, writers
 from fleetspark.plans.site_details import site_details, site_summary
 
 GOOD = "good AS (SELECT * FROM site_deployments WHERE status = 'success' AND rolled_back = false)"
@@ -175,10 +175,10 @@ SELECT client_slug, cast(sum(strlen(name) + 1) AS bigint) AS size_bytes, true AS
 def _(t):
     # One file per client, written below projects/ and listed from its metadata.
     root = work_dir(t.spark, "backup-files")
-    t.backups.select("client_slug", "name").repartition("client_slug").write.partitionBy("client_slug").text(f"{root}/projects")
+    writers.write_owner_texts(t.backups, f"{root}/projects", "client_slug", "name")
     listed = listing.Listing(t.spark, f"{root}/listing")
     listed.refresh_from_files(root)
-    # Spark's writer names a folder column=value.
+    # As by Spark's writer a folder is named column=value.
     slug = F.regexp_replace("client_slug", "^client_slug=", "")
     named = F.col("name").startswith(F.concat(F.lit("projects/client_slug="), slug, F.lit("/part-"))) & F.col("created_at").isNotNull() & F.col("updated_at").isNotNull()
     url = F.regexp_replace(F.regexp_extract("url", "^(.*/)[^/]+$", 1), "client_slug=", "")

@@ -21,6 +21,10 @@ class SharedFolder:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
+    def local_path(self) -> str | None:
+        """The folder's path if it lies in the machine's own file system, mounted or not; else None."""
+        return self._path("").toUri().getPath() if self._fs.getUri().getScheme() == "file" else None
+
     def names(self, folder: str = "") -> list[str]:
         """Names in a folder, sorted; none if it does not exist."""
         path = self._path(folder)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from itertools import groupby
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from fleetspark.functions.text import backup_name, backup_url, python_strip
 from fleetspark.functions.times import moment, token_expiry
 from fleetspark.plans.ranking import top_per_key
 from fleetspark.schemas import GENERATION_LOG_COLUMNS, table_schema
+from fleetspark.sources.shared_files import SharedFolder
 
 
 def generation_log_rows(runs: DataFrame) -> DataFrame:
@@ -69,6 +74,46 @@ def write_backups(files: DataFrame, folder: str, generated_at) -> None:
     rows.write.mode("append").partitionBy("project_name", "generation_ts").parquet(folder)
 
 
+#: What Spark writes as %XX in the name of a folder, besides control characters.
+_ESCAPED = set("\"#%'*/:=?\\\x7f{[]^")
+
+
+def folder_value(value: str | None) -> str:
+    """A value as Spark's writer has it in the name of a folder column=value."""
+    if not value:
+        return "__HIVE_DEFAULT_PARTITION__"
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED or ord(c) < 32 else c for c in value)
+
+
+def write_owner_texts(rows: DataFrame, folder: str, owner: str, text: str) -> None:
+    """One text file per ``owner``, a line for each of its rows, in folders owner=value; ``folder`` is new.
+
+    Hadoop's local file system starts a process for every file it creates, some 20 ms each, so there the
+    tasks write the files themselves.  Owners stay in their task and a file's name in its task's number,
+    so a repeated task writes over what it left.  On other file systems Spark's own writer does it.
+    """
+    spark = rows.sparkSession
+    root = SharedFolder(spark, folder).local_path()
+    # Null and '' share a folder, so they are one owner.  Files count here, not bytes, so partitions are
+    # not put together by their size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select(F.when(F.col(owner) != "", F.col(owner)).alias(owner), text).repartition(tasks, owner)
+    if root is None:
+        dealt.write.partitionBy(owner).text(folder)
+        return
+
+    def write(part) -> None:
+        name = f"part-{TaskContext.get().partitionId():05d}.txt"
+        for value, held in groupby(part, key=lambda r: r[0]):
+            place = os.path.join(root, f"{owner}={folder_value(value)}")
+            os.makedirs(place, exist_ok=True)
+            with open(os.path.join(place, name), "wb") as f:
+                f.writelines((r[1] or "").encode() + b"\n" for r in held)
+
+    os.makedirs(root)
+    dealt.sortWithinPartitions(owner).foreachPartition(write)
+
+
 def backup_metadata(files: DataFrame, generated_at) -> DataFrame:
     """One row per project of a snapshot: object name, URL, files and bytes."""
     name = backup_name(F.col("project_name"), moment(generated_at))

@@ -96,3 +96,27 @@ def test_objects_by_their_own_metadata(spark, tmp_path):
     path.unlink()
     assert found.forget_missing(snapshots.backup_objects(spark, str(tmp_path / "bucket"))) == 1
     assert held(found) == {"projects/b/2": 3}
+
+
+def test_owner_texts_lie_where_sparks_writer_puts_them(spark, tmp_path):
+    from fleetspark.sources import writers
+
+    rows = [("a", "x"), ("a", "yy"), ("a", None), (None, "n"), ("", "empty"), ("b/c=d%e", "é"), ("ü {x}^", "z "), ("t\tab", "1")] + [(f"c-{i}", str(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "slug string, name string")
+    writers.write_owner_texts(df, str(tmp_path / "own"), "slug", "name")
+    df.repartition("slug").write.partitionBy("slug").text(str(tmp_path / "spark"))
+
+    def sizes(folder):
+        return {p.name: sum(f.stat().st_size for f in p.glob("part-*")) for p in folder.iterdir() if p.is_dir()}
+
+    assert sizes(tmp_path / "own") == sizes(tmp_path / "spark") and len(sizes(tmp_path / "own")) == 205
+    assert all(len(list(p.iterdir())) == 1 for p in (tmp_path / "own").iterdir())
+    # Hadoop's local file system, which starts a process per file, has left no checksum.
+    assert not list((tmp_path / "own").rglob(".*.crc"))
+
+
+def test_no_owner_leaves_an_empty_folder(spark, tmp_path):
+    from fleetspark.sources import writers
+
+    writers.write_owner_texts(spark.createDataFrame([], "slug string, name string"), str(tmp_path / "own"), "slug", "name")
+    assert list((tmp_path / "own").iterdir()) == []
