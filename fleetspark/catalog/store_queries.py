@@ -21,7 +21,7 @@ from fleetspark.sources.registry import conform
 from fleetspark.sources.versions import VersionStore
 
 
-#: Files a table in the registered queries, whose tables are small.
+#: Files a table in the registered queries, at least.
 FILES = 8
 
 

@@ -19,11 +19,17 @@ CLUSTER = {
 }
 
 
-def publish_registry(store: VersionStore, tables: dict[str, DataFrame], files: int | None = None) -> int:
-    """A version with the given registry tables, in their declared columns."""
+#: Rows from which a table gets more files than it was asked for.
+FILE_ROWS = 1 << 17
+
+
+def publish_registry(store: VersionStore, tables: dict[str, DataFrame], files: int | None = None, file_rows: int = FILE_ROWS) -> int:
+    """A version with the given registry tables, in their declared columns: each in ``files`` files, or in
+    more where they would hold over ``file_rows`` rows on average."""
     change = store.begin()
     for name, frame in tables.items():
-        change.replace(name, conform(frame, name), CLUSTER[name], files)
+        rows = conform(frame, name)
+        change.replace(name, rows, CLUSTER[name], max(files, -(-rows.count() // file_rows)) if files else None)
     return change.commit()
 
 

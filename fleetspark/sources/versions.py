@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from fleetspark.sources.shared_files import SharedFolder
 
@@ -108,7 +108,10 @@ class Change:
         self._parts += 1
         name = f"{self.id}-{self._parts}"
         if cluster:
-            frame = frame.repartitionByRange(*([files] if files else []), *cluster).sortWithinPartitions(*cluster)
+            # Rows of one key, or of none, may be too many for one task: a hash of the row deals them on.
+            plain = [F.col(f"`{f.name}`") for f in frame.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+            spread = [F.xxhash64(*plain)] if plain else []
+            frame = frame.repartitionByRange(*([files] if files else []), *cluster, *spread).sortWithinPartitions(*cluster)
         frame.write.parquet(f"{self.store.root}/data/{table}/{name}")
         return [f"{name}/{f}" for f in self.store.folder.names(f"data/{table}/{name}") if f.endswith(".parquet")]
 
@@ -132,7 +135,8 @@ class Change:
     def rewrite(self, table: str, hit: Column | DataFrame, change: Callable[[DataFrame], DataFrame], cluster: tuple[str, ...] = ()) -> list[str]:
         """Change the rows that ``hit`` names, a condition or a table of keys under the table's own column names.
 
-        ``change`` gets the rows of all files that hold such a row and returns what takes their place.
+        ``change`` gets the rows of all files that hold such a row and returns what takes their place, in as
+        many files.
         Returns the files that were replaced; all others are carried over.
         """
         found = self._found(table)
@@ -145,7 +149,7 @@ class Change:
         touched = {r["_file"] for r in held.select("_file").distinct().collect()}
         if touched:
             changed = change(self.store.frame(table, sorted(touched), schema)).select(*schema.fieldNames())
-            new = self._write(table, changed, cluster)
+            new = self._write(table, changed, cluster, len(touched))
             self._new[table] = {"schema": found["schema"], "files": [f for f in found["files"] if f not in touched] + new}
         return sorted(touched)
 

@@ -147,3 +147,26 @@ def test_used_tokens_touch_their_files(spark, tables, store):
     version, replaced = commits.commit_used_tokens(store, token)
     assert len(replaced) == 1 and set(store.files("onboarding_tokens", 1)) - set(store.files("onboarding_tokens", version)) == set(replaced)
     assert store.read("onboarding_tokens").where(F.col("token") == token.first()[0]).first()["used"]
+
+
+def test_files_grow_with_the_rows(spark, tables, store):
+    deployments = tables.site_deployments
+    n = deployments.count()
+    commits.publish_registry(store, {"site_deployments": deployments}, 2, file_rows=n // 5)
+    assert len(store.files("site_deployments")) == -(-n // (n // 5)) > 2 and store.read("site_deployments").count() == n
+
+
+def test_one_key_lies_in_several_files(spark, store):
+    change = store.begin()
+    change.replace("a", spark.range(8000).select("id", F.when(F.col("id") % 8 == 0, F.col("id")).alias("owner")), ("owner",), 8)
+    change.commit()
+
+    def largest():
+        return store.read("a").groupBy(F.col("_metadata.file_path")).count().agg(F.max("count")).first()[0]
+
+    # 7,000 of the rows have no owner.
+    assert largest() < 3000
+    change = store.begin()
+    assert len(change.rewrite("a", F.lit(True), lambda part: part.withColumn("owner", F.lit(None).cast("long")))) == 8
+    change.commit()
+    assert largest() < 3000 and store.read("a").select(F.sum("id")).first()[0] == 8000 * 7999 // 2
