@@ -330,12 +330,19 @@ def _candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
         found = edges if found is None else found.unionByName(edges)
         if large is None:
             break
-        # Sets of a bucket that their samples link to each other are one candidate component whatever follows.
-        unsettled = sampled.where("path IS NOT NULL").select("path").distinct()
+        unsettled = written(_unsettled(large, sampled.where("path IS NOT NULL").select("path").distinct(), components(found)), spark, "unsettled")
         level = large.join(unsettled, "path", "left_semi").select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
     return found
 
 
+def _unsettled(large: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of the buckets ``paths`` those whose sets are in several components (node, root) of all edges found so
+    far, in any tree: sets of one candidate component stay one whatever follows."""
+    rooted = large.select("path", "set_key").join(roots, F.col("set_key") == F.col("node"), "left")
+    ends = rooted.groupBy("path").agg(*[f(F.coalesce("root", "set_key")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    return ends.where("lo < hi").select("path").join(paths, "path", "left_semi")
+
+
 def _sampled(large: DataFrame) -> DataFrame:
     """Star edges of large buckets, and the buckets they leave unsettled: chunks of their sets, each with the bucket's samples."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")

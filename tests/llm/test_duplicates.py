@@ -475,3 +475,12 @@ def test_row_keys_tell_nulls_of_neighbouring_columns(spark):
     assert sorted(map(str, marked)) == sorted(map(str, docs.select("doc_id", "a", "b").collect()))
     kept = set_join.keep_first(spark, docs.union(spark.createDataFrame([(2, "another text altogether, with words", None, "en")], docs.schema))).collect()
     assert len(kept) == 2 and (2, None, "en") in {(r["doc_id"], r["a"], r["b"]) for r in kept}
+
+
+def test_buckets_that_other_trees_settle_go_no_deeper(spark):
+    a, b, c = (bytes([i]) * 16 for i in (1, 2, 3))
+    large = spark.createDataFrame([(1, bytearray(a)), (1, bytearray(b)), (2, bytearray(a)), (2, bytearray(c)), (3, bytearray(b)), (3, bytearray(c))], "path long, set_key binary")
+    roots = spark.createDataFrame([(bytearray(b), bytearray(a)), (bytearray(a), bytearray(a))], "node binary, root binary")
+    paths = spark.createDataFrame([(1,), (2,)], "path long")
+    # 1 is one component; 2 has a set of its own; 3 was settled by its samples.
+    assert [r.path for r in set_join._unsettled(large, paths, roots).collect()] == [2]
