@@ -230,3 +230,12 @@ def test_toxicity_evidence(spark, documents):
     assert got[1000].predicted == 1 and got[1001].predicted == 0
     assert all(int(i) % 4 == 0 for i in got[1000].neighbours.split(",")) and got[1001].neighbours
     assert "4" not in got[4].neighbours.split(",")
+
+
+def test_runs_and_ranges():
+    plain = lambda x: [(int(p[0]), int(p[-1]) + 1) for p in np.split(x, np.flatnonzero(np.diff(x) != 1) + 1) if len(p)]
+    for numbers in ([], [3], [0, 1, 2, 3], [0, 2, 3, 7], [5, 6, 8]):
+        x = np.array(numbers, np.int64)
+        assert toxicity._runs(x) == plain(x)
+    starts, sizes = np.array([4, 9, 0, 7]), np.array([2, 0, 3, 1])
+    assert toxicity._ranges(starts, sizes).tolist() == [4, 5, 0, 1, 2, 7]
