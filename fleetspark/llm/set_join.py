@@ -3,8 +3,10 @@
 Sets are embedded as 64 MinHash tokens.  From the root on, every set follows those of its tokens
 that a hash of path and token selects, 1/threshold of them on average, so that similar sets keep
 meeting and others part.  Buckets of up to ``LIMIT`` sets are compared pair by pair.  Of larger
-ones every set is compared with ``SAMPLES`` members, which settles groups of copies that no path
-would split; where that leaves more than one group the sets go on to the next level.  ``REPETITIONS`` independent trees reach the target recall.  Comparing tokens loosely
+ones every set is compared with ``SAMPLES`` members, which links groups of copies that no path
+would split.  Sets outside the bucket's largest component are then compared with the whole bucket, if
+they are at most ``OUTLIERS``: with that all of its pairs are settled.  Only buckets with more of them go
+on to the next level.  ``REPETITIONS`` independent trees reach the target recall.  Comparing tokens loosely
 gives candidate components, and exact Jaccard is then computed for all pairs of each component.
 """
 
@@ -29,6 +31,8 @@ LEVELS = 4
 LIMIT = 32
 #: Members of a larger bucket that all others are compared with.
 SAMPLES = 8
+#: Sets outside the largest component of a larger bucket, up to which they are compared with all others.
+OUTLIERS = 8192
 #: Sets compared in one group.
 CHUNK = 1024
 #: Equal tokens from which a pair of a bucket is a candidate: four standard deviations below the threshold.
@@ -200,6 +204,37 @@ def _with_samples(batches):
         )
 
 
+def _with_outliers(batches):
+    """Star edges between the sets of a bucket's chunk and the outliers of the bucket that come with them."""
+    ones = np.uint64(0x0101010101010101)
+    for table in _groups(batches, ["path", "chunk"]):
+        path, chunk = (table.column(k).to_numpy() for k in ("path", "chunk"))
+        sketches, sample = _matrix(table.column("sketch").combine_chunks()), table.column("sample").to_numpy()
+        low = sketches.astype(np.uint8)
+        starts = np.append(0, 1 + np.flatnonzero((path[1:] != path[:-1]) | (chunk[1:] != chunk[:-1])))
+        a, b, held = [], [], 0
+        for s, e in zip(starts, np.append(starts[1:], table.num_rows)):
+            members = s + np.flatnonzero(~sample[s:e])
+            near = low[members]
+            for p in s + np.flatnonzero(sample[s:e]):
+                # The tokens' lowest bytes agree at least as often as the tokens; eight counts to a number.
+                agree = (near == low[p]).view(np.uint64).sum(axis=1) * ones >> np.uint64(56)
+                like = members[agree >= LOOSE]
+                like = like[(sketches[like] == sketches[p]).sum(axis=1) >= LOOSE]
+                a.append(np.full(len(like), p))
+                b.append(like)
+                held += len(like)
+                if held > 1 << 20:  # what is linked already need not be kept pair by pair
+                    label = _least_labels(table.num_rows, np.concatenate(a), np.concatenate(b))
+                    own = np.flatnonzero(label != np.arange(table.num_rows))
+                    a, b, held = [label[own]], [own], 0
+        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
+        label = _least_labels(table.num_rows, a, b)
+        own = np.flatnonzero(label != np.arange(table.num_rows))
+        column = table.column("set_key").combine_chunks()
+        yield pa.RecordBatch.from_arrays([column.take(pa.array(own)), column.take(pa.array(label[own]))], ["a", "b"])
+
+
 def _exact(batches):
     """Per set of a group its exact links, and star edges of the components they form.  A group of
     two chunks counts the pairs between them only; the pairs within belong to each chunk's own group."""
@@ -324,14 +359,25 @@ def _candidates(spark: SparkSession, sets: DataFrame) -> DataFrame:
         if large is not None and large.isEmpty():
             large = None
         if large is not None:
-            sampled = written(_sampled(large), spark, "sampled")
+            sampled = written(_in_chunks(large, _first(large)).mapInArrow(_with_samples, "a binary, b binary, path long"), spark, "sampled")
             edges = edges.unionByName(sampled.where("path IS NULL").select("a", "b"))
         edges = written(edges.distinct(), spark, "stars")
         found = edges if found is None else found.unionByName(edges)
         if large is None:
             break
-        unsettled = written(_unsettled(large, sampled.where("path IS NOT NULL").select("path").distinct(), components(found)), spark, "unsettled")
-        level = large.join(unsettled, "path", "left_semi").select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
+        roots = components(found)
+        unsettled = _unsettled(large, sampled.where("path IS NOT NULL").select("path").distinct(), roots)
+        large = written(large.join(unsettled, "path", "left_semi"), spark, "unsettled")
+        outside = written(_outside(large, roots), spark, "outside")
+        few = outside.where(F.col("n") <= OUTLIERS).select("path", "set_key")
+        settled = large.join(few.select("path").distinct(), "path", "left_semi")
+        checked = _in_chunks(settled, settled.join(few, ["path", "set_key"], "left_semi")).mapInArrow(_with_outliers, "a binary, b binary")
+        # Stars of the components say what their edges said.
+        found = written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(checked), spark, "stars")
+        many = outside.where(F.col("n") > OUTLIERS).select("path").distinct()
+        if many.isEmpty():
+            break
+        level = large.join(many, "path", "left_semi").select("path", "set_key", "sketch").mapInArrow(_deeper, "path long, set_key binary")
     return found
 
 
@@ -343,15 +389,28 @@ def _unsettled(large: DataFrame, paths: DataFrame, roots: DataFrame) -> DataFram
     return ends.where("lo < hi").select("path").join(paths, "path", "left_semi")
 
 
-def _sampled(large: DataFrame) -> DataFrame:
-    """Star edges of large buckets, and the buckets they leave unsettled: chunks of their sets, each with the bucket's samples."""
+def _first(large: DataFrame) -> DataFrame:
+    """``SAMPLES`` members of each bucket."""
+    order = Window.partitionBy("path").orderBy(F.xxhash64("set_key", "path"), "set_key")
+    return large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLES).drop("nth")
+
+
+def _outside(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, set_key, n) of the sets outside the component that most of their bucket are in, and their number in
+    the bucket.  Components (node, root) are those of all edges found so far, in any tree: sets of one
+    candidate component stay one whatever follows."""
+    rooted = large.select("path", "set_key", "size").join(roots, F.col("set_key") == F.col("node"), "left").select("path", "set_key", "size", F.coalesce("root", "set_key").alias("root"))
+    most = rooted.groupBy("path", "root").agg(F.count("*").alias("here"))
+    most = most.groupBy("path").agg(F.max(F.struct("here", "root")).alias("most")).select("path", "most.*").withColumnRenamed("root", "main")
+    return rooted.join(most, "path").where("root <> main").select("path", "set_key", (F.col("size") - F.col("here")).alias("n"))
+
+
+def _in_chunks(large: DataFrame, some: DataFrame) -> DataFrame:
+    """Chunks of the sets of each bucket, each with ``some`` of the bucket (``sample``)."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     rows = large.select("path", F.pmod(F.xxhash64("set_key"), chunks).cast("int").alias("chunk"), "set_key", "sketch", F.lit(False).alias("sample"))
-    order = Window.partitionBy("path").orderBy(F.xxhash64("set_key", "path"), "set_key")
-    first = large.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLES)
-    first = first.select("path", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "set_key", "sketch", F.lit(True).alias("sample"))
-    groups = _in_groups(rows.unionByName(first), ["path", "chunk"])
-    return groups.select("path", "chunk", "set_key", "sketch", "sample").mapInArrow(_with_samples, "a binary, b binary, path long")
+    some = some.select("path", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "set_key", "sketch", F.lit(True).alias("sample"))
+    return _in_groups(rows.unionByName(some), ["path", "chunk"]).select("path", "chunk", "set_key", "sketch", "sample")
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:

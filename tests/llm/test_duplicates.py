@@ -484,3 +484,35 @@ def test_buckets_that_other_trees_settle_go_no_deeper(spark):
     paths = spark.createDataFrame([(1,), (2,)], "path long")
     # 1 is one component; 2 has a set of its own; 3 was settled by its samples.
     assert [r.path for r in set_join._unsettled(large, paths, roots).collect()] == [2]
+
+
+def test_few_outliers_are_compared_instead_of_going_deeper(spark, documents, monkeypatch):
+    monkeypatch.setattr(set_join, "CHUNK", 32)  # several chunks a bucket
+    levels, write = [], set_join.written
+
+    def written(df, spark, purpose):
+        out = write(df, spark, purpose)
+        levels.extend([out.count()] if purpose == "level" else [])
+        return out
+
+    monkeypatch.setattr(set_join, "written", written)
+    rows = near_corpus(5)
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in set_join.op4(spark, documents(rows, 7)).collect()}
+    assert got == brute_classes(rows) and len(levels) == 1
+
+
+def test_outliers_meet_all_members_of_their_chunk():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 32, (6, set_join.TOKENS), dtype=np.uint64).astype(np.uint32)
+    near = base.copy()
+    near[:, : set_join.TOKENS - set_join.LOOSE] += 1
+    far = base.copy()
+    far[:, : set_join.TOKENS - set_join.LOOSE + 1] += 256  # the lowest bytes agree, one token too few does
+    members, samples = [*near, *far], [*base]
+    sketches = [(0, x, False) for x in members] + [(0, x, True) for x in samples] + [(1, x, False) for x in members]
+    batch = pa.table({
+        "path": pa.array([9] * len(sketches), pa.int64()), "chunk": pa.array([c for c, _, _ in sketches], pa.int32()),
+        "set_key": pa.array([bytes([i]) for i in range(len(sketches))]), "sketch": pa.array([x.tobytes() for _, x, _ in sketches]), "sample": [s for _, _, s in sketches],
+    }).to_batches()
+    out = pa.Table.from_batches(list(set_join._with_outliers(iter(batch)))).to_pylist()
+    assert {(r["a"], r["b"]) for r in out} == {(bytes([12 + i]), bytes([i])) for i in range(6)}
