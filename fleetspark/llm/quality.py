@@ -22,6 +22,8 @@ FOLDS = 5
 # Feature values are shares of a document's n-grams times this scale.
 SCALE = 10.0
 THRESHOLD = 0.3
+#: Rows handed back at once.
+ROWS_OUT = 512
 
 
 def features(column: pa.Array):
@@ -120,7 +122,9 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD)
 
     def kept(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch.column(at), held.value) >= threshold))
+            ok = pa.array(_scores(batch.column(at), held.value) >= threshold)
+            for s in range(0, batch.num_rows, ROWS_OUT):  # whole texts go back: no second copy of the batch
+                yield batch.slice(s, ROWS_OUT).filter(ok.slice(s, ROWS_OUT))
 
     return docs.mapInArrow(kept, T.StructType([*docs.schema.fields]))
 

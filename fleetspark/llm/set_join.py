@@ -37,6 +37,8 @@ OUTLIERS = 8192
 CHUNK = 1024
 #: Equal tokens from which a pair of a bucket is a candidate: four standard deviations below the threshold.
 LOOSE = 38
+#: Text bytes hashed at once: a task's arrays for them take some sixty times as much.
+SLICE_BYTES = 1 << 18
 #: Shingles compared in one group; larger components, also those of over ``CHUNK`` sets, are dealt to pairs of chunks.
 GROUP_SHINGLES = 300_000
 
@@ -48,7 +50,7 @@ def _unique(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
 def sets_of(column: pa.Array):
     """Yields (first row, sorted distinct shingle hashes of each row)."""
     classes = textops.byte_classes(lower=True, punctuation=False)
-    for first, data, offsets in textops.utf8_slices(column):
+    for first, data, offsets in textops.utf8_slices(column, SLICE_BYTES):
         w = textops.Words(data, offsets, classes)
         h, row = textops.shingles(w.hashes(), w.row, w.counts, WORDS)
         yield first, _unique(h, np.bincount(row, minlength=w.rows))
@@ -268,21 +270,29 @@ def _links(sets: list[np.ndarray], chunk: np.ndarray, between: bool) -> tuple[np
     keep = common[column]
     column, row = (np.cumsum(common) - 1)[column[keep]], row[keep]
     width = int(common.sum())
-    # Intersections by products of incidence matrices, some thousand shingles at a time.
-    shared = np.zeros((n, n), np.float32)
-    step = max(256, min(8192, (1 << 22) // max(1, n)))
+    # Intersections by products of incidence matrices, some thousand shingles at a time; of two chunks
+    # only one's rows by the other's.
+    first = chunk == chunk.min() if between else np.ones(n, bool)
+    left, right = np.flatnonzero(first), np.flatnonzero(~first if between else first)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    step = max(256, min(8192, (1 << 20) // max(1, n)))
     cuts = np.searchsorted(column, np.arange(0, width + step, step))
     for k, (s, e) in enumerate(zip(cuts, cuts[1:])):
         if e > s:
             x = np.zeros((n, step), np.float32)
             x[row[s:e], column[s:e] - k * step] = 1
-            shared += x @ x.T
-    linked = (NUMERATOR + DENOMINATOR) * shared >= NUMERATOR * (sizes[:, None] + sizes[None, :]).astype(np.float32)
-    np.fill_diagonal(linked, False)
+            shared += x[left] @ x[right].T if between else x @ x.T
+    sizes = sizes.astype(np.float32)
+    shared *= NUMERATOR + DENOMINATOR
+    linked = shared >= NUMERATOR * (sizes[left][:, None] + sizes[right][None, :])
+    if not between:
+        np.fill_diagonal(linked, False)
+    links = np.zeros(n, np.int64)
+    links[left] = linked.sum(axis=1)
     if between:
-        linked &= chunk[:, None] != chunk[None, :]
-    a, b = np.nonzero(np.triu(linked))
-    return linked.sum(axis=1), _least_labels(n, a, b)
+        links[right] = linked.sum(axis=0)
+    a, b = np.nonzero(linked if between else np.triu(linked))
+    return links, _least_labels(n, left[a], right[b])
 
 
 def _dealt(rows: DataFrame, key: str, chunks: str, by: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -516,3 +517,43 @@ def test_outliers_meet_all_members_of_their_chunk():
     }).to_batches()
     out = pa.Table.from_batches(list(set_join._with_outliers(iter(batch)))).to_pylist()
     assert {(r["a"], r["b"]) for r in out} == {(bytes([12 + i]), bytes([i])) for i in range(6)}
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1] / (1 << 20)
+    finally:
+        tracemalloc.stop()
+
+
+def test_chunks_are_compared_with_each_other_only():
+    """Links and components between two chunks as by brute force, in the memory of one rectangle."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, (40, 60)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.08, rng.integers(0, 1 << 62, 60).astype(np.uint64), base[i % 40])) for i in range(1200)]
+    chunk = rng.integers(4, 6, len(sets))
+    (links, label), peak = peak_mb(lambda: set_join._links(sets, chunk, True))
+    of = [set(x.tolist()) for x in sets]
+    near = [(a, b) for a, b in itertools.combinations(range(1200), 2) if a % 40 == b % 40 and chunk[a] != chunk[b] and 9 * len(of[a] & of[b]) >= 4 * (len(of[a]) + len(of[b]))]
+    counts = np.bincount(np.array(near).ravel(), minlength=1200)
+    root = roots(range(1200), near)
+    assert len(near) > 1000 and (links == counts).all() and label.tolist() == [root[i] for i in range(1200)] and peak < 24
+
+
+def test_sketching_takes_little_memory():
+    texts = [" ".join(f"w{i * 7 + k}" for k in range(400)) for i in range(400)]
+    batch = pa.table({"doc_id": list(range(400)), "text": texts, "row_key": [bytes([1])] * 400}).to_batches()[0]
+    out, peak = peak_mb(lambda: list(set_join._keyed([batch])))
+    assert out[0].num_rows == 400 and peak < 22
+
+
+def test_good_documents_come_back_in_parts(spark, documents):
+    from fleetspark.llm import quality
+
+    rng = np.random.default_rng(2)
+    weights = np.append(rng.normal(size=1 << quality.BITS), 0.0)
+    docs = documents([(i, f"text w{i} of x{i % 13}") for i in range(1300)], 1)
+    want = {r.doc_id for r in quality.score(docs, weights).where("quality_ok").collect()}
+    assert 0 < len(want) < 1300 and {r.doc_id for r in quality.accepted(docs, weights).collect()} == want
