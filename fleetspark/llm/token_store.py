@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ END_ID = 2
 #: Parts remembered per task, and the longest of them in characters; a full memory is cleared, and
 #: longer ones are encoded again, which changes no result.
 MEMORY, LONGEST = 400_000, 64
-#: Characters encoded at once.
-SLICE = 1 << 20
+#: Bytes of text encoded at once; a longer text is encoded alone.
+SLICE = 1 << 22
 CHUNK_SCHEMA = (
     "shard int, block int, n_ids int, width int, planes array<binary>, doc_nos array<long>, doc_ids array<long>, "
     "lengths array<int>, begins array<boolean>, ends array<boolean>"
@@ -71,63 +72,89 @@ _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _encoder(path: str):
-    """Texts -> their little-endian ids by the library.  The vocabulary drops white space and no
-    piece spans any, so each part between blanks or line ends is encoded once and remembered."""
+    """Texts (a list or an Arrow array) -> their little-endian ids by the library.
+
+    The vocabulary drops white space and no piece spans any, so each part between blanks or line ends
+    is encoded once and remembered.  Parts of a word and marks are what the vocabulary's normalizer and
+    pattern leave as they are but for case, so these go to its model at once, all others the whole way.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    model, letters = tokenizer.model, _byte_letters()
     pieces: dict[str, bytes] = {}
     memory: dict[str, bytes] = {}
 
-    def learn(parts: set[str]) -> None:
+    def learn(parts: list[str]) -> None:
         if len(memory) + len(parts) > MEMORY:
             memory.clear()
         if len(pieces) + len(parts) > MEMORY:
             pieces.clear()
-        split = {}
+        whole, long = [], []
         for p in parts:
             m = _SIMPLE.fullmatch(p)
-            split[p] = (m[1].lower(), m[2]) if m else (p, "")
-        missing = list({x for pair in split.values() for x in pair if x not in pieces})
-        for piece, e in zip(missing, tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            pieces[piece] = array.array("I", e.ids).tobytes()
-        for p, (word, marks) in split.items():
-            memory[p] = pieces[word] + pieces[marks]
-        for piece in missing:
-            if len(piece) > LONGEST:
-                del pieces[piece]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {p for parts in split for p in parts}
-        missing.difference_update(memory)
-        if missing:
-            if len(memory) + len(missing) > MEMORY:
-                missing = {p for parts in split for p in parts}
-            learn(missing)
-        out = [b"".join([memory[p] for p in parts]) for parts in split]
+            if not m:
+                whole.append(p)
+                continue
+            ids = b""
+            for piece in (m[1].lower(), m[2]):
+                if piece not in pieces:
+                    plain = piece if piece.isascii() else piece.translate(letters)
+                    pieces[piece] = array.array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+                    if len(piece) > LONGEST:
+                        long.append(piece)
+                ids += pieces[piece]
+            memory[p] = ids
+        for p, e in zip(whole, tokenizer.encode_batch_fast(whole, add_special_tokens=False)):
+            memory[p] = array.array("I", e.ids).tobytes()
+        for piece in long:
+            del pieces[piece]
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = [p for p in parts if p not in memory]
+        if len(memory) + len(missing) > MEMORY:
+            missing = parts
+        learn(missing)
+        # The ids of different parts lie behind one another; each part of a text takes its span of them.
+        known = [memory[p] for p in parts]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at, ids = coded.indices.to_numpy(), np.frombuffer(b"".join(known), "<u4")
+        ends = np.cumsum(sizes[at])
+        shift = (np.cumsum(sizes) - sizes)[at] - (ends - sizes[at])
+        found = ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, sizes[at])]
+        cuts = np.append(0, ends)[np.cumsum(np.append(0, pc.list_value_length(split).to_numpy()))]
         for p in missing:
             if len(p) > LONGEST:
                 del memory[p]
-        return out
+        return [found[s:e].tobytes() for s, e in zip(cuts, cuts[1:])]
 
     return encode
 
 
+def _byte_letters() -> dict[int, str]:
+    """Letter -> what stands for its bytes in byte-level vocabularies, from the library, for all letters of ``_SIMPLE``."""
+    from tokenizers import pre_tokenizers
+
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+    return {c: split(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
+
+
 def _encoded(encode, batch, end: bytes):
-    """(doc_id, ids) of a batch, encoding about a megabyte of text at a time."""
-    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-    at = 0
-    while at < len(ids):
-        some, size, first = [], 0, at
-        while at < len(ids) and (not some or size < SLICE):
-            some.append(texts[at].as_py() or "")
-            size += len(some[-1])
-            at += 1
-        yield from zip(ids[first:at], [x + end for x in encode(some)])
+    """(doc_id, ids) of a batch, encoding some megabytes of text at a time."""
+    ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ids):
+        last = first + 1 + int(np.searchsorted(ends[first + 1 :], (ends[first - 1] if first else 0) + SLICE, "right"))
+        yield from zip(ids[first:last], [x + end for x in encode(texts.slice(first, last - first))])
+        first = last
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None, unit: str = "bit") -> None:

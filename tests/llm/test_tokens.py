@@ -134,3 +134,44 @@ def test_long_parts_are_not_remembered(codec, byte_library, word_library):
     held = dict(zip(encode.__code__.co_freevars, [c.cell_contents for c in encode.__closure__]))
     assert "word" in held["memory"] and max(map(len, held["memory"])) <= token_store.LONGEST
     assert max(map(len, inspect.getclosurevars(held["learn"]).nonlocals["pieces"])) <= token_store.LONGEST
+
+
+def test_plain_words_skip_normalizer_and_pattern(word_library, monkeypatch):
+    """Words and marks go to the vocabulary's model, only other parts through the whole library, with equal ids."""
+    import tokenizers
+
+    sent = []
+
+    class Noted:
+        def __init__(self, tokenizer):
+            self._tokenizer = tokenizer
+
+        @staticmethod
+        def from_file(path):
+            return Noted(Tokenizer.from_file(path))
+
+        def __getattr__(self, name):
+            return getattr(self._tokenizer, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(texts)
+            return self._tokenizer.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Noted)
+    encode = token_store._encoder(token_store.vocabulary_path())
+    letters = "".join(chr(c) for c in range(256) if chr(c).isalpha())
+    texts = [f"Überraschung, naïve CAFÉ... end!\n{letters} ß\nÀÉÎ); x", "don't 1,234 日本 été <|endoftext|> a_b", "", "\n  \n", "µm ªº"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
+    assert got == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {"überraschung", "Überraschung,", "naïve", "café", "CAFÉ...", "end", "!", "ÀÉÎ);"} & set(sent)
+
+
+@pytest.fixture(scope="module")
+def store_encode():
+    return token_store._encoder(token_store.vocabulary_path())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aZéÉßþÞÿ×÷'!.<|> \n\t1_µ", max_size=40), max_size=4))
+def test_store_encoder_any_text(store_encode, word_library, texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in store_encode(texts)] == [word_library.encode(t, add_special_tokens=False).ids for t in texts]
