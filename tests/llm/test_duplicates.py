@@ -279,6 +279,22 @@ def test_shingles_are_the_runs():
     assert len(set().union(*parts)) == len(frozenset().union(*[runs(t) for t in texts]))
 
 
+def test_lines_are_compared_without_python(spark, documents, monkeypatch):
+    """Every table the operator writes, and its result, comes from DataFrame operations alone."""
+    plans, written = [], line_dedup.written
+
+    def noted(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, *rest)
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    rows = [(1, "one line of some words that is long enough to have windows of its own, more than eighty characters\nshort"), (2, "one line of some words that is long enough to have windows of its own, more than eighty charactexs\nSHORT")]
+    out = line_dedup.marked(spark, documents(rows))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.doc_id: r.n_kept for r in out.collect()} == {1: 2, 2: 0}
+    assert len(plans) > 10 and not [p for p in plans if any(x in p for x in ("Python", "Pandas", "Arrow"))]
+
+
 def test_very_long_lines(spark, documents):
     rng = random.Random(3)
     long = "".join(chr(rng.randrange(97, 160)) for _ in range(1_500_000))
