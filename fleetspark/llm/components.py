@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetspark.llm.tables import written
+from fleetspark.llm.tables import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links all larger neighbours of a node to its smallest neighbour, then all smaller
     ones, until nothing moves.  Rounds grow with the logarithm of the longest path.  Each round is
-    written to the shared folder, so a lost executor costs one round at most.  No task holds a
+    written to the shared folder, where it stays for the next round only, so a lost executor costs one round at most.  No task holds a
     node's whole neighbourhood: smallest neighbours are pre-aggregated and joined back.
     """
     spark = edges.sparkSession
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         smallest = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(smallest, "a").select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
-        current = written(moved.where(F.col("a") != F.col("b")).distinct(), spark, "edges")
+        before, current = current, written(moved.where(F.col("a") != F.col("b")).distinct(), spark, "edges")
+        discard(spark, before)
         seen = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == state:
             break

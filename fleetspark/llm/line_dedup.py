@@ -1,26 +1,25 @@
-"""Fuzzy line deduplication: sampled windows, MinHash bands, exact Jaccard, union-find.
+"""Fuzzy line deduplication: MinHash bands, sketches, exact Jaccard, union-find.
 
 A line is what stands between line ends, without white space at its ends; blank lines stay as
 they are.  Its set holds every run of five characters, lower-cased; a shorter line is one run.
-Lines are candidates in one of two ways.  Of a longer line's windows of twenty characters some ten
-are kept, those whose hash is least against a limit set by the line's length, so that similar
-lines keep the same ones; a window is a key.  At 4/5 at most one place in 45 is changed, so that
-over half the windows stay and two lines share none of their keys with a probability of 0.01 or less
-(some 0.01 more for lines of two changes).  Short lines, lines that repeat themselves and
-lines of windows that many others have are signed by MinHash instead: lines that share a band of
-three values, of runs of nine characters, are candidates.  A pair that differs by scattered
-letters so that five-character runs agree to 4/5 agrees in its longer runs to 2/3, and shares one of
-ten bands with probability 0.97.  Small buckets are compared pair by pair.  In
-larger ones every line is first compared with one of them; only buckets that this leaves in more
-than one component are compared as a whole, in blocks.  Lines with a Jaccard similarity of 4/5 are
-linked, and of each component only the first line stays.
+Lines that share a band of three MinHash values are candidates.  The values are of runs of nine
+characters, of which unlike lines share hardly any.  Of longer lines some sixty runs are sampled by hash, the same
+ones of similar lines.  A pair that differs by scattered letters so that five-character runs agree to 4/5 agrees
+in its longer runs to 2/3, and shares one of sixteen bands with probability 0.98 (simulated with the sample);
+where the difference is in one place, both agree more alike.  Small buckets are compared pair by pair.  In
+larger ones every line is first compared with one of them, another one for each quarter of the bands; only
+buckets that this leaves in more than one component are compared as a whole, in blocks.  Sketches, bitmaps of a
+sample of the runs, leave out pairs far from 4/5 before any text is fetched; the others are compared by all of
+their runs.  Lines with a Jaccard similarity of 4/5 are linked, and of each component only the first line stays.
 
 All of it is DataFrame operations.  What runs over every character is exploded to rows, which Spark
-compiles; only samples of a line's runs are kept as arrays.
+compiles.  A table that is written on the way is deleted when nothing reads it any more.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,25 +27,29 @@ from pyspark.sql import functions as F
 from fleetspark.llm import textops
 from fleetspark.llm.components import components
 from fleetspark.llm.set_join import _dealt
-from fleetspark.llm.tables import SPACES, once, row_key, small, written
+from fleetspark.llm.tables import SPACES, discard, once, row_key, small, written
 
 #: Characters of a shingle, and of the runs that signatures are made of.
 SHINGLE, SIGNED = 5, 9
-#: Bands, and MinHash values in each.
-BANDS, ROWS = 10, 3
+#: Bands, MinHash values in each, and values in all: the first bands share none, each later one has values of three of them.
+BANDS, ROWS, VALUES = 16, 3, 24
+#: Parts in which bands are joined, one after another, so that only a part of them is shuffled at a time.
+PARTS = 2
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of up to so many lines are compared pair by pair.
 SMALL = 8
-#: Lines, and characters, compared together of larger buckets.
-CHUNK, GROUP_CHARACTERS = 512, 1 << 18
-#: Characters of a window, and windows kept of a line on average.
-WINDOW, KEPT = 20, 10
-#: Lines of so many characters have windows; all below the second number are signed, so that of two similar lines both are the one or the other.
-WINDOWED, SIGNED_BELOW = 64, 80
+#: Lines of a large bucket that are heads of some of a crowd's bands.
+HEADS = 4
+#: Lines of larger buckets compared together.
+CHUNK = 512
+#: Characters of a window by which a line is seen to repeat itself.
+WINDOW = 20
 #: Runs that a signature is made of, on average; lines that repeat themselves are signed by all.
-SAMPLED = 96
-#: Sampled runs that tell pairs far from the threshold.
-TOLD = 32
+SAMPLED = 64
+#: Sampled runs by which pairs far from the threshold are told, and the words of bits they are marked in.
+TOLD, WORDS = 128, 8
+#: Characters of a pair of lines beyond which its sets are not made as arrays.
+LONG = 1 << 15
 LOW = (1 << 32) - 1
 BASE = 0x9E3779B97F4A7C15
 
@@ -60,7 +63,13 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _multipliers() -> np.ndarray:
-    return textops.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    return textops.mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+
+
+def _band_values() -> list[list[int]]:
+    """The MinHash values of each band."""
+    whole = VALUES // ROWS
+    return [[(k * ROWS + i) if k < whole else (k + i * (whole // ROWS)) * ROWS % VALUES + i for i in range(ROWS)] for k in range(BANDS)]
 
 
 def _windows(c: np.ndarray, width: int) -> np.ndarray:
@@ -105,29 +114,23 @@ def shingles(lines: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
 
 
 def _hashes(lines: DataFrame, width: int, under: Column) -> DataFrame:
-    """(lid, h): hashes of the runs of ``width`` UTF-16 units of each line, lower-cased; a shorter line is one run.
+    """(lid, under, h): hashes of the runs of ``width`` UTF-16 units of each line, lower-cased; a shorter line is one run.
 
     Kept are those whose lower half is under the given number, of n, the runs' number, and repeats.
     """
     coded = once(lines.select("lid", F.encode(F.lower("line"), "UTF-16BE").alias("b"), "repeats"), n=F.greatest(F.lit(1), F.expr(f"octet_length(b) div 2 - {width - 1}")))
     runs = coded.select("lid", "b", under.alias("under"), F.explode(F.sequence(F.lit(1), F.expr("cast(2 * n - 1 AS INT)"), F.lit(2))).alias("at"))
     h = runs.select("lid", "under", F.expr(f"xxhash64(substring(b, at, {2 * width}))").alias("h"))
-    return h.where(F.col("h").bitwiseAND(F.lit(LOW)) < F.col("under")).select("lid", "h")
-
-
-def _windows_kept(lines: DataFrame) -> DataFrame:
-    """(lid, key): a sample of the windows of longer lines, by hash."""
-    longer = lines.where(F.length("line") >= WINDOWED).withColumn("repeats", F.lit(False))
-    return _hashes(longer, WINDOW, F.expr(f"{KEPT << 32}L div n")).withColumnRenamed("h", "key")
+    return h.where(F.col("h").bitwiseAND(F.lit(LOW)) < F.col("under"))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    """(lid, key): the bands of MinHash values of each line."""
+    """(lid, keys): the bands of MinHash values of each distinct line."""
     multipliers = [int(m >> np.uint64(33)) | 1 for m in _multipliers()]
     h = _hashes(lines, SIGNED, F.expr(f"if(repeats, {LOW + 1}L, {SAMPLED << 32}L div n)")).select("lid", F.col("h").bitwiseAND(F.lit(LOW)).alias("h"))
     least = h.groupBy("lid").agg(*[F.min((F.col("h") * F.lit(m)).bitwiseAND(F.lit(LOW))).alias(f"m{k}") for k, m in enumerate(multipliers)])
-    keys = [F.xxhash64(F.lit(k), *[f"m{k * ROWS + i}" for i in range(ROWS)]) for k in range(BANDS)]
-    return least.select("lid", F.explode(F.array(*keys)).alias("key"))
+    keys = [F.xxhash64(F.lit(k), *[f"m{i}" for i in band]) for k, band in enumerate(_band_values())]
+    return least.select("lid", F.array(*keys).alias("keys"))
 
 
 def _repeats() -> Column:
@@ -136,108 +139,132 @@ def _repeats() -> Column:
     return F.expr(f"{again(1)} OR {again('length(line) div 2')}")
 
 
-def _shared(spark: SparkSession, keys: DataFrame) -> DataFrame:
-    """(key, lid, size, head): distinct lines of every key that two different lines share."""
-    shared = written(keys.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi").select("key"), spark, "shared")
-    cells = written(keys.join(small(shared, shared.count(), 64), "key").distinct(), spark, "cells")
-    sizes = cells.groupBy("key").agg(F.count("*").alias("size"), F.min("lid").alias("head"))
-    return written(cells.join(sizes, "key"), spark, "buckets")
-
-
 def _buckets(spark: SparkSession, lines: DataFrame) -> DataFrame:
-    """(key, lid, size, head) of small buckets of windows, and of all buckets of bands.
-
-    Signed are the lines that windows do not tell apart: short ones, repetitive ones, all of larger buckets.
-    """
-    lines = lines.select("lid", "line")
-    windows = _shared(spark, written(_windows_kept(lines), spark, "windows"))
-    crowded = written(windows.where(F.col("size") > SMALL).select("lid").distinct(), spark, "crowded")
-    judged = lines.withColumn("repeats", _repeats())
-    plain = (F.length("line") < SIGNED_BELOW) | F.col("repeats")
-    signed = judged.where(plain).unionByName(judged.where(~plain).join(small(crowded, crowded.count(), 64), "lid", "left_semi"))
-    bands = _shared(spark, written(_bands(signed), spark, "bands"))
-    return windows.where(F.col("size") <= SMALL).unionByName(bands)
+    """(key, lid, size, head): the lines of every band that several share; head, of larger buckets, is one of them."""
+    signed = written(_bands(lines.select("lid", "line").withColumn("repeats", _repeats())), spark, "bands")
+    parts = []
+    for part in range(PARTS):
+        keys = signed.select("lid", F.explode(F.filter("keys", lambda _, i: i % PARTS == part)).alias("key"))  # noqa: B023
+        shared = written(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), spark, "shared")
+        parts.append(written(keys.join(small(shared, shared.count(), 64), "key").select("key", "lid", "size"), spark, "cells"))
+        discard(spark, shared)
+    discard(spark, signed)
+    cells = reduce(DataFrame.unionByName, parts)
+    large = cells.where(F.col("size") > SMALL)
+    heads = large.groupBy("key").agg(F.min_by("lid", F.xxhash64("lid", F.pmod("key", F.lit(HEADS)))).alias("head"))
+    return cells.where(F.col("size") <= SMALL).withColumn("head", F.lit(None).cast("long")).unionByName(large.join(heads, "key"))
 
 
 def _pairs(buckets: DataFrame) -> DataFrame:
     """Pairs (a, b) to compare first: all of small buckets, each line with its head in larger ones."""
     few = buckets.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("lid")).alias("l"))
     two = F.flatten(F.transform("l", lambda x, i: F.transform(F.slice("l", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    heads = buckets.where((F.col("size") > SMALL) & (F.col("lid") != F.col("head"))).select(F.col("head").alias("a"), F.col("lid").alias("b"))
+    heads = buckets.where((F.col("size") > SMALL) & (F.col("lid") != F.col("head"))).select(F.least("head", "lid").alias("a"), F.greatest("head", "lid").alias("b"))
     return few.select(F.inline(two)).unionByName(heads).distinct()
 
 
-def _counted(pairs: DataFrame, under: str, each: int) -> DataFrame:
-    """(a, b, shared, both): runs in both sets, and sizes of both, of the pairs' lines left and right.
+def _sketches(texts: DataFrame) -> DataFrame:
+    """(lid, under, bits, w0, w1, ...): a sample of a line's runs, marked in words of 64 bits, and the number of bits marked.
 
-    Counted are runs whose hash is in its lower half under the given number.  A pair's runs are
-    counted where the pair is, in tasks of some 2^21 of them, ``each`` a pair; only whole lines are shuffled.
+    Sampled are runs whose hash is in its lower half less than ``under``, so that the same run is in the samples of two lines or, at the lower rate, in neither.
     """
-    tasks = max(1, pairs.count() * each >> 21)
-    lower = once(pairs.repartition(tasks, "a", "b"), l=F.encode(F.lower("left"), "UTF-32"), r=F.encode(F.lower("right"), "UTF-32"))
-    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("line"), F.expr(under).alias("under"))
-    sides = lower.select("a", "b", F.inline(F.array(side(1, "l"), side(2, "r"))))
+    h = _hashes(texts.withColumn("repeats", _repeats()), SHINGLE, F.expr(f"if(repeats, {LOW + 1}L, least({LOW + 1}L, {TOLD << 32}L div n))"))
+    marks = h.select("lid", "under", F.expr(f"cast(shiftrightunsigned(h, 32) & {64 * WORDS - 1} AS INT)").alias("at"))
+    words = marks.groupBy("lid", "under").agg(*[F.bit_or(F.expr(f"if(at div 64 = {w}, shiftleft(1L, at % 64), 0L)")).alias(f"w{w}") for w in range(WORDS)])
+    return words.withColumn("bits", F.expr(" + ".join(f"bit_count(w{w})" for w in range(WORDS))))
+
+
+def _like(left: str, right: str) -> Column:
+    """Whether the sketches of two lines leave it open that their sets agree to the threshold.
+
+    Of the runs of two lines at 4/5, 4/9 of both numbers together are shared.  Sketches of as many
+    bits as are asked for show 2/5 or more, being over four standard deviations off; smaller ones tell nothing.
+    """
+    x, y = lambda c: f"{left}.{c}", lambda c: f"{right}.{c}"
+    shared = " + ".join(f"bit_count({x(f'w{w}')} & {y(f'w{w}')})" for w in range(WORDS))
+    rate = f"least({x('under')}, {y('under')})"
+    both = f"({rate} / {x('under')} * {x('bits')} + {rate} / {y('under')} * {y('bits')})"
+    unknown = " OR ".join(f"({c('under')} <= {LOW} AND {c('bits')} < {TOLD // 2})" for c in (x, y))
+    return F.expr(f"5 * ({shared}) >= 2 * {both} OR {unknown}")
+
+
+def _in_arrays(pairs: DataFrame) -> DataFrame:
+    """(a, b, shared, both): runs in both sets, and sizes of both, of the pairs' lines l and r."""
+    # The text is a variable of the outer function: as a column it would be copied for every run.
+    runs = lambda c: F.expr(f"flatten(transform(array({c}), t -> transform(sequence(1, greatest(1, octet_length(t) - {4 * SHINGLE - 1}), 4), i -> xxhash64(substring(t, i, {4 * SHINGLE})))))")
+    counts = once(once(pairs, x=runs("l"), y=runs("r")), shared=F.size(F.array_intersect("x", "y")), either=F.size(F.array_union("x", "y")))
+    return counts.select("a", "b", "shared", (F.col("shared") + F.col("either")).alias("both"))
+
+
+def _in_rows(pairs: DataFrame) -> DataFrame:
+    """The same of long lines, whose runs are rows of their own: no task holds a whole set."""
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(c).alias("line"))
     places = F.expr(f"sequence(1, greatest(1, octet_length(line) - {4 * SHINGLE - 1}), 4)")
-    runs = sides.select("a", "b", "side", "line", "under", F.explode(places).alias("at"))
-    hashed = runs.select("a", "b", "side", "under", F.expr(f"xxhash64(substring(line, at, {4 * SHINGLE}))").alias("h"))
-    sets = hashed.where(F.col("h").bitwiseAND(F.lit(LOW)) < F.col("under")).groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    runs = pairs.select("a", "b", F.inline(F.array(side(1, "l"), side(2, "r")))).select("a", "b", "side", "line", F.explode(places).alias("at"))
+    sets = runs.select("a", "b", "side", F.expr(f"xxhash64(substring(line, at, {4 * SHINGLE}))").alias("h")).groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
     return sets.groupBy("a", "b").agg(F.count_if(F.col("sides") == 3).alias("shared"), F.sum(F.bit_count("sides")).alias("both"))
 
 
-def _verified(spark: SparkSession, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines left and right whose sets have a Jaccard similarity of the threshold or more.
+def _verified(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of lines whose sets have a Jaccard similarity of the threshold or more."""
+    left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("left")), texts.select(F.col("lid").alias("b"), F.col("line").alias("right"))
+    both = written(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), spark, "pair-texts")
+    long = F.length("left") + F.length("right") > LONG
+    n_long, characters = both.where(long).agg(F.count("*"), F.sum(F.length("left") + F.length("right"))).first()
+    lower = lambda rows: once(rows, l=F.encode(F.lower("left"), "UTF-32"), r=F.encode(F.lower("right"), "UTF-32")).select("a", "b", "l", "r")
+    counts = _in_arrays(lower(both.where(~long).repartition("a", "b")))
+    if n_long:
+        counts = counts.unionByName(_in_rows(lower(both.where(long).repartition(max(1, characters >> 21), "a", "b"))))
+    edges = written(counts.where((NUMERATOR + DENOMINATOR) * F.col("shared") >= NUMERATOR * F.col("both")).select("a", "b"), spark, "line-edges")
+    discard(spark, both)
+    return edges
 
-    A sample of the runs, the same of both lines, shows first which pairs are far from it: those with less
-    than half in common of at least ``TOLD`` runs, over four standard deviations off.
-    """
-    rough = _counted(pairs, f"{2 * TOLD << 34}L div greatest(octet_length(l), octet_length(r))", 4 * TOLD)
-    far = rough.where(f"both - shared >= {TOLD} AND 2 * shared < both - shared").select("a", "b")
-    near = written(pairs.join(far, ["a", "b"], "left_anti"), spark, "near-pairs")
-    characters = near.agg(F.avg(F.length("left") + F.length("right"))).first()[0]
-    exact = _counted(near, f"{LOW + 1}L", int(characters or 1) + 1)
-    return exact.where((NUMERATOR + DENOMINATOR) * F.col("shared") >= NUMERATOR * F.col("both")).select("a", "b")
 
+def _near(pairs: DataFrame, sketches: DataFrame, rows: int) -> DataFrame:
+    """The pairs (a, b) that sketches do not tell apart."""
+    side = lambda c: small(sketches.select(F.col("lid").alias(c), F.struct(*[x for x in sketches.columns if x != "lid"]).alias(f"s{c}")), rows, 160)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_like("sa", "sb")).select("a", "b")
 
-def _open(spark: SparkSession, buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) within larger buckets that have lines of several components, all pairs compared.
 
-    A bucket is dealt to blocks of at most ``CHUNK`` lines and ``GROUP_CHARACTERS`` on average, and its
+def _open(spark: SparkSession, buckets: DataFrame, roots: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) within larger buckets that have lines of several components, all of them looked at by their sketches.
+
+    A bucket is dealt to blocks of at most ``CHUNK`` lines on average, and its
     lines to all pairs of their block; no task has a whole crowd.
     """
     large = buckets.where(F.col("size") > SMALL).select("key", "lid")
     named = large.join(roots, large["lid"] == roots["node"], "left").select("key", "lid", F.coalesce("root", "lid").alias("root"))
-    unsettled = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    members = named.join(unsettled, "key").join(texts, "lid")
-    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum(F.length("line")) / GROUP_CHARACTERS)).alias("chunks"))
-    dealt = written(_dealt(members.join(sizes, "key").drop("line"), "key", "chunks", "lid"), spark, "blocks")
-    compared = texts.join(dealt.select("lid").distinct(), "lid", "left_semi").withColumn("repeats", _repeats())
-    runs = _hashes(compared, SHINGLE, F.expr(f"if(repeats, {LOW + 1}L, {2 * TOLD << 32}L div n)"))
-    samples = written(runs.groupBy("lid").agg(F.collect_set("h").alias("sample")), spark, "samples")
-    block, rows = ["key", "c1", "c2"], dealt.join(samples, "lid")
-    left = rows.where("chunk = c1").select(*block, F.col("lid").alias("a"), F.col("root").alias("ra"), F.col("sample").alias("x"))
-    right = rows.where("chunk = c2").select(*block, F.col("lid").alias("b"), F.col("root").alias("rb"), F.col("sample").alias("y"))
-    # What is linked already need not be compared.  Of similar lines' runs 8/9 are the other's, so that of sampled ones 3/5 surely are.
-    both = left.join(right, block).where("ra != rb AND (c1 < c2 OR a < b)")
-    close = both.where(5 * F.size(F.array_intersect("x", "y")) >= 3 * F.least(F.size("x"), F.size("y")))
-    ordered = written(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), spark, "line-pairs")
-    return _verified(spark, _with_texts(spark, ordered, texts))
-
-
-def _with_texts(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    left, right = texts.select(F.col("lid").alias("a"), F.col("line").alias("left")), texts.select(F.col("lid").alias("b"), F.col("line").alias("right"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), spark, "pair-texts")
+    unsettled = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / CHUNK).alias("chunks")).where("lo < hi")
+    members = named.join(unsettled.select("key", "chunks"), "key").join(sketches, "lid")
+    block, rows = ["key", "c1", "c2"], written(_dealt(members, "key", "chunks", "lid"), spark, "blocks")
+    row = F.struct(*[c for c in rows.columns if c not in (*block, "chunk")])
+    left, right = rows.where("chunk = c1").select(*block, row.alias("a")), rows.where("chunk = c2").select(*block, row.alias("b"))
+    # What is linked already need not be compared.
+    close = left.join(right, block).where("a.root != b.root AND (c1 < c2 OR a.lid < b.lid)").where(_like("a", "b"))
+    pairs = written(close.select(F.least("a.lid", "b.lid").alias("a"), F.greatest("a.lid", "b.lid").alias("b")).distinct(), spark, "line-pairs")
+    discard(spark, rows)
+    return pairs
 
 
 def near_lines(spark: SparkSession, lines: DataFrame) -> DataFrame:
     """(node, root) of the lines (lid, line) that have a near-duplicate of another text."""
     buckets = _buckets(spark, lines)
     wanted = written(buckets.select("lid").distinct(), spark, "wanted")
-    texts = written(lines.select("lid", "line").join(small(wanted, wanted.count(), 64), "lid", "left_semi").dropDuplicates(["lid"]), spark, "line-texts")
-    pairs = written(_pairs(buckets), spark, "line-pairs")
-    edges = written(_verified(spark, _with_texts(spark, pairs, texts)), spark, "line-edges")
+    n = wanted.count()
+    texts = written(lines.select("lid", "line").join(small(wanted, n, 64), "lid", "left_semi").dropDuplicates(["lid"]), spark, "line-texts")
+    sketches = written(_sketches(texts), spark, "sketches")
+    pairs = written(_near(_pairs(buckets), sketches, n), spark, "line-pairs")
+    edges = _verified(spark, pairs, texts)
     roots = components(edges)
-    more = written(_open(spark, buckets, roots, texts), spark, "line-edges")
-    return roots if more.isEmpty() else components(edges.unionByName(more))
+    unsettled = _open(spark, buckets, roots, sketches)
+    discard(spark, buckets, wanted, sketches, pairs)
+    more = _verified(spark, unsettled, texts)
+    if not more.isEmpty():
+        again = components(edges.unionByName(more))
+        discard(spark, roots)
+        roots = again
+    discard(spark, texts, edges, unsettled, more)
+    return roots
 
 
 def marked(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -267,6 +294,7 @@ def _deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lost = lines.join(kept, "lid").where((F.col("rk") != F.col("keep_rk")) | (F.col("pos") != F.col("keep_pos")))
     drops = written(lost.groupBy("rk").agg(F.collect_set("pos").alias("__drops")), spark, "drops")
     copies = written(lines.where("nth = 0").groupBy("rk").agg(F.count("*").alias("__copies")).where("__copies > 1"), spark, "copies")
+    discard(spark, every, named, roots)
     return _rebuilt(docs, drops, copies)
 
 

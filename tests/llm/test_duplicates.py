@@ -3,7 +3,9 @@
 import itertools
 import random
 import re
+import time
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from hypothesis import strategies as st
 from llm_cases import AWKWARD, SMALL, documents  # noqa: F401
 
 from fleetspark.llm import components, line_dedup, set_join, tiling
-from fleetspark.llm.tables import table
+from fleetspark.llm.tables import SHUFFLE_CLEANUP, discard, table, written
 
 WORD = [f"w{i}" for i in range(400)]
 
@@ -295,6 +297,42 @@ def test_lines_are_compared_without_python(spark, documents, monkeypatch):
     assert len(plans) > 10 and not [p for p in plans if any(x in p for x in ("Python", "Pandas", "Arrow"))]
 
 
+def test_work_tables_go_when_they_have_been_read(spark, documents, monkeypatch):
+    """Only what the result reads stays in the shared folder."""
+    made, written = [], line_dedup.written
+
+    def noted(df, session, purpose):
+        out = written(df, session, purpose)
+        made.append((purpose, Path(out.inputFiles()[0].removeprefix("file:")).parent))
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", noted)
+    monkeypatch.setattr(components, "written", noted)
+    rows = line_corpus(3)
+    out = line_dedup.marked(spark, documents(rows))
+    assert len(made) > 10 and sorted(purpose for purpose, folder in made if folder.exists()) == ["copies", "drops"]
+    assert {r.doc_id: r.text for r in out.collect()} == brute_lines(rows)
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+[.]data", manager.getAllFiles().mkString(" ")))
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP, None)
+    out = written(spark.range(1000).selectExpr("id % 100 AS k").groupBy("k").count(), spark, "counts")
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 100 and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
+
+
+def test_only_work_tables_are_discarded(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "given"))
+    given = spark.read.parquet(str(tmp_path / "given"))
+    work = written(given, spark, "a copy")
+    discard(spark, given, work)
+    assert given.count() == 3 and not Path(work.inputFiles()[0].removeprefix("file:")).exists()
+
+
 def test_very_long_lines(spark, documents):
     rng = random.Random(3)
     long = "".join(chr(rng.randrange(97, 160)) for _ in range(1_500_000))
