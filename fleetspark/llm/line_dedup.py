@@ -5,7 +5,7 @@ they are.  Its set holds every run of five characters, lower-cased; a shorter li
 Lines that share a band of three MinHash values are candidates.  The values are of runs of nine
 characters, of which unlike lines share hardly any.  Of longer lines some sixty runs are sampled by hash, the same
 ones of similar lines.  A pair that differs by scattered letters so that five-character runs agree to 4/5 agrees
-in its longer runs to 2/3, and shares one of sixteen bands with probability 0.98 (simulated with the sample);
+in its longer runs to 2/3, and shares one of twenty-four bands with probability 0.99 (simulated with the sample);
 where the difference is in one place, both agree more alike.  Small buckets are compared pair by pair.  In
 larger ones every line is first compared with one of them, another one for each quarter of the bands; only
 buckets that this leaves in more than one component are compared as a whole, in blocks.  Sketches, bitmaps of a
@@ -32,9 +32,9 @@ from fleetspark.llm.tables import SPACES, discard, once, row_key, small, written
 #: Characters of a shingle, and of the runs that signatures are made of.
 SHINGLE, SIGNED = 5, 9
 #: Bands, MinHash values in each, and values in all: the first bands share none, each later one has values of three of them.
-BANDS, ROWS, VALUES = 16, 3, 24
+BANDS, ROWS, VALUES = 24, 3, 24
 #: Parts in which bands are joined, one after another, so that only a part of them is shuffled at a time.
-PARTS = 2
+PARTS = 3
 NUMERATOR, DENOMINATOR = 4, 5
 #: Buckets of up to so many lines are compared pair by pair.
 SMALL = 8
@@ -69,7 +69,9 @@ def _multipliers() -> np.ndarray:
 def _band_values() -> list[list[int]]:
     """The MinHash values of each band."""
     whole = VALUES // ROWS
-    return [[(k * ROWS + i) if k < whole else (k + i * (whole // ROWS)) * ROWS % VALUES + i for i in range(ROWS)] for k in range(BANDS)]
+    # The bands past the first ones take one value each of three first ones, at other distances in each round.
+    later = lambda k, i: (k + i * (whole // ROWS + k // whole - 1)) % whole * ROWS + i
+    return [[(k * ROWS + i) if k < whole else later(k, i) for i in range(ROWS)] for k in range(BANDS)]
 
 
 def _windows(c: np.ndarray, width: int) -> np.ndarray:
